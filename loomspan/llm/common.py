@@ -10,6 +10,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspan.session import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session. Only where that is
@@ -47,7 +49,8 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list:
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Rows per Arrow batch: long texts must not fill a worker's memory."""
+    """Rows per Arrow batch: long texts must not fill a worker's memory. Also ships the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

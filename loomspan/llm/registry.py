@@ -13,6 +13,12 @@ def op3_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.digests(bpe_chunks.encode_decode(table(spark, sf_dir, "documents")))
 
 
+def op8_token_varint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm import token_files
+
+    return token_files.read(token_files.write(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
