@@ -3,10 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomspan.llm.common import table
 
 
+def op1_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm import kneser_ney
+
+    rows = kneser_ney.quality(table(spark, sf_dir, "documents"))
+    facts = [c for c in rows.columns if c.startswith("_q_")]
+    return rows.select("doc_id", *[F.col(c).alias(c[3:]) for c in facts])
+
+
 def op3_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm import bpe_chunks
 
