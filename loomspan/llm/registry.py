@@ -22,6 +22,12 @@ def op3_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.digests(bpe_chunks.encode_decode(table(spark, sf_dir, "documents")))
 
 
+def op7_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm import golden_mix
+
+    return golden_mix.mix(table(spark, sf_dir, "documents")).drop("source", "_k1", "_k2")
+
+
 def op8_token_varint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm import token_files
 
