@@ -22,6 +22,13 @@ def op3_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.digests(bpe_chunks.encode_decode(table(spark, sf_dir, "documents")))
 
 
+def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm import line_runs
+
+    rows = line_runs.dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("_l_n_lines").alias("n_lines"), F.col("_l_n_removed").alias("n_removed"), "text")
+
+
 def op7_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm import golden_mix
 
@@ -39,4 +46,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    from loomspan.llm import line_runs
+
+    return {"op5_line_runs": line_runs.ORACLE}
