@@ -22,6 +22,12 @@ def op3_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.digests(bpe_chunks.encode_decode(table(spark, sf_dir, "documents")))
 
 
+def op4_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm import chosen_path
+
+    return chosen_path.join(table(spark, sf_dir, "documents")).drop("_k1", "_k2")
+
+
 def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm import line_runs
 
