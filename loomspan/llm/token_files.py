@@ -222,4 +222,6 @@ def read(shards: DataFrame, with_ids: bool = False) -> DataFrame:
                     yield pa.record_batch(columns, names=names)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return placed.repartition(F.col("path")).mapInArrow(run, schema)
+    # a number of partitions is given as rows here are few and short, though the files aren't
+    files = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    return files.mapInArrow(run, schema)

@@ -7,6 +7,7 @@ the library on whole texts, white space and special tokens of all kinds included
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -21,7 +22,7 @@ WORDS_PER_TEXT = 256
 class WordTable:
     """Ids of words; beyond ``limit`` words, those that were met in one batch only are forgotten."""
 
-    def __init__(self, path: str, limit: int = 900_000):
+    def __init__(self, path: str, limit: int = 1_300_000):
         quiet_threads()
         from tokenizers import Tokenizer
 
@@ -29,6 +30,11 @@ class WordTable:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.limit = limit
+        # the same model for plain words in lower case, which need neither normaliser nor splitting rule
+        rules = json.loads(self.lib.to_str())
+        rules["normalizer"] = None
+        rules["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.plain = Tokenizer.from_str(json.dumps(rules))
         vocab = self.lib.get_vocab(with_added_tokens=True)
         self.size = max(vocab.values()) + 1
         self.tokens = [""] * self.size
@@ -85,8 +91,8 @@ class WordTable:
         for w in new:
             (plain if PLAIN.fullmatch(w) else other).append(w)
         groups = [plain[i : i + WORDS_PER_TEXT] for i in range(0, len(plain), WORDS_PER_TEXT)]
-        for group, ids in zip(groups, self.library([b" ".join(g).decode() for g in groups])):
-            ids = np.array(ids, np.int32)
+        for group, found in zip(groups, self.plain.encode_batch_fast([b" ".join(g).decode().lower() for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, np.int32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(group) and stops[-1] == len(ids):
                 self._add(group, ids, np.diff(stops, prepend=0))
@@ -123,7 +129,7 @@ class WordTable:
 _TABLES: dict[tuple, WordTable] = {}
 
 
-def word_table(path: str, limit: int = 900_000) -> WordTable:
+def word_table(path: str, limit: int = 1_300_000) -> WordTable:
     """One table for each worker process, kept from task to task."""
     if (path, limit) not in _TABLES:
         _TABLES.clear()
