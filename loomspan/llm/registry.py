@@ -16,6 +16,12 @@ def op1_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[F.col(c).alias(c[3:]) for c in facts])
 
 
+def op2_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm import projection_forest
+
+    return projection_forest.link(table(spark, sf_dir, "embeddings"))
+
+
 def op3_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm import bpe_chunks
 
