@@ -53,6 +53,12 @@ def op8_token_varint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(table(spark, sf_dir, "documents")))
 
 
+def op9_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm import ftrl
+
+    return ftrl.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
