@@ -59,6 +59,12 @@ def op9_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ftrl.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm import masked_lm
+
+    return masked_lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
