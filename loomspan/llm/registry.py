@@ -41,6 +41,12 @@ def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("_l_n_lines").alias("n_lines"), F.col("_l_n_removed").alias("n_removed"), "text")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm import license_scan
+
+    return license_scan.summary(license_scan.matches(table(spark, sf_dir, "documents")))
+
+
 def op7_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm import golden_mix
 
