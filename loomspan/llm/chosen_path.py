@@ -4,9 +4,9 @@ Each document is the set of its 5-word shingles (all its words as one, if it has
 sets become one class before anything is compared. A class carries ``TOKENS`` MinHash tokens, each of which two
 sets share with a chance equal to their Jaccard similarity. A run starts with all classes in one node; a node
 with more than ``SMALL`` classes is split on ``BRANCH`` of the tokens, sampled by a hash of its path: its
-children are the classes that share one of them. Small nodes are compared by brute force on the tokens; nodes
-that are still large at the greatest depth share so many sampled tokens that their classes are taken as
-candidates of each other. Runs are repeated until a link at the threshold is missed by all of them with a
+children are the classes that share one of them. Small nodes are compared by brute force on the tokens. A large
+node that holds most classes of the node above it is dense, and splitting on would only copy it; its classes are
+taken as candidates of each other, as are those of nodes at the greatest depth. Runs are repeated until a link at the threshold is missed by all of them with a
 chance of at most ``1 - RECALL``; the chance that one run misses it is that of a branching process dying out
 (Chosen Path: Christiani and Pagh 2017; CPSJoin: Christiani, Pagh and Sivertsen 2018).
 
@@ -32,7 +32,8 @@ from loomspan.llm.common import cut, linked_groups, row_key, slices, small_batch
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 TOKENS = 64
-SMALL, DEPTH, BRANCH = 100, 5, 2
+SMALL, DEPTH, BRANCH = 256, 8, 2
+DENSE = 0.75  # share of a node's classes that hold the token of a child, from which on they aren't split further
 BLOCK = 512  # classes of a cluster that are compared with each other at once
 DEVIATIONS = 4.0  # by which the similarity of the tokens may fall below the threshold
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -135,7 +136,8 @@ def _children(path: np.ndarray, tokens: np.ndarray, branch: int) -> np.ndarray:
 
 
 def _split(rows: DataFrame, runs: int, branch: int) -> DataFrame:
-    """(path, f1) of children, from rows of (path, f1, tokens); a null path is the root of every run."""
+    """(path, f1, above) of children, from rows of (path, f1, tokens, s); a null path is the root of every run;
+    ``above`` is the size s of the node that was split."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -150,9 +152,10 @@ def _split(rows: DataFrame, runs: int, branch: int) -> DataFrame:
             else:
                 starts = [batch.column(0).to_numpy().view(np.uint64)]
             paths = np.concatenate([_children(p, tokens, branch) for p in starts])
-            yield pa.record_batch([pa.array(paths.ravel().view(np.int64)), pa.array(np.repeat(np.tile(f1, len(starts)), branch))], names=["path", "f1"])
+            above = batch.column(3).take(pa.array(np.repeat(np.tile(np.arange(len(f1)), len(starts)), branch)))
+            yield pa.record_batch([pa.array(paths.ravel().view(np.int64)), pa.array(np.repeat(np.tile(f1, len(starts)), branch)), above], names=["path", "f1", "above"])
 
-    return rows.mapInArrow(run, "path long, f1 long")
+    return rows.mapInArrow(run, "path long, f1 long, above long")
 
 
 def _groups(batches: Iterator, keys: int) -> Iterator:
@@ -231,24 +234,24 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD, recall: float =
     """(a, b) links between classes (f1, n, tokens) that may be similar."""
     small_batches(classes.sparkSession, 4096)
     runs = runs_needed(threshold, recall, branch, depth)
-    rows = _split(classes.select(F.lit(None).cast("long").alias("path"), "f1", "tokens"), runs, branch)
-    links = None
+    rows = _split(classes.select(F.lit(None).cast("long").alias("path"), "f1", "tokens", F.lit(None).cast("long").alias("s")), runs, branch)
+    leaves = stars = None
     for level in range(1, depth + 1):
         rows = cut(rows)
-        sizes = rows.groupBy("path").agg(F.count("*").alias("s"), F.min("f1").alias("least")).where("s > 1")
-        nodes = cut(rows.join(sizes, "path"))
-        leaves = nodes.where(F.col("s") <= small).join(classes.select("f1", "n", "tokens"), "f1")
-        leaves = leaves.select("path", "f1", "n", "tokens").repartition("path").sortWithinPartitions("path", "f1")
-        found = _similar(leaves, threshold)
+        sizes = rows.groupBy("path").agg(F.count("*").alias("s"), F.min("f1").alias("least"), F.max("above").alias("above")).where("s > 1")
+        nodes = cut(rows.drop("above").join(sizes, "path"))
+        leaf = nodes.where(F.col("s") <= small).select("path", "f1")
+        leaves = leaf if leaves is None else leaves.unionByName(leaf)
         big = nodes.where(F.col("s") > small)
-        if level == depth:
-            found = found.unionByName(big.where("f1 <> least").select(F.col("f1").alias("a"), F.col("least").alias("b")))
-        found = cut(found)
-        links = found if links is None else links.unionByName(found)
+        done = F.lit(True) if level == depth else F.coalesce(F.col("s") >= DENSE * F.col("above"), F.lit(False))
+        star = big.where(done & (F.col("f1") != F.col("least"))).select(F.col("f1").alias("a"), F.col("least").alias("b"))
+        stars = star if stars is None else stars.unionByName(star)
+        big = big.where(~done)
         if level == depth or big.isEmpty():
             break
-        rows = _split(big.join(classes.select("f1", "tokens"), "f1").select("path", "f1", "tokens"), 1, branch).distinct()
-    return links
+        rows = _split(big.join(classes.select("f1", "tokens"), "f1").select("path", "f1", "tokens", "s"), 1, branch)
+    small_nodes = leaves.join(classes.select("f1", "n", "tokens"), "f1").select("path", "f1", "n", "tokens")
+    return _similar(small_nodes.repartition("path").sortWithinPartitions("path", "f1"), threshold).unionByName(stars)
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
