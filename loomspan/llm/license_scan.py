@@ -132,5 +132,5 @@ def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
 
 def summary(found: DataFrame) -> DataFrame:
     """doc_id, n_matches, and the best match (the highest coefficient, then the first line)."""
-    best = F.expr("array_sort(matches, (a, b) -> CASE WHEN a.dice > b.dice THEN -1 WHEN a.dice < b.dice THEN 1 ELSE a.first_line - b.first_line END)[0]")
+    best = F.expr("get(array_sort(matches, (a, b) -> CASE WHEN a.dice > b.dice THEN -1 WHEN a.dice < b.dice THEN 1 ELSE a.first_line - b.first_line END), 0)")
     return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), best.alias("b")).select("doc_id", "n_matches", F.col("b.license").alias("license"), F.col("b.dice").alias("dice"), F.col("b.first_line").alias("first_line"), F.col("b.last_line").alias("last_line"))
