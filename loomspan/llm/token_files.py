@@ -57,7 +57,9 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     starts = np.cumsum(lens) - lens
     out = np.zeros(n, np.uint32)
-    for k in range(int(lens.max(initial=0))):
+    if n:
+        out |= raw[starts]
+    for k in range(1, int(lens.max(initial=0))):
         has = np.flatnonzero(lens > k)
         out[has] |= raw[starts[has] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
@@ -99,13 +101,16 @@ def _filesystem(folder: str):
 
 
 def encode_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = 1) -> DataFrame:
-    """(doc_id, _k1, _k2, n_tokens, ids binary of little-endian unsigned 32-bit or 16-bit values)."""
+    """(doc_id, _k1, _k2, n_tokens, ids binary of little-endian unsigned 32-bit or 16-bit values, counts), and a row of
+    each task with nothing but ``counts``: its ids and how often they occurred, 64-bit."""
     path = vocabulary or default_vocabulary()
     small_batches(docs.sparkSession)
+    names = ["doc_id", "_k1", "_k2", "n_tokens", "ids", "counts"]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        total = np.zeros(1 << 16, np.int64)
         for whole in batches:
             for batch in slices(whole, 8.0):
                 words = word_table(path)
@@ -115,30 +120,33 @@ def encode_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", voca
                 flat = np.insert(ids, stops, end_id).astype(kind)
                 offsets = np.concatenate([[0], stops + np.arange(1, len(stops) + 1)]).astype(np.int64)
                 data = pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer((offsets * flat.itemsize).astype(np.int32)), pa.py_buffer(flat)])
-                yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(lens + 1, pa.int64()), data], names=["doc_id", "_k1", "_k2", "n_tokens", "ids"])
+                seen = np.bincount(flat)
+                if len(seen) > len(total):
+                    total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
+                total[: len(seen)] += seen
+                yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(lens + 1, pa.int64()), data, pa.nulls(len(lens), pa.binary())], names=names)
+        at = np.flatnonzero(total)
+        counts = np.stack([at, total[at]]).astype("<i8").tobytes()
+        none = pa.nulls(1, pa.int64())
+        yield pa.record_batch([none, none, none, none, pa.nulls(1, pa.binary()), pa.array([counts], pa.binary())], names=names)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.select("doc_id", *row_key(), "text")
-    return rows.mapInArrow(run, "doc_id long, _k1 long, _k2 long, n_tokens long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, _k1 long, _k2 long, n_tokens long, ids binary, counts binary")
 
 
 def id_counts(encoded: DataFrame) -> DataFrame:
-    """(id, n) over all documents; a task sends one row for each id at most."""
+    """(id, n) over all documents, from the counts that each task left in a row of its own."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for n, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                seen = np.bincount(np.frombuffer(raw.as_buffer(), "<u2" if len(raw.as_buffer()) == 2 * n else "<u4"))
-                if len(seen) > len(total):
-                    total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
-                total[: len(seen)] += seen
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at.astype(np.int64)), pa.array(total[at])], names=["id", "n"])
+            for raw in batch.column(0):
+                at, n = np.frombuffer(raw.as_buffer(), "<i8").reshape(2, -1)
+                yield pa.record_batch([pa.array(at), pa.array(n)], names=["id", "n"])
 
-    return encoded.select("n_tokens", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.where("counts is not null").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write(docs: DataFrame, folder: str | None = None, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = 1, shard_ids: int = 4_000_000) -> DataFrame:
@@ -177,7 +185,7 @@ def write(docs: DataFrame, folder: str | None = None, doc_id: str = "doc_id", te
                 raw = raw.as_buffer()
                 docs_held.append(d)
                 counts.append(size)
-                held.append(np.frombuffer(raw, "<u2" if len(raw) == 2 * size else "<u4").astype(np.int64))
+                held.append(np.frombuffer(raw, "<u2" if len(raw) == 2 * size else "<u4"))
                 n += size
                 if n >= shard_ids:
                     yield flush()
@@ -185,7 +193,7 @@ def write(docs: DataFrame, folder: str | None = None, doc_id: str = "doc_id", te
             yield flush()
 
     order = [F.asc_nulls_last("doc_id"), "_k1", "_k2"]
-    sorted_docs = encoded.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids")
+    sorted_docs = encoded.where("counts is null").drop("counts").repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids")
     shards = sorted_docs.mapInArrow(run, "shard long, name string, n_docs long, n_ids long")
     return written(shards.select("shard", F.concat(F.lit(folder + "/"), "name").alias("path"), "n_docs", "n_ids"))
 

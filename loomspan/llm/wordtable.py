@@ -9,13 +9,16 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import repeat
 
 import numpy as np
 
 from loomspan.llm.common import quiet_threads
 
 #: Words in which the library finds one piece each, whose last token ends the word.
-PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+#: Such a word, and ASCII punctuation without apostrophes after it.
+PARTS = re.compile(rb"(" + LETTERS + rb")([!-&(-/:-@\[-`{-~]*)")
 WORDS_PER_TEXT = 256
 
 
@@ -45,6 +48,7 @@ class WordTable:
         self._clear()
 
     def _clear(self) -> None:
+        self.generation = getattr(self, "generation", 0) + 1
         self.known: dict[bytes, int] = {}
         self.starts = np.zeros(1024, np.int64)
         self.lens = np.zeros(1024, np.int64)
@@ -79,17 +83,44 @@ class WordTable:
         self.used += len(more)
         self.known.update(zip(words, range(n, n + len(words))))
 
-    def learn(self, words: set[bytes]) -> None:
-        """Give the words that are new to the library."""
+    def learn(self, words: set[bytes], forget: bool = True) -> None:
+        """Give the words that are new to the library. A word in capitals has the ids of its small letters, and
+        letters before a run of punctuation have those of the two parts, which the library splits there too."""
         new = [w for w in words if w not in self.known]
         if not new:
             return
-        if self.known and len(self.known) + len(new) > self.limit:
+        if forget and self.known and len(self.known) + len(new) > self.limit:
             self._forget()
             new = [w for w in words if w not in self.known]
-        plain, other = [], []
+        plain, joined, other = {}, [], []
         for w in new:
-            (plain if PLAIN.fullmatch(w) else other).append(w)
+            found = PARTS.fullmatch(w)
+            if not found:
+                other.append(w)
+                continue
+            head, tail = found[1].lower(), found[2]
+            if head not in self.known:
+                plain[head] = None
+            if tail and tail not in self.known:
+                other.append(tail)
+            if head != w:
+                joined.append((w, head, tail))
+        self._learn_plain(list(plain), other)
+        other = list(dict.fromkeys(w for w in other if w not in self.known))
+        if other:
+            ids = self.library([w.decode("utf-8", "replace") for w in other])
+            lens = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._add(other, np.fromiter((i for x in ids for i in x), np.int32, int(lens.sum())), lens)
+        joined = [j for j in joined if j[0] not in self.known]
+        if joined:
+            get = self.known.__getitem__
+            first = np.fromiter((get(h) for _, h, _ in joined), np.int64, len(joined))
+            second = np.fromiter((get(t) if t else -1 for _, _, t in joined), np.int64, len(joined))
+            lens = np.stack([self.lens[first], np.where(second >= 0, self.lens[second], 0)], 1)
+            starts = np.stack([self.starts[first], self.starts[second]], 1)
+            self._add([w for w, _, _ in joined], self._gather(starts.ravel(), lens.ravel()), lens.sum(1))
+
+    def _learn_plain(self, plain: list[bytes], other: list[bytes]) -> None:
         groups = [plain[i : i + WORDS_PER_TEXT] for i in range(0, len(plain), WORDS_PER_TEXT)]
         for group, found in zip(groups, self.plain.encode_batch_fast([b" ".join(g).decode().lower() for g in groups], add_special_tokens=False)):
             ids = np.array(found.ids, np.int32)
@@ -98,24 +129,30 @@ class WordTable:
                 self._add(group, ids, np.diff(stops, prepend=0))
             else:
                 other += group
-        if other:
-            ids = self.library([w.decode("utf-8", "replace") for w in other])
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            self._add(other, np.fromiter((i for x in ids for i in x), np.int32, int(lens.sum())), lens)
+
+    def _gather(self, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(lens)
+        if not len(ends) or not ends[-1]:
+            return np.zeros(0, np.int32)
+        return self.flat[np.repeat(starts - ends + lens, lens) + np.arange(ends[-1])]
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words on end, and how many ids each word has."""
         if not words:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        self.learn(set(words))
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        self.hits[np.unique(at)] += 1
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            absent, generation = [words[i] for i in missing.tolist()], self.generation
+            self.learn(set(absent))
+            if self.generation != generation:  # some were forgotten, and places have changed
+                self.learn(set(words), forget=False)
+                at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            else:
+                at[missing] = np.fromiter(map(self.known.__getitem__, absent), np.int64, len(absent))
+        self.hits[at] += 1  # once for each word
         lens = self.lens[at]
-        ends = np.cumsum(lens)
-        if not ends[-1]:
-            return np.zeros(0, np.int32), lens
-        take = np.repeat(self.starts[at] - ends + lens, lens) + np.arange(ends[-1])
-        return self.flat[take], lens
+        return self._gather(self.starts[at], lens), lens
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of whole texts on end, and how many each text has. A null text counts as empty."""
