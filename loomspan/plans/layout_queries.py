@@ -42,7 +42,7 @@ def label_collisions(spark, d) -> DataFrame:
     return layout.moved_labels(labels(spark, d), KEYS).withColumn("y", F.round("y", 4))
 
 
-OVER = """SELECT a.clip, a.frame, a.idx, round(coalesce(min(CASE WHEN ox > 0 AND oy > 0 THEN 1.0e0 - 0.55e0 * least(1.0e0, ox * oy / greatest(1.0e0, least(aw, bw))) END), 1.0e0), 6) AS alpha FROM (
+OVER = """SELECT a.clip, a.frame, a.idx, round(coalesce(min(CASE WHEN bw IS NOT NULL AND ox > 0 AND oy > 0 THEN 1.0e0 - 0.55e0 * least(1.0e0, ox * oy / greatest(1.0e0, least(aw, bw))) END), 1.0e0), 6) AS alpha FROM (
  SELECT a.clip, a.frame, a.idx, least(a.cx + a.w / 2, b.cx + b.w / 2) - greatest(a.cx - a.w / 2, b.cx - b.w / 2) AS ox, least(a.top + a.h, b.top + b.h) - greatest(a.top, b.top) AS oy, a.w * a.h AS aw, b.w * b.h AS bw
  FROM lb a LEFT JOIN lb b ON a.frame = b.frame AND a.idx <> b.idx) a GROUP BY ALL"""
 

@@ -21,9 +21,9 @@ def counts(sightings: DataFrame, ts: str, every: str = "1 second", late: str = "
     return w.select(F.col("w.start").alias("start"), *keys, "n", "mean_h", "kits")
 
 
-def follow(sightings: DataFrame, key: str, ts: str, coast_s: float = 0.60) -> DataFrame:
+def follow(sightings: DataFrame, key: str, ts: str, coast_s: float = 0.60, late: str = "10 seconds") -> DataFrame:
     """The causal half of tracking for each key: position and speed by a constant-velocity state that is updated as
-    sightings come, and dropped ``coast_s`` after the last. Batches are Arrow frames of a key's new rows.
+    sightings come, and dropped when the watermark is ``coast_s`` past the last. Batches are Arrow frames of a key's new rows.
 
     sightings: key, ts, x, y. Result: key, n, x, y, vx, vy, last_s.
     """
@@ -48,9 +48,9 @@ def follow(sightings: DataFrame, key: str, ts: str, coast_s: float = 0.60) -> Da
                     n, vx, vy = 1, 0.0, 0.0
                 x, y, last = float(r.x), float(r.y), max(t, last)
         state.update((n, x, y, vx, vy, last))
-        state.setTimeoutDuration(max(1, int(coast_s * 1000)))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int((last + coast_s) * 1000)))
         yield pd.DataFrame({key: [group[0]], "n": [n], "x": [x], "y": [y], "vx": [vx], "vy": [vy], "last_s": [last]})
 
     kind = sightings.schema[key].dataType.simpleString()
     fields = "n long, x double, y double, vx double, vy double, last_s double"
-    return sightings.select(key, ts, "x", "y").groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {fields}", fields, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return sightings.select(key, ts, "x", "y").withWatermark(ts, late).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {fields}", fields, "update", GroupStateTimeout.EventTimeTimeout)
