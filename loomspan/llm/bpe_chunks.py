@@ -51,42 +51,61 @@ def chunk_ends(data: bytes, starts: np.ndarray, bits: int = 9) -> np.ndarray:
 
 class Chunk:
     """ids: of the whole words within; head and tail: pieces of words before the first and after the last
-    white space; words: the whole words; solid: there is no white space."""
+    white space; first and last: the outermost whole words, n_first and n_last the numbers of their ids; solid: there
+    is no white space."""
 
-    __slots__ = ("head", "ids", "lens", "solid", "tail", "words")
+    __slots__ = ("data", "first", "head", "ids", "last", "n_first", "n_last", "solid", "tail")
 
     def __init__(self, data: bytes):
+        self.data, self.ids, self.n_first, self.n_last = data, None, 0, 0
         words = data.split()
         self.solid = len(words) == 1 and len(words[0]) == len(data)
-        self.head = words.pop(0) if words and data[0] not in SPACE else b""
-        self.tail = words.pop() if words and not self.solid and data[-1] not in SPACE else b""
-        self.words = words
-        self.ids = self.lens = None
+        self.head = words[0] if words and data[0] not in SPACE else b""
+        self.tail = words[-1] if words and not self.solid and data[-1] not in SPACE else b""
+        inner = self.inner(words)
+        self.first, self.last = (inner[0], inner[-1]) if inner else (b"", b"")
+
+    def inner(self, words: list[bytes]) -> list[bytes]:
+        """The whole words among the pieces of ``data``."""
+        return words[bool(self.head) : len(words) - bool(self.tail)]
 
 
 class ChunkEncoder:
-    def __init__(self, table: WordTable, bits: int = 9, limit_bytes: int = 24_000_000):
+    """Chunks with their ids, up to about ``limit_bytes`` of memory."""
+
+    def __init__(self, table: WordTable, bits: int = 9, limit_bytes: int = 64_000_000):
         self.table, self.bits, self.limit = table, bits, limit_bytes
         self.chunks: dict[bytes, Chunk] = {}
         self.bytes = self.reused = self.encoded = self.widened = 0
 
     def _load(self, parts: list[bytes]) -> None:
+        if self.bytes > self.limit:
+            self.chunks, self.bytes = {}, 0
         new = [p for p in dict.fromkeys(parts) if p not in self.chunks]
         self.encoded += len(new)
         self.reused += len(parts) - len(new)
-        if self.bytes > self.limit:
-            self.chunks, self.bytes = {}, 0
-            new = list(dict.fromkeys(parts))
         made = [Chunk(p) for p in new]
-        ids, lens = self.table.encode([w for c in made for w in c.words])
-        w, i = 0, 0
-        for p, c in zip(new, made):
-            c.lens = lens[w : w + len(c.words)]
-            n = int(c.lens.sum())
-            c.ids = ids[i : i + n]
-            w, i = w + len(c.words), i + n
+        inner = [c.inner(c.data.split()) for c in made]
+        ids, lens = self.table.encode([w for ws in inner for w in ws])
+        ends = np.concatenate([[0], np.cumsum(lens)])
+        w = 0
+        for p, c, ws in zip(new, made, inner):
+            a, b = ends[w], ends[w + len(ws)]
+            c.ids = ids[a:b].copy()  # a view would keep the ids of the whole batch
+            if ws:
+                c.n_first, c.n_last = int(lens[w]), int(lens[w + len(ws) - 1])
+            w += len(ws)
             self.chunks[p] = c
-            self.bytes += 3 * len(p) + 400
+            self.bytes += len(p) + c.ids.nbytes + 700
+
+    def _outer(self, chunk: Chunk, width: int, last: bool) -> tuple[list[bytes], int]:
+        """The last or first ``width`` whole words of a chunk, and how many ids they have."""
+        if width == 1:
+            word, n = (chunk.last, chunk.n_last) if last else (chunk.first, chunk.n_first)
+            return [word] if word else [], n
+        words = chunk.inner(chunk.data.split())
+        words = words[-width:] if last else words[:width]
+        return words, int(self.table.encode(words)[1].sum())
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
@@ -132,22 +151,20 @@ class ChunkEncoder:
         out: list = [None] * len(joins)
         todo, width = list(range(len(joins))), 1
         while todo:
-            windows = []
+            windows, sides = [], []
             for k in todo:
                 span, left, right = joins[k]
-                before = left.words[-width:] if left else []
-                after = right.words[:width] if right else []
+                before, nl = self._outer(left, width, True) if left else ([], 0)
+                after, nr = self._outer(right, width, False) if right else ([], 0)
                 windows.append(b" ".join([*before, span, *after]).decode("utf-8", "replace"))
+                sides.append((nl, nr))
             again = []
-            for k, ids in zip(todo, self.table.library(windows)):
-                span, left, right = joins[k]
-                ids = np.asarray(ids, np.int32)
-                nl = int(left.lens[-width:].sum()) if left and len(left.words) else 0
-                nr = int(right.lens[:width].sum()) if right and len(right.words) else 0
-                good = nl + nr <= len(ids) and (not nl or np.array_equal(ids[:nl], left.ids[-nl:])) and (not nr or np.array_equal(ids[len(ids) - nr :], right.ids[:nr]))
-                widest = width >= max(len(left.words) if left else 0, len(right.words) if right else 0)
+            for k, ids, (nl, nr) in zip(todo, self.table.library(windows), sides):
+                _, left, right = joins[k]
+                good = nl + nr <= len(ids) and (not nl or ids[:nl] == left.ids[-nl:].tolist()) and (not nr or ids[len(ids) - nr :] == right.ids[:nr].tolist())
+                widest = width >= max(len(c.data) if c else 0 for c in (left, right))
                 if good or widest:
-                    out[k] = ids[nl : len(ids) - nr]
+                    out[k] = np.array(ids[nl : len(ids) - nr], np.int32)
                 else:
                     again.append(k)
             self.widened += len(again)
@@ -174,7 +191,7 @@ def encode_decode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
         import pyarrow as pa
 
         for whole in batches:
-            for batch in slices(whole, 6.0):
+            for batch in slices(whole, 4.0):
                 encoder = chunk_encoder(path, bits)
                 ids = encoder.encode(batch.column(1).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)

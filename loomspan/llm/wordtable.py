@@ -25,7 +25,7 @@ WORDS_PER_TEXT = 256
 class WordTable:
     """Ids of words; beyond ``limit`` words, those that were met in one batch only are forgotten."""
 
-    def __init__(self, path: str, limit: int = 1_300_000):
+    def __init__(self, path: str, limit: int = 800_000):
         quiet_threads()
         from tokenizers import Tokenizer
 
@@ -166,7 +166,7 @@ class WordTable:
 _TABLES: dict[tuple, WordTable] = {}
 
 
-def word_table(path: str, limit: int = 1_300_000) -> WordTable:
+def word_table(path: str, limit: int = 800_000) -> WordTable:
     """One table for each worker process, kept from task to task."""
     if (path, limit) not in _TABLES:
         _TABLES.clear()
