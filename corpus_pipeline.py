@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomspan.llm import bpe_chunks, chosen_path, golden_mix, kneser_ney, line_runs
 from loomspan.llm.common import table, written
@@ -16,9 +15,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines go from the texts; n_chars follows where it is a column."""
-    rows = line_runs.dedup(docs)
-    length = F.when(F.col("_l_n_removed") > 0, F.length("text"))
-    return rows.select(*[F.coalesce(length, F.col("n_chars")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    return line_runs.dedup(docs, length="n_chars" if "n_chars" in docs.columns else None, facts=False)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import cut, linked_groups, row_key, slices, small_batches, written
+from loomspan.llm.common import carried, cut, linked_groups, row_key, slices, small_batches, unpacked, written
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 TOKENS = 64
@@ -353,8 +353,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     """The first document of each class, with its own columns; of rows that agree in id and text one stays,
     unless they have no words."""
     verdicts = join(docs, doc_id, text, words, threshold).groupBy("_k1", "_k2").agg(F.min("kept").alias("_kept"))
-    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *row_key(doc_id, text))
-    joined = keyed.join(verdicts.where("_kept"), ["_k1", "_k2"])
+    joined = carried(docs, doc_id, text).join(verdicts.where("_kept"), ["_k1", "_k2"])
     once = joined.withColumn("_nth", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_k1")))
-    empty = F.coalesce(~F.col(f"`{text}`").rlike("[^\x20\x09-\x0D]"), F.lit(True))
-    return once.where((F.col("_nth") == 1) | empty).select(*[F.col(f"`{c}`") for c in docs.columns])
+    empty = F.coalesce(~F.col("_row")[text].rlike("[^\\x20\\x09-\\x0D]"), F.lit(True))
+    return once.where((F.col("_nth") == 1) | empty).select(*unpacked(docs.columns))

@@ -48,6 +48,16 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list:
     return [F.xxhash64(F.col(doc_id), t).alias("_k1"), F.xxhash64(t, F.lit(7), F.col(doc_id)).alias("_k2")]
 
 
+def carried(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_row, _k1, _k2): whole rows as a struct, so that no column of theirs meets a name that an operator uses."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *row_key(f"`{doc_id}`", f"`{text}`"))
+
+
+def unpacked(columns: list[str], changed: dict | None = None) -> list:
+    """The columns of ``_row`` again; ``changed`` replaces some of them."""
+    return [(changed or {}).get(c, F.col("_row")[c]).alias(c) for c in columns]
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Rows per Arrow batch: long texts must not fill a worker's memory. Also ships the package."""
     ship(spark)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import cut, row_key, running_total
+from loomspan.llm.common import carried, cut, row_key, running_total, unpacked
 
 WEIGHTS = (5, 2, 1)
 SLOTS = 1 << 17
@@ -124,10 +124,9 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     documents (half up), and at least once where any of its words are."""
     took = mix(docs, doc_id, text, source)
     copies = took.where("taken > 0").groupBy("_k1", "_k2").agg(F.sum(F.expr("greatest(1, (2 * taken + size) div (2 * size))")).alias("_copies"), F.count("*").alias("_rows"))
-    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *row_key(doc_id, text))
-    joined = keyed.join(copies, ["_k1", "_k2"])
+    joined = carried(docs, doc_id, text).join(copies, ["_k1", "_k2"])
     # rows that agree in id and text share their copies evenly, the first ones taking what is left over
     first = joined.where("_rows > 1").withColumn("_n", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_copies")))
     uneven = first.withColumn("_own", F.expr("_copies div _rows + int(_n <= _copies % _rows)")).drop("_n")
-    each = joined.where("_rows = 1").withColumn("_own", F.col("_copies")).unionByName(uneven)
-    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_own").cast("long")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    each = joined.where("_rows = 1").withColumn("_own", F.col("_copies")).unionByName(uneven).where("_own > 0")
+    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_own").cast("long")))).select(*unpacked(docs.columns))

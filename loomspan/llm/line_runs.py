@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import cut, row_key
+from loomspan.llm.common import carried, cut, row_key, unpacked
 
 MIN_WORDS = 50
 BLANKS = "[\\\\x20\\\\x09-\\\\x0D]+"
@@ -100,20 +100,24 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     return later.select("_k1", "_k2", F.explode("lines").alias("line")).groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the text less its copied lines, and _l_n_lines and _l_n_removed."""
-    gone = copies(docs, doc_id, text, min_words)
-    # what most documents have, no copied line, needs no join: Spark decides by size whether to broadcast
-    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *row_key(doc_id, text))
-    joined = keyed.join(gone.withColumnRenamed("lines", "_l_gone"), ["_k1", "_k2"], "left")
-    body = F.col(f"`{text}`")
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, length: str | None = None, facts: bool = True) -> DataFrame:
+    """``docs`` with the text less its copied lines; ``length`` names a column that follows the text's length. With
+    ``facts`` also _l_n_lines and _l_n_removed."""
+    gone = copies(docs, doc_id, text, min_words).withColumnRenamed("lines", "_l_gone")
+    # most documents have no copied line; Spark decides by size whether to broadcast those of the others
+    joined = carried(docs, doc_id, text).join(gone, ["_k1", "_k2"], "left")
+    body = F.col("_row")[text]
     parts = F.split(body, "\n", -1)
     kept = F.when(F.col("_l_gone").isNull(), body).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_l_gone", i)), "\n"))
-    return joined.select(
-        *[kept.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
+    joined = joined.withColumn("_l_kept", kept)
+    changed = {text: F.col("_l_kept")}
+    if length:
+        changed[length] = F.when(F.col("_l_gone").isNotNull(), F.length("_l_kept")).otherwise(F.col("_row")[length]).cast(docs.schema[length].dataType)
+    n = [
         F.when(body.isNull(), 0).otherwise(F.size(parts)).cast("long").alias("_l_n_lines"),
         F.coalesce(F.size("_l_gone"), F.lit(0)).cast("long").alias("_l_n_removed"),
-    )
+    ]
+    return joined.select(*unpacked(docs.columns, changed), *(n if facts else []))
 
 
 ORACLE = """
