@@ -141,14 +141,16 @@ def slow_log_likelihood(text: str, frequent: list, flat: np.ndarray) -> float:
 
 
 def test_scores_match_the_formula_and_training_helps(spark, docs, none):
-    frequent, flat = masked_lm.fitted(docs)
-    rows = masked_lm.scored(docs, (frequent, flat)).collect()
+    frequent = masked_lm.frequent_words(docs)
+    coded = masked_lm.coded(docs, frequent).cache()
+    flat = masked_lm.trained(coded)
+    rows = masked_lm.scored(coded, flat).collect()
     assert len(rows) == docs.count()
     text = {r["doc_id"]: r["text"] for r in docs.where("doc_id < 12 or doc_id > 129").collect()}
     for r in rows:
         if r["doc_id"] in text and r["n_tokens"] < 400:
             assert abs(r["log_likelihood"] - slow_log_likelihood(text[r["doc_id"]] or "", frequent, flat)) < 1e-2
-    before = masked_lm.scored(docs, (frequent, masked_lm.initial())).agg(F.sum("log_likelihood")).first()[0]
+    before = masked_lm.scored(coded, masked_lm.initial()).agg(F.sum("log_likelihood")).first()[0]
     assert sum(r["log_likelihood"] for r in rows) > before
     assert masked_lm.pseudo_likelihood(none).count() == 0
 
