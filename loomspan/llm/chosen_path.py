@@ -357,3 +357,17 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     once = joined.withColumn("_nth", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_k1")))
     empty = F.coalesce(~F.col("_row")[text].rlike("[^\\x20\\x09-\\x0D]"), F.lit(True))
     return once.where((F.col("_nth") == 1) | empty).select(*unpacked(docs.columns))
+
+
+ORACLE = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM m JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE shared >= 0.8 * (x.n + y.n - shared) - 1e-6),
+r AS (SELECT doc_id AS node, doc_id AS reach FROM d UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a),
+c AS (SELECT node, min(reach) AS class_id FROM r GROUP BY node), k AS (SELECT a, count(*) AS k FROM l GROUP BY a)
+SELECT d.doc_id, class_id, coalesce(k, 0) AS n_links, d.doc_id = class_id AS kept
+FROM d JOIN c ON d.doc_id = c.node LEFT JOIN k ON k.a = d.doc_id
+"""
