@@ -2,7 +2,9 @@
 
 A node splits its vectors at the median of their projections on a random direction; vectors within ``overlap``
 of the median go to both sides (spill). Trees differ in their directions. The medians are fitted on a bounded
-sample of ``SAMPLE`` distinct vectors, then every vector is led down every tree. Vectors that share a leaf are
+sample of ``SAMPLE`` distinct vectors, then every vector is led down every tree. Where the sample is too small for
+leaves of the wanted size, splitting goes on around the mean of the sample's vectors in a leaf, along directions
+that all leaves of the tree share, so the tree that is broadcast stays as small as its sample. Vectors that share a leaf are
 compared by cosine in double precision, and those linked are united.
 
 Equal vectors become one class first, so copies of one vector, however many, take one place. A leaf of more
@@ -36,13 +38,23 @@ BLOCK = 1024
 
 
 class Tree:
-    """Nodes in arrays: direction's seed, threshold, children; a leaf has the number -1 - leaf as a child."""
+    """Nodes in arrays: direction's seed, threshold, children; a leaf has the number -1 - leaf as a child, and is split
+    ``extra`` times more around its mean."""
 
     def __init__(self, sample: np.ndarray, scale: float, leaf: int, seed: int):
-        self.seed, self.cuts, self.kids = seed, [], []
-        self.leaves, self.dim = 0, sample.shape[1]
+        self.seed, self.cuts, self.kids, self.means = seed, [], [], []
+        self.count, self.dim, self.extra = 0, sample.shape[1], 0
         self.root = self._grow(sample, np.arange(len(sample)), scale, leaf)
         self.cuts = np.array(self.cuts)
+        self.means = np.array(self.means) if self.extra else None
+        self.leaves = self.count << self.extra
+
+    def _leaf(self, x: np.ndarray, at: np.ndarray, scale: float, leaf: int, alike: bool) -> int:
+        self.count += 1
+        self.means.append(x[at].mean(0))
+        if not alike:
+            self.extra = max(self.extra, int(np.ceil(np.log2(max(1.0, len(at) * scale / leaf)))))
+        return -self.count
 
     def direction(self, node: int) -> np.ndarray:
         d = np.random.default_rng([self.seed, node]).standard_normal(self.dim)
@@ -50,8 +62,7 @@ class Tree:
 
     def _grow(self, x: np.ndarray, at: np.ndarray, scale: float, leaf: int) -> int:
         if len(at) * scale <= leaf or len(at) < 8:
-            self.leaves += 1
-            return -self.leaves
+            return self._leaf(x, at, scale, leaf, False)
         node = len(self.cuts)
         p = x[at] @ self.direction(node)
         middle = float(np.median(p))
@@ -59,8 +70,8 @@ class Tree:
         self.cuts.append(middle)
         self.kids.append(None)
         if left.all():  # all alike: no split helps
-            self.leaves += 1
-            self.kids[node] = (-self.leaves, -self.leaves)
+            only = self._leaf(x, at, scale, leaf, True)
+            self.kids[node] = (only, only)
         else:
             self.kids[node] = (self._grow(x, at[left], scale, leaf), self._grow(x, at[~left], scale, leaf))
         return node
@@ -73,8 +84,17 @@ class Tree:
             if not len(at):
                 continue
             if node < 0:
-                rows.append(at)
-                leaves.append(np.full(len(at), -1 - node))
+                parts = [(0, at)]
+                for level in range(self.extra):
+                    d = self.direction(len(self.cuts) + level)
+                    middle, halves = self.means[-1 - node] @ d, []
+                    for code, part in parts:
+                        p = x[part] @ d
+                        halves += [(2 * code, part[p <= middle + overlap]), (2 * code + 1, part[p > middle - overlap])]
+                    parts = [h for h in halves if len(h[1])]
+                for code, part in parts:
+                    rows.append(part)
+                    leaves.append(np.full(len(part), ((-1 - node) << self.extra) + code))
                 continue
             p = x[at] @ self.direction(node)
             left, right = self.kids[node]
@@ -141,7 +161,7 @@ def link(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
                     row.append(r)
                     where.append(l + first)
                     first += tree.leaves
-                row, where = np.concatenate(row), np.concatenate(where).astype(np.int32)
+                row, where = np.concatenate(row), np.concatenate(where).astype(np.int64)
                 order = np.lexsort((where, row))
                 row, where = row[order], where[order]
                 cuts = np.searchsorted(row, np.arange(len(x) + 1))
@@ -150,7 +170,7 @@ def link(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
                 f1, m = part.column(0).to_numpy(), part.column(1).to_numpy()
                 for a in range(0, len(row), 20_000):
                     r = row[a : a + 20_000]
-                    yield pa.record_batch([pa.array(where[a : a + 20_000].astype(np.int64)), pa.array(f1[r]), pa.array(m[r]), pa.array([raw[k] for k in r], pa.binary()), pa.array([mine[k] for k in r], pa.binary())], names=["leaf", "f1", "m", "v", "leaves"])
+                    yield pa.record_batch([pa.array(where[a : a + 20_000]), pa.array(f1[r]), pa.array(m[r]), pa.array([raw[k] for k in r], pa.binary()), pa.array([mine[k] for k in r], pa.binary())], names=["leaf", "f1", "m", "v", "leaves"])
 
     led = classes.select("f1", "m", "v").mapInArrow(lead, "leaf long, f1 long, m long, v binary, leaves binary")
     led = written(led)
@@ -179,7 +199,7 @@ def link(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
                 if len(a):
                     root[part] = f1[part][_roots(stop - begin, a, b)]  # f1 ascends
                     one = near.any(1)
-                    held = [np.frombuffer(y, np.int32) for y in leaves[part]]
+                    held = [np.frombuffer(y, np.int64) for y in leaves[part]]
                     names, column = np.unique(np.concatenate([h[h < leaf_[begin]] for h in held]), return_inverse=True)
                     if len(names):  # pairs that meet in an earlier leaf count there
                         owner = np.repeat(np.arange(stop - begin), [int((h < leaf_[begin]).sum()) for h in held])

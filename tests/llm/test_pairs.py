@@ -146,6 +146,17 @@ def test_forest_matches_brute_force(spark, leaf, block):
             assert got[i]["kept"] == (i == got[i]["component_id"])
 
 
+def test_small_samples_are_split_on(spark, monkeypatch):
+    monkeypatch.setattr(projection_forest, "SAMPLE", 24)
+    df, data = vectors(spark)
+    few = projection_forest.fit(projection_forest.unit(np.random.default_rng(1).standard_normal((24, 32))), 3000, 2, 16)
+    assert few[0].extra >= 4 and few[0].leaves == few[0].count << few[0].extra
+    got = sum(r["n_links"] for r in projection_forest.link(df, leaf=4).collect())
+    monkeypatch.undo()
+    full = sum(r["n_links"] for r in projection_forest.link(df, leaf=500).collect())
+    assert 0.95 * full <= got <= full
+
+
 def test_forest_of_nothing(spark):
     df, _ = vectors(spark)
     assert projection_forest.link(df.limit(0)).count() == 0
