@@ -138,9 +138,10 @@ def numbers_per_sighting(spark, d) -> DataFrame:
 
 @query("box_ratio", f"WITH {views.DET_RAW} SELECT clip, round(list_sort(list(w / h))[count(*) // 2 + 1], 6) AS p50, round(max(greatest(x + w, y + h)), 6) AS reach FROM det_raw GROUP BY clip")
 def box_ratio(spark, d) -> DataFrame:
-    from loomspan.functions.scalar import index_percentile
-
-    return views.det_raw(spark, d).groupBy("clip").agg(F.round(index_percentile(F.collect_list(F.expr("w / h")), 0.5), 6).alias("p50"), F.round(F.max(F.greatest(F.expr("x + w"), F.expr("y + h"))), 6).alias("reach"))
+    raw = views.det_raw(spark, d)
+    half = reports.ranked_values(raw.withColumn("ratio", F.expr("w / h")), ["clip"], "ratio", {"p50": 0.5})
+    reach = raw.groupBy("clip").agg(F.round(F.max(F.greatest(F.expr("x + w"), F.expr("y + h"))), 6).alias("reach"))
+    return half.join(reach, "clip").select("clip", F.round("p50", 6).alias("p50"), "reach")
 
 
 @query("markers_per_frame", f"WITH {D}, g AS (SELECT clip, frame, count(*) AS n FROM det GROUP BY ALL) SELECT clip, min(n) AS least, median(n) AS med, max(n) AS most FROM g GROUP BY clip")
