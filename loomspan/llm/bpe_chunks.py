@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import slices, small_batches
+from loomspan.llm.common import cache, claim, slices, small_batches
 from loomspan.llm.wordtable import WordTable, default_vocabulary, word_table
 
 WINDOW = 32  # bytes that the rolling hash sees
@@ -173,9 +173,11 @@ class ChunkEncoder:
 
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
+cache("tokens", _ENCODERS.clear)
 
 
 def chunk_encoder(path: str, bits: int) -> ChunkEncoder:
+    claim("tokens")
     if (path, bits) not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[path, bits] = ChunkEncoder(word_table(path), bits)

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import carried, cut, linked_groups, row_key, slices, small_batches, unpacked, written
+from loomspan.llm.common import cache, carried, claim, cut, linked_groups, row_key, slices, small_batches, unpacked, written
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 TOKENS = 64
@@ -58,15 +58,17 @@ def runs_needed(threshold: float = THRESHOLD, recall: float = RECALL, branch: in
 
 
 _WORDS: dict[bytes, int] = {}
+cache("shingles", _WORDS.clear)
 
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """Sorted 64-bit hashes of the distinct shingles of each text."""
     import xxhash
 
+    claim("shingles")
     split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
     flat = [w for ws in split for w in ws]
-    if len(_WORDS) > 600_000:
+    if len(_WORDS) > 400_000:
         _WORDS.clear()
     for w in set(flat):
         if w not in _WORDS:

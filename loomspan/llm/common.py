@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -76,6 +79,28 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_CACHES: dict[str, list] = {}
+_OWNER = [""]
+
+
+def cache(owner: str, clear) -> None:
+    """Say how to empty a table that a worker process keeps from task to task for an operator."""
+    _CACHES.setdefault(owner, []).append(clear)
+
+
+def claim(owner: str) -> None:
+    """Empty the tables of all other operators: a worker process holds those of one at a time."""
+    if _OWNER[0] != owner:
+        for name, clears in _CACHES.items():
+            if name != owner:
+                for clear in clears:
+                    clear()
+        _OWNER[0] = owner
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # give the memory back, where the C library can
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def quiet_threads() -> None:
     """One thread per Python worker: Spark's tasks already fill the cores."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.chosen_path import P1, P2, mix
-from loomspan.llm.common import slices, small_batches
+from loomspan.llm.common import cache, claim, slices, small_batches
 
 BITS = 18
 SAMPLE = 12_000
@@ -35,6 +35,7 @@ PREDICT = 0.3
 
 UPPER, LOWER, DIGIT = re.compile(r"[^\W\d_a-zß-öø-ÿ]{2,}"), re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+")
 _TOKENS: dict[bytes, tuple[int, int]] = {}
+cache("features", _TOKENS.clear)
 
 
 def shape(word: str) -> str:
@@ -52,6 +53,7 @@ def _token(word: bytes) -> tuple[int, int]:
 
 def features(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, place, value) of all features, by row and place."""
+    claim("features")
     split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
     flat = [w for ws in split for w in ws]
     if len(_TOKENS) > 500_000:

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from loomspan.llm.common import row_key, shared_dir, slices, small_batches, written
 from loomspan.llm.wordtable import default_vocabulary, word_table
 
+TABLE_WORDS = 1_200_000  # remembered by a worker, about 200 MB
 MAGIC = b"LSTK0001"
 HEAD = struct.Struct("<8sIQIQ")
 #: Lengths of the four codes of a control byte, and their sum.
@@ -113,7 +114,7 @@ def encode_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", voca
         total = np.zeros(1 << 16, np.int64)
         for whole in batches:
             for batch in slices(whole, 8.0):
-                words = word_table(path)
+                words = word_table(path, TABLE_WORDS)
                 ids, lens = words.texts(batch.column(3).to_pylist())
                 kind = "<u2" if max(words.size, end_id + 1) <= 1 << 16 else "<u4"
                 stops = np.cumsum(lens)

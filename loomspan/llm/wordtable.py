@@ -13,7 +13,7 @@ from itertools import repeat
 
 import numpy as np
 
-from loomspan.llm.common import quiet_threads
+from loomspan.llm.common import cache, claim, quiet_threads
 
 #: Words in which the library finds one piece each, whose last token ends the word.
 LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
@@ -25,7 +25,7 @@ WORDS_PER_TEXT = 256
 class WordTable:
     """Ids of words; beyond ``limit`` words, those that were met in one batch only are forgotten."""
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 500_000):
         quiet_threads()
         from tokenizers import Tokenizer
 
@@ -164,10 +164,12 @@ class WordTable:
 
 
 _TABLES: dict[tuple, WordTable] = {}
+cache("tokens", _TABLES.clear)
 
 
-def word_table(path: str, limit: int = 800_000) -> WordTable:
+def word_table(path: str, limit: int = 500_000) -> WordTable:
     """One table for each worker process, kept from task to task."""
+    claim("tokens")
     if (path, limit) not in _TABLES:
         _TABLES.clear()
         _TABLES[path, limit] = WordTable(path, limit)

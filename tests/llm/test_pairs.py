@@ -230,3 +230,13 @@ def test_size_bounds_lose_nothing():
         slow = max(2 * len(some & b) / (len(some) + n) for n, _, b in known.rows)
         got = known.best(some, 0.85)
         assert (got is None) == (slow < 0.85 - 1e-12) and (got is None or abs(got[0] - slow) < 1e-12)
+
+
+def test_written_tables_can_be_deleted(spark):
+    import os
+
+    df = common.written(spark.range(5).toDF("x"))
+    assert df.count() == 5
+    path = df.inputFiles()[0].removeprefix("file://")
+    common.forget_written(spark)
+    assert not os.path.exists(path)
