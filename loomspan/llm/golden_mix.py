@@ -3,8 +3,12 @@
 Slot j of the schedule has the point frac(j * golden ratio); mapped through the cumulative target shares it
 falls to a source, and its rank among the slots of that source names the block that fills it. A source's
 documents are put in an order shuffled by hash and laid on end; the source is this sequence cut into blocks of
-equal numbers of words, and rank r takes block r mod (number of blocks). A document's part in the mix is
-thus the words of it that lie in blocks, times how often each block is taken.
+equal numbers of words (to within one), and rank r takes block r mod (number of blocks). A document's part in the
+mix is thus the words of it that lie in blocks, times how often each block is taken.
+
+Blocks are sized by source, so that a source of any size has ``SLOTS_A_SOURCE`` slots or more: the schedule is off
+by a few slots, which is a small part of that. Where even blocks of one word are too few, several slots in a row
+stand for one block. A source's share of the slots is its target divided by the words that a slot of it brings.
 
 Nothing is ordered or ranked within a whole source: positions and ranks are sums over buckets plus a rank
 within the bucket, so a source with a third of all rows is spread over tasks like any other.
@@ -18,6 +22,8 @@ different amounts, the same in every run; a null source is a source; an empty ta
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +33,7 @@ WEIGHTS = (5, 2, 1)
 SLOTS = 1 << 17
 MOST_WORDS = 1 << 16  # in a block
 GOLDEN = 11400714819323198485  # 2**64 times the golden ratio's fraction
+SLOTS_A_SOURCE = 4096  # at least
 SLOTS_A_BUCKET = 4096
 ROWS_A_BUCKET = 4096
 
@@ -79,7 +86,8 @@ def schedule(plan: list[tuple[str | None, int, float]], spark, block: int, slots
 
 
 def block_counts(slots: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(source_no, block, times): how often each block is taken. ``blocks``: (source_no, n_blocks), a row a source.
+    """(source_no, block, times): how often each block is taken. ``blocks``: (source_no, n_blocks, per_block), a row a
+    source; so many slots in a row stand for one block.
 
     The rank of a slot among its source's slots is the count in earlier buckets plus its rank in its own.
     """
@@ -88,10 +96,21 @@ def block_counts(slots: DataFrame, blocks: DataFrame) -> DataFrame:
     per = per.select("source_no", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = Window.partitionBy("source_no", "bucket").orderBy("id")
     ranked = slots.withColumn("r", F.row_number().over(within) - 1).join(per, ["source_no", "bucket"])
-    named = ranked.join(F.broadcast(blocks), "source_no").select("source_no", F.expr("(first + r) % n_blocks").alias("block"))
+    ranked = ranked.join(F.broadcast(blocks), "source_no").where("(first + r) % per_block = per_block div 2")
+    named = ranked.select("source_no", F.expr("(first + r) div per_block % n_blocks").alias("block"))
     return named.groupBy("source_no", "block").agg(F.count("*").alias("times"))
 
 
+def blocks_of(n: int, target: float, block: int) -> tuple[int, int, float]:
+    """(blocks, slots for each, slots in all) of a source of ``n`` words, in blocks of at most ``block``."""
+    if not n or not target:
+        return 1, 1, 0.0
+    n_blocks = -(-n // max(1, min(block, int(target) // SLOTS_A_SOURCE)))
+    slots = target * n_blocks / n
+    per_block = max(1, int(SLOTS_A_SOURCE // slots))
+    return n_blocks, per_block, slots * per_block
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: float = 3.0, min_slots: int = SLOTS) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every row, and its key (_k1, _k2)."""
     spark = docs.sparkSession
@@ -101,18 +120,23 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     many = {r["source"]: r["rows"] for r in found}
     total = sum(n for _, n, _ in plan)
     block = max(1, min(total // min_slots, MOST_WORDS))
-    slots = -(-total // block)
-    facts = [(i, s, n, t, max(1, -(-n // block)), max(0, (many[s] // ROWS_A_BUCKET).bit_length())) for i, (s, n, t) in enumerate(plan)]
-    by_source = F.broadcast(spark.createDataFrame(facts, "source_no int, _s string, source_size long, target double, n_blocks long, _bits int"))
+    laid = [blocks_of(n, t, block) for _, n, t in plan]
+    slots = math.ceil(sum(x[2] for x in laid))
+    # the first n % n_blocks blocks of a source have one word more than the others
+    facts = [(i, s, n, t, x[0], x[1], n // x[0], n % x[0], max(0, (many[s] // ROWS_A_BUCKET).bit_length())) for i, ((s, n, t), x) in enumerate(zip(plan, laid))]
+    by_source = F.broadcast(spark.createDataFrame(facts, "source_no int, _s string, source_size long, target double, n_blocks long, per_block long, _short long, _longer long, _bits int"))
     placed = rows.join(by_source, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     # the shuffled order is that of _h; its leading bits, more of them for a source with more rows, are the bucket
     placed = placed.withColumn("_h", F.xxhash64("_k1", F.lit(3)))
     bucket = F.when(F.col("_bits") > 0, F.expr("shiftright(_h, 64 - greatest(_bits, 1))")).otherwise(F.lit(0))
     placed = running_total(placed, ["source_no"], ["_h", "_k1", "_k2"], "size", "_at", bucket)
-    times = block_counts(schedule(plan, spark, block, slots), by_source.select("source_no", "n_blocks"))
-    first, last = F.expr(f"_at div {block}"), F.expr(f"(_at + size - 1) div {block}")
-    pieces = placed.withColumn("_row", F.struct("_h", "_k1", "_k2", "_at")).where("size > 0").select("source_no", "_row", "_at", "size", F.explode(F.sequence(first, last)).alias("block"))
-    words = F.expr(f"least(_at + size, (block + 1) * {block}) - greatest(_at, block * {block})")
+    due = [(s, n, x[2]) for (s, n, _), x in zip(plan, laid)]
+    times = block_counts(schedule(due, spark, block, slots), by_source.select("source_no", "n_blocks", "per_block"))
+    holds = "if({0} < _longer * (_short + 1), {0} div (_short + 1), _longer + ({0} - _longer * (_short + 1)) div greatest(_short, 1))"
+    first, last = F.expr(holds.format("_at")), F.expr(holds.format("(_at + size - 1)"))
+    pieces = placed.withColumn("_row", F.struct("_h", "_k1", "_k2", "_at")).where("size > 0").select("source_no", "_row", "_at", "size", "_short", "_longer", F.explode(F.sequence(first, last)).alias("block"))
+    begins = "({0} * _short + least({0}, _longer))"
+    words = F.expr(f"least(_at + size, {begins.format('(block + 1)')}) - greatest(_at, {begins.format('block')})")
     # a source that may be taken `cap` times over is never taken more often, whatever the rounding of slots
     took = pieces.join(times, ["source_no", "block"]).groupBy("source_no", "_row").agg(F.sum(words * F.least("times", F.lit(int(cap)))).alias("taken"))
     out = placed.withColumn("_row", F.struct("_h", "_k1", "_k2", "_at")).join(took.withColumnRenamed("source_no", "_n"), "_row", "left")

@@ -77,3 +77,15 @@ def test_pipeline_is_its_stages(spark, docs, tmp_path):
             step = spark.read.parquet(f"{path}/{name}.parquet")
     assert sorted(map(str, corpus_pipeline.run(spark, path).collect())) == sorted(map(str, step.collect()))
     assert seen[0] <= docs.count() and seen[1] == seen[0] and seen[2] <= seen[1] and seen[4] == seen[3]
+
+
+def test_small_sources_meet_their_targets(spark):
+    rows = [(i, "w " * 1000, "z") for i in range(400)] + [(1000 + i, "w " * 20, "m") for i in range(3)] + [(2000, "a b c d e f g", "t")]
+    got = golden_mix.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_slots=50).collect()
+    took, target = defaultdict(int), {}
+    for r in got:
+        took[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert target["m"] == 180 and target["t"] == 21  # far below the words of a slot: 400067 / 50
+    for s, t in target.items():
+        assert abs(took[s] - t) <= max(1, 0.005 * t)
