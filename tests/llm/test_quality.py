@@ -98,6 +98,34 @@ def test_noise_falls_outside_the_bands(spark):
     assert not got[900] and sum(got.values()) > 190
 
 
+def test_small_languages_keep_their_documents(spark):
+    r = np.random.default_rng(4)
+    prose = lambda parts: " ".join("".join(r.choice(parts, r.integers(1, 4))) for _ in range(120))
+    rows = [(i, prose(["the", "in", "er", "an"]), "en") for i in range(200)] + [(500 + i, prose(list("abcdefghijklmnopqrstuvwxyz")), "xx") for i in range(10)]
+    got = kneser_ney.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(x["_q_kept"] for x in got if x["lang"] == "xx")
+
+
+def test_every_language_has_its_own_model(spark):
+    r = np.random.default_rng(6)
+    rows = [(20 * k + i, " ".join("".join(r.choice(list("abcdefghijklmnopqrstuvwxyz")[k : k + 4], 4)) for _ in range(60 + (k < 18))), f"l{k}") for k in range(20) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = kneser_ney.build_models(kneser_ney.count_grams(docs))
+    assert set(models) == {f"=l{k}" for k in range(20)}
+    assert sum(isinstance(m, str) for m in models.values()) == 20 - kneser_ney.MODEL_LANGUAGES
+    bits = {x["doc_id"]: x["_q_bits"] for x in kneser_ney.annotate(docs, models, ["doc_id"]).collect()}
+    for k in range(20):
+        mine = [(i, t) for i, t, x in rows if x == f"l{k}"]
+        codes, lens = kneser_ney.grams([t for _, t in mine])
+        own = kneser_ney.Model(*kneser_ney.fit(*np.unique(codes, return_counts=True)))
+        for (i, _), b in zip(mine, np.add.reduceat(own.log2(codes), np.cumsum(lens) - lens) / lens):
+            assert abs(bits[i] + b) < 1e-5
+    few = kneser_ney.Models(models, mb=0.1)  # no more than one at a time
+    written = [k for k, m in models.items() if isinstance(m, str)]
+    for k in written * 2:
+        assert len(few[k].keys) and len(few.read) == 1
+
+
 def test_classifier_learns_and_holds_out(spark, none):
     r = np.random.default_rng(5)
     words = ["".join(r.choice(list("abcdefgh"), 5)) for _ in range(300)]
