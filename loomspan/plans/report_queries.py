@@ -115,6 +115,14 @@ def arm_rotation(spark, d) -> DataFrame:
     return reports.rotated_arms(f, spark.createDataFrame([("A", 0), ("B", 1), ("C", 2)], "arm string, j int"), 3).select("frame", "arm", F.col("slot").cast("long").alias("slot"))
 
 
+@query("arm_rotation_clips", f"WITH {D}, f AS (SELECT clip, frame, row_number() OVER (PARTITION BY clip ORDER BY frame) - 1 AS i FROM (SELECT DISTINCT clip, frame FROM det)), a AS (SELECT * FROM (VALUES ('A', 0), ('B', 1), ('C', 2)) v(arm, j)) SELECT clip, frame, arm, (j - i % 3 + 3) % 3 AS slot FROM f, a")
+def arm_rotation_clips(spark, d) -> DataFrame:
+    from pyspark.sql import Window
+
+    f = views.det(spark, d).select("clip", "frame").distinct().withColumn("i", F.row_number().over(Window.partitionBy("clip").orderBy("frame")) - 1)
+    return reports.rotated_arms(f, spark.createDataFrame([("A", 0), ("B", 1), ("C", 2)], "arm string, j int"), 3).select("clip", "frame", "arm", F.col("slot").cast("long").alias("slot"))
+
+
 @query("blind_spell", f"WITH {views.BALL}, g AS (SELECT clip, lead(frame) OVER (PARTITION BY clip ORDER BY frame) - frame AS gap FROM ball) SELECT clip, max(gap) AS worst_gap FROM g GROUP BY clip")
 def blind_spell(spark, d) -> DataFrame:
     return reports.blind_spells(views.ball(spark, d), "clip")
