@@ -1,19 +1,23 @@
 """N-gram Jaccard join by chosen paths: sets are split again and again on sampled shared tokens.
 
 Each document is the set of its 5-word shingles (all its words as one, if it has fewer). Documents with equal
-sets become one class before anything is compared. A class carries ``TOKENS`` MinHash tokens, each of which two
-sets share with a chance equal to their Jaccard similarity. A run starts with all classes in one node; a node
+sets (128 bits of hash) become one class before anything is compared. A class carries ``TOKENS`` MinHash tokens, each
+of which two sets share with a chance equal to their Jaccard similarity. A run starts with all classes in one node; a node
 with more than ``SMALL`` classes is split on ``BRANCH`` of the tokens, sampled by a hash of its path: its
 children are the classes that share one of them. Small nodes are compared by brute force on the tokens. A large
-node that holds most classes of the node above it is dense, and splitting on would only copy it; its classes are
-taken as candidates of each other, as are those of nodes at the greatest depth. Runs are repeated until a link at the threshold is missed by all of them with a
-chance of at most ``1 - RECALL``; the chance that one run misses it is that of a branching process dying out
-(Chosen Path: Christiani and Pagh 2017; CPSJoin: Christiani, Pagh and Sivertsen 2018).
+node that holds most classes of the node above it consists of sets that are alike, and splitting on would only copy it: its
+classes become candidates of each other, as are those of nodes at the greatest depth, and are compared in full below
+(the brute-force step of CPSJoin for points that are similar to most of their node). Runs are repeated until a link at the
+threshold is missed by all of them, or by the brute force on tokens, with a chance of at most ``1 - RECALL``; given the
+number of tokens that a pair shares, runs are independent, and the chance that one run misses it is that of a branching
+process dying out (Chosen Path: Christiani and Pagh 2017; CPSJoin: Christiani, Pagh and Sivertsen 2018).
 
 Candidates are kept as links to the least class of a node, never as all pairs. Classes connected by them form
-a cluster; only clusters of two or more are given their full sets, and within a cluster all pairs are
-counted exactly, in blocks, so that a cluster of any size is spread over tasks. A link needs
-``|A & B| / |A | B| >= threshold`` there.
+a cluster; only clusters of two or more are given their full sets, and within a cluster all pairs are counted exactly:
+the sets of a cluster go to blocks of a bounded number of classes and shingles, each of which is written once to the shared
+folder (its distinct shingles and, for each class, places among these), and tasks read two blocks and compare them. A cluster
+of any size is thus spread over tasks and copies no sets. Blocks whose set sizes rule out the threshold don't meet. A link
+needs ``|A & B| / |A | B| >= threshold``.
 
 Edge cases: a null text and one without words have no links and stay; ties and repeated rows are members of one
 class; a long text is one set, whole; an empty table gives an empty result; further columns are ignored by
@@ -22,19 +26,23 @@ class; a long text is one set, whole; an empty table gives an empty result; furt
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import cache, carried, claim, cut, linked_groups, row_key, slices, small_batches, unpacked, written
+from loomspan.llm.common import cache, carried, claim, cut, dropped, folder_for, forget_written, linked_groups, mark, row_key, slices, small_batches, unpacked, written
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 TOKENS = 64
 SMALL, DEPTH, BRANCH = 256, 8, 2
 DENSE = 0.75  # share of a node's classes that hold the token of a child, from which on they aren't split further
-BLOCK = 512  # classes of a cluster that are compared with each other at once
+BLOCK = 512  # classes of a block
+SHINGLES = 1_000_000  # of a block (one class at least)
 DEVIATIONS = 4.0  # by which the similarity of the tokens may fall below the threshold
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -46,17 +54,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def missed(runs: int, threshold: float = THRESHOLD, branch: int = BRANCH, depth: int = DEPTH) -> float:
+    """The chance that a pair of that similarity is no candidate after so many runs: over the number of tokens that the
+    pair shares, either too few for the brute force, or no node with both in any run."""
+    total = 0.0
+    for k in range(TOKENS + 1):
+        chance = comb(TOKENS, k) * threshold**k * (1 - threshold) ** (TOKENS - k)
+        if k < least_tokens(threshold):
+            total += chance
+            continue
+        miss = 0.0
+        for _ in range(depth):  # a node takes different tokens, of which the pair shares j
+            miss = sum(comb(k, j) * comb(TOKENS - k, branch - j) / comb(TOKENS, branch) * miss**j for j in range(branch + 1))
+        total += chance * miss**runs
+    return total
+
+
 def runs_needed(threshold: float = THRESHOLD, recall: float = RECALL, branch: int = BRANCH, depth: int = DEPTH) -> int:
-    """Runs after which a pair of that similarity has met in some node with at least that chance."""
-    miss = 0.0
-    for _ in range(depth):
-        miss = (1 - threshold + threshold * miss) ** branch
-    runs, left = 1, miss
-    while 1 - left < recall:
-        runs, left = runs + 1, left * miss
+    """Runs after which a pair of that similarity is a candidate with at least that chance."""
+    runs = 1
+    while missed(runs, threshold, branch, depth) > 1 - recall:
+        runs += 1
     return runs
 
 
+def least_tokens(threshold: float) -> int:
+    """Tokens that candidates of a small node share."""
+    return int(np.ceil(TOKENS * (threshold - DEVIATIONS * (threshold * (1 - threshold) / TOKENS) ** 0.5)))
+
+
 _WORDS: dict[bytes, int] = {}
 cache("shingles", _WORDS.clear)
 
@@ -138,7 +164,7 @@ def _children(path: np.ndarray, tokens: np.ndarray, branch: int) -> np.ndarray:
 
 
 def _split(rows: DataFrame, runs: int, branch: int) -> DataFrame:
-    """(path, f1, above) of children, from rows of (path, f1, tokens, s); a null path is the root of every run;
+    """(path, c, above) of children, from rows of (path, c, tokens, s); a null path is the root of every run;
     ``above`` is the size s of the node that was split."""
 
     def run(batches: Iterator) -> Iterator:
@@ -147,17 +173,17 @@ def _split(rows: DataFrame, runs: int, branch: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            f1 = batch.column(1).to_numpy()
+            c = batch.column(1).to_numpy()
             tokens = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, TOKENS)
             if batch.column(0).null_count:
-                starts = [np.full(len(f1), mix(np.array([r + 1], np.uint64) * P2)[0]) for r in range(runs)]
+                starts = [np.full(len(c), mix(np.array([r + 1], np.uint64) * P2)[0]) for r in range(runs)]
             else:
                 starts = [batch.column(0).to_numpy().view(np.uint64)]
             paths = np.concatenate([_children(p, tokens, branch) for p in starts])
-            above = batch.column(3).take(pa.array(np.repeat(np.tile(np.arange(len(f1)), len(starts)), branch)))
-            yield pa.record_batch([pa.array(paths.ravel().view(np.int64)), pa.array(np.repeat(np.tile(f1, len(starts)), branch)), above], names=["path", "f1", "above"])
+            above = batch.column(3).take(pa.array(np.repeat(np.tile(np.arange(len(c)), len(starts)), branch)))
+            yield pa.record_batch([pa.array(paths.ravel().view(np.int64)), pa.array(np.repeat(np.tile(c, len(starts)), branch)), above], names=["path", "c", "above"])
 
-    return rows.mapInArrow(run, "path long, f1 long, above long")
+    return rows.mapInArrow(run, "path long, c long, above long")
 
 
 def _groups(batches: Iterator, keys: int) -> Iterator:
@@ -201,13 +227,14 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _similar(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b) links of classes to the least class of what they are connected to within a small node, from rows of
-    (path, f1, n, tokens) that stand by path."""
+    (path, c, n, tokens) that stand by path."""
+    least = least_tokens(threshold)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for t in _groups(batches, 1):
-            path, f1, n = (t.column(k).to_numpy() for k in range(3))
+            path, c, n = (t.column(k).to_numpy() for k in range(3))
             tokens = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint32).reshape(-1, TOKENS)
             left, right = [], []
             for d in range(1, len(path)):
@@ -218,8 +245,8 @@ def _similar(rows: DataFrame, threshold: float) -> DataFrame:
                 i = i[small >= threshold * large]
                 for at in range(0, len(i), 50_000):
                     k = i[at : at + 50_000]
-                    same = (tokens[k] == tokens[k + d]).mean(1)
-                    k = k[same >= threshold - DEVIATIONS * (threshold * (1 - threshold) / TOKENS) ** 0.5]
+                    same = (tokens[k] == tokens[k + d]).sum(1)
+                    k = k[same >= least]
                     left.append(k)
                     right.append(k + d)
             if not left:
@@ -227,126 +254,260 @@ def _similar(rows: DataFrame, threshold: float) -> DataFrame:
             a, b = np.concatenate(left), np.concatenate(right)
             root = _roots(len(path), a, b)
             at = np.flatnonzero(root != np.arange(len(path)))
-            yield pa.record_batch([pa.array(f1[at]), pa.array(f1[root[at]])], names=["a", "b"])
+            yield pa.record_batch([pa.array(c[at]), pa.array(c[root[at]])], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
 def candidates(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, small: int = SMALL, depth: int = DEPTH, branch: int = BRANCH) -> DataFrame:
-    """(a, b) links between classes (f1, n, tokens) that may be similar."""
-    small_batches(classes.sparkSession, 4096)
+    """(a, b) links between classes (c, n, tokens) that may be similar."""
+    small_batches(classes.sparkSession)
     runs = runs_needed(threshold, recall, branch, depth)
-    rows = _split(classes.select(F.lit(None).cast("long").alias("path"), "f1", "tokens", F.lit(None).cast("long").alias("s")), runs, branch)
+    rows = _split(classes.select(F.lit(None).cast("long").alias("path"), "c", "tokens", F.lit(None).cast("long").alias("s")), runs, branch)
     leaves = stars = None
     for level in range(1, depth + 1):
         rows = cut(rows)
-        sizes = rows.groupBy("path").agg(F.count("*").alias("s"), F.min("f1").alias("least"), F.max("above").alias("above")).where("s > 1")
+        sizes = rows.groupBy("path").agg(F.count("*").alias("s"), F.min("c").alias("least"), F.max("above").alias("above")).where("s > 1")
         nodes = cut(rows.drop("above").join(sizes, "path"))
-        leaf = nodes.where(F.col("s") <= small).select("path", "f1")
+        dropped(rows)
+        leaf = nodes.where(F.col("s") <= small).select("path", "c")
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
         big = nodes.where(F.col("s") > small)
         done = F.lit(True) if level == depth else F.coalesce(F.col("s") >= DENSE * F.col("above"), F.lit(False))
-        star = big.where(done & (F.col("f1") != F.col("least"))).select(F.col("f1").alias("a"), F.col("least").alias("b"))
+        star = big.where(done & (F.col("c") != F.col("least"))).select(F.col("c").alias("a"), F.col("least").alias("b"))
         stars = star if stars is None else stars.unionByName(star)
         big = big.where(~done)
         if level == depth or big.isEmpty():
             break
-        rows = _split(big.join(classes.select("f1", "tokens"), "f1").select("path", "f1", "tokens", "s"), 1, branch)
-    small_nodes = leaves.join(classes.select("f1", "n", "tokens"), "f1").select("path", "f1", "n", "tokens")
-    return _similar(small_nodes.repartition("path").sortWithinPartitions("path", "f1"), threshold).unionByName(stars)
+        rows = _split(big.join(classes.select("c", "tokens"), "c").select("path", "c", "tokens", "s"), 1, branch)
+    small_nodes = leaves.join(classes.select("c", "n", "tokens"), "c").select("path", "c", "n", "tokens")
+    return _similar(small_nodes.repartition("path").sortWithinPartitions("path", "c"), threshold).unionByName(stars)
+
+
+class Block:
+    """Sets of a cluster in the order of their sizes: class, rows of the class, size, and the sets as places among the
+    block's distinct shingles."""
+
+    def __init__(self, c: np.ndarray, m: np.ndarray, size: np.ndarray, names: np.ndarray, at: np.ndarray):
+        self.c, self.m, self.size, self.names, self.at = c, m, size, names, at
+        self.owner = np.repeat(np.arange(len(c)), size)
+
+    @classmethod
+    def of(cls, c: list[int], m: list[int], sets: list[np.ndarray]) -> Block:
+        names, at = np.unique(np.concatenate(sets), return_inverse=True)
+        return cls(np.array(c), np.array(m), np.array([len(x) for x in sets]), names, at.astype(np.int32))
+
+    def write(self, folder: str) -> str:
+        """The address of a new file, so that a repeated task does no harm."""
+        from pyarrow import fs
 
+        raw = io.BytesIO()
+        # places ascend within a set, so near copies have differences of 1 for the most part
+        np.savez(raw, c=self.c, m=self.m, size=self.size, names=self.names, at=np.diff(self.at, prepend=np.int32(0)))
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        name = f"{uuid.uuid4().hex}.block"
+        with store.open_output_stream(f"{base}/{name}", compression="zstd") as out:
+            out.write(raw.getvalue())
+        return f"{folder}/{name}"
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    @classmethod
+    def read(cls, path: str) -> Block:
+        from pyarrow import fs
+
+        store, name = fs.FileSystem.from_uri(path)
+        with store.open_input_stream(name, compression="zstd") as f:
+            z = np.load(io.BytesIO(f.read()))
+        return cls(z["c"], z["m"], z["size"], z["names"], np.cumsum(z["at"], dtype=np.int32))
+
+
+def overlaps(a: Block, b: Block) -> np.ndarray:
     """Matrix of the sizes of all intersections."""
-    s = len(sets)
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(s), [len(x) for x in sets])
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    first = np.concatenate([[True], flat[1:] != flat[:-1]])
-    column = np.cumsum(first) - 1
-    shared = np.bincount(column) > 1
-    keep = shared[column]
-    owner, column = owner[keep], (np.cumsum(shared) - 1)[column[keep]]
-    out = np.zeros((s, s), np.float32)
-    width = max(256, 4_000_000 // max(s, 1))
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        lo, hi = np.searchsorted(column, [at, at + width])
-        m = np.zeros((s, width), np.float32)
-        m[owner[lo:hi], column[lo:hi] - at] = 1
-        out += m @ m.T
+    if a is b:  # a shingle of one class alone joins nothing
+        ia = ib = np.flatnonzero(np.bincount(a.at) > 1)
+    else:
+        _, ia, ib = np.intersect1d(a.names, b.names, assume_unique=True, return_indices=True)
+    sides = []
+    for x, i in ((a, ia), (b, ib)):
+        column = np.full(len(x.names), -1, np.int32)
+        column[i] = np.arange(len(i), dtype=np.int32)
+        column = column[x.at]
+        keep = np.flatnonzero(column >= 0)
+        keep = keep[np.argsort(column[keep], kind="stable")]
+        sides.append((x.owner[keep], column[keep]))
+    out = np.zeros((len(a.c), len(b.c)))
+    width = 2048
+    for first in range(0, len(ia), width):
+        parts = []
+        for (owner, column), x in zip(sides, (a, b)):
+            lo, hi = np.searchsorted(column, [first, first + width])
+            m = np.zeros((len(x.c), min(width, len(ia) - first)), np.float32)
+            m[owner[lo:hi], column[lo:hi] - first] = 1
+            parts.append(m)
+            if a is b:
+                parts *= 2
+                break
+        out += parts[0] @ parts[1].T
     return out
 
 
-def verified(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(f1, links, root): of rows (cluster, i, j, side, f1, m, values) that stand by cluster and pair of blocks i <= j,
-    the rows of a class that it links to there, and the least class that it is connected to."""
+def compared(a: Block, b: Block, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, rows that it links to in the other block, least class that it is connected to) of two blocks, or of one with
+    itself; classes without a link are left out."""
+    common = overlaps(a, b)
+    near = common >= threshold * (a.size[:, None] + b.size[None, :] - common) - 1e-6
+    if a is b:
+        np.fill_diagonal(near, False)
+        c, links = a.c, near @ a.m
+    else:
+        c, links = np.concatenate([a.c, b.c]), np.concatenate([near @ b.m, a.m @ near])
+    order = np.argsort(c, kind="stable")
+    rank = np.empty(len(c), np.int64)
+    rank[order] = np.arange(len(c))
+    left, right = (rank, rank) if a is b else (rank[: len(a.c)], rank[len(a.c) :])
+    root, none = np.arange(len(c)), len(c)
+    while True:
+        new = root.copy()
+        new[left] = np.minimum(new[left], np.where(near, root[right][None, :], none).min(1, initial=none))
+        new[right] = np.minimum(new[right], np.where(near, root[left][:, None], none).min(0, initial=none))
+        new = new[new]
+        if np.array_equal(new, root):
+            break
+        root = new
+    at = np.flatnonzero(links)
+    return c[at], links[at].astype(np.int64), c[order][root[rank[at]]]
+
+
+class Sums:
+    """Links of classes, added up before they leave a task."""
+
+    def __init__(self, most: int = 300_000):
+        self.most, self.held, self.n = most, [], 0
+
+    def add(self, part: tuple) -> Iterator:
+        self.held.append(part)
+        self.n += len(part[0])
+        if self.n > self.most:
+            yield from self.rows()
+
+    def rows(self) -> Iterator:
+        import pyarrow as pa
+
+        if self.n:
+            c, links, root = map(np.concatenate, zip(*self.held))
+            pairs, where = np.unique(np.stack([c, root]), axis=1, return_inverse=True)
+            n = len(pairs[0])
+            none = pa.nulls(n, pa.int64())
+            links = np.bincount(where.ravel(), links, n).astype(np.int64)
+            yield pa.record_batch([pa.array(pairs[0]), pa.array(links), pa.array(pairs[1]), none, pa.nulls(n, pa.string()), none, none], names=NAMES)
+        self.held, self.n = [], 0
+
+
+NAMES = ["c", "links", "root", "cluster", "path", "low", "high"]
+SCHEMA = "c long, links long, root long, cluster long, path string, low long, high long"
+
+
+def within(members: DataFrame, folder: str, threshold: float, words: int) -> DataFrame:
+    """From rows (cluster, part, n, c, m, nb, text) that stand by cluster, part, n and c: links within blocks, and for
+    clusters of several blocks a row for each that was written to ``folder``: cluster, path, least and greatest size."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for t in _groups(batches, 3):
-            cluster, i, j, side, f1, m = (t.column(k).to_numpy() for k in range(6))
-            values = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column(6)]
-            stops = np.flatnonzero(np.append((cluster[1:] != cluster[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True)) + 1
-            links, root, begin = np.zeros(len(f1), np.int64), f1.copy(), 0
-            for stop in stops.tolist():
-                part = slice(begin, stop)
-                size = np.array([len(x) for x in values[part]])
-                common = overlaps(values[part])
-                near = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-6
-                np.fill_diagonal(near, False)
-                if i[begin] != j[begin]:
-                    near &= side[part][:, None] != side[part][None, :]
-                links[part] = near @ m[part]
-                a, b = np.nonzero(np.triu(near))
-                order = np.argsort(f1[part], kind="stable")
-                place = np.empty(len(order), np.int64)
-                place[order] = np.arange(len(order))
-                root[part] = f1[part][order][_roots(len(order), place[a], place[b])[place]]
-                begin = stop
-            yield pa.record_batch([pa.array(f1), pa.array(links), pa.array(root)], names=["f1", "links", "root"])
-
-    return members.mapInArrow(run, "f1 long, links long, root long")
+        sums = Sums()
+        held, key, last = [], None, None  # (c, m, set) of the block so far, what it belongs to, and the class met last
+
+        def flush() -> Iterator:
+            block = Block.of(*map(list, zip(*held)))
+            if len(held) > 1:
+                yield from sums.add(compared(block, block, threshold))
+            if key[2] > 1:
+                path = block.write(folder)
+                none = pa.nulls(1, pa.int64())
+                yield pa.record_batch([none, none, none, pa.array([key[0]]), pa.array([path]), pa.array([int(block.size.min())]), pa.array([int(block.size.max())])], names=NAMES)
+
+        for whole in batches:
+            for batch in slices(whole, 4.0):
+                sets = shingle_sets(batch.column(6).to_pylist(), words)
+                cluster, part, _, c, m, nb = (batch.column(k).to_pylist() for k in range(6))
+                for k, values in enumerate(sets):
+                    if c[k] == last:  # a repeated row
+                        continue
+                    now, last = (cluster[k], part[k], nb[k]), c[k]
+                    if held and (now != key or (nb[k] > 1 and (len(held) >= BLOCK or sum_ + len(values) > SHINGLES))):
+                        yield from flush()
+                        held = []
+                    if not held:
+                        key, sum_ = now, 0
+                    held.append((c[k], m[k], values))
+                    sum_ += len(values)
+        if held:
+            yield from flush()
+        yield from sums.rows()
+
+    return members.mapInArrow(run, SCHEMA)
+
+
+def between(blocks: DataFrame, threshold: float) -> DataFrame:
+    """Links between the blocks (cluster, path, low, high) of each cluster, from all pairs of blocks that may have some."""
+    spark = blocks.sparkSession
+    # a cluster of many blocks: the pairs of one block are made by several tasks
+    salts = blocks.groupBy("cluster").agg(F.expr("int(ceil(count(*) / 64))").alias("salts"))
+    both = blocks.join(salts, "cluster")
+    left = both.select("cluster", "path", "low", "high", F.expr("int(pmod(xxhash64(path), salts))").alias("salt"))
+    right = both.select("cluster", F.col("path").alias("other"), F.col("low").alias("low_"), F.col("high").alias("high_"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
+    pairs = left.join(right, ["cluster", "salt"]).where("path < other").where((F.col("high") >= F.col("low_") * threshold - 1) & (F.col("high_") >= F.col("low") * threshold - 1))
+    # a number of partitions is given as these rows are few and short, though the blocks aren't
+    pairs = pairs.select("path", "other").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "other").sortWithinPartitions("path")
+
+    def run(batches: Iterator) -> Iterator:
+        sums, left = Sums(), (None, None)
+        for batch in batches:
+            for path, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if left[0] != path:
+                    left = path, Block.read(path)
+                yield from sums.add(compared(left[1], Block.read(other), threshold))
+        yield from sums.rows()
+
+    return pairs.mapInArrow(run, SCHEMA)
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, _k1, _k2, class_id, n_links, kept of every row: class_id is the least doc_id of the documents
     connected by links, n_links counts the other documents linked directly, kept marks the first of a class."""
+    spark = docs.sparkSession
     rows = written(described(docs, doc_id, text, words))
     me = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_k1", "_k2")
-    classes = written(rows.where("n > 0").groupBy("f1").agg(F.min(me).alias("rep"), F.count("*").alias("m"), F.first("n").alias("n"), F.first("tokens").alias("tokens")))
+    classes = rows.where("n > 0").groupBy("f1", "f2").agg(F.min(me).alias("rep"), F.count("*").alias("m"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    classes = written(classes.withColumn("c", F.monotonically_increasing_id()))  # unique, and fixed once written
+    since = mark()
     clusters = cut(linked_groups(candidates(classes, threshold)))
+    forget_written(spark, since, (clusters,))
 
     # full sets for the classes in clusters, from the text of the class's first document
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("g"))
-    placed = clusters.join(sizes, "component").join(classes.select(F.col("f1").alias("node"), "rep", "m"), "node")
-    placed = placed.select(F.col("component").alias("cluster"), F.col("node").alias("f1"), "m", F.col("rep._k1").alias("_k1"), F.col("rep._k2").alias("_k2"), F.expr(f"int(ceil(g / {BLOCK}))").alias("nb"))
+    placed = clusters.select(F.col("component").alias("cluster"), F.col("node").alias("c")).join(classes.select("c", "rep", "m", "n"), "c")
+    sizes = placed.groupBy("cluster").agg(F.expr(f"int(ceil(greatest(count(*) / {BLOCK}, sum(n) / {SHINGLES})))").alias("nb"))
+    placed = placed.join(sizes, "cluster").select("cluster", F.expr("int(pmod(xxhash64(c), ceil(nb / 8)))").alias("part"), "n", "c", "m", "nb", F.col("rep._k1").alias("_k1"), F.col("rep._k2").alias("_k2"))
+    placed = cut(placed)
     keyed = docs.select(F.col(text).cast("string").alias("text"), *row_key(doc_id, text))
-    needed = keyed.join(placed, ["_k1", "_k2"]).select("cluster", "f1", "m", "nb", "text")
-
-    def with_sets(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for whole in batches:
-            for batch in slices(whole, 8.0):
-                sets = shingle_sets(batch.column(4).to_pylist(), words)
-                yield pa.record_batch([*batch.columns[:4], pa.array([x.tobytes() for x in sets], pa.binary())], names=["cluster", "f1", "m", "nb", "values"])
-
-    sets = needed.mapInArrow(with_sets, "cluster long, f1 long, m long, nb int, values binary")
-    sets = sets.dropDuplicates(["f1"]).withColumn("b", F.expr("int(pmod(xxhash64(f1), nb))"))
-    spread = sets.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)")))
-    members = spread.select("cluster", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "f1", "m", "values")
-    members = members.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "f1")
-    small_batches(docs.sparkSession, 512)
-    checked = cut(verified(members, threshold))
-
-    groups = cut(linked_groups(checked.select(F.col("f1").alias("a"), F.col("root").alias("b"))))
-    linked = checked.groupBy("f1").agg(F.sum("links").alias("links")).join(groups.withColumnRenamed("node", "f1"), "f1", "left")
-    facts = classes.select("f1", "rep", "m").join(linked, "f1", "left").withColumn("component", F.coalesce("component", "f1"))
+    members = keyed.join(placed, ["_k1", "_k2"]).select("cluster", "part", "n", "c", "m", "nb", "text")
+    members = members.repartition("cluster", "part").sortWithinPartitions("cluster", "part", "n", "c")
+    folder = folder_for(spark, "blocks")
+    own = written(within(members, folder, threshold, words))
+    blocks = own.where("path is not null").select("cluster", "path", "low", "high")
+    links = own.where("path is null")
+    if not blocks.isEmpty():
+        links = links.unionByName(written(between(blocks, threshold)))
+
+    since = mark()
+    groups = cut(linked_groups(links.select(F.col("c").alias("a"), F.col("root").alias("b"))))
+    forget_written(spark, since, (groups,))
+    linked = links.groupBy("c").agg(F.sum("links").alias("links")).join(groups.withColumnRenamed("node", "c"), "c", "left")
+    facts = classes.select("f1", "f2", "c", "rep", "m").join(linked, "c", "left").withColumn("component", F.coalesce("component", "c"))
     first = facts.groupBy("component").agg(F.min("rep").alias("first"))
-    facts = facts.join(first, "component").select("f1", "first", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
-    out = rows.drop("tokens").join(facts, "f1", "left")
+    facts = cut(facts.join(first, "component").select("f1", "f2", "first", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links")))
+    dropped(clusters, placed, own, folder, groups, classes)
+    out = rows.drop("tokens").join(facts, ["f1", "f2"], "left")
     alone = F.col("first").isNull()
     return out.select("doc_id", "_k1", "_k2", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (alone | ((F.col("first._k1") == F.col("_k1")) & (F.col("first._k2") == F.col("_k2")))).alias("kept"))
 

@@ -1,4 +1,4 @@
-"""Helpers that the operators share: shared-folder checkpoints, row keys, Arrow maps, linked groups."""
+"""Helpers that the operators share: tables in the shared folder, row keys, Arrow maps, linked groups."""
 
 from __future__ import annotations
 
@@ -15,42 +15,85 @@ from pyspark.sql import functions as F
 
 from loomspan.session import ship
 
+BATCH_BYTES = 16 << 20  # of an Arrow batch that goes to a Python worker
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session. Only where that is
-    unset, as in tests on one machine, a temporary folder takes its place."""
+    unset and all runs on one machine (local mode, as in tests), a temporary folder takes its place."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="loomspan-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read on from there: no recomputation, no lost lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Like :func:`cut`, as compressed Parquet, for rows that are large."""
+def written(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and read on from there: no recomputation, no lost lineage. With
+    ``keep`` only :func:`deleted` deletes it."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if not keep:
+        _WRITTEN.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._loomspan_path = path
+    return out
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage; the same as :func:`written`, for rows that are small."""
+    return written(df)
 
 
 _WRITTEN: list[str] = []
 
 
-def forget_written(spark: SparkSession) -> None:
-    """Delete the tables that this process wrote to the shared folder, when nothing reads them any more."""
+def folder_for(spark: SparkSession, what: str) -> str:
+    """The name of a new folder in the shared one, which goes with the written tables."""
+    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, name: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
+    path = jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(conf).delete(path, True)
+
+
+def dropped(*tables: DataFrame | str) -> None:
+    """Delete tables of :func:`written` or folders of :func:`folder_for` that nothing reads any more."""
+    spark = SparkSession.active()
+    for one in tables:
+        path = one if isinstance(one, str) else one.__dict__.get("_loomspan_path")
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+            _delete(spark, path)
+
+
+def deleted(spark: SparkSession, df: DataFrame) -> None:
+    """Delete a table of :func:`written`, kept or not."""
+    path = df.__dict__["_loomspan_path"]
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+    _delete(spark, path)
+
+
+def mark() -> int:
+    """A point in time for :func:`forget_written`."""
+    return len(_WRITTEN)
+
+
+def forget_written(spark: SparkSession, since: int = 0, but: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the tables that this process wrote to the shared folder after :func:`mark` gave ``since``, when
+    nothing reads them any more, except those in ``but``."""
+    keep = {x.__dict__.get("_loomspan_path") for x in but}
+    for path in _WRITTEN[since:]:
+        if path not in keep:
+            _WRITTEN.remove(path)
+            _delete(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,10 +116,15 @@ def unpacked(columns: list[str], changed: dict | None = None) -> list:
     return [(changed or {}).get(c, F.col("_row")[c]).alias(c) for c in columns]
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Rows per Arrow batch: long texts must not fill a worker's memory. Also ships the package."""
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the Arrow batches that go to Python workers, so that long texts don't fill a worker's
+    memory, whatever the number of rows. The bound is the same for every operator and is set where the session has none that
+    is lower. Also ships the package."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = spark.conf.get(name, None)
+    if not have or not have.isdigit() or int(have) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 _CACHES: dict[str, list] = {}
@@ -108,26 +156,35 @@ def quiet_threads() -> None:
 
 
 def slices(batch, mb: float = 8.0, column: str = "text") -> Iterator:
-    """Parts of an Arrow batch with about ``mb`` MB of ``column`` each (one row at least)."""
-    if batch.num_rows == 0:
+    """Parts of an Arrow batch with at most ``mb`` MB of ``column`` each (one row at least)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    n = batch.num_rows
+    if not n:
+        return
+    data = batch.column(batch.schema.get_field_index(column))
+    if data.nbytes <= mb * 1e6:
+        yield batch
         return
-    per_row = max(1, batch.column(batch.schema.get_field_index(column)).nbytes // batch.num_rows)
-    step = max(1, int(mb * 1e6 / per_row))
-    for at in range(0, batch.num_rows, step):
-        yield batch.slice(at, step)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(data), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < n:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + mb * 1e6, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
-def linked_groups(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def linked_groups(edges: DataFrame) -> DataFrame:
     """(node, component) for undirected ``edges`` (a, b), the component being its smallest node.
 
-    Alternating large-star and small-star rounds (Kiveris et al. 2014), each round written to the shared
-    folder; the number of rounds grows with the logarithm of the longest chain. Minima are taken by
-    pre-aggregated groupBy, so a node with very many links needs no task of its own.
+    Alternating large-star and small-star rounds (Kiveris et al. 2014) until a round changes nothing; each round is
+    written to the shared folder and the one before it deleted. The number of rounds grows with the logarithm of the longest
+    chain. Minima are taken by pre-aggregated groupBy, so a node with very many links needs no task of its own.
     """
-    spark = edges.sparkSession
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None
-    for _ in range(max_rounds):
+    while True:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last or not state[0]:
             break
@@ -135,11 +192,12 @@ def linked_groups(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b")
+        large = cut(large.where("a <> b").distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        e = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        before, e = e, cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        dropped(before, large)
     roots = e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     return roots.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 

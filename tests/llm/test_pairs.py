@@ -30,6 +30,22 @@ def test_linked_groups(spark):
     assert common.linked_groups(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_linked_groups_run_to_the_end(spark):
+    """A chain of stars that takes many rounds: they go on until nothing changes."""
+    links = [(1000 - k, 999 - k) for k in range(500)] + [(1000 - k, 5000 + 10 * k + j) for k in range(0, 500, 50) for j in range(10)]
+    got = {x["component"] for x in common.linked_groups(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {500}
+
+
+def test_long_texts_are_sliced_by_bytes():
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array(["x" * 3_000_000, None, "y", "z" * 900_000, "w" * 900_000])], names=["text"])
+    parts = list(common.slices(batch, 1.0))
+    assert [p.num_rows for p in parts] == [1, 3, 1] and pa.Table.from_batches(parts).column(0).to_pylist() == batch.column(0).to_pylist()
+    assert list(common.slices(batch.slice(0, 0))) == []
+
+
 def test_running_total(spark):
     rows = [(g, i, i * 3 % 7) for g in ("a", None) for i in range(50)]
     df = spark.createDataFrame(rows, "g string, i int, v long")
@@ -81,7 +97,7 @@ def test_large_nodes_and_clusters_are_split(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     sets = {i: shingles(t) for i, t in rows}
     near = {i: sum(j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in sets) for i in sets}
-    classes = chosen_path.described(df).select("f1", "n", "tokens")
+    classes = chosen_path.described(df).select(F.col("f1").alias("c"), "n", "tokens")
     # small nodes of two: the recursion has to split, or to take dense nodes as they are
     links = chosen_path.candidates(classes, small=2, depth=4)
     grouped = common.linked_groups(links)
@@ -90,18 +106,56 @@ def test_large_nodes_and_clusters_are_split(spark, monkeypatch):
 
 
 def test_runs_meet_the_recall():
-    runs = chosen_path.runs_needed()
+    """Pairs whose tokens agree by chance, led down the same nodes as ``_children`` samples them."""
+    runs, depth, branch = chosen_path.runs_needed(), chosen_path.DEPTH, chosen_path.BRANCH
     r = np.random.default_rng(8)
-    miss = 0
-    for _ in range(3000):
+    miss, pairs = 0, 20_000
+    same = r.random((pairs, chosen_path.TOKENS)) < 0.8
+    for s in same:
         met = False
-        for _ in range(runs):
+        for _ in range(runs if s.sum() >= chosen_path.least_tokens(0.8) else 0):
             alive = 1
-            for _ in range(chosen_path.DEPTH):
-                alive = min(64, int(r.binomial(alive * chosen_path.BRANCH, 0.8)))
-            met |= alive > 0
+            for _ in range(depth):
+                # so few nodes suffice: once many are alive, a pair doesn't die out
+                alive = sum(int(s[r.choice(chosen_path.TOKENS, branch, replace=False)].sum()) for _ in range(min(alive, 8)))
+            met = met or alive > 0
+            if met:
+                break
         miss += not met
-    assert miss / 3000 <= 1 - chosen_path.RECALL + 0.003
+    assert miss / pairs <= 1 - chosen_path.RECALL + 3 * ((1 - chosen_path.RECALL) / pairs) ** 0.5
+    assert abs(chosen_path.missed(1, depth=1) - 0.2**2) < 0.003
+
+
+def test_sets_that_share_half_a_hash_stay_apart(spark, monkeypatch):
+    """Classes are told apart by 128 bits: equal first halves must not join different sets."""
+    rows = [(i, " ".join(f"{i}w{k}" for k in range(30))) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    real = chosen_path.described
+    monkeypatch.setattr(chosen_path, "described", lambda *a, **k: real(*a, **k).withColumn("f1", F.lit(5).cast("long")))
+    got = chosen_path.join(df).collect()
+    assert len(got) == 6 and all(r["n_links"] == 0 and r["kept"] for r in got)
+
+
+def test_blocks_of_many_sizes(spark, monkeypatch):
+    """Clusters of several blocks, with sets from a few to many shingles and repeated rows."""
+    monkeypatch.setattr(chosen_path, "SHINGLES", 300)
+    r = np.random.default_rng(16)
+    rows = []
+    for i in range(50):
+        n = int(80 * 1.04**i)
+        rows.append((i, " ".join(f"w{k}" for k in range(n))))
+    rows += [(200, rows[3][1]), (200, rows[3][1]), (None, rows[20][1])]
+    df = spark.createDataFrame([rows[k] for k in r.permutation(len(rows))], "doc_id long, text string")
+    sets = [shingles(t) for _, t in rows]
+    near = defaultdict(int)
+    for i in range(len(rows)):
+        near[rows[i]] += sum(j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in range(len(rows)))
+    got = chosen_path.join(df).collect()
+    total = defaultdict(int)
+    for x in got:
+        total[x["doc_id"]] += x["n_links"]
+    assert total == {d: sum(v for (e, _), v in near.items() if e == d) for d, _ in rows}
+    assert {x["class_id"] for x in got} == {0}
 
 
 def vectors(spark):
@@ -238,5 +292,10 @@ def test_written_tables_can_be_deleted(spark):
     df = common.written(spark.range(5).toDF("x"))
     assert df.count() == 5
     path = df.inputFiles()[0].removeprefix("file://")
+    since = common.mark()
+    other, kept = common.written(spark.range(6).toDF("x")), common.written(spark.range(7).toDF("x"), keep=True)
+    common.forget_written(spark, since, (other,))
+    assert os.path.exists(path) and other.count() == 6
     common.forget_written(spark)
-    assert not os.path.exists(path)
+    assert not os.path.exists(path) and kept.count() == 7
+    common.deleted(spark, kept)

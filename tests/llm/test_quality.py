@@ -110,13 +110,14 @@ def test_every_language_has_its_own_model(spark):
     r = np.random.default_rng(6)
     rows = [(20 * k + i, " ".join("".join(r.choice(list("abcdefghijklmnopqrstuvwxyz")[k : k + 4], 4)) for _ in range(60 + (k < 18))), f"l{k}") for k in range(20) for i in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    models = kneser_ney.build_models(kneser_ney.count_grams(docs))
+    letters = kneser_ney.alphabets(docs)
+    models = kneser_ney.build_models(kneser_ney.count_grams(docs, letters))
     assert set(models) == {f"=l{k}" for k in range(20)}
     assert sum(isinstance(m, str) for m in models.values()) == 20 - kneser_ney.MODEL_LANGUAGES
-    bits = {x["doc_id"]: x["_q_bits"] for x in kneser_ney.annotate(docs, models, ["doc_id"]).collect()}
+    bits = {x["doc_id"]: x["_q_bits"] for x in kneser_ney.annotate(docs, letters, models, ["doc_id"]).collect()}
     for k in range(20):
         mine = [(i, t) for i, t, x in rows if x == f"l{k}"]
-        codes, lens = kneser_ney.grams([t for _, t in mine])
+        codes, lens = kneser_ney.grams([t for _, t in mine], kneser_ney.classes(letters[f"l{k}"]))
         own = kneser_ney.Model(*kneser_ney.fit(*np.unique(codes, return_counts=True)))
         for (i, _), b in zip(mine, np.add.reduceat(own.log2(codes), np.cumsum(lens) - lens) / lens):
             assert abs(bits[i] + b) < 1e-5
@@ -126,6 +127,47 @@ def test_every_language_has_its_own_model(spark):
         assert len(few[k].keys) and len(few.read) == 1
 
 
+def test_letters_of_other_scripts(spark):
+    """Clean Cyrillic text stays, and text of the same letters at random goes; letters are the most used of a language."""
+    r = np.random.default_rng(13)
+    syllables = ["про", "ста", "ни", "ко", "ве", "ра", "то", "ли", "на", "ем"]
+    letters = list("абвгдежзийклмнопрстуфхцчшщъыьэюя")
+    prose = lambda: " ".join("".join(r.choice(syllables, r.integers(1, 4))) for _ in range(120))
+    rows = [(i, prose(), "ru") for i in range(200)] + [(900, " ".join("".join(r.choice(letters, 6)) for _ in range(120)), "ru")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    n = Counter(c for _, t, _ in rows for c in kneser_ney.unicodedata.normalize("NFD", t) if c.isalpha())
+    expected = sorted(sorted(n, key=lambda c: (-n[c], c))[: kneser_ney.LETTERS])
+    assert [chr(c) for c in kneser_ney.alphabets(docs)["ru"]] == expected
+    got = {x["doc_id"]: x["_q_kept"] for x in kneser_ney.quality(docs).collect()}
+    assert not got[900] and sum(got.values()) > 190
+
+
+def test_bands_by_hand(spark):
+    """Medians, spreads and verdicts of two languages and one that is too small for a band."""
+    r = np.random.default_rng(14)
+    rows = [(i, lang, bool(i % 7 == 0), float(x)) for lang, n, at in (("en", 301, 2.2), (None, 101, 1.9), ("fr", kneser_ney.MIN_DOCS - 1, 2.0)) for i, x in enumerate(r.normal(at, 0.05 + (np.arange(n) % 20 == 0), n))]
+    rows += [(5000, "en", False, None)]
+    facts = spark.createDataFrame(rows, "doc_id long, lang string, _q_base_failed boolean, _q_bits double")
+    band = kneser_ney.bands(facts).collect()
+    got = sorted((str(x["lang"]), x["doc_id"], x["_q_kept"]) for x in kneser_ney.verdict(facts, band).collect())
+    expected, limits = [], {}
+    for lang in ("en", None, "fr"):
+        good = np.sort([b for _, x, failed, b in rows if x == lang and not failed and b is not None])
+        if len(good) < kneser_ney.MIN_DOCS:
+            limits[lang] = -np.inf, np.inf
+            continue
+        mid = good[(len(good) - 1) // 2]  # the least value with half of all at or below it
+        off = np.sort(abs(good - mid))
+        spread = max(1.4826 * off[(len(off) - 1) // 2], kneser_ney.FLOOR) * kneser_ney.WIDTH
+        limits[lang] = mid - spread, mid + spread
+        found = next(x for x in band if x["lang"] == ("null" if lang is None else "=" + lang))
+        assert abs(found["low"] - limits[lang][0]) < 1e-9 and abs(found["high"] - limits[lang][1]) < 1e-9
+    assert len(band) == 2
+    for d, lang, failed, b in rows:
+        expected.append((str(lang), d, not failed and b is not None and limits[lang][0] <= b <= limits[lang][1]))
+    assert got == sorted(expected) and any(not k for _, _, k in got)
+
+
 def test_classifier_learns_and_holds_out(spark, none):
     r = np.random.default_rng(5)
     words = ["".join(r.choice(list("abcdefgh"), 5)) for _ in range(300)]
