@@ -193,7 +193,7 @@ def encode_decode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
         import pyarrow as pa
 
         for whole in batches:
-            for batch in slices(whole, 4.0):
+            for batch in slices(whole):
                 encoder = chunk_encoder(path, bits)
                 ids = encoder.encode(batch.column(1).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)

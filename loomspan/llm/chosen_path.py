@@ -140,7 +140,7 @@ def described(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words
         import xxhash
 
         for whole in batches:
-            for batch in slices(whole, 8.0):
+            for batch in slices(whole):
                 sets = shingle_sets(batch.column(3).to_pylist(), words)
                 names = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
                 both = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
@@ -427,7 +427,7 @@ def within(members: DataFrame, folder: str, threshold: float, words: int) -> Dat
                 yield pa.record_batch([none, none, none, pa.array([key[0]]), pa.array([path]), pa.array([int(block.size.min())]), pa.array([int(block.size.max())])], names=NAMES)
 
         for whole in batches:
-            for batch in slices(whole, 4.0):
+            for batch in slices(whole):
                 sets = shingle_sets(batch.column(6).to_pylist(), words)
                 cluster, part, _, c, m, nb = (batch.column(k).to_pylist() for k in range(6))
                 for k, values in enumerate(sets):

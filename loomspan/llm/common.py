@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loomspan.session import ship
 
-BATCH_BYTES = 16 << 20  # of an Arrow batch that goes to a Python worker
+BATCH_BYTES = 3 << 20  # of an Arrow batch that goes to a Python worker
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -155,7 +155,7 @@ def quiet_threads() -> None:
     os.environ["RAYON_NUM_THREADS"] = "1"
 
 
-def slices(batch, mb: float = 8.0, column: str = "text") -> Iterator:
+def slices(batch, mb: float = 3.0, column: str = "text") -> Iterator:
     """Parts of an Arrow batch with at most ``mb`` MB of ``column`` each (one row at least)."""
     import numpy as np
     import pyarrow.compute as pc

@@ -111,7 +111,7 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
         held = []
         for whole in batches:
-            for batch in slices(whole, 8.0):
+            for batch in slices(whole):
                 row, place, value = features(batch.column(3).to_pylist(), bits)
                 cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
                 for k, (a, b, y) in enumerate(zip(cuts[:-1], cuts[1:], batch.column(2).to_pylist())):
@@ -137,7 +137,7 @@ def scores(docs: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: s
 
         w = sent.value
         for whole in batches:
-            for batch in slices(whole, 8.0):
+            for batch in slices(whole):
                 row, place, value = features(batch.column(1).to_pylist(), bits)
                 margin = w[-1] + np.bincount(row, value * w[place], batch.num_rows)
                 score = 1 / (1 + np.exp(-np.clip(margin, -35, 35)))

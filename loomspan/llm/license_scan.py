@@ -122,7 +122,7 @@ def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
         kind = pa.list_(pa.struct([("first_line", pa.int32()), ("last_line", pa.int32()), ("license", pa.string()), ("dice", pa.float64())]))
         known = Templates(pairs) if pairs else default_templates()
         for whole in batches:
-            for batch in slices(whole, 8.0):
+            for batch in slices(whole):
                 got = [[dict(zip(("first_line", "last_line", "license", "dice"), m)) for m in scan(t, known, threshold)] for t in batch.column(1).to_pylist()]
                 yield pa.record_batch([batch.column(0), pa.array(got, kind)], names=["doc_id", "matches"])
 

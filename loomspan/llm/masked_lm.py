@@ -246,7 +246,7 @@ def frequent_words(docs: DataFrame, text: str = "text", most: int = FREQUENT) ->
 
         total = np.zeros(0, np.int64)
         for whole in batches:
-            for batch in slices(whole, 8.0):
+            for batch in slices(whole):
                 if words.full():  # pass the counts on: sums are taken later
                     yield from sent(total)
                     words.clear()
@@ -271,7 +271,7 @@ def coded(docs: DataFrame, frequent: list[int], doc_id: str = "doc_id", text: st
 
         words = Vocabulary(sent.value)
         for whole in batches:
-            for batch in slices(whole, 8.0):
+            for batch in slices(whole):
                 split = words_of(batch.column(1).to_pylist())
                 lens = np.array([len(ws) for ws in split], np.int64)
                 ids = words.classes(split).astype("<u2")

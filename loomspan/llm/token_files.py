@@ -113,7 +113,7 @@ def encode_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", voca
 
         total = np.zeros(1 << 16, np.int64)
         for whole in batches:
-            for batch in slices(whole, 8.0):
+            for batch in slices(whole):
                 words = word_table(path, TABLE_WORDS)
                 ids, lens = words.texts(batch.column(3).to_pylist())
                 kind = "<u2" if max(words.size, end_id + 1) <= 1 << 16 else "<u4"
