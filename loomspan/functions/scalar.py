@@ -6,9 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SMALL = [(1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")]
-#: Colour words and their red, green and blue.
-PALETTE = {"white": (255, 255, 255), "black": (0, 0, 0), "red": (220, 30, 30), "blue": (30, 60, 220), "green": (30, 160, 60), "yellow": (240, 220, 40), "orange": (240, 140, 30)}
-GREY = (128, 128, 128)
+# Colour words with their red, green and blue, and what stands for an unknown word.
+PALETTE = {
+    "red": (206, 32, 41), "crimson": (190, 30, 55), "maroon": (120, 24, 40), "claret": (124, 32, 56), "burgundy": (110, 28, 46),
+    "blue": (28, 68, 190), "navy": (18, 30, 84), "royal": (32, 74, 200), "sky": (110, 180, 235), "skyblue": (110, 180, 235),
+    "lightblue": (140, 195, 240), "darkblue": (20, 38, 110), "teal": (24, 130, 132), "turquoise": (48, 190, 180), "cyan": (40, 210, 220),
+    "white": (245, 245, 245), "cream": (238, 232, 205), "beige": (226, 214, 182), "black": (24, 24, 26), "grey": (128, 128, 132),
+    "gray": (128, 128, 132), "silver": (188, 190, 195), "green": (32, 140, 62), "lime": (110, 200, 60), "darkgreen": (20, 78, 40),
+    "yellow": (240, 214, 48), "gold": (218, 176, 52), "amber": (236, 178, 40), "orange": (236, 126, 34), "pink": (232, 130, 170),
+    "purple": (118, 56, 160), "violet": (140, 84, 200), "brown": (110, 72, 46),
+}
+GREY = (150, 150, 150)
 
 
 def foot_x(x: str = "x", w: str = "w") -> Column:
@@ -49,18 +57,25 @@ def gate_width(h: Column, dt: Column, spacing: Column | None = None) -> Column:
 
 
 def roman(n: Column) -> Column:
-    """Label of a number from 0 on: Roman numerals of n + 1 up to 3999, then letters in bijective base 26."""
+    """Label of a number from 0 on: Roman numerals of n + 1 up to 3999, then small letters of n in bijective base 26."""
     value, out = n + 1, F.lit("")
     rest = value
     for size, letters in SMALL:
         times = F.floor(rest / size).cast("int")
         out = F.concat(out, F.repeat(F.lit(letters), times))
         rest = rest % size
-    letter = lambda k: F.char(65 + k)
-    v = value - 1
-    one, two = v % 26, (F.floor(v / 26).cast("int") - 1)
-    three = F.floor(two / 26).cast("int") - 1
-    base = F.concat(F.when(three >= 0, letter(three % 26)).otherwise(""), F.when(two >= 0, letter(two % 26)).otherwise(""), letter(one))
+
+    def one(state: Column, _: Column) -> Column:
+        left, done = state["left"], state["done"]
+        more = left >= 0
+        return F.struct(
+            F.when(more, F.floor(left / 26).cast("long") - 1).otherwise(left).alias("left"),
+            F.when(more, F.concat(F.char(F.pmod(left, F.lit(26)) + 97), done)).otherwise(done).alias("done"),
+        )
+
+    # letters from the last to the first; a 64-bit number has 14 of them at most
+    start = F.struct((value - 1).cast("long").alias("left"), F.lit("").alias("done"))
+    base = F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, one, lambda s: s["done"])
     return F.when(value <= 3999, out).otherwise(base)
 
 
@@ -73,19 +88,19 @@ def word_jaccard(a: Column, b: Column, longer_than: int = 3) -> Column:
 
 
 def lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
-    """CIE L*, a*, b* (D65) of 8-bit sRGB."""
+    """CIE L*, a*, b* (D65) of 8-bit sRGB, with the usual four-digit matrix."""
 
     def linear(c: Column) -> Column:
         c = c / 255.0
         return F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))
 
     def f(t: Column) -> Column:
-        return F.when(t > 216 / 24389, F.pow(t, F.lit(1 / 3))).otherwise((24389 / 27 * t + 16.0) / 116.0)
+        return F.when(t > 0.008856, F.pow(t, F.lit(1 / 3))).otherwise(7.787 * t + 16 / 116)
 
     r, g, b = linear(r), linear(g), linear(b)
-    x = f((0.4124564 * r + 0.3575761 * g + 0.1804375 * b) / 0.95047)
-    y = f(0.2126729 * r + 0.7151522 * g + 0.0721750 * b)
-    z = f((0.0193339 * r + 0.1191920 * g + 0.9503041 * b) / 1.08883)
+    x = f((0.4124 * r + 0.3576 * g + 0.1805 * b) / 0.95047)
+    y = f(0.2126 * r + 0.7152 * g + 0.0722 * b)
+    z = f((0.0193 * r + 0.1192 * g + 0.9505 * b) / 1.08883)
     return 116.0 * y - 16.0, 500.0 * (x - y), 200.0 * (y - z)
 
 

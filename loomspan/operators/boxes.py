@@ -34,6 +34,19 @@ def valid(boxes: DataFrame, keys: list[str]) -> DataFrame:
     return checked(boxes).where("not off and not wide").drop("off", "wide").join(good, keys, "left_semi")
 
 
+def ball_in_range(frames: DataFrame, columns: tuple[str, ...] = ("x", "y", "w", "h"), low: float = LOW, high: float = HIGH) -> DataFrame:
+    """Frames (at most one ball each, its box in ``columns``) whose ball is null where it lies off the scale, with ``ball_dropped``. A missing size
+    counts as 0, a missing place as off the scale."""
+    x, y, w, h = (F.col(c) for c in columns)
+    far = [x + F.coalesce(w, F.lit(0.0)), y + F.coalesce(h, F.lit(0.0))]
+    ok = F.lit(True)
+    for v in (x, y, *far):
+        ok = ok & F.coalesce(v.between(low, high), F.lit(False))
+    some = x.isNotNull() | y.isNotNull() | w.isNotNull() | h.isNotNull()
+    out = frames.withColumns({"_ok": ok, "ball_dropped": some & ~ok})
+    return out.withColumns({c: F.when(F.col("_ok"), F.col(c)) for c in columns}).drop("_ok")
+
+
 def iou(p: str, q: str) -> str:
     over = f"greatest(0.0e0, least({p}.x + {p}.w, {q}.x + {q}.w) - greatest({p}.x, {q}.x)) * greatest(0.0e0, least({p}.y + {p}.h, {q}.y + {q}.h) - greatest({p}.y, {q}.y))"
     return f"if({p}.w * {p}.h + {q}.w * {q}.h - {over} > 0, {over} / ({p}.w * {p}.h + {q}.w * {q}.h - {over}), 0.0e0)"
@@ -48,15 +61,21 @@ def suppressed(boxes: DataFrame, keys: list[str], threshold: float = DEDUPE_IOU,
     return rows.select(*keys, "raw", F.expr(fold).alias("kept"))
 
 
-def deduped(boxes: DataFrame, keys: list[str], threshold: float = DEDUPE_IOU, carry: tuple[str, ...] = ()) -> DataFrame:
-    out = suppressed(boxes, keys, threshold, carry)
-    return out.select(*keys, F.explode("kept").alias("p")).select(*keys, *[F.col(f"p.{c}").alias(c) for c in ("idx", "x", "y", "w", "h", "conf", *carry)])
+def repeats(ratio: float = DEGENERATE_RATIO, least: int = 4) -> Column:
+    """Whether a frame of ``suppressed`` is one box repeated: ``least`` raw boxes of which too small a share is left."""
+    return (F.col("raw") >= least) & (F.size("kept") / F.col("raw") < ratio)
+
+
+def deduped(boxes: DataFrame, keys: list[str], threshold: float = DEDUPE_IOU, carry: tuple[str, ...] = (), mark: bool = False) -> DataFrame:
+    """The boxes that are left; ``mark`` adds ``degenerate``, whether their frame is one box repeated."""
+    out = suppressed(boxes, keys, threshold, carry).withColumn("degenerate", repeats())
+    fields = ("idx", "x", "y", "w", "h", "conf", *carry)
+    return out.select(*keys, "degenerate", F.explode("kept").alias("p")).select(*keys, *[F.col(f"p.{c}").alias(c) for c in fields], *(["degenerate"] if mark else []))
 
 
 def degenerate(boxes: DataFrame, keys: list[str], ratio: float = DEGENERATE_RATIO, least: int = 4) -> DataFrame:
     """Frames in which one box is repeated: at least ``least`` raw boxes of which too small a share remains."""
-    out = suppressed(boxes, keys).select(*keys, "raw", F.size("kept").cast("long").alias("unique"))
-    return out.where((F.col("raw") >= least) & (F.col("unique") / F.col("raw") < ratio))
+    return suppressed(boxes, keys).where(repeats(ratio, least)).select(*keys, "raw", F.size("kept").cast("long").alias("unique"))
 
 
 def to_fractions(boxes: DataFrame, conventions: DataFrame, on: str, width: str = "iw", height: str = "ih") -> DataFrame:

@@ -104,6 +104,36 @@ def gated_pairs(tracks: DataFrame, detections: DataFrame, keys: list[str], dt: f
     return p.withColumn("cost", cost)
 
 
+def association_costs(tracks: DataFrame, detections: DataFrame, keys: list[str], dt: float, spacing: float | None = None, other_kit: float = 4.0, same_number: float = 0.55, height: float = 0.5) -> DataFrame:
+    """The audit of an association: every (track, detection) pair of a frame with its distance, gate, the factors of kit,
+    number and height, and its cost; the factors are 1 and the cost null for pairs outside the gate, the cost null also for those that the
+    residual refuses. Columns as for :func:`gated_pairs`; the pairs are of single frames."""
+    from loomspan.functions.scalar import gate_width
+
+    p = tracks.join(detections, keys)
+    dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
+    p = p.withColumns({"dist": F.sqrt(dx * dx + dy * dy), "gate": gate_width(F.col("th"), F.lit(dt), F.lit(spacing) if spacing else None)})
+    p = p.withColumn("in_gate", F.col("dist") <= F.col("gate"))
+    ratio = F.greatest("th", "h") / F.greatest(F.least("th", "h"), F.lit(1e-4))
+    near = F.col("in_gate")
+    p = p.withColumns({
+        "kit_mul": F.when(near & (F.col("tkit") != F.col("kit")), other_kit).otherwise(1.0),
+        "num_mul": F.when(near & (F.col("tnum") == F.col("num")), same_number).otherwise(1.0),
+        "h_mul": F.when(near, 1.0 + height * (ratio - 1.0)).otherwise(1.0),
+    })
+    residual = F.sqrt(dx * ASPECT * (dx * ASPECT) + dy * dy) / F.greatest("th", F.lit(0.02))
+    refused = (F.col("hits") >= 3) & (residual > 1.2)
+    return p.withColumn("cost", F.when(near & ~refused, F.col("dist") * F.col("kit_mul") * F.col("num_mul") * F.col("h_mul")))
+
+
+def camera_path(votes: DataFrame, clip: str, frame: str = "frame", least: float = 0.5) -> DataFrame:
+    """clip, frame, ox, oy: how far the picture has moved since the clip began, the sum of the moves of
+    :func:`camera_vote` that a share of ``least`` or more of the tracks agree on. A window over a clip's frames, one row each."""
+    w = Window.partitionBy(clip).orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)
+    sure = F.col("support") >= least
+    return votes.select(clip, frame, *[F.sum(F.when(sure, F.col(c)).otherwise(0.0)).over(w).alias(o) for c, o in (("cx", "ox"), ("cy", "oy"))])
+
+
 def ground_plane(players: DataFrame, keys: list[str], least: int = 6, r2: float = 0.55) -> DataFrame:
     """Per frame the least-squares line of foot height on body height; ``usable`` where there are enough rows, they
     differ in height, and the fit is good enough."""
@@ -171,7 +201,7 @@ def dense_grid(rows: DataFrame, clip: str, frame: str, frames: DataFrame, values
 def without_counterpart(points: DataFrame, clip: str, frame: str = "frame", idx: str = "idx", near: float = 0.05) -> DataFrame:
     """Per clip the sightings with a next frame, and how many have nothing within ``near`` in it."""
     last = points.groupBy(clip).agg(F.max(frame).alias("_last"))
-    a = points.join(F.broadcast(last), clip).where(F.col(frame) < F.col("_last")).select(clip, (F.col(frame) + 1).alias(frame), F.col(idx).alias("_i"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    a = points.join(last, clip).where(F.col(frame) < F.col("_last")).select(clip, (F.col(frame) + 1).alias(frame), F.col(idx).alias("_i"), F.col("x").alias("_x"), F.col("y").alias("_y"))
     b = points.select(clip, frame, "x", "y")
     close = ((F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y"))) <= near * near
     found = a.join(b, [clip, frame], "left").groupBy(clip, frame, "_i").agg(F.max(F.coalesce(close, F.lit(False))).alias("ok"))

@@ -54,12 +54,16 @@ def rotated_arms(frames: DataFrame, arms: DataFrame, n_arms: int) -> DataFrame:
     return frames.join(F.broadcast(arms)).withColumn("slot", F.pmod(F.col("j") - F.col("i"), F.lit(n_arms)))
 
 
-def parsed_spec(rows: DataFrame, spec: str, versions: list[str], default_effort: str = "low") -> DataFrame:
-    """``model:version:effort:overlay`` with defaults for what is missing; ``problem`` says what is wrong."""
+def parsed_spec(rows: DataFrame, spec: str, versions: list[str], default_effort: str = "low", refuse: bool = False) -> DataFrame:
+    """``model:version:effort:overlay`` with defaults for what is missing; ``problem`` says what is wrong, and with ``refuse``
+    the first problem ends the query with an error."""
     parts = F.split(spec, ":")
     part = lambda k: F.nullif(F.trim(F.try_element_at(parts, F.lit(k))), F.lit(""))
     out = rows.withColumns({"model": part(1), "version": F.coalesce(part(2), F.lit(versions[0])), "effort": F.coalesce(part(3), F.lit(default_effort)), "overlay": F.coalesce(part(4), F.lit("none"))})
-    return out.withColumn("problem", F.when(F.size(parts) > 4, "too many parts").when(F.col("model").isNull(), "no model").when(~F.col("version").isin(versions), "unknown version"))
+    out = out.withColumn("problem", F.when(F.size(parts) > 4, "too many parts").when(F.col("model").isNull(), "no model").when(~F.col("version").isin(versions), "unknown version"))
+    if refuse:
+        out = out.withColumn("problem", F.when(F.col("problem").isNotNull(), F.raise_error(F.concat(F.lit("arm "), F.col(spec), F.lit(": "), F.col("problem")))))
+    return out
 
 
 def unpinned(used: DataFrame, pinned: DataFrame, on: str) -> DataFrame:
@@ -67,6 +71,45 @@ def unpinned(used: DataFrame, pinned: DataFrame, on: str) -> DataFrame:
     return used.join(pinned.select(on).distinct(), on, "left_anti")
 
 
+def all_pinned(used: DataFrame, pinned: DataFrame, on: str) -> DataFrame:
+    """``used`` as it is; a model without an entry ends the query with an error, as no convention is ever guessed."""
+    known = pinned.select(F.col(on).alias("_pinned")).distinct()
+    j = used.join(known, F.col(on).eqNullSafe(F.col("_pinned")), "left")
+    checked = F.when(F.col("_pinned").isNull(), F.raise_error(F.concat(F.coalesce(F.col(on).cast("string"), F.lit("null")), F.lit(" has no pinned coordinate convention")))).otherwise(F.col(on))
+    return j.withColumn(on, checked).select(*used.columns)
+
+
+def submission_places(calls: DataFrame, keys: list[str], submitted: list[str], landed: list[str]) -> DataFrame:
+    """``calls`` with ``place`` (from 0, by the order in which calls were submitted, in which results are handed on) and
+    ``landed_place`` (by the order in which they came back), within the pool that ``keys`` name."""
+    w = Window.partitionBy(*keys)
+    return calls.withColumns({"place": F.row_number().over(w.orderBy(*submitted)) - 1, "landed_place": F.row_number().over(w.orderBy(*landed)) - 1})
+
+
+def flattened(models: DataFrame) -> DataFrame:
+    """One flat row a model from a provider's nested catalogue: modalities, sizes, prices a million tokens (a price that
+    can't be read is 0, of an image null), and what the supported parameters say."""
+    price = lambda c: F.col(f"pricing.{c}").try_cast("double")
+    has = lambda *names: F.arrays_overlap(F.coalesce("supported_parameters", F.array().cast("array<string>")), F.array(*map(F.lit, names)))
+    none = F.array().cast("array<string>")
+    return models.select(
+        "id", "name", "created",
+        F.coalesce("architecture.input_modalities", none).alias("modalities"),
+        F.coalesce("architecture.output_modalities", none).alias("output_modalities"),
+        F.coalesce(F.nullif("context_length", F.lit(0)), "top_provider.context_length").alias("context"),
+        F.col("top_provider.max_completion_tokens").alias("max_output"),
+        (F.coalesce(price("prompt"), F.lit(0.0)) * 1e6).alias("in_per_m"),
+        (F.coalesce(price("completion"), F.lit(0.0)) * 1e6).alias("out_per_m"),
+        price("image").alias("per_image"),
+        has("structured_outputs").alias("structured"),
+        has("response_format").alias("response_format"),
+        has("reasoning", "include_reasoning").alias("reasoning"),
+        has("tools").alias("tools"),
+        has("temperature").alias("temperature"),
+        F.coalesce("top_provider.is_moderated", F.lit(False)).alias("moderated"),
+    )
+
+
 def ledger(*sources: DataFrame) -> DataFrame:
     """Calls, calls without a cost, and cost of each source: sources may lack columns that others have."""
     every = sources[0]

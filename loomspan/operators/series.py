@@ -7,7 +7,7 @@ observations of a key, which stays in the engine and is as parallel as there are
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ASPECT = 16 / 9
@@ -68,12 +68,18 @@ def segmented(rows: DataFrame, keys: list[str], max_gap: float, step: float, spe
     return rows.withColumn("_new", F.coalesce(new, F.lit(False)).cast("int")).withColumn("seg", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def on_grid(segments: DataFrame, keys: list[str], step: int, total: int, frame: str = "frame", values: tuple[str, ...] = ("x", "y", "w", "h")) -> DataFrame:
+def last_frame(rows: DataFrame, frame: str = "frame") -> Column:
+    """The last frame of a table, as a scalar subquery."""
+    return rows.agg(F.max(frame)).scalar()
+
+
+def on_grid(segments: DataFrame, keys: list[str], step: int, total: int | None = None, frame: str = "frame", values: tuple[str, ...] = ("x", "y", "w", "h")) -> DataFrame:
     """Every frame from the first to the last observation of a stretch, values between observations interpolated
-    linearly; the last is held for the rest of its step. Stretches of one observation are dropped."""
+    linearly; the last is held for the rest of its step, within ``total`` frames (by default up to the last frame of the
+    table). Stretches of one observation are dropped."""
     w = Window.partitionBy(*keys).orderBy(frame)
     s = segments.withColumns({"_f2": F.lead(frame).over(w), "_n": F.count("*").over(Window.partitionBy(*keys)), **{f"_2{v}": F.lead(v).over(w) for v in values}}).where("_n >= 2")
-    stop = F.when(F.col("_f2").isNull(), F.least(F.col(frame) + step - 1, F.lit(total - 1))).otherwise(F.col("_f2") - 1)
+    stop = F.when(F.col("_f2").isNull(), F.least(F.col(frame) + step - 1, last_frame(segments, frame) if total is None else F.lit(total - 1))).otherwise(F.col("_f2") - 1)
     s = s.withColumn("_g", F.explode(F.sequence(F.col(frame), F.greatest(stop, F.col(frame)))))
     t = (F.col("_g") - F.col(frame)) / (F.col("_f2") - F.col(frame))
     at = {v: F.when(F.col("_f2").isNull() | (F.col("_g") == F.col(frame)), F.col(v)).otherwise(F.col(v) + (F.col(f"_2{v}") - F.col(v)) * t).alias(v) for v in values}
@@ -113,10 +119,23 @@ def faded(grid: DataFrame, keys: list[str], clip: str, cuts: DataFrame, fade: fl
     return g.withColumn("fade", F.least(into, out)).drop("_cuts", "_f0", "_f1")
 
 
+def crossing(rows: DataFrame, keys: list[str], clip: str, cuts: DataFrame, frame: str = "frame") -> DataFrame:
+    """``rows`` that have a next one in their series, with its frame ``f2`` and ``crossed``: whether the clip has a cut after
+    the one and up to the other. cuts: clip, frame; the cuts of a clip travel as one array to its rows."""
+    n = rows.withColumn("f2", F.lead(frame).over(Window.partitionBy(clip, *keys).orderBy(frame))).where("f2 is not null")
+    lists = cuts.groupBy(clip).agg(F.collect_set(frame).alias("_cuts"))
+    return n.join(lists, clip, "left").withColumn("crossed", F.coalesce(F.expr(f"exists(_cuts, c -> c > {frame} and c <= f2)"), F.lit(False))).drop("_cuts")
+
+
+def confident(ball: DataFrame, floor: float = 0.0) -> DataFrame:
+    """``ball`` with ``low_conf``: below the floor of confidence; a floor of 0 is off."""
+    return ball.withColumn("low_conf", F.coalesce(F.col("conf") < floor, F.lit(False)) if floor > 0 else F.lit(False))
+
+
 def without_flat(ball: DataFrame, clip: str, share: float = 0.65, least: int = 8) -> DataFrame:
     """Sightings less those whose height is below ``share`` of the clip's median, in clips with enough of them."""
     m = ball.groupBy(clip).agg(F.percentile("h", 0.5).alias("_m"), F.count("*").alias("_n"))
-    return ball.join(F.broadcast(m), clip).where((F.col("_n") < least) | (F.col("h") >= share * F.col("_m"))).drop("_m", "_n")
+    return ball.join(m, clip).where((F.col("_n") < least) | (F.col("h") >= share * F.col("_m"))).drop("_m", "_n")
 
 
 def frame_scale(players: DataFrame, keys: list[str], least: int = 4) -> DataFrame:
@@ -182,9 +201,10 @@ def ball_fixed_point(ball: DataFrame, clip: str, fps: float, step: int, passes:
     return picked.groupBy(clip).applyInPandas(run, picked.schema)
 
 
-def bridged(ball: DataFrame, cuts: DataFrame, clip: str, max_gap: int, hold: int, total: int, frame: str = "frame") -> DataFrame:
+def bridged(ball: DataFrame, cuts: DataFrame, clip: str, max_gap: int, hold: int, last: int | Column, frame: str = "frame") -> DataFrame:
     """The ball on every frame that can be told: sightings, the line between two at most ``max_gap`` frames apart with
-    no cut between them, else the sighting held for ``hold`` frames up to a cut. One row a frame, the surest."""
+    no cut between them, else the sighting held for ``hold`` frames up to a cut and the ``last`` frame. One row a
+    frame, the surest."""
     w = Window.partitionBy(clip).orderBy(frame)
     lists = cuts.groupBy(clip).agg(F.collect_set(frame).alias("_cuts"))
     b = ball.join(lists, clip, "left").withColumns({"_cuts": F.coalesce("_cuts", F.array().cast("array<int>")), "_f2": F.lead(frame).over(w), **{f"_2{v}": F.lead(v).over(w) for v in "xywh"}})
@@ -193,7 +213,7 @@ def bridged(ball: DataFrame, cuts: DataFrame, clip: str, max_gap: int, hold: int
     line = b.where(joined).withColumn("_g", F.explode(F.expr(f"sequence({frame} + 1, _f2)"))).where("_g < _f2")
     t = (F.col("_g") - F.col(frame)) / (F.col("_f2") - F.col(frame))
     line = line.select(clip, F.col("_g").alias(frame), *[(F.col(v) + (F.col(f"_2{v}") - F.col(v)) * t).alias(v) for v in "xywh"], F.lit(1).alias("_p"), F.col(frame).alias("_o"))
-    held = b.withColumn("_g", F.explode(F.expr(f"sequence({frame}, {frame} + {max(hold, 1) - 1})"))).where(f"_g > {frame} and _g < {total} and not exists(_cuts, c -> c > {frame} and c <= _g)")
+    held = b.withColumn("_g", F.explode(F.expr(f"sequence({frame}, {frame} + {max(hold, 1) - 1})"))).where(f"_g > {frame} and not exists(_cuts, c -> c > {frame} and c <= _g)").where(F.col("_g") <= last)
     held = held.select(clip, F.col("_g").alias(frame), *"xywh", F.lit(2).alias("_p"), F.col(frame).alias("_o"))
     exact = b.select(clip, frame, *"xywh", F.lit(0).alias("_p"), F.col(frame).alias("_o"))
     every = exact.unionByName(line).unionByName(held)

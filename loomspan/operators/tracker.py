@@ -161,9 +161,9 @@ def _cut(now: list, before: dict, alive: int) -> tuple[int, float]:
     return int(scale) + int(ratio >= 2.5) + int(apart > 0.9), ratio
 
 
-def track_frames(frames: list[tuple[int, list]], teams: dict, spacing: float | None = None, s: Settings = Settings()) -> tuple[list[Body], list[tuple[int, float]]]:
+def track_frames(frames: list[tuple[int, list]], teams: dict, spacing: float | None = None, s: Settings = Settings(), skip: frozenset = frozenset()) -> tuple[list[Body], list[tuple[int, float]]]:
     """(finished tracks, cuts as (frame, ratio)) from frames in order, each with its detections (fx, fy, w, h,
-    conf, kit, num)."""
+    conf, kit, num). Frames in ``skip`` say nothing: tracks coast over them, and they are no cut."""
     alive: list[Body] = []
     finished: list[Body] = []
     cuts: list[tuple[int, float]] = []
@@ -177,6 +177,9 @@ def track_frames(frames: list[tuple[int, list]], teams: dict, spacing: float | N
         t = frame / s.fps
         dt = max(1 / s.fps if previous_t is None else t - previous_t, 1e-3)
         expected = [b.expect(dt) for b in alive]
+        if frame in skip:
+            previous_t = t
+            continue
         signals, ratio = _cut(found, before, len(alive))
         if signals >= 2:
             recent = bool(cuts) and frame - cuts[-1][0] < 0.5 * s.fps
@@ -235,7 +238,8 @@ def track_frames(frames: list[tuple[int, list]], teams: dict, spacing: float | N
 def track_clips(boxes: DataFrame, clip: str = "clip", settings: Settings = Settings()) -> DataFrame:
     """clip, trk, frame, x, y (foot), w, h, kit, num (the track's votes), ended (order in which tracks ended), from
     detections (clip, frame, idx, x, y, w, h, conf, kit, num) of one clip a group. The two most frequent kits of a
-    clip are its teams."""
+    clip are its teams. A column ``degenerate`` marks frames that are one box repeated, which are passed over; a column
+    ``spacing`` gives how far apart players of the clip stand (null: not known), which narrows the gates."""
     ship(boxes.sparkSession)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -245,11 +249,13 @@ def track_clips(boxes: DataFrame, clip: str = "clip", settings: Settings = Setti
         rows = rows.assign(fx=rows["x"] + rows["w"] / 2, fy=rows["y"] + rows["h"])
         rows["num"] = [None if n != n or n is None else int(n) for n in rows["num"]]
         frames = [(int(f), list(g.itertuples(index=False))) for f, g in rows.groupby("frame", sort=True)]
-        finished, _ = track_frames(frames, teams, None, settings)
+        apart = rows["spacing"].iloc[0]
+        skip = frozenset(rows.loc[rows["degenerate"].astype(bool), "frame"].astype(int))
+        finished, _ = track_frames(frames, teams, None if apart is None or apart != apart else float(apart), settings, skip)
         name = rows[clip].iloc[0]
         out = [(name, b.number_id, *o, b.kit, b.number, k) for k, b in enumerate(finished) for o in b.seen]
         return pd.DataFrame(out, columns=[clip, "trk", "frame", "x", "y", "w", "h", "kit", "num", "ended"]).astype({"num": "Int32"})
 
     kind = boxes.schema[clip].dataType.simpleString()
-    picked = boxes.select(clip, "frame", "idx", "x", "y", "w", "h", "conf", F.lower(F.trim("kit")).alias("kit"), F.col("num").cast("int").alias("num"))
+    picked = boxes.select(clip, "frame", "idx", "x", "y", "w", "h", "conf", F.lower(F.trim("kit")).alias("kit"), F.col("num").cast("int").alias("num"), F.coalesce(F.col("degenerate"), F.lit(False)).alias("degenerate") if "degenerate" in boxes.columns else F.lit(False).alias("degenerate"), F.col("spacing").cast("double").alias("spacing") if "spacing" in boxes.columns else F.lit(None).cast("double").alias("spacing"))
     return picked.groupBy(clip).applyInPandas(run, f"{clip} {kind}, trk long, frame int, x double, y double, w double, h double, kit string, num int, ended int")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 
 def top_values(rows: DataFrame, keys: list[str], value: str, position: str | Column, most: int) -> DataFrame:
@@ -33,17 +36,29 @@ def stitched(tracks: DataFrame, teams: DataFrame, scope: list[str]) -> DataFrame
 
     Tracks of one kit and number share an identity where their lifetimes, ends included, don't meet: in order of
     f1 (the order in which tracks end) each goes to the first bucket that has room; buckets after the first are
-    contested. Tracks without a number are labelled in order of their first frame. A fold over each
-    (kit, number), so work is spread by identity. ``teams``: (scope, kit, team).
+    contested. As tracks come by their ends, a bucket has room if its last track ended before this one began, so one
+    number a bucket is kept. Each choice depends on all before it, so a (kit, number) of a scope is one group. Tracks
+    without a number are labelled in order of their first frame. ``teams``: (scope, kit, team).
     """
-    fold = """aggregate(a, cast(array() as array<struct<b:int,trk:bigint,f0:int,f1:int>>), (acc, t) -> array_append(acc,
-      named_struct('b', coalesce(element_at(filter(sequence(0, size(acc)), k -> not exists(acc, o -> o.b = k and not (o.f1 < t.f0 or t.f1 < o.f0))), 1), 0),
-                   'trk', t.trk, 'f0', t.f0, 'f1', t.f1)))"""
-    numbered = tracks.where("num is not null").groupBy(*scope, "kit", "num").agg(F.array_sort(F.collect_list(F.struct("f1", "trk", "f0"))).alias("a"))
-    numbered = numbered.withColumn("m", F.explode(F.expr(fold))).select(*scope, F.col("m.trk").alias("trk"), "kit", "num", F.col("m.b").alias("bucket"))
+
+    def buckets(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["f1", "trk", "f0"], ignore_index=True)
+        last, used, out = np.zeros(len(rows)), 0, []
+        for f0, f1 in zip(rows["f0"].tolist(), rows["f1"].tolist()):
+            room = last[:used] < f0
+            k = int(room.argmax()) if used else 0
+            if not used or not room[k]:
+                k, used = used, used + 1
+            last[k] = f1
+            out.append(k)
+        return rows.assign(bucket=out)[[*scope, "trk", "kit", "num", "bucket"]]
+
+    numbered = tracks.where("num is not null").select(*scope, "trk", "kit", "num", "f0", "f1")
+    kept = numbered.select(*scope, "trk", "kit", "num").schema
+    numbered = numbered.groupBy(*scope, "kit", "num").applyInPandas(buckets, StructType(kept.fields).add("bucket", IntegerType()))
     alone = tracks.where("num is null").withColumn("nth", F.row_number().over(Window.partitionBy(*scope).orderBy("f0", "trk")) - 1)
     both = numbered.select(*scope, "trk", "kit", "num", "bucket", F.lit(None).cast("int").alias("nth")).unionByName(alone.select(*scope, "trk", "kit", "num", F.lit(None).cast("int").alias("bucket"), "nth"))
-    named = both.join(F.broadcast(teams), [*scope, "kit"], "left")
+    named = both.join(teams, [*scope, "kit"], "left")
     side = F.coalesce("team", F.lit("?"))
     identity = F.when(F.col("num").isNull(), F.concat(side, F.lit("·"), F.col("trk"))).otherwise(F.concat(side, F.col("num"), F.when(F.col("bucket") > 0, F.concat(F.lit("^"), F.col("bucket"))).otherwise("")))
     source = F.when(F.col("num").isNull(), "fallback").when(F.col("bucket") == 0, "read").otherwise("contested")

@@ -92,18 +92,41 @@ def to_fractions(spark, d) -> DataFrame:
     return boxes.to_fractions(rows, known, "model").select("event_id", *[F.round(c, 6).alias(c) for c in "xywh"])
 
 
-@query("wire_rows", f"""WITH {views.DET}, r AS (SELECT event_id, CASE WHEN event_id % 31 = 0 THEN [CAST(event_id AS VARCHAR), 'x'] ELSE
- [CASE WHEN event_id % 17 = 0 THEN 'bad' ELSE CAST(event_id % 100 AS VARCHAR) END, '0.5', '0.1', '0.2', '  ' || upper(kit) || ' ', CASE WHEN num IS NULL THEN 'n/a' ELSE CAST(num AS VARCHAR) END, '0.75'][1:CASE WHEN event_id % 2 = 0 THEN 7 ELSE 6 END] END AS v FROM det)
+WIRE = views.DET + """, r AS (SELECT event_id, frame, CASE WHEN event_id % 31 = 0 THEN [CAST(event_id AS VARCHAR), 'x'] ELSE
+ [CASE WHEN event_id % 17 = 0 THEN 'bad' ELSE CAST(event_id % 100 AS VARCHAR) END, '0.5', '0.1', '0.2', '  ' || upper(kit) || ' ', CASE WHEN num IS NULL THEN 'n/a' ELSE CAST(num AS VARCHAR) END, '0.75'][1:CASE WHEN event_id % 2 = 0 THEN 7 ELSE 6 END] END AS v FROM det)"""
+
+
+def wire(spark, d) -> DataFrame:
+    """Detections as positional rows of text, some too short and some with a number that can't be read."""
+    good = "slice(array(if(event_id % 17 = 0, 'bad', cast(event_id % 100 as string)), '0.5', '0.1', '0.2', concat('  ', upper(kit), ' '), if(num is null, 'n/a', cast(num as string)), '0.75'), 1, if(event_id % 2 = 0, 7, 6))"
+    return boxes.wire_rows(views.det(spark, d).select("event_id", "frame", F.expr(f"if(event_id % 31 = 0, array(cast(event_id as string), 'x'), {good})").alias("v")), "v")
+
+
+@query("wire_rows", f"""WITH {WIRE}
 SELECT event_id, len(v) < 6 AS malformed, coalesce(TRY_CAST(v[1] AS DOUBLE), 0) AS x, coalesce(TRY_CAST(v[3] AS DOUBLE), 0) AS w, lower(trim(v[5])) AS kit, TRY_CAST(v[6] AS INTEGER) AS num, coalesce(TRY_CAST(v[7] AS DOUBLE), 1.0e0) AS conf FROM r""")
 def wire_rows(spark, d) -> DataFrame:
-    good = "slice(array(if(event_id % 17 = 0, 'bad', cast(event_id % 100 as string)), '0.5', '0.1', '0.2', concat('  ', upper(kit), ' '), if(num is null, 'n/a', cast(num as string)), '0.75'), 1, if(event_id % 2 = 0, 7, 6))"
-    rows = views.det(spark, d).select("event_id", F.expr(f"if(event_id % 31 = 0, array(cast(event_id as string), 'x'), {good})").alias("v"))
-    return boxes.wire_rows(rows, "v").select("event_id", "malformed", "x", "w", "kit", "num", "conf")
+    return wire(spark, d).select("event_id", "malformed", "x", "w", "kit", "num", "conf")
 
 
-@query("malformed_rows", f"""WITH {views.DET} SELECT frame, count(*) AS malformed_count, list(event_id ORDER BY event_id)[1:5] AS sample FROM det WHERE event_id % 31 = 0 GROUP BY frame""")
+@query("malformed_rows", f"WITH {WIRE} SELECT frame, count(*) AS malformed_count, list(event_id ORDER BY event_id)[1:5] AS sample FROM r WHERE len(v) < 6 GROUP BY frame")
 def malformed_rows(spark, d) -> DataFrame:
-    return views.det(spark, d).where("event_id % 31 = 0").groupBy("frame").agg(F.count("*").alias("malformed_count"), F.slice(F.array_sort(F.collect_list("event_id")), 1, 5).alias("sample"))
+    """Frames with rows that the parser found too short: how many, and the first five (a sample, as the report asks)."""
+    bad = wire(spark, d).where("malformed")
+    return bad.groupBy("frame").agg(F.count("*").alias("malformed_count"), F.slice(F.array_sort(F.collect_list("event_id")), 1, 5).alias("sample"))
+
+
+@query("ball_range", f"""WITH {views.BALL}, b AS (SELECT clip, frame, CASE WHEN frame % 7 = 3 THEN x * 1000 ELSE x END AS x, CASE WHEN frame % 11 = 4 THEN NULL ELSE y END AS y, CASE WHEN frame % 13 = 5 THEN NULL ELSE w END AS w, h FROM ball),
+o AS (SELECT *, coalesce(x BETWEEN -0.10e0 AND 1.50e0 AND y BETWEEN -0.10e0 AND 1.50e0 AND x + coalesce(w, 0) BETWEEN -0.10e0 AND 1.50e0 AND y + h BETWEEN -0.10e0 AND 1.50e0, false) AS ok FROM b)
+SELECT clip, frame, round(CASE WHEN ok THEN x END, 6) AS x, round(CASE WHEN ok THEN y END, 6) AS y, NOT ok AS ball_dropped FROM o""")
+def ball_range(spark, d) -> DataFrame:
+    b = views.ball(spark, d).withColumns({"x": F.expr("if(frame % 7 = 3, x * 1000, x)"), "y": F.expr("if(frame % 11 = 4, null, y)"), "w": F.expr("if(frame % 13 = 5, null, w)")})
+    return boxes.ball_in_range(b).select("clip", "frame", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "ball_dropped")
+
+
+@query("to_pixels", f"WITH {views.DET} SELECT event_id, round(x * 1280, 4) AS x, round(y * 720, 4) AS y, round(w * 1280, 4) AS w, round(h * 720, 4) AS h FROM det")
+def to_pixels(spark, d) -> DataFrame:
+    rows = views.det(spark, d).withColumns({"iw": F.lit(1280.0), "ih": F.lit(720.0)})
+    return boxes.from_fractions(rows).select("event_id", *[F.round(c, 4).alias(c) for c in "xywh"])
 
 
 @query("top_candidate", f"""WITH {views.DET}, f AS (SELECT frame, list(idx ORDER BY idx) FILTER (WHERE kit = 'purchase') AS balls FROM det GROUP BY frame)
@@ -113,9 +136,15 @@ def top_candidate(spark, d) -> DataFrame:
     return boxes.top_candidate(f).select("frame", "ball", F.size("balls").cast("long").alias("n_candidates"))
 
 
-@query("roman_label", "SELECT l_partkey AS n, CASE WHEN count(*) > 0 THEN list_aggregate(list_transform([(1000,'M'),(900,'CM'),(500,'D'),(400,'CD'),(100,'C'),(90,'XC'),(50,'L'),(40,'XL'),(10,'X'),(9,'IX'),(5,'V'),(4,'IV'),(1,'I')], lambda s: repeat(s[2], CASE s[1] WHEN 1000 THEN (l_partkey + 1) // 1000 WHEN 900 THEN (l_partkey + 1) % 1000 // 900 WHEN 500 THEN (l_partkey + 1) % 1000 % 900 // 500 WHEN 400 THEN (l_partkey + 1) % 500 // 400 * CAST((l_partkey + 1) % 1000 < 900 AS INTEGER) WHEN 100 THEN CASE WHEN (l_partkey + 1) % 1000 >= 900 OR (l_partkey + 1) % 500 >= 400 THEN 0 ELSE (l_partkey + 1) % 500 // 100 END WHEN 90 THEN (l_partkey + 1) % 100 // 90 WHEN 50 THEN (l_partkey + 1) % 100 % 90 // 50 WHEN 40 THEN CASE WHEN (l_partkey + 1) % 100 >= 90 THEN 0 ELSE (l_partkey + 1) % 50 // 40 END WHEN 10 THEN CASE WHEN (l_partkey + 1) % 100 >= 90 OR (l_partkey + 1) % 50 >= 40 THEN 0 ELSE (l_partkey + 1) % 50 // 10 END WHEN 9 THEN (l_partkey + 1) % 10 // 9 WHEN 5 THEN CASE WHEN (l_partkey + 1) % 10 = 9 THEN 0 ELSE (l_partkey + 1) % 10 // 5 END WHEN 4 THEN CASE WHEN (l_partkey + 1) % 10 = 9 THEN 0 ELSE (l_partkey + 1) % 5 // 4 END ELSE CASE WHEN (l_partkey + 1) % 5 = 4 THEN 0 ELSE (l_partkey + 1) % 5 END END)), 'string_agg', '') END AS label FROM lineitem WHERE l_partkey < 3999 GROUP BY l_partkey")
+ROMAN = "CASE WHEN count(*) > 0 THEN list_aggregate(list_transform([(1000,'M'),(900,'CM'),(500,'D'),(400,'CD'),(100,'C'),(90,'XC'),(50,'L'),(40,'XL'),(10,'X'),(9,'IX'),(5,'V'),(4,'IV'),(1,'I')], lambda s: repeat(s[2], CASE s[1] WHEN 1000 THEN (l_partkey + 1) // 1000 WHEN 900 THEN (l_partkey + 1) % 1000 // 900 WHEN 500 THEN (l_partkey + 1) % 1000 % 900 // 500 WHEN 400 THEN (l_partkey + 1) % 500 // 400 * CAST((l_partkey + 1) % 1000 < 900 AS INTEGER) WHEN 100 THEN CASE WHEN (l_partkey + 1) % 1000 >= 900 OR (l_partkey + 1) % 500 >= 400 THEN 0 ELSE (l_partkey + 1) % 500 // 100 END WHEN 90 THEN (l_partkey + 1) % 100 // 90 WHEN 50 THEN (l_partkey + 1) % 100 % 90 // 50 WHEN 40 THEN CASE WHEN (l_partkey + 1) % 100 >= 90 THEN 0 ELSE (l_partkey + 1) % 50 // 40 END WHEN 10 THEN CASE WHEN (l_partkey + 1) % 100 >= 90 OR (l_partkey + 1) % 50 >= 40 THEN 0 ELSE (l_partkey + 1) % 50 // 10 END WHEN 9 THEN (l_partkey + 1) % 10 // 9 WHEN 5 THEN CASE WHEN (l_partkey + 1) % 10 = 9 THEN 0 ELSE (l_partkey + 1) % 10 // 5 END WHEN 4 THEN CASE WHEN (l_partkey + 1) % 10 = 9 THEN 0 ELSE (l_partkey + 1) % 5 // 4 END ELSE CASE WHEN (l_partkey + 1) % 5 = 4 THEN 0 ELSE (l_partkey + 1) % 5 END END)), 'string_agg', '') END"
+DIGIT = "chr(CAST(97 + ({0}) % 26 AS INTEGER))"
+#: Small letters in bijective base 26: two letters begin at 26, three at 702, four at 18278, which is enough for 475,254 numbers.
+LETTERS = " ".join(f"WHEN l_partkey < {stop} THEN " + " || ".join(DIGIT.format(f"(l_partkey - {start}) // {26**k}") for k in range(n - 1, -1, -1)) for n, (start, stop) in enumerate([(0, 26), (26, 702), (702, 18278), (18278, 475254)], 1))
+
+
+@query("roman_label", f"SELECT l_partkey AS n, CASE WHEN l_partkey < 3999 THEN {ROMAN} ELSE CASE {LETTERS} END END AS label FROM lineitem GROUP BY l_partkey")
 def roman_label(spark, d) -> DataFrame:
-    n = views.table(spark, d, "lineitem").where("l_partkey < 3999").select(F.col("l_partkey").alias("n")).distinct()
+    n = views.table(spark, d, "lineitem").select(F.col("l_partkey").alias("n")).distinct()
     return n.withColumn("label", scalar.roman(F.col("n").cast("int")))
 
 
@@ -147,9 +176,9 @@ def sample_index(spark, d) -> DataFrame:
 
 def _lab_sql(c: str) -> str:
     lin = lambda v: f"CASE WHEN {v} / 255.0e0 <= 0.04045e0 THEN {v} / 255.0e0 / 12.92e0 ELSE pow(({v} / 255.0e0 + 0.055e0) / 1.055e0, 2.4e0) END"
-    f = lambda t: f"CASE WHEN {t} > 216.0e0 / 24389.0e0 THEN pow({t}, 1.0e0 / 3.0e0) ELSE (24389.0e0 / 27.0e0 * {t} + 16.0e0) / 116.0e0 END"
+    f = lambda t: f"CASE WHEN {t} > 0.008856e0 THEN pow({t}, 1.0e0 / 3.0e0) ELSE 7.787e0 * {t} + 16.0e0 / 116.0e0 END"
     return f"""{c}l AS (SELECT id, {lin('r')} AS r, {lin('g')} AS g, {lin('b')} AS b FROM {c}),
-{c}x AS (SELECT id, (0.4124564e0 * r + 0.3575761e0 * g + 0.1804375e0 * b) / 0.95047e0 AS x, 0.2126729e0 * r + 0.7151522e0 * g + 0.0721750e0 * b AS y, (0.0193339e0 * r + 0.1191920e0 * g + 0.9503041e0 * b) / 1.08883e0 AS z FROM {c}l),
+{c}x AS (SELECT id, (0.4124e0 * r + 0.3576e0 * g + 0.1805e0 * b) / 0.95047e0 AS x, 0.2126e0 * r + 0.7152e0 * g + 0.0722e0 * b AS y, (0.0193e0 * r + 0.1192e0 * g + 0.9505e0 * b) / 1.08883e0 AS z FROM {c}l),
 {c}f AS (SELECT id, {f('x')} AS x, {f('y')} AS y, {f('z')} AS z FROM {c}x)"""
 
 
@@ -174,11 +203,14 @@ def opposite_hue(spark, d) -> DataFrame:
     return views.table(spark, d, "part").select(F.col("p_partkey").alias("id"), c[0].alias("r"), c[1].alias("g"), c[2].alias("b"))
 
 
-@query("named_colour", "WITH c AS (SELECT * FROM (VALUES ('white',255),('black',0),('red',220),('blue',30),('green',30),('yellow',240),('orange',240)) v(word, r)) SELECT p_partkey AS id, coalesce(c.r, 128) AS r, c.word IS NULL AS unknown FROM part LEFT JOIN c ON c.word = string_split(p_name, ' ')[1]")
+WORDS_SQL = ", ".join(f"('{w}', {r}, {g}, {b})" for w, (r, g, b) in scalar.PALETTE.items())
+
+
+@query("named_colour", f"WITH c AS (SELECT * FROM (VALUES {WORDS_SQL}) v(word, r, g, b)) SELECT p_partkey AS id, coalesce(c.r, 150) AS r, coalesce(c.g, 150) AS g, coalesce(c.b, 150) AS b, c.word IS NULL AS unknown FROM part LEFT JOIN c ON c.word = lower(trim(string_split(p_name, ' ')[1]))")
 def named_colour(spark, d) -> DataFrame:
     known = spark.createDataFrame([(w, *rgb) for w, rgb in scalar.PALETTE.items()], "word string, r int, g int, b int")
-    p = views.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.substring_index("p_name", " ", 1).alias("word"))
-    return p.join(F.broadcast(known), "word", "left").select("id", F.coalesce("r", F.lit(scalar.GREY[0])).alias("r"), F.col("g").isNull().alias("unknown"))
+    p = views.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lower(F.trim(F.substring_index("p_name", " ", 1))).alias("word"))
+    return p.join(F.broadcast(known), "word", "left").select("id", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in zip("rgb", scalar.GREY)], F.col("r").isNull().alias("unknown"))
 
 
 @query("gate_width", f"""WITH {views.DET} SELECT event_id, round(least(least(12.0e0 * greatest(h, 0.02e0), 0.88e0) * 0.2e0 + 0.01e0, 1.5e0 * 0.1e0), 6) AS gate FROM det""")

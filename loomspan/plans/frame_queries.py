@@ -93,30 +93,55 @@ def cut_debounce(spark, d) -> DataFrame:
     return frames.debounced(s, "clip", within=12).withColumn("n_ratio", F.round("n_ratio", 6))
 
 
-@query("camera_vote", f"""WITH {PTS}, od AS (SELECT clip, frame, lead(frame) OVER (PARTITION BY clip ORDER BY frame) AS nx FROM (SELECT DISTINCT clip, frame FROM pts)),
+VOTE = f"""{PTS}, od AS (SELECT clip, frame, lead(frame) OVER (PARTITION BY clip ORDER BY frame) AS nx FROM (SELECT DISTINCT clip, frame FROM pts)),
 a AS (SELECT pts.clip, nx AS frame, idx AS i, x, y FROM pts JOIN od USING (clip, frame) WHERE nx IS NOT NULL),
 pr AS (SELECT a.clip, a.frame, i, b.idx AS j, b.x - a.x AS dx, b.y - a.y AS dy FROM a JOIN pts b USING (clip, frame) WHERE abs(b.x - a.x) <= 0.386e0 AND abs(b.y - a.y) <= 0.386e0),
 bn AS (SELECT clip, frame, round_even(dx / (0.386e0 / 12.0e0), 0) AS bx, round_even(dy / (0.386e0 / 12.0e0), 0) AS b_y, count(*) AS v, median(dx) AS cx, median(dy) AS cy, min((i, j)) AS fst FROM pr GROUP BY ALL),
-bs AS (SELECT * FROM bn QUALIFY row_number() OVER (PARTITION BY clip, frame ORDER BY v DESC, fst) = 1)
-SELECT bs.clip, bs.frame, round(cx, 6) AS cx, round(cy, 6) AS cy, round(v / n, 6) AS support FROM bs JOIN (SELECT clip, frame, count(*) AS n FROM a GROUP BY ALL) USING (clip, frame)""")
+bs AS (SELECT * FROM bn QUALIFY row_number() OVER (PARTITION BY clip, frame ORDER BY v DESC, fst) = 1),
+vt AS (SELECT bs.clip, bs.frame, cx, cy, v / n AS support FROM bs JOIN (SELECT clip, frame, count(*) AS n FROM a GROUP BY ALL) USING (clip, frame))"""
+
+
+@query("camera_vote", f"WITH {VOTE} SELECT clip, frame, round(cx, 6) AS cx, round(cy, 6) AS cy, round(support, 6) AS support FROM vt")
 def camera_vote(spark, d) -> DataFrame:
     v = frames.camera_vote(points(spark, d), "clip")
     return v.select("clip", "frame", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "support")])
 
 
-@query("gate_pairs", f"""WITH {views.TRACKS}, t AS (SELECT trk, frame, lead(frame) OVER w AS nx, x, y, h, kit, num, row_number() OVER w AS hits FROM tracks WINDOW w AS (PARTITION BY trk ORDER BY frame)),
+@query("camera_path", f"WITH {VOTE} SELECT clip, frame, round(sum(CASE WHEN support >= 0.5e0 THEN cx ELSE 0.0e0 END) OVER w, 5) AS ox, round(sum(CASE WHEN support >= 0.5e0 THEN cy ELSE 0.0e0 END) OVER w, 5) AS oy FROM vt WINDOW w AS (PARTITION BY clip ORDER BY frame)")
+def camera_path(spark, d) -> DataFrame:
+    p = frames.camera_path(frames.camera_vote(points(spark, d), "clip"), "clip")
+    return p.select("clip", "frame", *[F.round(c, 5).alias(c) for c in ("ox", "oy")])
+
+
+PAIRS = f"""{views.TRACKS}, t AS (SELECT trk, frame, lead(frame) OVER w AS nx, x, y, h, kit, num, row_number() OVER w AS hits FROM tracks WINDOW w AS (PARTITION BY trk ORDER BY frame)),
 p AS (SELECT t.trk, b.frame, b.trk AS idx, t.hits, t.h AS th, b.h, t.kit AS tk, b.kit AS k, t.num AS tn, b.num AS n, sqrt((b.x - t.x) * (b.x - t.x) + (b.y - t.y) * (b.y - t.y)) AS dist,
-  least(12.0e0 * greatest(t.h, 0.02e0), 0.88e0) * 0.2e0 + 0.01e0 AS gate, sqrt((b.x - t.x) * {16 / 9!r}e0 * ((b.x - t.x) * {16 / 9!r}e0) + (b.y - t.y) * (b.y - t.y)) / greatest(t.h, 0.02e0) AS r FROM t JOIN tracks b ON b.frame = t.nx)
-SELECT trk, frame, idx, round(dist, 6) AS dist, round(dist * CASE WHEN tk <> k THEN 4.0e0 ELSE 1.0e0 END * CASE WHEN tn = n THEN 0.55e0 ELSE 1.0e0 END * (1.0e0 + 0.5e0 * (greatest(th, h) / greatest(least(th, h), 1e-4) - 1.0e0)), 6) AS cost
-FROM p WHERE dist <= gate AND NOT (hits >= 3 AND r > 1.2e0)""")
-def gate_pairs(spark, d) -> DataFrame:
+  least(12.0e0 * greatest(t.h, 0.02e0), 0.88e0) * 0.2e0 + 0.01e0 AS gate, sqrt((b.x - t.x) * {16 / 9!r}e0 * ((b.x - t.x) * {16 / 9!r}e0) + (b.y - t.y) * (b.y - t.y)) / greatest(t.h, 0.02e0) AS r FROM t JOIN tracks b ON b.frame = t.nx)"""
+
+
+def expected_and_seen(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Where tracks are expected in their next frame, and what that frame holds."""
     from pyspark.sql import Window
 
     t = views.tracks(spark, d)
     w = Window.partitionBy("trk").orderBy("frame")
     before = t.select("trk", F.lead("frame").over(w).alias("nx"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("h").alias("th"), F.col("kit").alias("tkit"), F.col("num").alias("tnum"), F.row_number().over(w).alias("hits")).where("nx is not null").withColumnRenamed("nx", "frame")
     now = t.select("frame", F.col("trk").alias("idx"), "x", "y", "h", "kit", "num")
-    return frames.gated_pairs(before, now, ["frame"], 0.2).select("trk", "frame", "idx", F.round("dist", 6).alias("dist"), F.round("cost", 6).alias("cost"))
+    return before, now
+
+
+@query("gate_pairs", f"""WITH {PAIRS}
+SELECT trk, frame, idx, round(dist, 6) AS dist, round(dist * CASE WHEN tk <> k THEN 4.0e0 ELSE 1.0e0 END * CASE WHEN tn = n THEN 0.55e0 ELSE 1.0e0 END * (1.0e0 + 0.5e0 * (greatest(th, h) / greatest(least(th, h), 1e-4) - 1.0e0)), 6) AS cost
+FROM p WHERE dist <= gate AND NOT (hits >= 3 AND r > 1.2e0)""")
+def gate_pairs(spark, d) -> DataFrame:
+    return frames.gated_pairs(*expected_and_seen(spark, d), ["frame"], 0.2).select("trk", "frame", "idx", F.round("dist", 6).alias("dist"), F.round("cost", 6).alias("cost"))
+
+
+@query("association_costs", f"""WITH {PAIRS}, m AS (SELECT *, dist <= gate AS g, CASE WHEN dist <= gate AND tk <> k THEN 4.0e0 ELSE 1.0e0 END AS km, CASE WHEN dist <= gate AND tn = n THEN 0.55e0 ELSE 1.0e0 END AS nm,
+ CASE WHEN dist <= gate THEN 1.0e0 + 0.5e0 * (greatest(th, h) / greatest(least(th, h), 1e-4) - 1.0e0) ELSE 1.0e0 END AS hm FROM p)
+SELECT trk, frame, idx, round(dist, 5) AS dist, round(gate, 5) AS gate, g AS in_gate, km AS kit_mul, nm AS num_mul, round(hm, 5) AS h_mul, round(CASE WHEN g AND NOT (hits >= 3 AND r > 1.2e0) THEN dist * km * nm * hm END, 5) AS cost FROM m""")
+def association_costs(spark, d) -> DataFrame:
+    p = frames.association_costs(*expected_and_seen(spark, d), ["frame"], 0.2)
+    return p.select("trk", "frame", "idx", *[F.round(c, 5).alias(c) for c in ("dist", "gate")], "in_gate", "kit_mul", "num_mul", *[F.round(c, 5).alias(c) for c in ("h_mul", "cost")])
 
 
 PLANE = PTS + ", pl AS (SELECT clip, frame, count(*) AS n, regr_slope(y, h) AS slope, regr_intercept(y, h) AS intercept, regr_r2(y, h) AS r2, max(h) - min(h) AS span FROM pts GROUP BY ALL), pu AS (SELECT *, n >= 6 AND span >= 1e-3 AND coalesce(r2 >= 0.55e0, false) AS usable FROM pl)"

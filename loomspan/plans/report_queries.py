@@ -107,16 +107,12 @@ def spec_parse(spark, d) -> DataFrame:
     return reports.parsed_spec(rows, "spec", ["v1", "v2", "v3"]).drop("spec")
 
 
-@query("arm_rotation", f"WITH {D}, f AS (SELECT frame, row_number() OVER (ORDER BY frame) - 1 AS i FROM (SELECT DISTINCT frame FROM det WHERE clip = 0)), a AS (SELECT * FROM (VALUES ('A', 0), ('B', 1), ('C', 2)) v(arm, j)) SELECT frame, arm, (j - i % 3 + 3) % 3 AS slot FROM f, a")
-def arm_rotation(spark, d) -> DataFrame:
-    from pyspark.sql import Window
-
-    f = views.det(spark, d).where("clip = 0").select("clip", "frame").distinct().withColumn("i", F.row_number().over(Window.partitionBy("clip").orderBy("frame")) - 1)
-    return reports.rotated_arms(f, spark.createDataFrame([("A", 0), ("B", 1), ("C", 2)], "arm string, j int"), 3).select("frame", "arm", F.col("slot").cast("long").alias("slot"))
+ROTATION = f"WITH {D}, f AS (SELECT clip, frame, row_number() OVER (PARTITION BY clip ORDER BY frame) - 1 AS i FROM (SELECT DISTINCT clip, frame FROM det)), a AS (SELECT * FROM (VALUES ('A', 0), ('B', 1), ('C', 2)) v(arm, j)) SELECT clip, frame, arm, (j - i % 3 + 3) % 3 AS slot FROM f, a"
 
 
-@query("arm_rotation_clips", f"WITH {D}, f AS (SELECT clip, frame, row_number() OVER (PARTITION BY clip ORDER BY frame) - 1 AS i FROM (SELECT DISTINCT clip, frame FROM det)), a AS (SELECT * FROM (VALUES ('A', 0), ('B', 1), ('C', 2)) v(arm, j)) SELECT clip, frame, arm, (j - i % 3 + 3) % 3 AS slot FROM f, a")
-def arm_rotation_clips(spark, d) -> DataFrame:
+@query("arm_rotation_clips", ROTATION)
+@query("arm_rotation", ROTATION)
+def arm_rotation(spark, d) -> DataFrame:
     from pyspark.sql import Window
 
     f = views.det(spark, d).select("clip", "frame").distinct().withColumn("i", F.row_number().over(Window.partitionBy("clip").orderBy("frame")) - 1)
@@ -164,10 +160,50 @@ def run_comparison(spark, d) -> DataFrame:
     return a.join(r.where("clip > 0").groupBy("clip").agg(F.countDistinct("trk").alias("after")), "clip", "full")
 
 
-@query("log_join", f"WITH {C}, t AS (SELECT arm, count(*) AS calls FROM calls GROUP BY arm), o AS (SELECT l_returnflag AS arm, count(DISTINCT l_orderkey) AS documents FROM lineitem GROUP BY 1) SELECT * FROM t JOIN o USING (arm)")
+@query("log_join", f"WITH {C}, {D}, t AS (SELECT submitted AS clip, count(*) AS calls, count(*) FILTER (WHERE ok) AS good, round(sum(cost_usd), 2) AS cost FROM calls GROUP BY submitted), o AS (SELECT CAST(clip AS BIGINT) AS clip, count(*) AS detections, count(DISTINCT frame) AS frames FROM det GROUP BY clip) SELECT * FROM t JOIN o USING (clip)")
 def log_join(spark, d) -> DataFrame:
-    o = views.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("arm")).agg(F.countDistinct("l_orderkey").alias("documents"))
-    return views.calls(spark, d).groupBy("arm").agg(F.count("*").alias("calls")).join(o, "arm")
+    """The call log against the detections that came of it, by clip (calls are submitted a clip at a time); both are counted before they meet."""
+    t = views.calls(spark, d).groupBy(F.col("submitted").alias("clip")).agg(F.count("*").alias("calls"), F.count_if("ok").alias("good"), F.round(F.sum("cost_usd"), 2).alias("cost"))
+    o = views.det(spark, d).groupBy(F.col("clip").cast("long").alias("clip")).agg(F.count("*").alias("detections"), F.countDistinct("frame").alias("frames"))
+    return t.join(o, "clip")
+
+
+@query("tier_by_date", f"WITH {C} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, tier, count(*) AS calls FROM calls GROUP BY ALL")
+def tier_by_date(spark, d) -> DataFrame:
+    return views.calls(spark, d).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "tier").agg(F.count("*").alias("calls"))
+
+
+@query("submission_order", f"WITH {C} SELECT arm, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, call_id, row_number() OVER (PARTITION BY arm, CAST(ts AS DATE) ORDER BY submitted, call_id) - 1 AS place, row_number() OVER (PARTITION BY arm, CAST(ts AS DATE) ORDER BY latency_s, call_id) - 1 AS landed_place FROM calls")
+def submission_order(spark, d) -> DataFrame:
+    """Results of a pool (an arm on a day) by the order of submission, whatever the order in which they came back."""
+    c = views.calls(spark, d).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    out = reports.submission_places(c, ["arm", "day"], ["submitted", "call_id"], ["latency_s", "call_id"])
+    return out.select("arm", "day", "call_id", *[F.col(p).cast("long").alias(p) for p in ("place", "landed_place")])
+
+
+@query("pinned_models", "SELECT DISTINCT l_suppkey AS model FROM lineitem")
+def pinned_models(spark, d) -> DataFrame:
+    """Models of a run, every one of which must have a convention: the query ends with an error where one has none."""
+    used = views.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("model")).distinct()
+    return reports.all_pinned(used, views.table(spark, d, "supplier").select(F.col("s_suppkey").alias("model")), "model")
+
+
+@query("catalogue_flatten", """SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, CASE WHEN p_size % 7 = 0 THEN [] WHEN p_size % 3 = 0 THEN ['text', 'image'] ELSE ['text'] END AS modalities,
+ CASE WHEN p_size % 4 = 0 THEN p_size * 2000 ELSE p_size * 1000 END AS context, CASE WHEN p_size % 5 <> 0 THEN p_size * 100 END AS max_output,
+ round(coalesce(TRY_CAST(CASE WHEN p_partkey % 41 = 0 THEN 'n/a' ELSE CAST(p_size AS VARCHAR) || 'e-7' END AS DOUBLE), 0) * 1e6, 6) AS in_per_m, round(p_size * 4e-7 * 1e6, 6) AS out_per_m,
+ p_partkey % 3 = 0 AS structured, p_partkey % 3 = 1 AS reasoning, p_partkey % 2 = 0 AS moderated FROM part""")
+def catalogue_flatten(spark, d) -> DataFrame:
+    """A nested catalogue (made of parts, with missing branches and prices that can't be read) as flat rows."""
+    p = views.table(spark, d, "part").select(
+        F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.lit(0).cast("long").alias("created"),
+        F.expr("if(p_size % 7 = 0, null, named_struct('input_modalities', if(p_size % 3 = 0, array('text', 'image'), array('text')), 'output_modalities', array('text')))").alias("architecture"),
+        F.expr("cast(if(p_size % 4 = 0, 0, p_size * 1000) as bigint)").alias("context_length"),
+        F.expr("named_struct('context_length', cast(p_size * 2000 as bigint), 'max_completion_tokens', if(p_size % 5 = 0, null, cast(p_size * 100 as bigint)), 'is_moderated', if(p_partkey % 2 = 0, true, null))").alias("top_provider"),
+        F.expr("named_struct('prompt', if(p_partkey % 41 = 0, 'n/a', concat(p_size, 'e-7')), 'completion', cast(p_size * 4e-7D as string), 'image', cast(null as string))").alias("pricing"),
+        F.expr("case p_partkey % 3 when 0 then array('structured_outputs', 'tools') when 1 then array('include_reasoning') end").alias("supported_parameters"),
+    )
+    flat = reports.flattened(p)
+    return flat.select("id", "name", "modalities", "context", "max_output", F.round("in_per_m", 6).alias("in_per_m"), F.round("out_per_m", 6).alias("out_per_m"), "structured", "reasoning", "moderated")
 
 
 @query("set_operations", f"WITH {views.TRACKS}, a AS (SELECT DISTINCT trk FROM tracks WHERE conf >= 0.9e0), b AS (SELECT DISTINCT trk FROM tracks WHERE num IS NOT NULL AND frame % 5 = 0) SELECT 'both' AS part, trk FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'unclaimed', trk FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'all', trk FROM (SELECT * FROM a UNION SELECT * FROM b)")

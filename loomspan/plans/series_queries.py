@@ -47,27 +47,36 @@ def confirmed_sightings(spark, d) -> DataFrame:
     return series.confirmed(views.tracks(spark, d), ["trk"], 4).select("trk", "frame")
 
 
-SEG = """sf AS (SELECT *, CASE WHEN frame - lag(frame) OVER w > 15 OR (frame - lag(frame) OVER w > 8 AND sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) > 0.02e0 * (frame - lag(frame) OVER w)) THEN 1 ELSE 0 END AS nw
- FROM tracks WINDOW w AS (PARTITION BY trk ORDER BY frame)), sg AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY trk ORDER BY frame) AS BIGINT) AS seg FROM sf)"""
+def seg_sql(key: str = "trk") -> str:
+    return f"""sf AS (SELECT *, CASE WHEN frame - lag(frame) OVER w > 15 OR (frame - lag(frame) OVER w > 8 AND sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) > 0.02e0 * (frame - lag(frame) OVER w)) THEN 1 ELSE 0 END AS nw
+ FROM (SELECT *, CAST(frame // {views.CLIP_FRAMES} AS INTEGER) AS clip FROM tracks) WINDOW w AS (PARTITION BY {key} ORDER BY frame)), sg AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY {key} ORDER BY frame) AS BIGINT) AS seg FROM sf)"""
 
 
-def segments(spark, d) -> DataFrame:
-    return series.segmented(views.tracks(spark, d), ["trk"], max_gap=15, step=8, speed=0.02)
+def by_clip(spark, d) -> DataFrame:
+    return views.tracks(spark, d).withColumn("clip", F.expr(f"int(frame div {views.CLIP_FRAMES})"))
 
 
-@query("segment_gaps", f"WITH {T}, {SEG} SELECT trk, frame, seg FROM sg")
+def segments(spark, d, keys: tuple[str, ...] = ("trk",)) -> DataFrame:
+    return series.segmented(by_clip(spark, d), list(keys), max_gap=15, step=8, speed=0.02)
+
+
+@query("segment_gaps", f"WITH {T}, {seg_sql()} SELECT trk, frame, seg FROM sg")
 def segment_gaps(spark, d) -> DataFrame:
     return segments(spark, d).select("trk", "frame", "seg")
 
 
-GRID = SEG + """,
-g1 AS (SELECT *, lead(frame) OVER w AS f2, lead(x) OVER w AS x2, lead(y) OVER w AS y2, count(*) OVER (PARTITION BY trk, seg) AS n FROM sg WINDOW w AS (PARTITION BY trk, seg ORDER BY frame)),
-g2 AS (SELECT *, unnest(range(frame, greatest(CASE WHEN f2 IS NULL THEN least(frame + 2, 719) ELSE f2 - 1 END, frame) + 1)) AS g FROM g1 WHERE n >= 2),
-gr AS (SELECT trk, seg, CAST(g AS INTEGER) AS frame, CASE WHEN f2 IS NULL OR g = frame THEN x ELSE x + (x2 - x) * ((g - frame) / (f2 - frame)) END AS x, CASE WHEN f2 IS NULL OR g = frame THEN y ELSE y + (y2 - y) * ((g - frame) / (f2 - frame)) END AS y FROM g2)"""
+def grid_sql(key: str = "trk") -> str:
+    return seg_sql(key) + f""",
+g1 AS (SELECT *, lead(frame) OVER w AS f2, lead(x) OVER w AS x2, lead(y) OVER w AS y2, count(*) OVER (PARTITION BY {key}, seg) AS n FROM sg WINDOW w AS (PARTITION BY {key}, seg ORDER BY frame)),
+g2 AS (SELECT *, unnest(range(frame, greatest(CASE WHEN f2 IS NULL THEN least(frame + 2, (SELECT max(frame) FROM tracks)) ELSE f2 - 1 END, frame) + 1)) AS g FROM g1 WHERE n >= 2),
+gr AS (SELECT {key}, seg, CAST(g AS INTEGER) AS frame, CASE WHEN f2 IS NULL OR g = frame THEN x ELSE x + (x2 - x) * ((g - frame) / (f2 - frame)) END AS x, CASE WHEN f2 IS NULL OR g = frame THEN y ELSE y + (y2 - y) * ((g - frame) / (f2 - frame)) END AS y FROM g2)"""
+
+
+GRID = grid_sql()
 
 
-def grid(spark, d) -> DataFrame:
-    return series.on_grid(segments(spark, d), ["trk", "seg"], 3, 720)
+def grid(spark, d, keys: tuple[str, ...] = ("trk",)) -> DataFrame:
+    return series.on_grid(segments(spark, d, keys), [*keys, "seg"], 3)
 
 
 @query("interpolate_grid", f"WITH {T}, {GRID} SELECT trk, seg, frame, round(x, 6) AS x, round(y, 6) AS y FROM gr")
@@ -94,20 +103,19 @@ def damped_follow(spark, d) -> DataFrame:
     return rounded(series.damped(g, ["trk", "seg"], 1 / 30, 0.10), "x", "y")
 
 
-CUTS = "cu AS (SELECT DISTINCT frame FROM det WHERE frame % 90 = 45)"
+CUTS = "cu AS (SELECT DISTINCT clip, frame FROM det WHERE frame % 90 = 45)"
 
 
 def cuts(spark, d) -> DataFrame:
     return views.det(spark, d).where("frame % 90 = 45").select("clip", "frame").distinct()
 
 
-@query("fade_profile", f"""WITH {T}, {GRID}, {CUTS}, e AS (SELECT trk, seg, frame, min(frame) OVER w AS f0, max(frame) OVER w AS f1 FROM gr WINDOW w AS (PARTITION BY trk, seg))
-SELECT trk, seg, frame, round(least(CASE WHEN EXISTS (SELECT 1 FROM cu WHERE f0 - cu.frame BETWEEN 0 AND 4) THEN 1.0e0 ELSE least(1.0e0, (frame - f0) / 9.0e0) END,
-  CASE WHEN EXISTS (SELECT 1 FROM cu WHERE cu.frame - f1 BETWEEN 0 AND 4) THEN 1.0e0 ELSE least(1.0e0, (f1 - frame) / 9.0e0) END), 6) AS fade FROM e""")
+@query("fade_profile", f"""WITH {T}, {grid_sql('clip, trk')}, {CUTS}, e AS (SELECT clip, trk, seg, frame, min(frame) OVER w AS f0, max(frame) OVER w AS f1 FROM gr WINDOW w AS (PARTITION BY clip, trk, seg))
+SELECT clip, trk, seg, frame, round(least(CASE WHEN EXISTS (SELECT 1 FROM cu WHERE cu.clip = e.clip AND f0 - cu.frame BETWEEN 0 AND 4) THEN 1.0e0 ELSE least(1.0e0, (frame - f0) / 9.0e0) END,
+  CASE WHEN EXISTS (SELECT 1 FROM cu WHERE cu.clip = e.clip AND cu.frame - f1 BETWEEN 0 AND 4) THEN 1.0e0 ELSE least(1.0e0, (f1 - frame) / 9.0e0) END), 6) AS fade FROM e""")
 def fade_profile(spark, d) -> DataFrame:
-    g = grid(spark, d).withColumn("match", F.lit(1))
-    marks = cuts(spark, d).select(F.lit(1).alias("match"), "frame")
-    return rounded(series.faded(g, ["trk", "seg"], "match", marks, 9.0, 3).select("trk", "seg", "frame", "fade"), "fade")
+    g = grid(spark, d, ("clip", "trk"))
+    return rounded(series.faded(g, ["clip", "trk", "seg"], "clip", cuts(spark, d), 9.0, 3).select("clip", "trk", "seg", "frame", "fade"), "fade")
 
 
 @query("ball_flat_filter", f"WITH {B}, m AS (SELECT clip, quantile_cont(h, 0.5) AS m, count(*) AS n FROM ball GROUP BY clip) SELECT clip, frame FROM ball JOIN m USING (clip) WHERE n < 8 OR h >= 0.65e0 * m")
@@ -115,11 +123,11 @@ def ball_flat_filter(spark, d) -> DataFrame:
     return series.without_flat(views.ball(spark, d), "clip").select("clip", "frame")
 
 
-SCALE = "fs AS (SELECT clip, frame, list_sort(list(h))[count(*) // 2 + 1] AS scale FROM det WHERE frame % 3 <> 0 GROUP BY clip, frame HAVING count(*) >= 4)"
+SCALE = "fs AS (SELECT clip, frame, list_sort(list(h))[count(*) // 2 + 1] AS scale FROM det GROUP BY clip, frame HAVING count(*) >= 4)"
 
 
 def scaled(spark, d) -> DataFrame:
-    s = series.frame_scale(views.det(spark, d).where("frame % 3 <> 0"), ["clip", "frame"])
+    s = series.frame_scale(views.det(spark, d), ["clip", "frame"])
     return series.nearest_scale(views.ball(spark, d), s, "clip", 5)
 
 
@@ -136,25 +144,26 @@ def ball_fixed_point(spark, d) -> DataFrame:
     return series.ball_fixed_point(scaled(spark, d), "clip", 2.0, 2).select("clip", "frame", *[F.round(c, 6).alias(c) for c in "xywh"])
 
 
-@query("ball_bridge", f"""WITH {B}, {CUTS}, k AS (SELECT clip, frame, x, y, w, h FROM ball WHERE frame % 4 < 2),
-n AS (SELECT *, lead(frame) OVER w AS f2, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(h) OVER w AS h2 FROM k WINDOW w AS (PARTITION BY clip ORDER BY frame)),
-l AS (SELECT clip, CAST(unnest(range(frame + 1, f2)) AS INTEGER) AS g, * FROM n WHERE f2 - frame <= 4 AND NOT EXISTS (SELECT 1 FROM cu WHERE cu.frame > n.frame AND cu.frame <= f2)),
-e AS (SELECT clip, frame, x, y, h, 0 AS p, frame AS o FROM k UNION ALL
+@query("ball_bridge", f"""WITH {B}, {CUTS},
+n AS (SELECT *, lead(frame) OVER w AS f2, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(h) OVER w AS h2 FROM ball WINDOW w AS (PARTITION BY clip ORDER BY frame)),
+l AS (SELECT clip, CAST(unnest(range(frame + 1, f2)) AS INTEGER) AS g, * FROM n WHERE f2 - frame <= 4 AND NOT EXISTS (SELECT 1 FROM cu WHERE cu.clip = n.clip AND cu.frame > n.frame AND cu.frame <= f2)),
+e AS (SELECT clip, frame, x, y, h, 0 AS p, frame AS o FROM ball UNION ALL
  SELECT clip, g, x + (x2 - x) * ((g - frame) / (f2 - frame)), y + (y2 - y) * ((g - frame) / (f2 - frame)), h + (h2 - h) * ((g - frame) / (f2 - frame)), 1, frame FROM l UNION ALL
- SELECT k.clip, k.frame + j, x, y, h, 2, k.frame FROM k, (VALUES (1), (2)) v(j) WHERE k.frame + j < 720 AND NOT EXISTS (SELECT 1 FROM cu WHERE cu.frame > k.frame AND cu.frame <= k.frame + j))
+ SELECT k.clip, k.frame + j, x, y, h, 2, k.frame FROM ball k, (VALUES (1), (2)) v(j) WHERE k.frame + j <= (SELECT max(frame) FROM det) AND NOT EXISTS (SELECT 1 FROM cu WHERE cu.clip = k.clip AND cu.frame > k.frame AND cu.frame <= k.frame + j))
 SELECT clip, frame, round(x, 6) AS x, round(y, 6) AS y, round(h, 6) AS h, ['exact', 'bridge', 'hold'][p + 1] AS kind FROM e QUALIFY row_number() OVER (PARTITION BY clip, frame ORDER BY p, o) = 1""")
 def ball_bridge(spark, d) -> DataFrame:
-    some = views.ball(spark, d).where("frame % 4 < 2")
-    return rounded(series.bridged(some, cuts(spark, d), "clip", 4, 3, 720).select("clip", "frame", "x", "y", "h", "kind"), "x", "y", "h")
+    last = series.last_frame(views.det(spark, d))
+    return rounded(series.bridged(views.ball(spark, d), cuts(spark, d), "clip", 4, 3, last).select("clip", "frame", "x", "y", "h", "kind"), "x", "y", "h")
 
 
-@query("crosses_cut", f"WITH {T}, {CUTS}, n AS (SELECT trk, frame, lead(frame) OVER (PARTITION BY trk ORDER BY frame) AS f2 FROM tracks) SELECT trk, frame, f2, EXISTS (SELECT 1 FROM cu WHERE cu.frame > n.frame AND cu.frame <= f2) AS crossed FROM n WHERE f2 IS NOT NULL")
-def crosses_cut(spark, d) -> DataFrame:
-    from pyspark.sql import Window
+@query("ball_confidence", f"WITH {B} SELECT clip, frame, round(conf, 6) AS conf, conf < 0.82e0 AS low_conf FROM ball")
+def ball_confidence(spark, d) -> DataFrame:
+    return rounded(series.confident(views.ball(spark, d), 0.82).select("clip", "frame", "conf", "low_conf"), "conf")
+
 
-    n = views.tracks(spark, d).select("trk", "frame", F.lead("frame").over(Window.partitionBy("trk").orderBy("frame")).alias("f2")).where("f2 is not null")
-    marks = cuts(spark, d).agg(F.collect_set("frame").alias("_cuts"))
-    return n.join(F.broadcast(marks)).select("trk", "frame", "f2", F.expr("exists(_cuts, c -> c > frame and c <= f2)").alias("crossed"))
+@query("crosses_cut", f"WITH {T}, {CUTS}, c AS (SELECT trk, frame, CAST(frame // {views.CLIP_FRAMES} AS INTEGER) AS clip FROM tracks), n AS (SELECT clip, trk, frame, lead(frame) OVER (PARTITION BY clip, trk ORDER BY frame) AS f2 FROM c) SELECT clip, trk, frame, f2, EXISTS (SELECT 1 FROM cu WHERE cu.clip = n.clip AND cu.frame > n.frame AND cu.frame <= f2) AS crossed FROM n WHERE f2 IS NOT NULL")
+def crosses_cut(spark, d) -> DataFrame:
+    return series.crossing(by_clip(spark, d).select("clip", "trk", "frame"), ["trk"], "clip", cuts(spark, d)).select("clip", "trk", "frame", "f2", "crossed")
 
 
 @query("drawn_tracks", f"WITH {T} SELECT trk, count(*) AS observations, min(frame) AS f0, max(frame) AS f1 FROM tracks GROUP BY trk HAVING count(*) >= 4")

@@ -25,6 +25,9 @@ reasoning_tokens double, cost_usd double, provider string, retries int, retry_wa
 PROBES = """probe string, width int, jpeg_bytes long, wire_bytes long, n int, ttfb_s double, first_byte_s double, first_data_s double, first_content_s double, total_s double, total_min_s double,
 total_max_s double, wall_s double, slowest_s double, median_s double, fastest_s double, ok int, fail int, max_tokens int, prompt_tokens double, completion_tokens double, reasoning_tokens double"""
 
+CATALOGUE = """id string, name string, created long, architecture struct<input_modalities:array<string>,output_modalities:array<string>>, context_length long,
+top_provider struct<context_length:long,max_completion_tokens:long,is_moderated:boolean>, pricing struct<prompt:string,completion:string,image:string>, supported_parameters array<string>"""
+
 #: What a clip, a model's prices and its coordinate convention are called: relations that are part of a run's setup.
 CLIP_COLUMNS = "clip string, source string, start_s double, length_s double"
 PRICE_COLUMNS = "model string, in_per_m double, out_per_m double"
@@ -88,6 +91,44 @@ def read_probes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PROBES).json(path).where("probe is not null")
 
 
+def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """Models of a provider's catalogue (a document with them in ``data``), still nested."""
+    return spark.read.schema(f"data array<struct<{CATALOGUE.replace(' struct', ':struct').replace(' array', ':array').replace(' string', ':string').replace(' long', ':long')}>>").option("multiLine", True).json(path).select(F.inline("data"))
+
+
+def track_documents(runs: DataFrame, players: DataFrame, cuts: DataFrame | None = None, identities: DataFrame | None = None, balls: DataFrame | None = None, keys: tuple[str, ...] = ("clip",)) -> DataFrame:
+    """One row a clip in the shape that :func:`read_tracks` reads: facts of the run, cuts, identities, and every frame with
+    its players (by track) and its ball.
+
+    runs: keys and any of the top-level facts; players: keys, frame, track, and any fields of a player; cuts: keys, frame and any fields of a
+    cut; identities: keys, id and any fields of an identity; balls: keys, frame, x, y, w, h. A clip's document is one row, so a clip
+    bounds what one task holds.
+    """
+    fields = [c for c in players.columns if c not in (*keys, "frame")]
+    order = ["track", *[c for c in fields if c != "track"]]
+    rows = players.groupBy(*keys, "frame").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("players"))
+    if balls is not None:
+        rows = rows.join(balls.select(*keys, "frame", F.struct("x", "y", "w", "h").alias("ball")), [*keys, "frame"], "full").withColumn("players", F.coalesce("players", F.array().cast(rows.schema["players"].dataType)))
+    frames = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("frame", "players", *(["ball"] if balls is not None else [])))).alias("frames"))
+    out = runs.join(frames, list(keys), "left")
+    if cuts is not None:
+        out = out.join(cuts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("frame", *[c for c in cuts.columns if c not in (*keys, "frame")]))).alias("cuts")), list(keys), "left")
+    if identities is not None:
+        rest = [c for c in identities.columns if c not in (*keys, "id")]
+        out = out.join(identities.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", F.struct(*rest).alias("v"))))).alias("identities")), list(keys), "left")
+    return out
+
+
+def write_tracks(documents: DataFrame, path: str) -> None:
+    """A JSON file for each document."""
+    documents.write.option("maxRecordsPerFile", 1).json(path)
+
+
+def write_costs(pairs: DataFrame, path: str, clip: str | None = None) -> None:
+    """The audit of an association as JSON lines, by clip where there is one."""
+    (pairs.write.partitionBy(clip) if clip else pairs.write).json(path)
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 

@@ -134,8 +134,12 @@ def test_labels_make_room(spark):
     assert got.y.tolist() == [50.0, 35.0, 20.0] and not got.unresolved.any()
 
 
-@pytest.mark.parametrize(("n", "label"), [(0, "I"), (3, "IV"), (8, "IX"), (1993, "MCMXCIV"), (3998, "MMMCMXCIX")])
+@pytest.mark.parametrize(("n", "label"), [(0, "I"), (3, "IV"), (8, "IX"), (1993, "MCMXCIV"), (3998, "MMMCMXCIX"), (3999, None), (18277, None), (18278, None), (475254, None), (2**40, None)])
 def test_roman(spark, n, label):
+    if n > 3998:
+        label, m = "", n
+        while m >= 0:
+            label, m = chr(97 + m % 26) + label, m // 26 - 1
     assert spark.range(1).select(scalar.roman(F.lit(n)).alias("r")).first()["r"] == label
 
 
@@ -198,3 +202,75 @@ def test_logs_and_sinks(spark, tmp_path):
         documents.rewritten(rows, str(tmp_path / "d"), str(tmp_path / "d"))
     (tmp_path / "i.bin").write_bytes(b"abc")
     assert documents.encoded_images(spark, str(tmp_path / "i.bin")).first()["payload"] == "YWJj"
+
+
+def test_repeated_boxes_are_passed_over(spark):
+    """A frame that is one box fifteen times is no cut: tracks coast over it."""
+    rows = []
+    for f in range(20):
+        if f == 10:
+            rows += [(0, f, i, 0.8, 0.8, 0.05, 0.1, 0.9, "red", None) for i in range(15)]
+        else:
+            rows += [(0, f, i, 0.1 + 0.15 * i, 0.5, 0.04, 0.12, 0.9, "red", None) for i in range(6)]
+    df = spark.createDataFrame(rows, BOX)
+    marked = boxes.deduped(df, ["clip", "frame"], carry=("kit", "num"), mark=True)
+    got = tracker.track_clips(marked).toPandas()
+    assert got.trk.nunique() == 6 and (got.groupby("trk").size() == 19).all()
+    plain = tracker.track_clips(boxes.deduped(df, ["clip", "frame"], carry=("kit", "num"))).toPandas()
+    assert plain.trk.nunique() > 6
+
+
+def test_spacing_narrows_the_gate(spark):
+    rows = [(0, f, i, 0.1 + 0.15 * i + (0.02 * f if i == 5 else 0.0), 0.5, 0.04, 0.12, 0.9, "red", None) for f in range(8) for i in range(6)]
+    df = spark.createDataFrame(rows, BOX)
+    wide = tracker.track_clips(df).toPandas()
+    narrow = tracker.track_clips(df.withColumn("spacing", F.lit(0.01))).toPandas()
+    assert wide.trk.nunique() == 6 and narrow.trk.nunique() == 5
+
+
+def test_refusals(spark):
+    used = spark.createDataFrame([("a",), ("b",)], "model string")
+    pins = spark.createDataFrame([("a",)], "model string")
+    assert reports.all_pinned(used.limit(1), pins, "model").count() == 1
+    with pytest.raises(Exception, match="b has no pinned coordinate convention"):
+        reports.all_pinned(used, pins, "model").collect()
+    with pytest.raises(Exception, match="unknown version"):
+        reports.parsed_spec(spark.createDataFrame([("m:v9",)], "spec string"), "spec", ["v1"], refuse=True).collect()
+
+
+def test_ball_off_the_scale(spark):
+    rows = [(0, 0.5, 0.5, 0.01, 0.01), (1, 945.0, 0.5, 0.01, 0.01), (2, 0.5, None, 0.01, 0.01), (3, 0.5, 0.5, None, None), (4, None, None, None, None)]
+    got = boxes.ball_in_range(spark.createDataFrame(rows, "frame int, x double, y double, w double, h double")).orderBy("frame").collect()
+    assert [(r["x"] is not None, r["ball_dropped"]) for r in got] == [(True, False), (False, True), (False, True), (True, False), (False, False)]
+
+
+def test_track_documents_are_read_back(spark, tmp_path):
+    players = spark.createDataFrame([("c", f, t, f"p{t}", 0.1 * t, 0.5, 0.05, 0.1) for f in range(3) for t in (2, 1)] + [("d", 0, 1, "p1", 0.1, 0.5, 0.05, 0.1)], "clip string, frame int, track int, id string, x double, y double, w double, h double")
+    runs = spark.createDataFrame([("c", "m", "t", 10, 30, 3), ("d", "m", "t", 10, 30, 1)], "clip string, model string, tag string, fps_sampled int, source_fps int, n_frames int")
+    cuts = spark.createDataFrame([("c", 2, 0.6, 5)], "clip string, frame int, h_ratio double, d_n int")
+    ids = spark.createDataFrame([("c", "p1", "A", "red", "7", "read")], "clip string, id string, team string, kit string, number string, number_source string")
+    balls = spark.createDataFrame([("c", 1, 0.5, 0.5, 0.01, 0.01), ("c", 7, 0.4, 0.5, 0.01, 0.01)], "clip string, frame int, x double, y double, w double, h double")
+    docs = documents.track_documents(runs, players, cuts, ids, balls)
+    documents.write_tracks(docs.repartition(1), str(tmp_path / "t"))
+    got = {r["clip"]: r for r in documents.read_tracks(spark, str(tmp_path / "t")).collect()}
+    assert set(got) == {"c", "d"} and got["c"]["n_frames"] == 3
+    assert [(f["frame"], [p["track"] for p in f["players"] or []]) for f in got["c"]["frames"]] == [(0, [1, 2]), (1, [1, 2]), (2, [1, 2]), (7, [])]
+    assert got["c"]["frames"][1]["ball"]["x"] == 0.5 and got["c"]["cuts"][0]["frame"] == 2
+    assert got["c"]["identities"]["p1"]["number"] == "7"
+
+
+def test_cost_sink_and_catalogue_source(spark, tmp_path):
+    pairs = spark.createDataFrame([(0, 1, 2, 0.1)], "clip int, trk int, idx int, cost double")
+    documents.write_costs(pairs, str(tmp_path / "costs"), "clip")
+    assert spark.read.json(str(tmp_path / "costs")).first()["cost"] == 0.1
+    (tmp_path / "models.json").write_text(json.dumps({"data": [{"id": "m", "name": "n", "created": 1, "architecture": {"input_modalities": ["text", "image"]}, "pricing": {"prompt": "0.000001", "completion": "n/a"}, "supported_parameters": ["tools", "reasoning"], "top_provider": {"context_length": 9}}, {"id": "bare"}]}, indent=1))
+    got = {r["id"]: r for r in reports.flattened(documents.read_catalogue(spark, str(tmp_path / "models.json"))).collect()}
+    assert (got["m"]["modalities"], got["m"]["in_per_m"], got["m"]["out_per_m"], got["m"]["context"], got["m"]["tools"], got["m"]["reasoning"]) == (["text", "image"], 1.0, 0.0, 9, True, True)
+    assert (got["bare"]["modalities"], got["bare"]["structured"], got["bare"]["per_image"]) == ([], False, None)
+
+
+def test_last_frame_comes_from_the_data(spark):
+    rows = [(1, 790, 0.1, 0.1, 0.05, 0.1), (1, 795, 0.2, 0.1, 0.05, 0.1), (2, 796, 0.2, 0.1, 0.05, 0.1)]
+    s = series.segmented(spark.createDataFrame(rows, SERIES), ["k"], 10, 4, 9.0)
+    got = series.on_grid(s, ["k", "seg"], 3)
+    assert sorted(r["frame"] for r in got.collect()) == list(range(790, 797))

@@ -47,7 +47,54 @@ def test_agrees_with_sql(spark, db, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_returns_rows(spark, name):
-    assert len(QUERIES[name](spark, SF).limit(5).toPandas()) >= 0
+    assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_tracks_keep_their_rules(spark):
+    """One detection a track and frame, one track a detection, enough hits, and no step beyond the gate."""
+    got = QUERIES["track_clip"](spark, SF).toPandas()
+    assert not got.duplicated(["clip", "trk", "frame"]).any()
+    assert not got.duplicated(["clip", "frame", "x", "y", "w", "h", "kit"]).any()
+    assert (got.groupby(["clip", "trk"]).size() >= 3).all()
+    assert (got.groupby(["clip", "trk"])["kit"].nunique() == 1).all()
+    s = got.sort_values(["clip", "trk", "frame"])
+    s["before"] = s.groupby(["clip", "trk"])["frame"].shift()
+    seen = s.groupby("clip")["frame"].agg(lambda f: np.unique(f))
+    for r in s[s["frame"] - s["before"] > 7].itertuples():  # a track ends at the first frame that comes over 0.6 s after its last detection
+        between = seen[r.clip][(seen[r.clip] > r.before + 6) & (seen[r.clip] < r.frame)]
+        assert not len(between)
+    drawn = QUERIES["track_pipeline"](spark, SF).toPandas()
+    assert not drawn.duplicated(["clip", "trk", "seg", "frame"]).any()
+    runs = drawn.groupby(["clip", "trk", "seg"])["frame"].agg(["min", "max", "size"])
+    assert (runs["max"] - runs["min"] + 1 == runs["size"]).all()  # every frame of a stretch is there
+    named = QUERIES["identity_labels"](spark, SF).toPandas()
+    assert not named.duplicated(["clip", "trk"]).any() and named["label"].notna().all()
+    first = named[named["number_source"] == "read"]
+    lives = got.groupby(["clip", "trk"])["frame"].agg(["min", "max"]).reset_index().merge(first, on=["clip", "trk"])
+    for _, g in lives.sort_values("min").groupby(["clip", "identity"]):
+        assert (g["min"].to_numpy()[1:] > g["max"].to_numpy()[:-1]).all()  # of one identity no two at once
+
+
+def test_ball_fixed_point_is_one(spark):
+    """What is left passes the filters again unchanged, and was there before."""
+    from loomspan.operators import series
+    from loomspan.plans import series_queries
+
+    before = series_queries.scaled(spark, SF).toPandas()
+    after = QUERIES["ball_fixed_point"](spark, SF).toPandas()
+    assert 0 < len(after) <= len(before)
+    assert set(zip(after["clip"], after["frame"])) <= set(zip(before["clip"], before["frame"]))
+    for clip, g in before.groupby("clip"):
+        g = g.sort_values("frame")
+        scale = {f: s for f, s in zip(g["frame"], g["scale"]) if s == s and s is not None}
+        left = set(after[after["clip"] == clip]["frame"])
+        rows = [r for r in zip(g["frame"], g["x"], g["y"], g["conf"]) if r[0] in left]
+        again = series.filter_pass(rows, scale, 2.0, 2)
+        assert len(again) <= len(rows)
+        out = list(zip(g["frame"], g["x"], g["y"], g["conf"]))
+        for _ in range(4):
+            out = series.filter_pass(out, scale, 2.0, 2)
+        assert {r[0] for r in out} == left
 
 
 def test_flagship(spark):
