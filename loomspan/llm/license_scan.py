@@ -1,24 +1,35 @@
 """License scans: normalised text against licence templates by the Dice coefficient of their word bigrams.
 
-A text is normalised to words of small letters and digits. Runs of its lines that begin and end with a line
-which has a bigram of some template are compared with the templates whose number of distinct bigrams allows the
-coefficient to reach ``threshold``: between ``t / (2 - t)`` and ``(2 - t) / t`` times that of the run. A run with
-too few template bigrams for its size is passed over, and runs end where their size exceeds the bound of the
-largest template. Of overlapping runs the best is reported (then the shorter, then the first).
+A text is normalised to words of small letters and digits, whatever its lines, and is a sequence of bigrams. The
+coefficient of a window of it and a template is ``2 * common / (window + template)``, of bigrams counted as often as they
+occur. It reaches ``threshold`` t only
+
+* where the template has between ``t / (2 - t)`` and ``(2 - t) / t`` times the window's bigrams (the size bounds), and
+* where the window has ``t / (2 - t)`` of the template's bigrams, so at least one of any ``1 - t / (2 - t)`` of them: a
+  template is a candidate for a text only if the text has one of its rarest such bigrams (rare among templates).
+
+For a candidate, windows of all lengths within the bounds are counted at all places where they can begin, by differences
+of sums over the places of the template's bigrams; a bigram counts in a window up to as often as the template has it. The
+work is thus linear in the text for a given set of templates, repeated lines included. Long templates are tried in steps of length
+with a margin that covers the steps, and lengths in between only where a step came near. Of overlapping windows the one
+with the most bigrams in common is reported (then that of the higher coefficient, the shorter, the first), so a text is
+preferred to a notice within it.
 
 Every document is scanned whole, in a map without a shuffle; templates have a fixed size.
 
-Edge cases: a null or empty text has no match; lines of any length count whole; repeated rows get equal results;
-an empty table gives an empty result; further columns are ignored.
+Edge cases: a null or empty text has no match; lines of any length count whole, and a notice inside a line is found;
+repeated rows get equal results; ties of licences go by name; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +38,8 @@ from loomspan.llm.license_templates import templates
 
 THRESHOLD = 0.85
 WORD = re.compile(r"[^\W_]+")
-LICENCE = str.maketrans({"’": "'", " ": " "})
+LICENCE = str.maketrans({"’": "'"})
+STEPS = 40  # of a long template's length
 
 
 def normal(text: str) -> list[str]:
@@ -35,34 +47,52 @@ def normal(text: str) -> list[str]:
     return ["license" + w[7:] if w.startswith("licence") else w for w in WORD.findall(text.translate(LICENCE).lower())]
 
 
-def bigrams(words: list[str]) -> set[tuple[str, str]]:
-    return set(zip(words, words[1:]))
+def bigrams(words: list[str]) -> Counter:
+    return Counter(zip(words, words[1:]))
 
 
 class Templates:
-    """Templates in order of size, and all their bigrams."""
+    """Templates with the numbers of their bigrams, and for each bigram the templates that it is a rare one of."""
 
-    def __init__(self, pairs: list[tuple[str, str]]):
-        seen = {}
+    def __init__(self, pairs: list[tuple[str, str]], threshold: float = THRESHOLD):
+        seen: dict = {}
         for licence, text in pairs:
-            seen.setdefault((licence, frozenset(bigrams(normal(text)))), None)
-        self.rows = sorted(((len(s), licence, s) for licence, s in seen if s), key=lambda r: (r[0], r[1], sorted(r[2])))
-        self.sizes = [r[0] for r in self.rows]
-        self.all = frozenset().union(*(r[2] for r in self.rows))
-
-    def best(self, found: set, threshold: float) -> tuple[float, str] | None:
-        """(Dice coefficient, licence) of the template nearest to a set of bigrams, by size bounds first."""
-        n, out = len(found), None
-        lo = bisect_left(self.sizes, n * threshold / (2 - threshold) - 1e-9)
-        hi = bisect_right(self.sizes, n * (2 - threshold) / threshold + 1e-9)
-        hits = found & self.all
-        for size, licence, other in self.rows[lo:hi]:
-            if 2 * min(len(hits), size) < threshold * (n + size) - 1e-9:
-                continue
-            dice = 2 * len(hits & other) / (n + size)
-            if dice >= threshold - 1e-12 and (out is None or dice > out[0]):
-                out = dice, licence
-        return out
+            counts = bigrams(normal(text))
+            if counts:
+                seen.setdefault((licence, frozenset(counts.items())), counts)
+        self.threshold = threshold
+        self.rows = sorted(((sum(c.values()), licence, c) for (licence, _), c in seen.items()), key=lambda r: (r[0], r[1], sorted(r[2])))
+        common = Counter(b for _, _, c in self.rows for b in c)
+        self.ids = {b: k for k, b in enumerate(common)}
+        self.rare: dict[int, list[int]] = defaultdict(list)
+        for k, (n, _, c) in enumerate(self.rows):
+            spare = n - self.needed(n)  # bigrams that a window can do without
+            for b in sorted(c, key=lambda b: (common[b], b)):
+                self.rare[self.ids[b]].append(k)
+                spare -= c[b]
+                if spare < 0:
+                    break
+        self.counts: dict[int, np.ndarray] = {}
+
+    def needed(self, n: int) -> int:
+        """Bigrams of a template of ``n`` that any match has."""
+        return int(np.ceil(n * self.threshold / (2 - self.threshold) - 1e-9))
+
+    def lengths(self, n: int) -> range:
+        """Bigrams that windows may have."""
+        t = self.threshold
+        return range(self.needed(n), int(n * (2 - t) / t + 1e-9) + 1)
+
+    def of(self, k: int) -> np.ndarray:
+        """How often template ``k`` has each known bigram."""
+        if k not in self.counts:
+            if len(self.counts) > 256:
+                self.counts.clear()
+            out = np.zeros(len(self.ids), np.int32)
+            for b, n in self.rows[k][2].items():
+                out[self.ids[b]] = n
+            self.counts[k] = out
+        return self.counts[k]
 
 
 @cache
@@ -70,66 +100,119 @@ def default_templates() -> Templates:
     return Templates(templates())
 
 
-def scan(text: str | None, known: Templates | None = None, threshold: float = THRESHOLD) -> list[tuple[int, int, str, float]]:
-    """(first line, last line, licence, coefficient) of the matches in a text, by line."""
+def windows(at: np.ndarray, ids: np.ndarray, have: np.ndarray, n: int, known: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(coefficient, begin, end) of the best window from every place on where one reaches the threshold, given the
+    places ``at`` of a template's bigrams ``ids``, how often it has each (``have``), and its size."""
+    t = known.threshold
+    # the place from which on a bigram's own count is not yet used up, when a window begins after it
+    order = np.lexsort((at, ids))
+    s, times = ids[order], have[order]
+    first = np.searchsorted(s, s)
+    back = np.arange(len(s)) - times
+    used = np.full(len(at), -1, np.int64)
+    ok = back >= first
+    used[order[ok]] = at[order[back[ok]]]
+    best, length = np.zeros(len(at)), np.zeros(len(at), np.int64)
+
+    def tried(size: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Coefficients and lengths, up to their last bigram of the template, of the windows of ``size`` at ``starts``."""
+        low = np.searchsorted(at, np.maximum(used, at - size), "right")  # a bigram counts in windows that begin from here to itself
+        sums = np.bincount(low, minlength=len(at) + 1)[: len(at)].cumsum() - np.arange(len(at))
+        stop = np.searchsorted(at, at[starts] + size) - 1
+        true = at[stop] - at[starts] + 1
+        return 2 * sums[starts] / (true + n), true
+
+    every = np.arange(len(at))
+    lengths = known.lengths(n)
+    step = max(1, n // STEPS)
+    margin = 0.0 if step == 1 else 1.5 * step / n
+    todo: dict[int, list] = defaultdict(list)
+    for size in [*range(lengths.start, lengths.stop, step), lengths.stop - 1]:
+        dice, true = tried(size, every)
+        better = (dice > best + 1e-12) | ((dice > best - 1e-12) & (true < length))
+        better &= dice >= t - 1e-12
+        best[better], length[better] = dice[better], true[better]
+        if step > 1:
+            for more in range(max(lengths.start, size - step + 1), size):
+                todo[more].append(np.flatnonzero(dice >= t - margin))
+    for size, starts in todo.items():
+        starts = np.unique(np.concatenate(starts))
+        if len(starts):
+            dice, true = tried(size, starts)
+            better = ((dice > best[starts] + 1e-12) | ((dice > best[starts] - 1e-12) & (true < length[starts]))) & (dice >= t - 1e-12)
+            best[starts[better]], length[starts[better]] = dice[better], true[better]
+    found = np.flatnonzero(length)
+    return best[found], at[found], at[found] + length[found]
+
+
+def scan(text: str | None, known: Templates | None = None) -> list[tuple[int, int, str, float]]:
+    """(first line, last line, licence, coefficient) of the matches in a text, in its order."""
     known = known or default_templates()
     if not text:
         return []
     lines = [normal(x) for x in text.split("\n")]
-    inside = [[b for b in zip(ws, ws[1:]) if b in known.all] for ws in lines]
-    most = known.sizes[-1] * (2 - threshold) / threshold
-    found = []
-    anchors = [i for i, x in enumerate(inside) if x]
-    for a, i in enumerate(anchors):
-        run: set = set()
-        hits: set = set()
-        last: str | None = None
-        at = i
-        for j in anchors[a:]:
-            while at <= j:
-                ws = lines[at]
-                if ws:
-                    if last is not None:
-                        run.add((last, ws[0]))
-                    run.update(zip(ws, ws[1:]))
-                    last = ws[-1]
-                at += 1
-                if len(run) > most:
-                    break
-            if len(run) > most:
-                break
-            hits = run & known.all if len(run) <= 2 * known.sizes[-1] else hits
-            if len(hits) < threshold / (2 - threshold) * len(run) - 1e-9:
-                continue
-            got = known.best(run, threshold)
-            if got:
-                found.append((-got[0], j - i, i, j, got[1]))
-    out, taken = [], set()
-    for minus, _, i, j, licence in sorted(found):
-        if not taken.intersection(range(i, j + 1)):
-            taken.update(range(i, j + 1))
-            out.append((i, j, licence, -minus))
-    return sorted(out)
+    words = [w for ws in lines for w in ws]
+    get = known.ids.get
+    ids = np.fromiter((get(b, -1) for b in zip(words, words[1:])), np.int64, max(0, len(words) - 1))
+    at = np.flatnonzero(ids >= 0)
+    if not len(at):
+        return []
+    ids = ids[at]
+    met = np.bincount(ids, minlength=len(known.ids))
+    some = {k for b in np.flatnonzero(met).tolist() for k in known.rare.get(b, ())}
+    rows = []
+    for k in sorted(some):
+        n, of = known.rows[k][0], known.of(k)
+        if int(np.minimum(met, of).sum()) < known.needed(n):
+            continue
+        mine = np.flatnonzero(of[ids] > 0)
+        dice, begin, end = windows(at[mine], ids[mine], of[ids[mine]], n, known)
+        rows.append((dice, begin, end, np.full(len(dice), k), np.rint(dice * (end - begin + n) / 2)))
+    if not rows:
+        return []
+    dice, begin, end, which, common = map(np.concatenate, zip(*rows))
+    line = np.repeat(np.arange(len(lines)), [len(ws) for ws in lines])
+    out, taken = [], np.zeros(len(words), bool)
+    for k in np.lexsort((which, begin, end - begin, -np.round(dice, 12), -common)).tolist():
+        a, b = int(begin[k]), int(end[k])  # bigrams a to b - 1 are the words a to b
+        if not taken[a] and not taken[b] and not taken[a : b + 1].any():
+            taken[a : b + 1] = True
+            out.append((a, int(line[a]), int(line[b]), known.rows[int(which[k])][1], float(dice[k])))
+    return [x[1:] for x in sorted(out)]
 
 
 def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
-    """doc_id, matches: array of (first_line, last_line, license, dice) of every row."""
-    small_batches(docs.sparkSession)
+    """doc_id, matches: array of (first_line, last_line, license, dice) of every row. ``pairs``: (licence, text) of the
+    templates, by default those of this package."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    sent = spark.sparkContext.broadcast(pairs or templates())
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("first_line", pa.int32()), ("last_line", pa.int32()), ("license", pa.string()), ("dice", pa.float64())]))
-        known = Templates(pairs) if pairs else default_templates()
+        known = prepared(sent.value, threshold)
         for whole in batches:
             for batch in slices(whole):
-                got = [[dict(zip(("first_line", "last_line", "license", "dice"), m)) for m in scan(t, known, threshold)] for t in batch.column(1).to_pylist()]
+                got = [[dict(zip(("first_line", "last_line", "license", "dice"), m)) for m in scan(t, known)] for t in batch.column(1).to_pylist()]
                 yield pa.record_batch([batch.column(0), pa.array(got, kind)], names=["doc_id", "matches"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, matches array<struct<first_line:int,last_line:int,license:string,dice:double>>")
 
 
+_PREPARED: list = []
+
+
+def prepared(pairs: list[tuple[str, str]], threshold: float) -> Templates:
+    """The templates of the scan that a worker process is at."""
+    key = threshold, len(pairs), hash(tuple(pairs))
+    if not _PREPARED or _PREPARED[0] != key:
+        _PREPARED[:] = [key, Templates(pairs, threshold)]
+    return _PREPARED[1]
+
+
 def summary(found: DataFrame) -> DataFrame:
     """doc_id, n_matches, and the best match (the highest coefficient, then the first line)."""
     best = F.expr("get(array_sort(matches, (a, b) -> CASE WHEN a.dice > b.dice THEN -1 WHEN a.dice < b.dice THEN 1 ELSE a.first_line - b.first_line END), 0)")

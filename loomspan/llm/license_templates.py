@@ -1,7 +1,14 @@
-"""Licence templates: the published wording of short licences and of the notices that name longer ones."""
+"""Licence templates: the published wording of licences and of the notices that name them.
+
+The folder ``licences`` beside this file holds whole published texts, one a file, named by the licence. AGPL, EPL and the
+Creative Commons licences other than CC0 are known by their notices and names only.
+"""
 
 from __future__ import annotations
 
+from functools import cache
+from pathlib import Path
+
 # Published texts, without their copyright lines.
 _GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
@@ -54,7 +61,10 @@ _MPL = """This Source Code Form is subject to the terms of the Mozilla Public Li
 distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
 _PUBLIC = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
 use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
-commercial or non-commercial, and by any means."""
+commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of
+this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for
+the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an
+overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. """ + _AS_IS.replace("AUTHORS OR\nCOPYRIGHT HOLDERS", "AUTHORS")
 
 TEXTS = {
     "MIT": f"{_GRANT} {_AS_IS}",
@@ -88,9 +98,15 @@ NAMES = {
 PHRASES = ["Licensed under the {}.", "Released under the {}.", "Distributed under the {}.", "This work is licensed under the {}.", "This project is licensed under the {}.", "This software is released under the {}."]
 
 
+@cache
+def whole_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the files in ``licences``."""
+    return [(f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "licences").glob("*.txt"))]
+
+
 def templates() -> list[tuple[str, str]]:
     """(licence, text): every text, and every phrase about every name, with the article and without."""
-    out = list(TEXTS.items())
+    out = [*TEXTS.items(), *whole_texts()]
     for licence, names in NAMES.items():
         for name in names:
             for phrase in PHRASES:

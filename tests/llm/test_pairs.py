@@ -261,29 +261,91 @@ def test_line_runs_match_brute_force(spark, docs, none):
 
 
 def test_licence_scan(spark, docs, none):
-    from loomspan.llm.license_templates import TEXTS
+    from loomspan.llm.license_templates import TEXTS, whole_texts
 
     mit = TEXTS["MIT"].replace(". ", ".\n")
     assert license_scan.scan(f"intro words here\nCopyright 2020 someone\n{mit}\nand the end")[0][2] == "MIT"
     assert license_scan.scan("x\nReleased under the MIT License.\ny") == [(1, 1, "MIT", 1.0)]
     assert license_scan.scan("Released under the MIT Licence")[0][3] == 1.0
+    assert license_scan.scan("Our tool is fast. Released under the MIT License. See below for more of it.") == [(0, 0, "MIT", 1.0)]
+    assert license_scan.scan("first\nand this is Released under\nthe MIT License, as ever") == [(1, 2, "MIT", 1.0)]
     assert license_scan.scan("this is the end of the story and of the day") == []
-    assert license_scan.scan(None) == license_scan.scan("") == []
+    assert license_scan.scan(None) == license_scan.scan("") == license_scan.scan("one") == []
     edited = TEXTS["Apache-2.0"].replace("applicable law", "any law").replace("specific language", "exact wording")
     assert [m[2] for m in license_scan.scan(edited)] == ["Apache-2.0"]
+    for name, text in whole_texts():  # each is found whole within other words, with some of its own changed
+        words = text.split()
+        words[50::60] = ["changed"] * len(words[50::60])
+        got = license_scan.scan("some words before " + " ".join(words) + " and some after it")
+        assert max(got, key=lambda m: m[3])[2] == name and max(m[3] for m in got) > 0.9
     got = license_scan.summary(license_scan.matches(docs.withColumn("text", F.concat("text", F.lit("\nReleased under the MIT License.")))))
     assert got.where("license = 'MIT'").count() == docs.where("text is not null").count()
     assert license_scan.summary(license_scan.matches(none)).count() == 0
 
 
-def test_size_bounds_lose_nothing():
-    known = license_scan.default_templates()
-    r = np.random.default_rng(2)
-    for _, _, bigrams in [known.rows[int(k)] for k in r.integers(0, len(known.rows), 60)]:
-        some = set(list(bigrams)[: max(1, int(len(bigrams) * r.uniform(0.6, 1)))]) | {("q", str(k)) for k in range(int(r.integers(0, 4)))}
-        slow = max(2 * len(some & b) / (len(some) + n) for n, _, b in known.rows)
-        got = known.best(some, 0.85)
-        assert (got is None) == (slow < 0.85 - 1e-12) and (got is None or abs(got[0] - slow) < 1e-12)
+def test_repeated_notices_are_linear():
+    import time
+
+    began = time.time()
+    got = license_scan.scan("Licensed under the MIT License.\n" * 100_000)
+    assert len(got) == 100_000 and {m[2:] for m in got} == {("MIT", 1.0)}
+    assert time.time() - began < 30
+
+
+def scan_by_hand(text, pairs, t):
+    """Every window of the text against every template."""
+    from collections import Counter
+
+    lines = [license_scan.normal(x) for x in text.split("\n")]
+    words = [w for ws in lines for w in ws]
+    line = [i for i, ws in enumerate(lines) for _ in ws]
+    found = []
+    for licence, wording in pairs:
+        have = license_scan.bigrams(license_scan.normal(wording))
+        n = sum(have.values())
+        for a in range(len(words)):
+            seen, best = Counter(), None
+            for b in range(a + 1, len(words)):
+                seen[words[b - 1], words[b]] += 1
+                dice = 2 * sum((seen & have).values()) / (b - a + n)
+                if dice >= t - 1e-12 and (best is None or dice > best[0] + 1e-12):
+                    best = dice, a, b
+            if best and (words[a], words[a + 1]) in have:
+                found.append((-round(best[0] * (best[2] - a + n) / 2), -round(best[0], 12), best[2] - a, a, licence, best[2]))
+    out, taken = [], set()
+    for _, minus, _, a, licence, b in sorted(found):
+        if not taken.intersection(range(a, b + 1)):
+            taken.update(range(a, b + 1))
+            out.append((a, line[a], line[b], licence, -minus))
+    return [x[1:] for x in sorted(out)]
+
+
+@pytest.mark.parametrize("steps", [40, 3])
+def test_scan_matches_brute_force(spark, monkeypatch, steps):
+    """With few steps, templates count as long ones."""
+    monkeypatch.setattr(license_scan, "STEPS", steps)
+    r = np.random.default_rng(21)
+    pairs = [(f"l{k:02d}", " ".join(r.choice(list("abcdefgh"), int(r.integers(4, 16))))) for k in range(8)]
+    rows = []
+    for i in range(60):
+        words = list(r.choice(list("abcdefghijkl"), 40))
+        for _ in range(2):
+            copy = pairs[int(r.integers(0, 8))][1].split()
+            if r.random() < 0.6:
+                copy[int(r.integers(0, len(copy)))] = "z"
+            at = int(r.integers(0, 25))
+            words[at : at + len(copy)] = copy
+        rows.append((i, "".join(w + ("\n" if r.random() < 0.2 else " ") for w in words)))
+    known = license_scan.Templates(pairs, 0.7)
+    expected = {i: scan_by_hand(t, pairs, 0.7) for i, t in rows}
+    assert sum(map(len, expected.values())) > 40
+    for i, t in rows:
+        got = license_scan.scan(t, known)
+        assert [x[:3] for x in got] == [x[:3] for x in expected[i]] and np.allclose([x[3] for x in got], [x[3] for x in expected[i]])
+    if steps == 40:
+        df = spark.createDataFrame([*rows, (60, None)], "doc_id long, text string")
+        got = {x["doc_id"]: [tuple(m) for m in x["matches"]] for x in license_scan.matches(df, threshold=0.7, pairs=pairs).collect()}
+        assert got[60] == [] and all([m[:3] for m in got[i]] == [m[:3] for m in expected[i]] for i, _ in rows)
 
 
 def test_written_tables_can_be_deleted(spark):
