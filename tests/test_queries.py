@@ -59,7 +59,7 @@ def test_tracks_keep_their_rules(spark):
     assert (got.groupby(["clip", "trk"])["kit"].nunique() == 1).all()
     s = got.sort_values(["clip", "trk", "frame"])
     s["before"] = s.groupby(["clip", "trk"])["frame"].shift()
-    seen = s.groupby("clip")["frame"].agg(lambda f: np.unique(f))
+    seen = {c: np.unique(f) for c, f in s.groupby("clip")["frame"]}
     for r in s[s["frame"] - s["before"] > 7].itertuples():  # a track ends at the first frame that comes over 0.6 s after its last detection
         between = seen[r.clip][(seen[r.clip] > r.before + 6) & (seen[r.clip] < r.frame)]
         assert not len(between)
