@@ -7,16 +7,21 @@ the distinct ones by range partitions. As no more than ``min_words`` lines are n
 share a run of ``min_words`` words, rounds stop there; the positions in order of rank are the suffix array to
 that depth.
 
-Positions whose suffixes have their first ``min_words`` words of whole lines in common are neighbours in the
-array: they form an interval of longest common prefixes, named by the ranks of the two overlapping halves of
-that prefix. The least position of an interval (by doc_id with nulls last, then key, then line) is the
-original, all others are later copies. The same intervals are read from the ends of runs backwards, so that
-their union is the whole of each maximal repeated run, and the lines of later copies are deleted.
+A run counts from ``min_words`` words on (50 by default; 1 is every repeated line). Two suffixes have a longest common
+prefix of that many words of whole lines if and only if they share the shortest prefix of whole lines that reaches it.
+So of the longest common prefixes only whether they reach ``min_words`` is found: the positions that share such a prefix of n
+lines are neighbours in the array and form an interval, and n with the ranks of the two overlapping halves of the prefix
+(of 2**p lines each) names it. The least position of an interval (by doc_id with nulls last, then key, then line) is the
+original, all others are later copies. The same intervals are read from the ends of runs backwards, so that their union
+is the whole of each maximal repeated run, and the lines of later copies are deleted.
+
+Segments of repeated lines travel in pieces of ``PIECE`` lines that overlap by as many as a prefix can have, so a document of
+any number of lines is no large row; what is deleted travels as ranges of lines.
 
 Edge cases: lines without words (of characters other than ASCII white space) are never deleted and do not
 break a run; a null text stays null and an empty one empty; a line of any length is one line; rows that agree
 in id and text count as one document and get the same result; an empty table gives an empty result; further
-columns are carried through ``dedup`` unchanged.
+columns, whatever their names, are carried through ``dedup`` unchanged.
 """
 
 from __future__ import annotations
@@ -24,9 +29,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import carried, cut, row_key, unpacked
+from loomspan.llm.common import carried, cut, dropped, row_key, unpacked
 
 MIN_WORDS = 50
+PIECE = 1024
 BLANKS = "[\\\\x20\\\\x09-\\\\x0D]+"
 
 
@@ -46,78 +52,96 @@ def repeated(lines: DataFrame) -> DataFrame:
     return lines.join(again, ["h", "g"]).dropDuplicates(["_k1", "_k2", "seq"])
 
 
-def ranked(rows: DataFrame, pair: list[str], out: str) -> DataFrame:
-    """``rows`` with the rank of ``pair`` in ``out``. Distinct pairs are sorted by range partitions; their ids
+def ranked(rows: DataFrame, pair: list[str], out: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the rank of ``pair`` in ``out``, and the table of ranks. Distinct pairs are sorted by range partitions; their ids
     rise with the partition and the place in it, so no task sees them all."""
     order = cut(rows.select(*pair).distinct().repartitionByRange(*pair).sortWithinPartitions(*pair).withColumn(out, F.monotonically_increasing_id()))
-    return rows.join(order, pair)
+    return rows.join(order, pair), order
 
 
 def suffix_ranks(positions: DataFrame, rounds: int) -> DataFrame:
     """Columns r0, r1, ... of ``positions`` (_k1, _k2, seg, seq, h, g): ranks by the first 2**k lines."""
-    out = cut(ranked(positions, ["h", "g"], "r0").drop("h", "g"))
+    first, order = ranked(positions, ["h", "g"], "r0")
+    out = cut(first.drop("h", "g"))
+    dropped(order)
     inside = Window.partitionBy("_k1", "_k2", "seg").orderBy("seq")
     for k in range(rounds):
         ahead = out.withColumn("_next", F.coalesce(F.lead(f"r{k}", 1 << k).over(inside), F.lit(-1).cast("long")))
-        out = cut(ranked(ahead, [f"r{k}", "_next"], f"r{k + 1}").drop("_next"))
+        more, order = ranked(ahead, [f"r{k}", "_next"], f"r{k + 1}")
+        before, out = out, cut(more.drop("_next"))
+        dropped(before, order)
     return out
 
 
 def _windows(rounds: int, min_words: int) -> Column:
-    """Runs of at least ``min_words`` words in the array ``a`` of a segment, as short as can be from every line
-    on, and up to every line: (start, n, x, y), x and y being the ranks of the run's overlapping halves."""
-    power = "0" if rounds == 0 else "CASE " + " ".join(f"WHEN n >= {1 << k} THEN {k}" for k in range(rounds, -1, -1)) + " END"
-    rank = "CASE p " + " ".join(f"WHEN {k} THEN a[{{0}}].r{k}" for k in range(rounds + 1)) + " END"
-    forward = f"transform(a, (e, i) -> struct(i AS start, array_position(transform(slice(a, i + 1, {min_words}), z -> z.c - e.c + e.words >= {min_words}), true) AS n))"
-    backward = f"transform(a, (e, i) -> struct(i AS stop, array_position(reverse(transform(slice(a, greatest(1, i + 2 - {min_words}), least(i + 1, {min_words})), z -> e.c - z.c + z.words >= {min_words})), true) AS n))"
-    both = f"array_distinct(concat(filter({forward}, z -> z.n > 0), transform(filter({backward}, z -> z.n > 0), z -> struct(int(z.stop - z.n + 1) AS start, z.n AS n))))"
-    sized = f"transform({both}, z -> struct(z.start AS start, z.n AS n, {power.replace('n >=', 'z.n >=')} AS p))"
-    named = "struct(z.start AS start, int(z.n) AS n, " + rank.replace("CASE p", "CASE z.p").format("z.start") + " AS x, " + rank.replace("CASE p", "CASE z.p").format("int(z.start + z.n - shiftleft(1, z.p))") + " AS y)"
+    """Runs of at least ``min_words`` words in the array ``a`` of a piece of a segment, as short as can be from every line of
+    the piece itself on, and up to every such line: (start, n, x, y), x and y being the ranks of the run's overlapping halves."""
+    power = "0" if rounds == 0 else "CASE " + " ".join(f"WHEN z.n >= {1 << k} THEN {k}" for k in range(rounds, -1, -1)) + " END"
+    rank = "CASE z.p " + " ".join(f"WHEN {k} THEN a[{{0}}].r{k}" for k in range(rounds + 1)) + " END"
+    forward = f"transform(a, (e, i) -> struct(i AS start, e.own AS own, array_position(transform(slice(a, i + 1, {min_words}), z -> z.c - e.c + e.words >= {min_words}), true) AS n))"
+    backward = f"transform(a, (e, i) -> struct(i AS stop, e.own AS own, array_position(reverse(transform(slice(a, greatest(1, i + 2 - {min_words}), least(i + 1, {min_words})), z -> e.c - z.c + z.words >= {min_words})), true) AS n))"
+    both = f"array_distinct(concat(transform(filter({forward}, z -> z.n > 0 and z.own), z -> struct(z.start AS start, z.n AS n)), transform(filter({backward}, z -> z.n > 0 and z.own), z -> struct(int(z.stop - z.n + 1) AS start, z.n AS n))))"
+    sized = f"transform({both}, z -> struct(z.start AS start, z.n AS n, {power} AS p))"
+    named = "struct(z.start AS start, int(z.n) AS n, " + rank.format("z.start") + " AS x, " + rank.format("int(z.start + z.n - shiftleft(1, z.p))") + " AS y)"
     return F.expr(f"transform({sized}, z -> {named})")
 
 
 def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(_k1, _k2, lines): the lines, counted from 0, that belong to later copies of a repeated run."""
+    """(_k1, _k2, ranges): the lines, counted from 0, that belong to later copies of a repeated run, as ascending ranges
+    (first, last) without gaps in between."""
     found = cut(repeated(lines_of(docs, doc_id, text)))
     inside = Window.partitionBy("_k1", "_k2").orderBy("seq")
-    found = found.withColumn("seg", F.col("seq") - F.row_number().over(inside))
+    segs = found.withColumn("seg", F.col("seq") - F.row_number().over(inside))
     seg = Window.partitionBy("_k1", "_k2", "seg").orderBy("seq")
-    found = found.withColumn("c", F.sum("words").over(seg.rowsBetween(Window.unboundedPreceding, 0)))
+    segs = segs.withColumn("c", F.sum("words").over(seg.rowsBetween(Window.unboundedPreceding, 0)))
     # a segment with too few words holds no run
-    found = cut(found.withColumn("_all", F.sum("words").over(Window.partitionBy("_k1", "_k2", "seg"))).where(F.col("_all") >= min_words).drop("_all"))
-    longest = found.agg(F.min("words")).first()[0]
-    if longest is None:
-        return found.select("_k1", "_k2", F.array("line").alias("lines"))
-    rounds = max(0, (-(-min_words // max(1, longest))).bit_length() - 1)
-    ranks = suffix_ranks(found, rounds)
-    fields = ["seq", "line", "words", "c", *[f"r{k}" for k in range(rounds + 1)]]
-    segments = ranks.groupBy("_k1", "_k2", "doc_id", "seg").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("a"))
-    runs = segments.select("doc_id", "_k1", "_k2", F.col("a.line").alias("line_nos"), F.col("a")[0]["seq"].alias("base"), F.explode(_windows(rounds, min_words)).alias("w"))
+    segs = cut(segs.withColumn("_all", F.sum("words").over(Window.partitionBy("_k1", "_k2", "seg"))).where(F.col("_all") >= min_words).drop("_all"))
+    dropped(found)
+    shortest = segs.agg(F.min("words")).first()[0]
+    if shortest is None:
+        return segs.select("_k1", "_k2", F.array(F.struct(F.col("line").alias("first"), F.col("line").alias("last"))).alias("ranges"))
+    most = -(-min_words // max(1, shortest))  # lines of a prefix
+    rounds = max(0, most.bit_length() - 1)
+    ranks = suffix_ranks(segs, rounds)
+    dropped(segs)
+    # a piece is PIECE lines and the `most - 1` on either side that prefixes of its own lines may have
+    pieces = ranks.withColumn("piece", F.explode(F.expr(f"sequence((seq - {most - 1}) div {PIECE}, (seq + {most - 1}) div {PIECE})"))).where("piece >= 0")
+    fields = ["seq", "line", "words", "c", F.expr(f"seq div {PIECE} = piece").alias("own"), *[f"r{k}" for k in range(rounds + 1)]]
+    held = pieces.groupBy("_k1", "_k2", "doc_id", "seg", "piece").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("a"))
+    runs = held.select("doc_id", "_k1", "_k2", F.col("a.line").alias("line_nos"), F.col("a")[0]["seq"].alias("base"), F.explode(_windows(rounds, min_words)).alias("w"))
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_k1", "_k2", (F.col("base") + F.col("w.start")).alias("s"))
     runs = cut(runs.select("_k1", "_k2", F.col("w.n").alias("n"), F.col("w.x").alias("x"), F.col("w.y").alias("y"), place.alias("place"), F.slice("line_nos", F.col("w.start") + 1, F.col("w.n")).alias("lines")))
+    dropped(ranks)
     intervals = runs.groupBy("n", "x", "y").agg(F.min("place").alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
     later = runs.join(intervals, ["n", "x", "y"]).where("place <> first")
-    return later.select("_k1", "_k2", F.explode("lines").alias("line")).groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    lines = later.select("_k1", "_k2", F.explode("lines").alias("line")).distinct()
+    row = Window.partitionBy("_k1", "_k2").orderBy("line")
+    ranges = lines.withColumn("_run", F.col("line") - F.row_number().over(row)).groupBy("_k1", "_k2", "_run").agg(F.min("line").alias("first"), F.max("line").alias("last"))
+    out = cut(ranges.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("ranges")))
+    dropped(runs)
+    return out
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, length: str | None = None, facts: bool = True) -> DataFrame:
     """``docs`` with the text less its copied lines; ``length`` names a column that follows the text's length. With
-    ``facts`` also _l_n_lines and _l_n_removed."""
-    gone = copies(docs, doc_id, text, min_words).withColumnRenamed("lines", "_l_gone")
+    ``facts`` also _l_n_lines and _l_n_removed (where ``docs`` has columns of these names, those of ``docs`` are left out)."""
+    gone = copies(docs, doc_id, text, min_words).withColumnRenamed("ranges", "_l_gone")
     # most documents have no copied line; Spark decides by size whether to broadcast those of the others
     joined = carried(docs, doc_id, text).join(gone, ["_k1", "_k2"], "left")
     body = F.col("_row")[text]
-    parts = F.split(body, "\n", -1)
-    kept = F.when(F.col("_l_gone").isNull(), body).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_l_gone", i)), "\n"))
-    joined = joined.withColumn("_l_kept", kept)
+    # what lies before each range and after the last, so a line is looked at once
+    stays = "transform(sequence(0, size(_l_gone)), k -> slice(_l_parts, if(k = 0, 0, _l_gone[k - 1].last + 1) + 1, if(k = size(_l_gone), size(_l_parts), _l_gone[k].first) - if(k = 0, 0, _l_gone[k - 1].last + 1)))"
+    joined = joined.withColumn("_l_parts", F.split(body, "\n", -1))
+    joined = joined.withColumn("_l_kept", F.when(F.col("_l_gone").isNull(), body).otherwise(F.array_join(F.expr(f"flatten({stays})"), "\n")))
     changed = {text: F.col("_l_kept")}
     if length:
         changed[length] = F.when(F.col("_l_gone").isNotNull(), F.length("_l_kept")).otherwise(F.col("_row")[length]).cast(docs.schema[length].dataType)
     n = [
-        F.when(body.isNull(), 0).otherwise(F.size(parts)).cast("long").alias("_l_n_lines"),
-        F.coalesce(F.size("_l_gone"), F.lit(0)).cast("long").alias("_l_n_removed"),
+        F.when(body.isNull(), 0).otherwise(F.size("_l_parts")).cast("long").alias("_l_n_lines"),
+        F.coalesce(F.expr("aggregate(_l_gone, 0, (s, r) -> s + r.last - r.first + 1)"), F.lit(0)).cast("long").alias("_l_n_removed"),
     ]
-    return joined.select(*unpacked(docs.columns, changed), *(n if facts else []))
+    columns = [c for c in docs.columns if not facts or c not in ("_l_n_lines", "_l_n_removed")]
+    return joined.select(*unpacked(columns, changed), *(n if facts else []))
 
 
 ORACLE = """

@@ -216,7 +216,7 @@ def test_forest_of_nothing(spark):
     assert projection_forest.link(df.limit(0)).count() == 0
 
 
-def lines_by_hand(rows):
+def lines_by_hand(rows, min_words=None):
     """Deleted lines by comparing every run of lines with all that come before it."""
     docs = []
     for d, t in sorted({(r["doc_id"], r["text"]) for r in rows if r["text"]}, key=lambda x: (x[0] is None, x[0] or 0)):
@@ -230,7 +230,7 @@ def lines_by_hand(rows):
                 total, j = 0, i
                 while 0 <= j < len(lines):
                     total += lines[j][2]
-                    if total >= line_runs.MIN_WORDS:
+                    if total >= (min_words or line_runs.MIN_WORDS):
                         a, b = min(i, j), max(i, j)
                         runs.append((k, a, b, tuple(x[1] for x in lines[a : b + 1])))
                         break
@@ -260,6 +260,29 @@ def test_line_runs_match_brute_force(spark, docs, none):
     assert line_runs.dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("min_words", [1, 7, 20])
+def test_shorter_runs(spark, monkeypatch, min_words):
+    """Any minimum of words, in pieces of a few lines, with one document of many lines and one line that is everywhere."""
+    monkeypatch.setattr(line_runs, "PIECE", 4)
+    r = np.random.default_rng(30 + min_words)
+    lines = [" ".join(r.choice(list("abcdefghij"), int(r.integers(1, 9)))) for _ in range(25)] + ["", " ", "the common line"]
+    rows = [(i, "\n".join(r.choice(lines, int(r.integers(1, 30)), p=[0.03] * 25 + [0.05, 0.05, 0.15]))) for i in range(30)]
+    rows += [(50, "\n".join(r.choice(lines, 900))), (51, "the common line\n" * 300), (52, None), (53, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = lines_by_hand([dict(zip(("doc_id", "text"), x)) for x in rows], min_words)
+    for x in line_runs.dedup(df, min_words=min_words).collect():
+        t = dict(rows)[x["doc_id"]]
+        assert x["text"] == (expected[x["doc_id"], t] if t else t)
+        assert x["_l_n_lines"] == (0 if t is None else len(t.split("\n")))
+
+
+def test_line_facts_replace_columns_of_their_names(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 5)], "doc_id long, text string, _l_n_lines string, _l_gone int")
+    got = line_runs.dedup(df)
+    assert got.columns == ["doc_id", "text", "_l_gone", "_l_n_lines", "_l_n_removed"] and got.first()["_l_n_lines"] == 1
+    assert line_runs.dedup(df, facts=False).columns == df.columns
+
+
 def test_licence_scan(spark, docs, none):
     from loomspan.llm.license_templates import TEXTS, whole_texts
 
