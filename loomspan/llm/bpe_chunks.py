@@ -1,14 +1,19 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-A rolling hash over the bytes of a text places chunk ends, so that texts which share a passage share its
-chunks wherever the passage stands. A worker encodes each distinct chunk once and keeps its ids (a table of
-bounded size that lives as long as the worker, across documents and tasks). A chunk may end inside a word:
-at every join the bytes around it are encoded anew in a window of the word that spans the join and one whole
-word on either side. The new ids are taken if they begin and end with the ids that the chunks already have
-for those outer words; else the window grows by a word on each side until both agree.
+A rolling hash over the bytes of a text places chunk ends, so that texts which share a passage share its chunks wherever the
+passage stands. The tokenizers library encodes each chunk as a text of its own, once: a worker keeps the ids of its chunks
+across documents and tasks (in two generations of a bounded size, of which the older one goes when the newer is full, and what
+was used again moves to the newer).
+
+A chunk mostly ends inside a word, where its ids are not those of the whole text. At every join some bytes to the left, to
+the right, and both together are encoded anew. The join is repaired if these bytes begin and end with a whole word, and the ids of the
+two parts agree with the end of the ids of the left chunk and the beginning of those of the right one: then the ids of both
+together take their place, as the vocabulary's splitting rule joins nothing across white space. Else the window is doubled until they do;
+a text in which windows meet or can't agree is encoded whole.
 
 Edge cases: a null text counts as empty; an empty text has no ids and decodes to ""; texts of any length
-are encoded whole; repeated rows give repeated rows; columns other than the two named are not read.
+are encoded whole, those without white space as one chunk; repeated rows and ties give equal rows; an empty table gives an
+empty result; columns other than the two named are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,17 +24,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import cache, claim, slices, small_batches
-from loomspan.llm.wordtable import WordTable, default_vocabulary, word_table
+from loomspan.llm.common import cache, claim, quiet_threads, slices, small_batches
+from loomspan.llm.wordtable import default_vocabulary
 
 WINDOW = 32  # bytes that the rolling hash sees
 GEAR = np.random.default_rng(20240229).integers(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
 SPACE = b" \t\n\r\x0b\x0c"
+JOIN = 16  # bytes on each side of a join that are tried first
 
 
-def chunk_ends(data: bytes, starts: np.ndarray, bits: int = 9) -> np.ndarray:
-    """Ends of chunks in texts laid on end in ``data``: where the low ``bits`` bits of a gear hash of the last
-    32 bytes are 0, at a character's end, and at every text's end. Chunks have 2**bits bytes in the mean."""
+def chunk_ends(data: bytes, starts: np.ndarray, bits: int = 10) -> np.ndarray:
+    """Ends of chunks in texts laid on end in ``data``: where the high ``bits`` bits of a gear hash of the last
+    32 bytes are 0, at a character's end, and at every text's end. Chunks have 2**bits bytes in the mean and a quarter of that at
+    least, but for whole texts."""
     b = np.frombuffer(data, np.uint8)
     if not len(b):
         return np.zeros(0, np.int64)
@@ -43,148 +50,175 @@ def chunk_ends(data: bytes, starts: np.ndarray, bits: int = 9) -> np.ndarray:
     ends = np.flatnonzero(hit) + 1
     ends = ends[ends < len(b)]
     ends = ends[(b[ends] & 0xC0) != 0x80]
-    at = starts[np.searchsorted(starts, ends, "right") - 1]
-    ends = ends[ends - at >= WINDOW]  # a hash that reaches into the text before says nothing about this one
+    text = np.searchsorted(starts, ends, "right") - 1
     stops = np.append(starts[1:], len(b))
-    return np.unique(np.concatenate([ends, stops]))
-
-
-class Chunk:
-    """ids: of the whole words within; head and tail: pieces of words before the first and after the last
-    white space; first and last: the outermost whole words, n_first and n_last the numbers of their ids; solid: there
-    is no white space."""
-
-    __slots__ = ("data", "first", "head", "ids", "last", "n_first", "n_last", "solid", "tail")
-
-    def __init__(self, data: bytes):
-        self.data, self.ids, self.n_first, self.n_last = data, None, 0, 0
-        words = data.split()
-        self.solid = len(words) == 1 and len(words[0]) == len(data)
-        self.head = words[0] if words and data[0] not in SPACE else b""
-        self.tail = words[-1] if words and not self.solid and data[-1] not in SPACE else b""
-        inner = self.inner(words)
-        self.first, self.last = (inner[0], inner[-1]) if inner else (b"", b"")
-
-    def inner(self, words: list[bytes]) -> list[bytes]:
-        """The whole words among the pieces of ``data``."""
-        return words[bool(self.head) : len(words) - bool(self.tail)]
+    least, out, last, now = max(WINDOW, 1 << bits >> 2), [], 0, -1
+    for e, k, begin, stop in zip(ends.tolist(), text.tolist(), starts[text].tolist(), stops[text].tolist()):
+        if k != now:
+            now, last = k, begin
+        if e - last >= least and stop - e >= least:
+            out.append(e)
+            last = e
+    return np.unique(np.concatenate([np.array(out, np.int64), stops]))
 
 
 class ChunkEncoder:
-    """Chunks with their ids, up to about ``limit_bytes`` of memory."""
-
-    def __init__(self, table: WordTable, bits: int = 9, limit_bytes: int = 64_000_000):
-        self.table, self.bits, self.limit = table, bits, limit_bytes
-        self.chunks: dict[bytes, Chunk] = {}
-        self.bytes = self.reused = self.encoded = self.widened = 0
-
-    def _load(self, parts: list[bytes]) -> None:
-        if self.bytes > self.limit:
-            self.chunks, self.bytes = {}, 0
-        new = [p for p in dict.fromkeys(parts) if p not in self.chunks]
-        self.encoded += len(new)
-        self.reused += len(parts) - len(new)
-        made = [Chunk(p) for p in new]
-        inner = [c.inner(c.data.split()) for c in made]
-        ids, lens = self.table.encode([w for ws in inner for w in ws])
-        ends = np.concatenate([[0], np.cumsum(lens)])
-        w = 0
-        for p, c, ws in zip(new, made, inner):
-            a, b = ends[w], ends[w + len(ws)]
-            c.ids = ids[a:b].copy()  # a view would keep the ids of the whole batch
-            if ws:
-                c.n_first, c.n_last = int(lens[w]), int(lens[w + len(ws) - 1])
-            w += len(ws)
-            self.chunks[p] = c
-            self.bytes += len(p) + c.ids.nbytes + 700
-
-    def _outer(self, chunk: Chunk, width: int, last: bool) -> tuple[list[bytes], int]:
-        """The last or first ``width`` whole words of a chunk, and how many ids they have."""
-        if width == 1:
-            word, n = (chunk.last, chunk.n_last) if last else (chunk.first, chunk.n_first)
-            return [word] if word else [], n
-        words = chunk.inner(chunk.data.split())
-        words = words[-width:] if last else words[:width]
-        return words, int(self.table.encode(words)[1].sum())
+    """Ids of chunks, up to about ``limit_bytes`` of memory."""
+
+    def __init__(self, path: str, bits: int = 10, limit_bytes: int = 64_000_000):
+        quiet_threads()
+        from tokenizers import Tokenizer
+
+        self.lib = Tokenizer.from_file(path)
+        self.lib.no_truncation()
+        self.lib.no_padding()
+        vocab = self.lib.get_vocab(with_added_tokens=True)
+        self.tokens = [""] * (max(vocab.values()) + 1)
+        for token, i in vocab.items():
+            self.tokens[i] = token
+        self.bits, self.limit = bits, limit_bytes // 2
+        self.new: dict[bytes, np.ndarray] = {}
+        self.old: dict[bytes, np.ndarray] = {}
+        self.bytes = self.reused = self.encoded = self.joined = self.widened = self.whole = 0
+
+    def library(self, parts: list[bytes]) -> list[np.ndarray]:
+        texts = [p.decode("utf-8", "replace") for p in parts]
+        return [np.array(x.ids, np.int32) for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _load(self, parts: list[bytes]) -> dict[bytes, np.ndarray]:
+        """Ids of all chunks; those that aren't kept are encoded."""
+        out, missing = {}, {}
+        for p in parts:
+            if p in out or p in missing:
+                self.reused += 1
+                continue
+            ids = self.new.get(p)
+            if ids is None:
+                ids = self.old.get(p)
+                if ids is not None:
+                    self._keep(p, ids)
+            if ids is None:
+                missing[p] = None
+            else:
+                self.reused += 1
+                out[p] = ids
+        self.encoded += len(missing)
+        for p, ids in zip(missing, self.library(list(missing))):
+            out[p] = ids
+            self._keep(p, ids)
+        return out
+
+    def _keep(self, part: bytes, ids: np.ndarray) -> None:
+        size = len(part) + ids.nbytes + 250
+        if self.bytes + size > self.limit:
+            self.old, self.new, self.bytes = self.new, {}, 0
+        self.new[part] = ids
+        self.bytes += size
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         full = [k for k, r in enumerate(raw) if r]
+        out = [np.zeros(0, np.int32) for _ in raw]
         if not full:
-            return [np.zeros(0, np.int32) for _ in raw]
+            return out
         data = b"".join(raw)
         starts = np.cumsum([0, *[len(raw[k]) for k in full[:-1]]]).astype(np.int64)
         ends = chunk_ends(data, starts, self.bits)
         cuts = [0, *ends.tolist()]
         parts = [data[a:b] for a, b in zip(cuts, cuts[1:])]
-        self._load(parts)
-        last = np.searchsorted(ends, np.append(starts[1:], len(data))) + 1
-        pieces: list = []  # id arrays, or the number of a window
-        joins: list[tuple[bytes, Chunk | None, Chunk | None]] = []
-        spans, first = [], 0
-        for stop in last.tolist():
-            begin, carry, left = len(pieces), b"", None
-            for p in parts[first:stop]:
-                c = self.chunks[p]
-                carry += c.head
-                if c.solid:
-                    continue
-                if carry:
-                    pieces.append(len(joins))
-                    joins.append((carry, left, c))
-                pieces.append(c.ids)
-                carry, left = c.tail, c
-            if carry:
-                pieces.append(len(joins))
-                joins.append((carry, left, None))
-            spans.append((begin, len(pieces)))
-            first = stop
-        fixed = self._repair(joins)
-        out: list[np.ndarray] = [np.zeros(0, np.int32) for _ in raw]
+        ids = self._load(parts)
+        last = (np.searchsorted(ends, np.append(starts[1:], len(data))) + 1).tolist()
+        # joins are between the chunks k and k + 1 of one text
+        spans = list(zip([0, *last[:-1]], last))
+        joins = [k for a, b in spans for k in range(a, b - 1)]
+        fixed = self._repair([(parts[k], parts[k + 1], ids[parts[k]], ids[parts[k + 1]]) for k in joins])
+        repaired = dict(zip(joins, fixed))
+        again = []
         for k, (a, b) in zip(full, spans):
-            got = [fixed[x] if isinstance(x, int) else x for x in pieces[a:b]]
-            out[k] = np.concatenate(got) if got else out[k]
+            pieces, skip, good = [], 0, True
+            for c in range(a, b):
+                have, join = ids[parts[c]], repaired.get(c) if c < b - 1 else (0, None, 0)
+                if join is None or skip + join[0] > len(have):  # no agreement, or windows that meet in a chunk
+                    good = False
+                    break
+                pieces.append(have[skip : len(have) - join[0]])
+                if join[1] is not None:
+                    pieces.append(join[1])
+                skip = join[2]
+            if good:
+                out[k] = np.concatenate(pieces)
+            else:
+                again.append(k)
+        self.whole += len(again)
+        for k, got in zip(again, self.library([raw[k] for k in again])):
+            out[k] = got
         return out
 
-    def _repair(self, joins: list) -> list[np.ndarray]:
-        """Ids of the word across each join, from windows that agree with the chunks on either side."""
+    def _repair(self, joins: list) -> list:
+        """For each (left chunk, right chunk, ids of both): how many ids go from the end of the left chunk, what stands in their
+        place, and how many go from the beginning of the right one; None if no window agrees."""
         out: list = [None] * len(joins)
-        todo, width = list(range(len(joins))), 1
+        todo, width = list(range(len(joins))), JOIN
+        self.joined += len(joins)
         while todo:
-            windows, sides = [], []
+            tried, again = [], []
             for k in todo:
-                span, left, right = joins[k]
-                before, nl = self._outer(left, width, True) if left else ([], 0)
-                after, nr = self._outer(right, width, False) if right else ([], 0)
-                windows.append(b" ".join([*before, span, *after]).decode("utf-8", "replace"))
-                sides.append((nl, nr))
-            again = []
-            for k, ids, (nl, nr) in zip(todo, self.table.library(windows), sides):
-                _, left, right = joins[k]
-                good = nl + nr <= len(ids) and (not nl or ids[:nl] == left.ids[-nl:].tolist()) and (not nr or ids[len(ids) - nr :] == right.ids[:nr].tolist())
-                widest = width >= max(len(c.data) if c else 0 for c in (left, right))
-                if good or widest:
-                    out[k] = np.array(ids[nl : len(ids) - nr], np.int32)
-                else:
+                left, right = joins[k][:2]
+                a, b = window(left, width), window(right, width, False)
+                if a is not None and b is not None:
+                    tried.append((k, left[a:], right[:b]))
+                elif width < max(len(left), len(right)):
+                    again.append(k)
+            got = self.library([x for _, left, right in tried for x in (left, right, left + right)])
+            for n, (k, left, right) in enumerate(tried):
+                before, after, both = got[3 * n : 3 * n + 3]
+                _, _, ids, more = joins[k]
+                if np.array_equal(ids[len(ids) - len(before) :], before) and np.array_equal(more[: len(after)], after):
+                    out[k] = len(before), both, len(after)
+                elif width < max(len(joins[k][0]), len(joins[k][1])):
                     again.append(k)
             self.widened += len(again)
             todo, width = again, width * 2
         return out
 
 
+def window(chunk: bytes, width: int, end: bool = True) -> int | None:
+    """Where the last ``width`` bytes of a chunk begin a word after which there is white space, or (not ``end``) where the first
+    ``width`` bytes end one before which there is: None if they don't."""
+    if end:
+        part = chunk[-width:]
+        # the first white space, then a word, then white space: what is before the word is cut off
+        at = next((i for i, c in enumerate(part) if c in SPACE), None)
+        if at is None:
+            return None
+        word = next((i for i in range(at, len(part)) if part[i] not in SPACE), None)
+        if word is None or not any(c in SPACE for c in part[word:]):
+            return None
+        return len(chunk) - len(part) + word
+    part = chunk[:width]
+    at = next((i for i in range(len(part) - 1, -1, -1) if part[i] in SPACE), None)
+    if at is None:
+        return None
+    word = next((i for i in range(at, -1, -1) if part[i] not in SPACE), None)
+    if word is None or not any(c in SPACE for c in part[: word + 1]):
+        return None
+    return word + 1
+
+
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
 cache("tokens", _ENCODERS.clear)
 
 
 def chunk_encoder(path: str, bits: int) -> ChunkEncoder:
+    """The encoder of this worker process, kept from task to task."""
     claim("tokens")
     if (path, bits) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path, bits] = ChunkEncoder(word_table(path), bits)
+        _ENCODERS[path, bits] = ChunkEncoder(path, bits)
     return _ENCODERS[path, bits]
 
 
-def encode_decode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, bits: int = 9) -> DataFrame:
+def encode_decode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, bits: int = 10) -> DataFrame:
     """(doc_id, ids array<int>, decoded string) of every row: a map without a shuffle."""
     path = vocabulary or default_vocabulary()
     small_batches(docs.sparkSession)
@@ -198,7 +232,7 @@ def encode_decode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
                 ids = encoder.encode(batch.column(1).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-                token = encoder.table.tokens.__getitem__
+                token = encoder.tokens.__getitem__
                 decoded = [" ".join(map(token, x.tolist())) for x in ids]
                 yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 

@@ -31,25 +31,49 @@ def test_words_have_the_ids_of_the_library(lib):
     assert table.generation > 1  # words were forgotten on the way
 
 
-@pytest.mark.parametrize("bits", [4, 6, 9])
+def prose(n: int, seed: int) -> str:
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(r.randint(1, 14))) for _ in range(300)]
+    return " ".join(r.choice(vocabulary) + r.choice(["", "", "", ",", ".\n", "'s", " \t"]) for _ in range(n))
+
+
+@pytest.mark.parametrize("bits", [4, 7, 10])
 def test_chunks_agree_with_the_library(lib, bits):
-    encoder = bpe_chunks.ChunkEncoder(WordTable(default_vocabulary()), bits, limit_bytes=20_000)
-    texts = awkward(300, 2) + [" ".join(awkward(30, 3))] * 3
+    encoder = bpe_chunks.ChunkEncoder(default_vocabulary(), bits, limit_bytes=60_000)
+    shared = prose(3000, 9)
+    texts = awkward(300, 2) + [" ".join(awkward(30, 3))] * 3 + [prose(400, 4) + " " + shared, shared, "x" * 9000 + " " + prose(90, 5), prose(2000, 6).replace(" ", "")]
     for at in range(0, len(texts), 60):
         for t, ids in zip(texts[at:], encoder.encode(texts[at : at + 60])):
             assert ids.tolist() == lib.encode(t, add_special_tokens=False).ids
-    assert encoder.reused > 0
-
-
-def test_windows_grow_until_they_agree(lib):
-    encoder = bpe_chunks.ChunkEncoder(WordTable(default_vocabulary()))
-    left, right = bpe_chunks.Chunk(b"one two th"), bpe_chunks.Chunk(b"ree four five")
-    encoder._load([left.data, right.data])
-    left, right = encoder.chunks[left.data], encoder.chunks[right.data]
-    left.ids = left.ids.copy()
-    left.ids[-1] += 1  # as if the chunk alone had been encoded otherwise
-    got = encoder._repair([(b"three", left, right)])
-    assert encoder.widened > 0 and got[0].tolist() == lib.encode("three", add_special_tokens=False).ids
+    assert encoder.reused > 0 and encoder.encoded > 0
+
+
+def test_joins_are_repaired(lib):
+    """Chunks end inside words: their own ids on end are not those of the text, and windows grow until they agree."""
+    encoder = bpe_chunks.ChunkEncoder(default_vocabulary(), 8)
+    text = prose(4000, 11)
+    assert encoder.encode([text])[0].tolist() == lib.encode(text, add_special_tokens=False).ids
+    raw = text.encode()
+    cuts = [0, *bpe_chunks.chunk_ends(raw, np.zeros(1, np.int64), 8).tolist()]
+    apart = [i for a, b in zip(cuts, cuts[1:]) for i in lib.encode(raw[a:b].decode(), add_special_tokens=False).ids]
+    assert apart != lib.encode(text, add_special_tokens=False).ids
+    assert encoder.joined == len(cuts) - 2 > 50 and encoder.widened > 20 and not encoder.whole
+    before = encoder.encoded
+    assert encoder.encode(["another beginning " + text])[0].tolist() == lib.encode("another beginning " + text, add_special_tokens=False).ids
+    assert encoder.encoded - before <= 3  # all but the first chunks are known
+
+
+def test_texts_without_agreement_are_encoded_whole(lib):
+    encoder = bpe_chunks.ChunkEncoder(default_vocabulary(), 5)
+    texts = ["".join(random.Random(7).choice("abcdefgh") for _ in range(5000)), prose(50, 12)]
+    assert [x.tolist() for x in encoder.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoder.whole >= 1
+    # ids that a chunk has by mistake don't agree either
+    left, right = b"one two th", b"ree four five"
+    ids = [encoder.library([x])[0] for x in (left, right)]
+    assert encoder._repair([(left, right, ids[0] + 1, ids[1])]) == [None]
+    n, both, m = encoder._repair([(left, right, *ids)])[0]
+    assert [*ids[0][: len(ids[0]) - n], *both, *ids[1][m:]] == lib.encode("one two three four five", add_special_tokens=False).ids
 
 
 def test_chunks_follow_the_content():
@@ -58,8 +82,8 @@ def test_chunks_follow_the_content():
     for prefix in (b"", b"another beginning "):
         data = prefix + shared
         e = bpe_chunks.chunk_ends(data, np.zeros(1, np.int64), 6)
-        ends.append({int(x) - len(prefix) for x in e if x > len(prefix) + 64})
-    assert ends[0] - {x for x in ends[0] if x <= 64} == ends[1]
+        ends.append({int(x) - len(prefix) for x in e if x > len(prefix) + 400})
+    assert ends[0] == ends[1] and len(ends[0]) > 50
 
 
 def test_encode_and_decode(spark, docs, none, lib):
