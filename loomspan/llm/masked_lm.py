@@ -1,21 +1,25 @@
 """LM scoring by masked pseudo-likelihood: a bidirectional window network predicts every token from both sides.
 
-Tokens are words in ``CLASSES`` classes: the most frequent words of the corpus have a class each, all others
-share ``OTHERS`` classes by a hash of their last letters. The network adds up a vector for each of the
-``2 * SIDE`` neighbours (their places have tables of their own; beyond the ends of a text stands class 0),
-takes the hyperbolic tangent, and predicts the masked token in two steps: its group of 32 classes, then the
-class within the group.
-
-Counting and training read every document. Each task counts its words and sends one row for each distinct one;
-then, in ``ROUNDS`` rounds, each task trains its own copy of the network on masked tokens (``MASK`` of all
-positions of all its texts, others in each round) with Adagrad steps, and the copies are averaged, weighted by
-their tokens, in two stages of sums. What moves is thus the vocabulary counts and the copies of the tasks, both of
-which grow with the corpus; the network and the list of frequent words have a fixed size.
+Tokens are words. The network predicts a word's class of ``CLASSES``: the most frequent words of the corpus have a class each,
+all others share ``OTHERS`` classes by their last two letters. It adds up a vector for each of the ``2 * SIDE`` neighbours (their
+places have tables of their own; beyond the ends of a text stands class 0), takes the hyperbolic tangent, and predicts in two
+steps: the group of 32 classes, then the class within the group. Within a class that words share, a word has the probability of its
+spelling (a trigram model of letters in 64 codes, with the end of the word) as a share of that of its class. So every word, also one that the
+corpus has once, has a conditional probability of its own: ``p(class | both sides) * p(word | class)``.
+
+Counting and training read every document. Each task counts its words and their letters and sends one row for each distinct
+one. Then documents are dealt by hash to lanes of about ``LANE`` tokens each, whose number grows with the corpus, and in
+``ROUNDS`` rounds each lane trains its own copy of the network on masked tokens (``MASK`` of all positions of all its texts,
+others in each round) with Adagrad steps; the copies are averaged, weighted by their tokens, in stages of 64. Lanes and
+masks depend on the documents alone, so scores don't depend on how files or tasks are cut. What moves is the vocabulary counts
+and the copies of the lanes, both of which grow with the corpus; the network, the list of frequent words and the letters'
+counts have a fixed size.
 
 A document's score is the sum over all its tokens of the log-probability given the tokens on both sides.
 
 Edge cases: a null or empty text has 0 tokens, a score of 0 and no mean; texts of any length are scored whole;
-repeated rows get equal scores; an empty table gives an empty result; further columns are ignored.
+repeated rows get equal scores; a null id is an id; words of equal frequency go by their hash; an empty table gives an empty
+result; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import cache, claim, slices, small_batches, written
+from loomspan.llm.common import cache, claim, dropped, row_key, slices, small_batches, written
 
 GROUP = 32
 CLASSES = GROUP * GROUP
@@ -41,6 +45,9 @@ ROUNDS = 2
 BATCH = 2048
 RATE = 0.15
 SLICE = 4096
+LANE = 1 << 20  # tokens
+LETTER = 6  # bits of a letter's code
+LETTERS = 1 << LETTER
 
 
 def sizes(hidden: int = HIDDEN, side: int = SIDE) -> dict[str, tuple[int, ...]]:
@@ -136,18 +143,41 @@ def step(net: dict, grads: dict, sums: np.ndarray, flat: np.ndarray, grad: np.nd
     return float(out.mean())
 
 
+def letter_codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of three letters in a row, their last being each letter of each word in turn and its end; how many each
+    word has). a to z have a code each, digits share one, all others share 36 by hash; 0 is the end and what is before a word."""
+    text = "  ".join([*(w.decode("utf-8", "replace") for w in words), ""])
+    cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = 28 + ((cps * np.uint32(2654435761)) >> np.uint32(16)) % np.uint32(36)
+    c[(cps >= 97) & (cps <= 122)] = cps[(cps >= 97) & (cps <= 122)] - 96
+    c[(cps >= 48) & (cps <= 57)] = 27
+    c[cps == 32] = 0
+    c = np.concatenate([[0, 0], c]).astype(np.int32)
+    here, before = c[2:], c[1:-1]
+    keep = (here > 0) | (before > 0)  # of the two spaces after a word the first is its end
+    three = (c[:-2] << 2 * LETTER | before << LETTER | here)[keep]
+    ends = np.flatnonzero(here[keep] == 0)
+    return three, np.diff(ends, prepend=-1)
+
+
+def shared_class(pair: np.ndarray) -> np.ndarray:
+    """The class, among those that words share, of words with these codes of the last two letters."""
+    return CLASSES - OTHERS + (pair.astype(np.uint32) * np.uint32(2654435761) >> np.uint32(20)).astype(np.int32) % OTHERS
+
+
 class Words:
-    """Numbers of the words that a worker process has met, kept from task to task up to ``limit``; each word's hash
-    and its class among the others, by its last letters."""
+    """Numbers of the words that a worker process has met, kept from task to task up to ``limit``; each word's hash and the
+    codes of its last two letters."""
 
-    def __init__(self, limit: int = 700_000):
+    def __init__(self, limit: int = 600_000):
         self.limit, self.generation = limit, 0
         self.clear()
 
     def clear(self) -> None:
         self.generation += 1
         self.known: dict[bytes, int] = {}
-        self.hash, self.other = np.zeros(4096, np.int64), np.zeros(4096, np.int32)
+        self.order: list[bytes] = []
+        self.hash, self.pair = np.zeros(4096, np.int64), np.zeros(4096, np.int32)
 
     def full(self) -> bool:
         return len(self.known) > self.limit
@@ -159,11 +189,12 @@ class Words:
             absent = [flat[i] for i in missing.tolist()]
             new, n = list(dict.fromkeys(absent)), len(self.known)
             while n + len(new) > len(self.hash):
-                self.hash, self.other = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.other))
+                self.hash, self.pair = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.pair))
             self.hash[n : n + len(new)] = [word_hash(w) for w in new]
-            ends = {e: CLASSES - OTHERS + word_hash(e) % OTHERS for e in {w[-2:] for w in new}}
-            self.other[n : n + len(new)] = [ends[w[-2:]] for w in new]
+            three, lens = letter_codes(new)
+            self.pair[n : n + len(new)] = three[np.cumsum(lens) - 1] >> LETTER  # of the end's three, the two before it
             self.known.update(zip(new, range(n, n + len(new))))
+            self.order += new
             at[missing] = np.fromiter(map(self.known.__getitem__, absent), np.int64, len(absent))
         return at
 
@@ -180,28 +211,45 @@ def met_words() -> Words:
 
 
 class Vocabulary:
-    """Classes of words, given the hashes of the frequent ones in order."""
-
-    def __init__(self, frequent: list[int]):
-        self.order = np.argsort(np.array(frequent, np.int64))
-        self.sorted = np.array(frequent, np.int64)[self.order]
-        self.generation, self.of = -1, np.zeros(0, np.int32)
-
-    def classes(self, split: list[list[bytes]]) -> np.ndarray:
+    """Classes of words and the logarithm of their share of their class, given the frequent words as (hash, codes of the last
+    letters, count) in order, and the counts of three letters in a row."""
+
+    def __init__(self, frequent: list[tuple[int, int, int]], letters: np.ndarray):
+        h = np.array([x[0] for x in frequent], np.int64)
+        self.order = np.argsort(h)
+        self.sorted = h[self.order]
+        three = letters.reshape(LETTERS, LETTERS, LETTERS).astype(np.float64)
+        one, two = three.sum((0, 1)), three.sum(0)
+        low = (one + 1) / (one.sum() + LETTERS)
+        middle = (two + 5 * low) / (two.sum(1, keepdims=True) + 5)
+        self.spelling = np.log((three + 5 * middle) / (three.sum(2, keepdims=True) + 5)).ravel().astype(np.float32)
+        # the share of all words that each shared class has, less the words with a class of their own
+        ends = three[:, :, 0].ravel()
+        mass = np.bincount(shared_class(np.arange(LETTERS * LETTERS)), ends, CLASSES)
+        if frequent:
+            mass -= np.bincount(shared_class(np.array([x[1] for x in frequent])), [x[2] for x in frequent], CLASSES)
+        self.mass = np.log(np.maximum(mass, 0.5) / max(1.0, ends.sum()))
+        self.generation, self.of, self.share = -1, np.zeros(0, np.int32), np.zeros(0, np.float32)
+
+    def look(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """(class, log of the share of the class) of every word of all texts on end."""
         claim("classes")
         if _WORDS.full():
             _WORDS.clear()
         at = _WORDS.numbers([w for ws in split for w in ws])
         if self.generation != _WORDS.generation:
-            self.generation, self.of = _WORDS.generation, np.zeros(0, np.int32)
+            self.generation, self.of, self.share = _WORDS.generation, np.zeros(0, np.int32), np.zeros(0, np.float32)
         have, size = len(self.of), len(_WORDS.known)
         if size > have:
             h = _WORDS.hash[have:size]
             place = np.minimum(np.searchsorted(self.sorted, h), max(len(self.sorted) - 1, 0))
             found = self.sorted[place] == h if len(self.sorted) else np.zeros(len(h), bool)
-            new = np.where(found, 1 + self.order[place] if len(self.sorted) else 0, _WORDS.other[have:size])
-            self.of = np.concatenate([self.of, new.astype(np.int32)])
-        return self.of[at]
+            new = np.where(found, 1 + self.order[place] if len(self.sorted) else 0, shared_class(_WORDS.pair[have:size])).astype(np.int32)
+            three, lens = letter_codes(_WORDS.order[have:size])
+            spelt = np.bincount(np.repeat(np.arange(len(lens)), lens), self.spelling[three], len(lens))
+            share = np.where(found, 0.0, np.minimum(spelt - self.mass[new], 0.0))
+            self.of, self.share = np.concatenate([self.of, new]), np.concatenate([self.share, share.astype(np.float32)])
+        return self.of[at], self.share[at]
 
 
 def word_hash(word: bytes) -> int:
@@ -229,20 +277,23 @@ def contexts(ids: np.ndarray, lens: np.ndarray, side: int = SIDE) -> np.ndarray:
     return out
 
 
-def frequent_words(docs: DataFrame, text: str = "text", most: int = FREQUENT) -> list[int]:
-    """Hashes of the ``most`` most frequent words of the corpus, by exact counts over all documents."""
+def counted_words(docs: DataFrame, text: str = "text", most: int = FREQUENT) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """The ``most`` most frequent words of the corpus as (hash, codes of the last two letters, count), and the counts of all codes of
+    three letters in a row, by exact counts over all documents."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        words = met_words()
+        words, letters = met_words(), np.zeros(LETTERS**3, np.int64)
 
         def sent(n: np.ndarray) -> Iterator:
             at = np.flatnonzero(n)
             for k in range(0, len(at), 100_000):
                 part = at[k : k + 100_000]
-                yield pa.record_batch([pa.array(words.hash[part]), pa.array(n[part])], names=["h", "n"])
+                three, lens = letter_codes([words.order[i] for i in part.tolist()])
+                letters[:] += np.bincount(three, np.repeat(n[part], lens), LETTERS**3).astype(np.int64)
+                yield pa.record_batch([pa.array(words.hash[part]), pa.array(words.pair[part]), pa.array(n[part])], names=["h", "pair", "n"])
 
         total = np.zeros(0, np.int64)
         for whole in batches:
@@ -255,79 +306,90 @@ def frequent_words(docs: DataFrame, text: str = "text", most: int = FREQUENT) ->
                 n[: len(total)] += total
                 total = n
         yield from sent(total)
-
-    counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return [r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(most).collect()]
-
-
-def coded(docs: DataFrame, frequent: list[int], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): the classes of every document's words, 16-bit, so that training rounds and scoring
-    read these rather than texts."""
+        at = np.flatnonzero(letters)
+        yield pa.record_batch([pa.array(at), pa.array(np.full(len(at), -1, np.int32)), pa.array(letters[at])], names=["h", "pair", "n"])
+
+    counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "h long, pair int, n long").groupBy("h", "pair").agg(F.sum("n").alias("n"))
+    counts = written(counts)
+    first = [(r["h"], r["pair"], r["n"]) for r in counts.where("pair >= 0").orderBy(F.desc("n"), "h").limit(most).collect()]
+    known = counts.where("pair < 0").toPandas()  # at most LETTERS**3 rows
+    letters = np.zeros(LETTERS**3, np.int64)
+    letters[known["h"].to_numpy(np.int64)] = known["n"].to_numpy(np.int64)
+    dropped(counts)
+    return first, letters
+
+
+def coded(docs: DataFrame, frequent: list[tuple[int, int, int]], letters: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, _k1, _k2, n_tokens, shares, ids): the classes of every document's words, 16-bit, so that training rounds and
+    scoring read these rather than texts, and the sum of the logarithms of the words' shares of their classes."""
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+    sent = docs.sparkSession.sparkContext.broadcast((frequent, letters))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        words = Vocabulary(sent.value)
+        words = Vocabulary(*sent.value)
         for whole in batches:
             for batch in slices(whole):
-                split = words_of(batch.column(1).to_pylist())
+                split = words_of(batch.column(3).to_pylist())
                 lens = np.array([len(ws) for ws in split], np.int64)
-                ids = words.classes(split).astype("<u2")
-                offsets = (2 * np.concatenate([[0], np.cumsum(lens)])).astype(np.int32)
-                data = pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
-                yield pa.record_batch([batch.column(0), pa.array(lens), data], names=["doc_id", "n_tokens", "ids"])
+                ids, share = words.look(split)
+                total = np.bincount(np.repeat(np.arange(len(lens)), lens), share, len(lens))
+                raw, ends = ids.astype("<u2").tobytes(), np.cumsum(lens).tolist()
+                data = pa.array([raw[2 * a : 2 * b] for a, b in zip([0, *ends[:-1]], ends)], pa.binary())
+                yield pa.record_batch([*batch.columns[:3], pa.array(lens), pa.array(total), data], names=["doc_id", "_k1", "_k2", "n_tokens", "shares", "ids"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).select("doc_id", *row_key(), "text")
+    return rows.mapInArrow(run, "doc_id long, _k1 long, _k2 long, n_tokens long, shares double, ids binary")
 
 
 def _classes(batch, column: str) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(column)).to_pylist()), "<u2").astype(np.int32)
 
 
-def train_round(rows: DataFrame, flat: np.ndarray, round_: int, mask: float = MASK, rate: float = RATE) -> np.ndarray:
-    """The average, weighted by tokens, of the copies that all tasks trained from ``flat``. rows: as from ``coded``."""
+def train_round(rows: DataFrame, flat: np.ndarray, round_: int, lanes: int, mask: float = MASK, rate: float = RATE) -> np.ndarray:
+    """The average, weighted by tokens, of the copies that all lanes trained from ``flat``. rows: as from ``coded``."""
     spark = rows.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(flat)
 
-    def run(batches: Iterator) -> Iterator:
+    def run(key, table):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        task = TaskContext.get().partitionId()
-        rng = np.random.default_rng([round_, task])
+        lane = key[0].as_py()
+        rng = np.random.default_rng([round_, lane])
         own = sent.value.copy()
         net, grad, sums, seen = views(own), np.zeros_like(own), np.full_like(own, 1e-4), 0
         grads = views(grad)
-        for whole in batches:
+        for whole in table.sort_by([("_k1", "ascending"), ("_k2", "ascending")]).combine_chunks().to_batches():
             for batch in slices(whole, 2.0, "ids"):
                 ids = _classes(batch, "ids")
                 masked = np.flatnonzero(rng.random(len(ids)) < mask)
                 if not len(masked):
                     continue
-                around = contexts(ids, batch.column(0).to_numpy())[:, masked]
+                around = contexts(ids, batch.column("n_tokens").to_numpy())[:, masked]
                 target = ids[masked]
                 order = rng.permutation(len(masked))
                 for at in range(0, len(order), BATCH):
                     k = order[at : at + BATCH]
                     step(net, grads, sums, own, grad, around[:, k], target[k], rate)
                 seen += len(masked)
-        if seen:
-            parts = [own[at : at + SLICE] for at in range(0, len(own), SLICE)]
-            yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array([task % 64] * len(parts), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array([(p.astype(np.float64) * seen).tobytes() for p in parts], pa.binary())], names=["part", "lane", "n", "w"])
+        parts = [own[at : at + SLICE] for at in range(0, len(own), SLICE)] if seen else []
+        return pa.table([pa.array(range(len(parts)), pa.int32()), pa.array([lane] * len(parts), pa.int64()), pa.array([seen] * len(parts), pa.int64()), pa.array([(p.astype(np.float64) * seen).tobytes() for p in parts], pa.binary())], names=["part", "lane", "n", "w"])
 
     def added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(len(np.frombuffer(rows["w"].iloc[0])))
-        for w in rows["w"]:
+        for w in rows.sort_values("lane")["w"]:  # in order, so that the sum is the same in every run
             total += np.frombuffer(w)
-        return pd.DataFrame({"part": [key[0]], "lane": [0], "n": [rows["n"].sum()], "w": [total.tobytes()]})
-
-    schema = "part int, lane int, n long, w binary"
-    copies = rows.select("n_tokens", "ids").mapInArrow(run, schema)
-    sums = copies.groupBy("part", "lane").applyInPandas(added, schema).groupBy("part").applyInPandas(added, schema)
+        return pd.DataFrame({"part": [key[0]], "lane": [key[1]], "n": [rows["n"].sum()], "w": [total.tobytes()]})
+
+    schema = "part int, lane long, n long, w binary"
+    # a number of partitions is given as the work of a lane is more than its bytes say
+    dealt = rows.where("n_tokens > 0").select("_k1", "_k2", "n_tokens", "ids", F.pmod("_k1", F.lit(lanes)).alias("lane")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "lane")
+    sums, left = dealt.groupBy("lane").applyInArrow(run, schema), lanes
+    while left > 1:
+        left = -(-left // 64)
+        sums = sums.groupBy("part", F.expr("lane div 64").alias("to")).applyInPandas(added, schema)
     parts = sums.orderBy("part").collect()  # the network's size
     if not parts:
         return flat
@@ -336,9 +398,9 @@ def train_round(rows: DataFrame, flat: np.ndarray, round_: int, mask: float = MA
 
 def trained(rows: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     """The network, from all documents as ``coded`` gives them."""
-    flat = initial()
+    flat, tokens = initial(), rows.agg(F.sum("n_tokens")).first()[0] or 0
     for r in range(rounds):
-        flat = train_round(rows, flat, r, rate=RATE / (1 + r))
+        flat = train_round(rows, flat, r, max(1, -(-tokens // LANE)), rate=RATE / (1 + r))
     return flat
 
 
@@ -359,13 +421,13 @@ def scored(rows: DataFrame, flat: np.ndarray) -> DataFrame:
                 for at in range(0, len(ids), 16_384):
                     k = slice(at, at + 16_384)
                     logp[k] = forward(net, around[:, k], ids[k])[0]
-                total = np.bincount(np.repeat(np.arange(len(lens)), lens), logp, len(lens))
+                total = np.bincount(np.repeat(np.arange(len(lens)), lens), logp, len(lens)) + batch.column(2).to_numpy()
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(total)], names=["doc_id", "n_tokens", "log_likelihood"])
 
-    out = rows.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double")
+    out = rows.select("doc_id", "n_tokens", "shares", "ids").mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double")
     return out.withColumn("mean_log_likelihood", F.col("log_likelihood") / F.nullif("n_tokens", F.lit(0)))
 
 
 def pseudo_likelihood(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    rows = written(coded(docs, frequent_words(docs, text), doc_id, text))
+    rows = written(coded(docs, *counted_words(docs, text), doc_id, text))
     return scored(rows, trained(rows))

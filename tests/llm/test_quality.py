@@ -197,36 +197,104 @@ def test_labels_of_the_held_out_fold_are_not_read(spark):
     assert np.array_equal(ftrl.fitted(docs, labels), ftrl.fitted(docs, other))
 
 
-def slow_log_likelihood(text: str, frequent: list, flat: np.ndarray) -> float:
-    net, words = masked_lm.views(flat), masked_lm.words_of([text])[0]
-    known = {h: 1 + k for k, h in enumerate(frequent)}
-    ids = [known.get(masked_lm.word_hash(w)) or masked_lm.CLASSES - masked_lm.OTHERS + masked_lm.word_hash(w[-2:]) % masked_lm.OTHERS for w in words]
-    total = 0.0
+def code_of(ch: str) -> int:
+    cp = ord(ch)
+    return cp - 96 if "a" <= ch <= "z" else 27 if "0" <= ch <= "9" else 28 + (cp * 2654435761 % 2**32 >> 16) % 36
+
+
+def spelling(counts: dict, word: str) -> float:
+    """log-probability of a word's letters and its end, straight from the counts of three in a row."""
+    n1, n2, n2c, n3c = Counter(), Counter(), Counter(), Counter()
+    for (a, b, c), n in counts.items():
+        n1[c] += n
+        n2[b, c] += n
+        n2c[b] += n
+        n3c[a, b] += n
+    total, last = 0.0, (0, 0)
+    for c in [*map(code_of, word), 0]:
+        low = (n1[c] + 1) / (sum(n1.values()) + 64)
+        middle = (n2[last[1], c] + 5 * low) / (n2c[last[1]] + 5)
+        total += np.log((counts.get((*last, c), 0) + 5 * middle) / (n3c[last] + 5))
+        last = last[1], c
+    return total
+
+
+def class_of(word: str) -> int:
+    pair = ([0, 0, *map(code_of, word)])[-2:]
+    return masked_lm.CLASSES - masked_lm.OTHERS + ((pair[0] * 64 + pair[1]) * 2654435761 % 2**32 >> 20) % masked_lm.OTHERS
+
+
+def slow_log_likelihood(text: str, frequent: list, words: Counter, letters: dict, flat: np.ndarray) -> float:
+    net, split = masked_lm.views(flat), text.lower().split()
+    known = {w: 1 + k for k, w in enumerate(frequent)}
+    ids = [known.get(w) or class_of(w) for w in split]
+    shared, total, everything = Counter(), 0.0, sum(words.values())
+    for w, n in words.items():
+        if w not in known:
+            shared[class_of(w)] += n
     for i, target in enumerate(ids):
         around = [ids[j] if 0 <= j < len(ids) else 0 for j in (i - 2, i - 1, i + 1, i + 2)]
         h = np.tanh(sum(net["tables"][k][c] for k, c in enumerate(around)) + net["bias"])
         for x, at in ((h @ net["group"] + net["group_bias"], target // 32), (h @ net["within"][target // 32] + net["within_bias"][target // 32], target % 32)):
             total += x[at] - np.log(np.exp(x).sum())
+        if split[i] not in known:
+            total += min(0.0, spelling(letters, split[i]) - np.log(shared[target] / everything))
     return total
 
 
-def test_scores_match_the_formula_and_training_helps(spark, docs, none):
-    frequent = masked_lm.frequent_words(docs)
-    coded = masked_lm.coded(docs, frequent).cache()
+def corpus(docs) -> tuple[Counter, dict]:
+    """Counts of all words and of all letters three in a row."""
+    words = Counter(w for r in docs.collect() for w in (r["text"] or "").lower().replace("\x0b", " ").split())
+    letters = Counter()
+    for w, n in words.items():
+        codes = [0, 0, *map(code_of, w), 0]
+        for three in zip(codes, codes[1:], codes[2:]):
+            letters[three] += n
+    return words, dict(letters)
+
+
+def test_scores_match_the_formula_and_training_helps(spark, docs, none, monkeypatch):
+    monkeypatch.setattr(masked_lm, "FREQUENT", 120)
+    frequent, letters = masked_lm.counted_words(docs, most=120)
+    words, three = corpus(docs)
+    by_hash = {masked_lm.word_hash(w.encode()): w for w in words}
+    coded = masked_lm.coded(docs, frequent, letters).cache()
     flat = masked_lm.trained(coded)
     rows = masked_lm.scored(coded, flat).collect()
     assert len(rows) == docs.count()
     text = {r["doc_id"]: r["text"] for r in docs.where("doc_id < 12 or doc_id > 129").collect()}
+    checked = 0
     for r in rows:
-        if r["doc_id"] in text and r["n_tokens"] < 400:
-            assert abs(r["log_likelihood"] - slow_log_likelihood(text[r["doc_id"]] or "", frequent, flat)) < 1e-2
+        if r["doc_id"] in text and r["n_tokens"] < 200:
+            checked += 1
+            assert abs(r["log_likelihood"] - slow_log_likelihood(text[r["doc_id"]] or "", [by_hash[h] for h, _, _ in frequent], words, three, flat)) < 2e-2
+    assert checked > 8
     before = masked_lm.scored(coded, masked_lm.initial()).agg(F.sum("log_likelihood")).first()[0]
     assert sum(r["log_likelihood"] for r in rows) > before
     assert masked_lm.pseudo_likelihood(none).count() == 0
 
 
+def test_scores_do_not_depend_on_partitions(spark, docs, monkeypatch):
+    monkeypatch.setattr(masked_lm, "LANE", 1500)  # tens of lanes
+    got = [sorted((str(r["doc_id"]), r["n_tokens"], r["log_likelihood"]) for r in masked_lm.pseudo_likelihood(docs.repartition(n)).collect()) for n in (1, 7)]
+    assert np.allclose([x[2] for x in got[0]], [x[2] for x in got[1]], rtol=1e-9, atol=1e-9) and [x[:2] for x in got[0]] == [x[:2] for x in got[1]]
+
+
+def test_words_of_one_class_are_told_apart(spark):
+    """Of two texts that differ in a rare word only, that with the odder spelling scores less."""
+    r = np.random.default_rng(3)
+    parts = ["ka", "to", "mi", "re", "su", "no"]
+    rows = [(i, " ".join("".join(r.choice(parts, int(r.integers(2, 5)))) for _ in range(80))) for i in range(60)]
+    rows += [(100, "kato mire sunokamino toka mire"), (101, "kato mire xqzwvjjpkmino toka mire")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    coded = masked_lm.coded(df, *masked_lm.counted_words(df, most=20))
+    got = {x["doc_id"]: x["log_likelihood"] for x in masked_lm.scored(coded, masked_lm.trained(coded)).collect()}
+    assert got[101] < got[100] - 10
+
+
 def test_word_counts_are_exact(spark, docs):
-    n = Counter(w for r in docs.collect() for w in masked_lm.words_of([r["text"]])[0])
-    got = masked_lm.frequent_words(docs, most=50)
-    order = sorted(((masked_lm.word_hash(w), c) for w, c in n.items()), key=lambda x: (-x[1], x[0]))
-    assert got == [h for h, _ in order[:50]]
+    words, three = corpus(docs)
+    got, letters = masked_lm.counted_words(docs, most=50)
+    order = sorted(((masked_lm.word_hash(w.encode()), c) for w, c in words.items()), key=lambda x: (-x[1], x[0]))
+    assert [(h, n) for h, _, n in got] == order[:50]
+    assert {(k >> 12, k >> 6 & 63, k & 63): int(letters[k]) for k in np.flatnonzero(letters).tolist()} == three
