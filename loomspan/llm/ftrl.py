@@ -9,9 +9,10 @@ Training (FTRL-Proximal, McMahan et al. 2013) reads at most ``SAMPLE`` labelled
 their ids, in ``EPOCHS`` passes in that order; weights are thus the same in every run. Scoring covers every
 document and is a map without a shuffle. Rows of the held-out fold never train.
 
-Edge cases: a null or empty text has the bias alone as its score; labels that are null are passed over; an id
-with several labels or texts trains once for each; without any label the weights are 0 and scores 0.5; a null id
-is not held out; an empty table gives an empty result; further columns are ignored.
+Edge cases: a null or empty text has the bias alone as its score; very long texts are scored whole; labels that are null are
+passed over; an id with several labels trains once for each, one with several texts on that of the least hash, so that training
+never has more than ``SAMPLE`` rows; repeated rows get equal scores; without any label the weights are 0 and scores 0.5; a null
+id is not held out; an empty table gives an empty result; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ cache("features", _TOKENS.clear)
 def shape(word: str) -> str:
     if word.isascii() and word.isalpha() and word.islower():
         return "x"
-    return DIGIT.sub("9", LOWER.sub("x", UPPER.sub("X", word)))[:24]
+    return DIGIT.sub("9", LOWER.sub("x", UPPER.sub("X", word)))
 
 
 def _token(word: bytes) -> tuple[int, int]:
@@ -104,7 +105,7 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     chosen = chosen.withColumn("h", F.xxhash64("doc_id", F.lit(17))).orderBy("h", "doc_id", "label").limit(sample)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     # at most `sample` rows of three numbers
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("h", "doc_id", "label", "text")
+    rows = texts.join(F.broadcast(chosen.distinct()), "doc_id").groupBy("h", "doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -13,11 +13,18 @@ stand for one block. A source's share of the slots is its target divided by the
 Nothing is ordered or ranked within a whole source: positions and ranks are sums over buckets plus a rank
 within the bucket, so a source with a third of all rows is spread over tasks like any other.
 
+``scheduled`` returns the mix itself: the blocks in the order of their slots, each joined from the words of its documents.
+``mix`` adds up what it takes of each document, and ``mixed`` gives whole documents for use as a table.
+
+A source that may be taken ``cap`` times over has slots for so many rounds of its blocks; further ones that the rounding of shares
+would give it are passed over, so no document is taken more often.
+
 Targets: sources ordered by code point (null last) weigh 5, 2, 1, repeating, and share the sum of all sizes; a
 target stops at ``cap`` times its source's size, and the excess is shared again by weight until none is above.
 
-Edge cases: a null or empty text has size 0 and is never taken; rows that agree in id and text may take
-different amounts, the same in every run; a null source is a source; an empty table gives an empty result.
+Edge cases: a null or empty text has size 0 and is never taken; very long texts lie in many blocks; rows that agree in id and
+text are ties in the shuffled order and may take different amounts, the same amounts in every run; a null source is a source;
+an empty table gives an empty result; further columns, whatever their names, are left out or carried by ``mixed``.
 """
 
 from __future__ import annotations
@@ -30,6 +37,7 @@ from pyspark.sql import functions as F
 from loomspan.llm.common import carried, cut, row_key, running_total, unpacked
 
 WEIGHTS = (5, 2, 1)
+BLANKS = "[\\\\x20\\\\x09-\\\\x0D]+"
 SLOTS = 1 << 17
 MOST_WORDS = 1 << 16  # in a block
 GOLDEN = 11400714819323198485  # 2**64 times the golden ratio's fraction
@@ -57,11 +65,12 @@ def shares(sources: list[tuple[str | None, int]], weights: tuple[int, ...] = WEI
     return [(s, n, target[s]) for s, n in ordered]
 
 
-def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, size, _k1, _k2), size being the number of words."""
+def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", with_text: bool = False) -> DataFrame:
+    """(doc_id, source, size, _h, _k1, _k2), size being the number of words and _h what the rows of a source are shuffled by."""
     # a word begins at every character that isn't white space and follows white space or the beginning
-    size = F.when(F.length(F.col(text)) > 0, F.size(F.expr(f"filter(split(`{text}`, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')"))).otherwise(0)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size.cast("long").alias("size"), *row_key(doc_id, text))
+    size = F.when(F.length(F.col(text)) > 0, F.size(F.expr(f"filter(split(`{text}`, '{BLANKS}'), w -> w <> '')"))).otherwise(0)
+    h = F.md5(F.concat_ws(" ", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("binary"))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size.cast("long").alias("size"), h.alias("_h"), *row_key(doc_id, text), *([F.col(text).cast("string").alias("_text")] if with_text else []))
 
 
 def schedule(plan: list[tuple[str | None, int, float]], spark, block: int, slots: int) -> DataFrame:
@@ -85,9 +94,9 @@ def schedule(plan: list[tuple[str | None, int, float]], spark, block: int, slots
     return j.select("id", "bucket", number.alias("source_no"))
 
 
-def block_counts(slots: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(source_no, block, times): how often each block is taken. ``blocks``: (source_no, n_blocks, per_block), a row a
-    source; so many slots in a row stand for one block.
+def taken_blocks(slots: DataFrame, blocks: DataFrame, cap: float) -> DataFrame:
+    """(slot, source_no, block): the block of each slot. ``blocks``: (source_no, n_blocks, per_block), a row a
+    source; so many slots in a row stand for one block, and a source has ``cap`` rounds of its blocks at most.
 
     The rank of a slot among its source's slots is the count in earlier buckets plus its rank in its own.
     """
@@ -96,9 +105,8 @@ def block_counts(slots: DataFrame, blocks: DataFrame) -> DataFrame:
     per = per.select("source_no", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = Window.partitionBy("source_no", "bucket").orderBy("id")
     ranked = slots.withColumn("r", F.row_number().over(within) - 1).join(per, ["source_no", "bucket"])
-    ranked = ranked.join(F.broadcast(blocks), "source_no").where("(first + r) % per_block = per_block div 2")
-    named = ranked.select("source_no", F.expr("(first + r) div per_block % n_blocks").alias("block"))
-    return named.groupBy("source_no", "block").agg(F.count("*").alias("times"))
+    ranked = ranked.join(F.broadcast(blocks), "source_no").where("(first + r) % per_block = per_block div 2").withColumn("turn", F.expr("(first + r) div per_block"))
+    return ranked.where(F.col("turn") < cap * F.col("n_blocks")).select(F.col("id").alias("slot"), "source_no", F.expr("turn % n_blocks").alias("block"))
 
 
 def blocks_of(n: int, target: float, block: int) -> tuple[int, int, float]:
@@ -111,10 +119,10 @@ def blocks_of(n: int, target: float, block: int) -> tuple[int, int, float]:
     return n_blocks, per_block, slots * per_block
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: float = 3.0, min_slots: int = SLOTS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every row, and its key (_k1, _k2)."""
-    spark = docs.sparkSession
-    rows = cut(sized(docs, doc_id, text, source))
+def laid_out(rows: DataFrame, weights: tuple[int, ...], cap: float, min_slots: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``sized`` in pieces, one for each block that a row lies in (source_no, block, _at, words from ``begin`` on,
+    ``words`` of them, beside the columns of the row), rows of no words with null; and (slot, source_no, block) of the schedule."""
+    spark = rows.sparkSession
     found = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()  # one row a source
     plan = shares([(r["source"], r["n"]) for r in found], weights, cap)
     many = {r["source"]: r["rows"] for r in found}
@@ -127,30 +135,83 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     by_source = F.broadcast(spark.createDataFrame(facts, "source_no int, _s string, source_size long, target double, n_blocks long, per_block long, _short long, _longer long, _bits int"))
     placed = rows.join(by_source, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     # the shuffled order is that of _h; its leading bits, more of them for a source with more rows, are the bucket
-    placed = placed.withColumn("_h", F.xxhash64("_k1", F.lit(3)))
-    bucket = F.when(F.col("_bits") > 0, F.expr("shiftright(_h, 64 - greatest(_bits, 1))")).otherwise(F.lit(0))
-    placed = running_total(placed, ["source_no"], ["_h", "_k1", "_k2"], "size", "_at", bucket)
+    bucket = F.when(F.col("_bits") > 0, F.expr("shiftright(cast(conv(substring(_h, 1, 12), 16, 10) as bigint), 48 - greatest(_bits, 1))")).otherwise(F.lit(0).cast("long"))
+    placed = running_total(placed, ["source_no"], ["_h"], "size", "_at", bucket)
     due = [(s, n, x[2]) for (s, n, _), x in zip(plan, laid)]
-    times = block_counts(schedule(due, spark, block, slots), by_source.select("source_no", "n_blocks", "per_block"))
+    schedule_ = taken_blocks(schedule(due, spark, block, slots), by_source.select("source_no", "n_blocks", "per_block"), cap)
     holds = "if({0} < _longer * (_short + 1), {0} div (_short + 1), _longer + ({0} - _longer * (_short + 1)) div greatest(_short, 1))"
-    first, last = F.expr(holds.format("_at")), F.expr(holds.format("(_at + size - 1)"))
-    pieces = placed.withColumn("_row", F.struct("_h", "_k1", "_k2", "_at")).where("size > 0").select("source_no", "_row", "_at", "size", "_short", "_longer", F.explode(F.sequence(first, last)).alias("block"))
+    spans = F.when(F.col("size") > 0, F.sequence(F.expr(holds.format("_at")), F.expr(holds.format("(_at + size - 1)"))))
+    pieces = placed.withColumn("block", F.explode_outer(spans))
     begins = "({0} * _short + least({0}, _longer))"
-    words = F.expr(f"least(_at + size, {begins.format('(block + 1)')}) - greatest(_at, {begins.format('block')})")
-    # a source that may be taken `cap` times over is never taken more often, whatever the rounding of slots
-    took = pieces.join(times, ["source_no", "block"]).groupBy("source_no", "_row").agg(F.sum(words * F.least("times", F.lit(int(cap)))).alias("taken"))
-    out = placed.withColumn("_row", F.struct("_h", "_k1", "_k2", "_at")).join(took.withColumnRenamed("source_no", "_n"), "_row", "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "_k1", "_k2")
+    pieces = pieces.withColumn("begin", F.expr(f"greatest(_at, {begins.format('block')}) - _at"))
+    return pieces.withColumn("words", F.expr(f"least(size, {begins.format('(block + 1)')} - _at) - begin")), schedule_
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: float = 3.0, min_slots: int = SLOTS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of every row, and its key (_k1, _k2)."""
+    rows = cut(sized(docs, doc_id, text, source).withColumn("_id", F.monotonically_increasing_id()))
+    pieces, slots = laid_out(rows, weights, cap, min_slots)
+    times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
+    took = pieces.join(times, ["source_no", "block"], "left")
+    columns = ["doc_id", "source", "size", "source_size", "target", "_k1", "_k2"]
+    summed = took.groupBy("_id", *columns).agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long").alias("taken"))
+    return summed.select("doc_id", "source", "size", "source_size", "target", "taken", "_k1", "_k2")
+
+
+def scheduled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: float = 3.0, min_slots: int = SLOTS) -> DataFrame:
+    """slot, source_no (in the order of sources), block, n_words, doc_ids, text: the mix in the order of ``slot``, each block being the words
+    of its documents joined by single blanks. Order or range-partition the result by ``slot`` when it is written."""
+    rows = cut(sized(docs, doc_id, text, source, with_text=True))
+    pieces, slots = laid_out(rows, weights, cap, min_slots)
+    words = F.expr(f"slice(filter(split(_text, '{BLANKS}'), w -> w <> ''), int(begin + 1), int(words))")
+    parts = pieces.where("size > 0").select("source_no", "block", F.struct("_at", "doc_id", "words", F.array_join(words, " ").alias("t")).alias("p"))
+    # a block has MOST_WORDS words at most
+    whole = parts.groupBy("source_no", "block").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    out = slots.join(whole, ["source_no", "block"])
+    n = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    return out.select("slot", "source_no", "block", n.alias("n_words"), F.col("p.doc_id").alias("doc_ids"), F.array_join("p.t", " ").alias("text"))
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of the mix with their own columns: a row as often as its words are taken, rounded to whole
-    documents (half up), and at least once where any of its words are."""
+    """The rows of the mix with their own columns: a row as often as its words are taken, rounded to whole documents (half
+    up)."""
     took = mix(docs, doc_id, text, source)
-    copies = took.where("taken > 0").groupBy("_k1", "_k2").agg(F.sum(F.expr("greatest(1, (2 * taken + size) div (2 * size))")).alias("_copies"), F.count("*").alias("_rows"))
-    joined = carried(docs, doc_id, text).join(copies, ["_k1", "_k2"])
+    copies = took.where("taken > 0").groupBy("_k1", "_k2").agg(F.sum(F.expr("(2 * taken + size) div (2 * size)")).alias("_copies"), F.count("*").alias("_rows"))
+    joined = carried(docs, doc_id, text).join(copies.where("_copies > 0"), ["_k1", "_k2"])
     # rows that agree in id and text share their copies evenly, the first ones taking what is left over
     first = joined.where("_rows > 1").withColumn("_n", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_copies")))
     uneven = first.withColumn("_own", F.expr("_copies div _rows + int(_n <= _copies % _rows)")).drop("_n")
     each = joined.where("_rows = 1").withColumn("_own", F.col("_copies")).unionByName(uneven).where("_own > 0")
     return each.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_own").cast("long")))).select(*unpacked(docs.columns))
+
+
+STEP = (GOLDEN >> 12) | 1
+_HOLDS = "CASE WHEN {0} < longer * (short + 1) THEN {0} // (short + 1) ELSE longer + ({0} - longer * (short + 1)) // greatest(short, 1) END"
+ORACLE = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+            md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ' ' || coalesce(text, '')) AS h, row_number() OVER () AS id FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][no % 3 + 1] AS w, 3.0e0 * n / [5, 2, 1][no % 3 + 1] AS full_at FROM s),
+c AS (SELECT *, sum(n) OVER () - 3.0e0 * coalesce(sum(n) OVER (ORDER BY full_at, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+             sum(w) OVER (ORDER BY full_at, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM w WHERE n > 0),
+p AS (SELECT arg_min(rest / ws, (full_at, no)) FILTER (WHERE full_at >= rest / ws) AS per FROM c),
+t AS (SELECT w.*, CASE WHEN n = 0 THEN 0.0e0 WHEN w * per > 3.0e0 * n THEN 3.0e0 * n ELSE w * per END AS target FROM w, p),
+b AS (SELECT *, greatest(1, least(greatest(1, least(CAST(sum(n) OVER () AS BIGINT) // {SLOTS}, {MOST_WORDS})), CAST(floor(target) AS BIGINT) // {SLOTS_A_SOURCE})) AS most FROM t),
+k AS (SELECT *, CASE WHEN n = 0 OR target = 0 THEN 1 ELSE (n + most - 1) // most END AS n_blocks FROM b),
+l AS (SELECT *, CASE WHEN n = 0 OR target = 0 THEN 0.0e0 ELSE target * n_blocks / n END AS slots, n // n_blocks AS short, n % n_blocks AS longer FROM k),
+m AS (SELECT *, CASE WHEN slots = 0 THEN 1 ELSE greatest(1, CAST(floor({SLOTS_A_SOURCE} / slots) AS BIGINT)) END AS per_block FROM l),
+q AS (SELECT *, slots * per_block AS due FROM m),
+a AS (SELECT list_sum(list(due ORDER BY no)) AS total, CAST(ceil(list_sum(list(due ORDER BY no))) AS BIGINT) AS slots FROM q),
+u AS (SELECT list(upto ORDER BY no)[1:-2] AS uppers FROM (SELECT no, sum(due / total) OVER (ORDER BY no) AS upto FROM q, a)),
+j AS (SELECT j, len(list_filter(uppers, lambda x: x <= CAST((CAST(j AS HUGEINT) * {STEP}) % {1 << 52} AS DOUBLE) / {float(1 << 52)!r})) AS no
+      FROM (SELECT unnest(range(0, slots)) AS j FROM a), u),
+r AS (SELECT no, row_number() OVER (PARTITION BY no ORDER BY j) - 1 AS r FROM j),
+x AS (SELECT no, r // per_block % n_blocks AS block, count(*) AS times FROM r JOIN q USING (no)
+      WHERE r % per_block = per_block // 2 AND r // per_block < 3 * n_blocks GROUP BY ALL),
+e AS (SELECT d.*, no, n, target, short, longer, CAST(coalesce(sum(size) OVER (PARTITION BY no ORDER BY h, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
+      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+z AS (SELECT *, unnest(range({_HOLDS.format('pos')}, {_HOLDS.format('(pos + size - 1)')} + 1)) AS block FROM e WHERE size > 0),
+y AS (SELECT id, sum(times * (least(pos + size, (z.block + 1) * short + least(z.block + 1, longer)) - greatest(pos, z.block * short + least(z.block, longer)))) AS taken
+      FROM z JOIN x ON x.no = z.no AND x.block = z.block GROUP BY id)
+SELECT doc_id, CAST(size AS BIGINT) AS size, n AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM e LEFT JOIN y USING (id)
+"""

@@ -76,6 +76,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    from loomspan.llm import chosen_path, line_runs, projection_forest
+    from loomspan.llm import chosen_path, golden_mix, line_runs, projection_forest
 
-    return {"op2_embedding_forest": projection_forest.ORACLE, "op4_chosen_path_join": chosen_path.ORACLE, "op5_line_runs": line_runs.ORACLE}
+    return {"op2_embedding_forest": projection_forest.ORACLE, "op4_chosen_path_join": chosen_path.ORACLE, "op5_line_runs": line_runs.ORACLE, "op7_golden_mix": golden_mix.ORACLE}

@@ -13,7 +13,8 @@ all little-endian. A task writes each of its shards under a new name and reports
 task that runs again leaves a complete set of names. Shards hold a bounded number of ids (one document at
 least), so neither side needs memory for a whole partition.
 
-Edge cases: a null or empty text is a document of the end id alone; documents are ordered by doc_id with
+Edge cases: a null or empty text is a document of the end id alone; a very long text is encoded whole and is a shard of its own (up to
+the 2 GB of ids that a row can hold, beyond which the job ends with an error); further columns, whatever their names, are ignored; documents are ordered by doc_id with
 nulls last, rows of one id by their text's hash, and repeated rows are written as often as they occur; an
 empty table gives no shard and an empty result.
 """
@@ -27,10 +28,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import row_key, shared_dir, slices, small_batches, written
+from loomspan.llm.common import dropped, folder_for, row_key, running_total, slices, small_batches, written
 from loomspan.llm.wordtable import default_vocabulary, word_table
 
 TABLE_WORDS = 1_200_000  # remembered by a worker, about 200 MB
@@ -120,6 +121,8 @@ def encode_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", voca
                 stops = np.cumsum(lens)
                 flat = np.insert(ids, stops, end_id).astype(kind)
                 offsets = np.concatenate([[0], stops + np.arange(1, len(stops) + 1)]).astype(np.int64)
+                if offsets[-1] * flat.itemsize >= 1 << 31:
+                    raise ValueError("a text has more ids than a row of Spark can hold (2 GB)")
                 data = pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer((offsets * flat.itemsize).astype(np.int32)), pa.py_buffer(flat)])
                 seen = np.bincount(flat)
                 if len(seen) > len(total):
@@ -154,7 +157,7 @@ def write(docs: DataFrame, folder: str | None = None, doc_id: str = "doc_id", te
     """Write the shards below ``folder`` (by default in the session's shared folder) and return one row for
     each: shard (they ascend with the documents), path, n_docs, n_ids."""
     spark = docs.sparkSession
-    folder = folder or f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    folder = folder or folder_for(spark, "tokens")
     encoded = written(encode_ids(docs, doc_id, text, vocabulary, end_id))
     # as many rows as the vocabulary has ids, whatever the corpus
     ranked = id_counts(encoded).orderBy(F.desc("n"), "id").toPandas()
@@ -196,7 +199,9 @@ def write(docs: DataFrame, folder: str | None = None, doc_id: str = "doc_id", te
     order = [F.asc_nulls_last("doc_id"), "_k1", "_k2"]
     sorted_docs = encoded.where("counts is null").drop("counts").repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids")
     shards = sorted_docs.mapInArrow(run, "shard long, name string, n_docs long, n_ids long")
-    return written(shards.select("shard", F.concat(F.lit(folder + "/"), "name").alias("path"), "n_docs", "n_ids"))
+    out = written(shards.select("shard", F.concat(F.lit(folder + "/"), "name").alias("path"), "n_docs", "n_ids"))
+    dropped(encoded)
+    return out
 
 
 def read(shards: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -204,9 +209,8 @@ def read(shards: DataFrame, with_ids: bool = False) -> DataFrame:
     and the ids where asked for."""
     spark: SparkSession = shards.sparkSession
     small_batches(spark)
-    # one row a file, so the running sum over files is small
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    placed = shards.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
+    # files of a writing task are added up first, so what is summed in one place has a row for each of these tasks
+    placed = running_total(shards, [], ["shard"], "n_ids", "first", F.shiftright("shard", 24)).select("path", "first")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -56,11 +56,38 @@ def test_schedule_is_even(spark):
             assert abs(n[k] - share * stop) <= 6
 
 
+@pytest.mark.parametrize("min_slots", [golden_mix.SLOTS, 300])
+def test_blocks_are_joined_in_the_order_of_the_schedule(spark, docs, min_slots):
+    """The blocks hold the words that ``mix`` counts, are equal to within a word, and keep to the shares all the way."""
+    got = golden_mix.scheduled(docs, min_slots=min_slots).orderBy("slot").collect()
+    rows = golden_mix.mix(docs, min_slots=min_slots).collect()
+    assert sum(r["n_words"] for r in got) == sum(r["taken"] for r in rows)
+    sources = sorted({r["source"] for r in rows}, key=lambda s: (s is None, s or ""))
+    target = {r["source"]: r["target"] for r in rows}
+    sizes, took, seen = defaultdict(set), defaultdict(int), 0
+    total = sum(target.values())
+    for r in got:
+        assert words(r["text"]) == r["n_words"]
+        s = sources[r["source_no"]]
+        sizes[s].add(r["n_words"])
+        took[s] += r["n_words"]
+        seen += r["n_words"]
+        if seen > total / 4:  # low discrepancy: at any point of the mix
+            for x in sources:
+                assert abs(took[x] - seen * target[x] / total) <= 0.02 * total + 2 * max(sizes[x] or {0})
+    for s, n in sizes.items():
+        assert max(n) - min(n) <= 1
+        assert abs(took[s] - target[s]) <= max(2 * max(n), 0.01 * target[s])
+    text = {r["doc_id"]: r["text"] for r in docs.collect() if r["text"]}
+    some = next(r for r in got if len(r["doc_ids"]) == 1 and r["n_words"] > 0)
+    assert f" {some['text']} " in " " + " ".join(re.findall(r"[^\x20\x09-\x0D]+", text[some["doc_ids"][0]])) + " "
+
+
 def test_mixed_repeats_rows(spark, docs):
     took = golden_mix.mix(docs)
     out = golden_mix.mixed(docs)
     assert out.columns == docs.columns
-    expected = took.where("taken > 0").agg(F.sum(F.expr("greatest(1, (2 * taken + size) div (2 * size))"))).first()[0]
+    expected = took.where("taken > 0").agg(F.sum(F.expr("(2 * taken + size) div (2 * size)"))).first()[0]
     assert out.count() == expected
 
 

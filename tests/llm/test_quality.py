@@ -190,6 +190,65 @@ def test_classifier_learns_and_holds_out(spark, none):
     assert {x["score"] for x in ftrl.classify(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def slow_features(text: str, bits: int) -> dict:
+    """Places and values of a text's features, straight from the definition."""
+    import re as regex
+
+    import xxhash
+
+    def mixed(x: int) -> int:
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    def shape(w: str) -> str:
+        w = regex.sub(r"[^\W\d_a-zß-öø-ÿ]{2,}", "X", w)
+        return regex.sub(r"\d+", "9", regex.sub(r"[^\W\d_A-ZÀ-ÖØ-Þ]+", "x", w))
+
+    split = text.split()
+    one = [xxhash.xxh3_64_intdigest(w.lower()) for w in split]
+    form = [xxhash.xxh3_64_intdigest("\x00" + shape(w)) for w in split]
+    form = [f ^ 0x5BD1E995 if k and one[k] == one[k - 1] else f for k, f in enumerate(form)]
+    n = Counter()
+    for stream, row in ((1, one), (2, form)):
+        n.update(mixed((h + stream) % 2**64) >> 64 - bits for h in row)
+        n.update(mixed((mixed((a + stream) % 2**64) * 0xC2B2AE3D27D4EB4F + b + 0x9E3779B97F4A7C15) % 2**64) >> 64 - bits for a, b in zip(row, row[1:]))
+    values = {k: 1 + np.log(c) for k, c in n.items()}
+    norm = sum(v * v for v in values.values()) ** 0.5
+    return {k: v / norm for k, v in values.items()}
+
+
+def test_features_and_training_follow_the_definition():
+    texts = ["The cat sat on the the mat, THE END!!", "Ärger über 12 Mäuse 2024 x", "a" * 40 + "B" * 30 + " " + "a" * 40 + "c" * 30, "one", ""]
+    row, place, value = ftrl.features(texts, 14)
+    for k, t in enumerate(texts):
+        assert dict(zip(place[row == k].tolist(), value[row == k].round(9).tolist())) == {p: round(v, 9) for p, v in slow_features(t, 14).items()}
+    long = [ftrl.shape("Aa!" * 9 + tail) for tail in ("x", "9")]
+    assert long[0] != long[1]  # shapes of long words are told apart to their end
+    rows = [(place[row == k].astype(np.int32), value[row == k], k % 2) for k in range(4)]
+    z, n = Counter(), Counter()
+    weight = lambda k: 0.0 if abs(z[k]) <= ftrl.L1 else -(z[k] - np.sign(z[k]) * ftrl.L1) / ((ftrl.BETA + n[k] ** 0.5) / ftrl.ALPHA + ftrl.L2)
+    for _ in range(3):
+        for places, values, label in rows:
+            x = dict(zip([*places.tolist(), 1 << 14], [*values.tolist(), 1.0]))
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + np.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - label) * v
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / ftrl.ALPHA * w[k]
+                n[k] += g * g
+    got = ftrl.train(rows, 14, 3)
+    assert all(abs(got[k] - weight(k)) < 1e-9 for k in range((1 << 14) + 1) if got[k] or z[k])
+
+
+def test_classifier_takes_all_kinds_of_rows(spark, docs, none):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(3, 0), (3, 1)], "doc_id long, quality int")
+    got = ftrl.classify(docs, labels).collect()
+    assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
+    again = ftrl.classify(docs.repartition(5), labels).collect()
+    assert sorted((str(r["doc_id"]), r["score"]) for r in got) == sorted((str(r["doc_id"]), r["score"]) for r in again)
+
+
 def test_labels_of_the_held_out_fold_are_not_read(spark):
     docs = spark.createDataFrame([(i, f"a b {'c' if i % 2 else 'd'} e") for i in range(60)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
