@@ -75,7 +75,7 @@ def test_blocks_are_joined_in_the_order_of_the_schedule(spark, docs, min_slots):
         if seen > total / 4:  # low discrepancy: at any point of the mix
             for x in sources:
                 assert abs(took[x] - seen * target[x] / total) <= 0.02 * total + 2 * max(sizes[x] or {0})
-    for s, n in sizes.items():
+    for s, n in ((s, n) for s, n in sizes.items() if n):
         assert max(n) - min(n) <= 1
         assert abs(took[s] - target[s]) <= max(2 * max(n), 0.01 * target[s])
     text = {r["doc_id"]: r["text"] for r in docs.collect() if r["text"]}
