@@ -351,6 +351,19 @@ def overlaps(a: Block, b: Block) -> np.ndarray:
     return out
 
 
+def least_connected(near: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """The least of the n places that each is connected to, rows of ``near`` being the places ``left``, its columns ``right``."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        new[left] = np.minimum(new[left], np.where(near, root[right][None, :], n).min(1, initial=n))
+        new[right] = np.minimum(new[right], np.where(near, root[left][:, None], n).min(0, initial=n))
+        new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
 def compared(a: Block, b: Block, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(class, rows that it links to in the other block, least class that it is connected to) of two blocks, or of one with
     itself; classes without a link are left out."""
@@ -365,15 +378,7 @@ def compared(a: Block, b: Block, threshold: float) -> tuple[np.ndarray, np.ndarr
     rank = np.empty(len(c), np.int64)
     rank[order] = np.arange(len(c))
     left, right = (rank, rank) if a is b else (rank[: len(a.c)], rank[len(a.c) :])
-    root, none = np.arange(len(c)), len(c)
-    while True:
-        new = root.copy()
-        new[left] = np.minimum(new[left], np.where(near, root[right][None, :], none).min(1, initial=none))
-        new[right] = np.minimum(new[right], np.where(near, root[left][:, None], none).min(0, initial=none))
-        new = new[new]
-        if np.array_equal(new, root):
-            break
-        root = new
+    root = least_connected(near, left, right, len(c))
     at = np.flatnonzero(links)
     return c[at], links[at].astype(np.int64), c[order][root[rank[at]]]
 
@@ -490,7 +495,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     placed = placed.join(sizes, "cluster").select("cluster", F.expr("int(pmod(xxhash64(c), ceil(nb / 8)))").alias("part"), "n", "c", "m", "nb", F.col("rep._k1").alias("_k1"), F.col("rep._k2").alias("_k2"))
     placed = cut(placed)
     keyed = docs.select(F.col(text).cast("string").alias("text"), *row_key(doc_id, text))
-    members = keyed.join(placed, ["_k1", "_k2"]).select("cluster", "part", "n", "c", "m", "nb", "text")
+    # a merge at every size: the clusters grow with the corpus, and are small enough to broadcast only where it is small
+    members = keyed.join(placed.hint("merge"), ["_k1", "_k2"]).select("cluster", "part", "n", "c", "m", "nb", "text")
     members = members.repartition("cluster", "part").sortWithinPartitions("cluster", "part", "n", "c")
     folder = folder_for(spark, "blocks")
     own = written(within(members, folder, threshold, words))
