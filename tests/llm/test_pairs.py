@@ -172,8 +172,9 @@ def vectors(spark):
     return spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").repartition(3), data
 
 
-@pytest.mark.parametrize(("leaf", "block"), [(16, 1024), (64, 8)])
-def test_forest_matches_brute_force(spark, leaf, block):
+@pytest.mark.parametrize(("leaf", "bucket"), [(16, 64), (64, 8), (16, 1 << 16)])
+def test_forest_matches_brute_force(spark, monkeypatch, leaf, bucket):
+    monkeypatch.setattr(projection_forest, "SIDE", 16)
     df, data = vectors(spark)
     ok = [v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v, _ in data]
     links = []
@@ -189,7 +190,7 @@ def test_forest_matches_brute_force(spark, leaf, block):
         n[a] += 1
         n[b] += 1
     root = components(len(data), links)
-    got = {r["vec_id"]: r for r in projection_forest.link(df, leaf=leaf, block=block).collect()}
+    got = {r["vec_id"]: r for r in projection_forest.link(df, leaf=leaf, bucket=bucket).collect()}
     assert len(got) == len(data)
     found = sum(got[i]["n_links"] for i, _, _ in data)
     assert 0.99 * 2 * len(links) <= found <= 2 * len(links)
@@ -205,12 +206,30 @@ def test_small_samples_are_split_on(spark, monkeypatch):
     df, data = vectors(spark)
     few = projection_forest.fit(projection_forest.unit(np.random.default_rng(1).standard_normal((24, 32))), 3000, 2, 16)
     assert few[0].extra >= 4 and few[0].leaves == few[0].count << few[0].extra
-    got = sum(r["n_links"] for r in projection_forest.link(df, leaf=4).collect())
+    got = sum(r["n_links"] for r in projection_forest.link(df, leaf=4, bucket=16).collect())
     monkeypatch.undo()
     full = sum(r["n_links"] for r in projection_forest.link(df, leaf=500).collect())
     assert 0.95 * full <= got <= full
 
 
+def test_dense_nodes_are_leaves(spark):
+    """A large group within the overlap isn't copied to leaf after leaf, and is compared in full."""
+    r = np.random.default_rng(12)
+    center = r.standard_normal(32)
+    x = np.concatenate([center + 0.01 * r.standard_normal((1500, 32)), r.standard_normal((500, 32))]).astype(np.float32)
+    tree = projection_forest.fit(projection_forest.unit(x), len(x), 1, 16)[0]
+    row, _ = tree.route(projection_forest.unit(x))
+    assert len(row) < 12 * len(x)
+    rows = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], "vec_id long, embedding array<float>, c string")
+    got = projection_forest.link(rows, leaf=16, bucket=400)
+    assert got.where("n_links = 1499").count() == 1500 and got.where("kept").count() == 501
+
+
+def test_trees_grow_with_the_table():
+    few, many = projection_forest.trees_needed(1_000), projection_forest.trees_needed(10**10)
+    assert few == projection_forest.TREES < many
+
+
 def test_forest_of_nothing(spark):
     df, _ = vectors(spark)
     assert projection_forest.link(df.limit(0)).count() == 0
@@ -244,7 +263,7 @@ def lines_by_hand(rows, min_words=None):
 
 
 def test_line_runs_match_brute_force(spark, docs, none):
-    source = docs.where("doc_id is not null or text is null")  # a null id has no place among equal keys by hand
+    source = docs  # of null ids one has a text, and comes last by hand too
     expected = lines_by_hand(source.collect())
     before = source.select("doc_id", "text", *[F.col(c).alias(c) for c in ("lang",)], F.monotonically_increasing_id().alias("nth")).cache()
     got = line_runs.dedup(before).collect()
