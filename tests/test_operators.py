@@ -274,3 +274,31 @@ def test_last_frame_comes_from_the_data(spark):
     s = series.segmented(spark.createDataFrame(rows, SERIES), ["k"], 10, 4, 9.0)
     got = series.on_grid(s, ["k", "seg"], 3)
     assert sorted(r["frame"] for r in got.collect()) == list(range(790, 797))
+
+
+def test_ball_filters_by_hand():
+    """Frames 2 apart at 2 fps: a second each; scales of 0.05 make a jump 0.0595 and a gate 0.715 a second."""
+    scale = {f: 0.05 for f in range(0, 20)}
+    flat = [(f, 0.30 + 0.001 * f, 0.5, 0.9) for f in range(0, 10, 2)]
+    assert series.filter_pass(flat, scale, 2.0, 2) == flat
+    decoy = [*flat[:2], (4, 0.95, 0.5, 0.9), *flat[3:]]  # out and back at once
+    assert [r[0] for r in series.filter_pass(decoy, scale, 2.0, 2)] == [0, 2, 6, 8]
+    bounce = [*flat[:2], (4, 0.302, 0.62, 0.9), *flat[3:]]  # up and down again, slowly enough
+    assert series.filter_pass(bounce, scale, 2.0, 2) == bounce
+    away = [*flat[:3], (6, 0.99, 0.99, 0.2), (8, 0.99, 0.98, 0.2)]  # too fast for how sure they are, and no way back
+    assert [r[0] for r in series.filter_pass(away, scale, 2.0, 2)][:3] == [0, 2, 4]
+    assert 6 not in [r[0] for r in series.filter_pass(away, scale, 2.0, 2)]
+    unknown = series.filter_pass(decoy, {}, 2.0, 2)  # without a scale the fixed limits hold
+    assert [r[0] for r in unknown] == [0, 2, 6, 8]
+
+
+def test_ball_centres_and_corrected_rows(spark, tmp_path):
+    doc = {"clip": "c", "tag": "t", "frames": [{"frame": 3, "players": [], "ball": {"x": 0.2, "y": 0.4, "w": 0.02, "h": 0.04}}]}
+    (tmp_path / "d.json").write_text(json.dumps(doc, indent=1))
+    runs = documents.read_detections(spark, str(tmp_path / "d.json"))
+    b = documents.ball_table(runs).first()
+    assert (round(b["x"], 9), round(b["y"], 9), b["conf"], b["frame"]) == (0.21, 0.42, 1.0, 3)
+    rows = spark.createDataFrame([("c", 1)], "clip string, frame int")
+    rows.write.parquet(str(tmp_path / "old"))
+    assert documents.rewritten(rows.withColumn("frame", F.lit(2)), str(tmp_path / "old"), str(tmp_path / "new")) == str(tmp_path / "new")
+    assert spark.read.parquet(str(tmp_path / "old")).first()["frame"] == 1 and spark.read.parquet(str(tmp_path / "new")).first()["frame"] == 2
