@@ -173,11 +173,11 @@ def tier_by_date(spark, d) -> DataFrame:
     return views.calls(spark, d).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "tier").agg(F.count("*").alias("calls"))
 
 
-@query("submission_order", f"WITH {C} SELECT arm, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, call_id, row_number() OVER (PARTITION BY arm, CAST(ts AS DATE) ORDER BY submitted, call_id) - 1 AS place, row_number() OVER (PARTITION BY arm, CAST(ts AS DATE) ORDER BY latency_s, call_id) - 1 AS landed_place FROM calls")
+@query("submission_order", f"WITH {C} SELECT arm, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, call_id, row_number() OVER (PARTITION BY arm, CAST(ts AS DATE) ORDER BY submitted, call_id, latency_s, tokens) - 1 AS place, row_number() OVER (PARTITION BY arm, CAST(ts AS DATE) ORDER BY latency_s, call_id, tokens) - 1 AS landed_place FROM calls")
 def submission_order(spark, d) -> DataFrame:
     """Results of a pool (an arm on a day) by the order of submission, whatever the order in which they came back."""
     c = views.calls(spark, d).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    out = reports.submission_places(c, ["arm", "day"], ["submitted", "call_id"], ["latency_s", "call_id"])
+    out = reports.submission_places(c, ["arm", "day"], ["submitted", "call_id", "latency_s", "tokens"], ["latency_s", "call_id", "tokens"])
     return out.select("arm", "day", "call_id", *[F.col(p).cast("long").alias(p) for p in ("place", "landed_place")])
 
 
