@@ -3,7 +3,8 @@
 A rolling hash over the bytes of a text places chunk ends, so that texts which share a passage share its chunks wherever the
 passage stands. The tokenizers library encodes each chunk as a text of its own, once: a worker keeps the ids of its chunks
 across documents and tasks (in two generations of a bounded size, of which the older one goes when the newer is full, and what
-was used again moves to the newer).
+was used again moves to the newer). Below the chunks a memo of words keeps the library from encoding one word many times, which
+changes no ids.
 
 A chunk mostly ends inside a word, where its ids are not those of the whole text. At every join some bytes to the left, to
 the right, and both together are encoded anew. The join is repaired if these bytes begin and end with a whole word, and the ids of the
@@ -24,8 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import cache, claim, quiet_threads, slices, small_batches
-from loomspan.llm.wordtable import default_vocabulary
+from loomspan.llm.common import cache, claim, slices, small_batches
+from loomspan.llm.wordtable import WordTable, default_vocabulary, word_table
 
 WINDOW = 32  # bytes that the rolling hash sees
 GEAR = np.random.default_rng(20240229).integers(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
@@ -65,25 +66,22 @@ def chunk_ends(data: bytes, starts: np.ndarray, bits: int = 10) -> np.ndarray:
 class ChunkEncoder:
     """Ids of chunks, up to about ``limit_bytes`` of memory."""
 
-    def __init__(self, path: str, bits: int = 10, limit_bytes: int = 64_000_000):
-        quiet_threads()
-        from tokenizers import Tokenizer
-
-        self.lib = Tokenizer.from_file(path)
-        self.lib.no_truncation()
-        self.lib.no_padding()
-        vocab = self.lib.get_vocab(with_added_tokens=True)
-        self.tokens = [""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            self.tokens[i] = token
+    def __init__(self, table: WordTable, bits: int = 10, limit_bytes: int = 48_000_000, memo: bool = True):
+        self.table, self.memo = table, memo
         self.bits, self.limit = bits, limit_bytes // 2
         self.new: dict[bytes, np.ndarray] = {}
         self.old: dict[bytes, np.ndarray] = {}
         self.bytes = self.reused = self.encoded = self.joined = self.widened = self.whole = 0
 
     def library(self, parts: list[bytes]) -> list[np.ndarray]:
-        texts = [p.decode("utf-8", "replace") for p in parts]
-        return [np.array(x.ids, np.int32) for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        """The library's ids of each part as a text of its own, pieces of words at its ends included; with ``memo`` it sees no
+        word or piece twice."""
+        if not self.memo:
+            return [np.array(x, np.int32) for x in self.table.library([p.decode("utf-8", "replace") for p in parts])]
+        split = [p.split() for p in parts]
+        ids, lens = self.table.encode([w for ws in split for w in ws])
+        ends = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum([len(ws) for ws in split], dtype=np.int64)]).astype(np.int64)].tolist()
+        return [ids[a:b].copy() for a, b in zip(ends, ends[1:])]
 
     def _load(self, parts: list[bytes]) -> dict[bytes, np.ndarray]:
         """Ids of all chunks; those that aren't kept are encoded."""
@@ -214,7 +212,7 @@ def chunk_encoder(path: str, bits: int) -> ChunkEncoder:
     claim("tokens")
     if (path, bits) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path, bits] = ChunkEncoder(path, bits)
+        _ENCODERS[path, bits] = ChunkEncoder(word_table(path), bits)
     return _ENCODERS[path, bits]
 
 
@@ -232,7 +230,7 @@ def encode_decode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
                 ids = encoder.encode(batch.column(1).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-                token = encoder.tokens.__getitem__
+                token = encoder.table.tokens.__getitem__
                 decoded = [" ".join(map(token, x.tolist())) for x in ids]
                 yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 

@@ -116,3 +116,67 @@ def test_small_sources_meet_their_targets(spark):
     assert target["m"] == 180 and target["t"] == 21  # far below the words of a slot: 400067 / 50
     for s, t in target.items():
         assert abs(took[s] - t) <= max(1, 0.005 * t)
+
+
+def test_pipeline_by_hand(spark, docs, tmp_path, monkeypatch):
+    """All five stages against versions that compare every row with every other, or go by the definitions."""
+    import hashlib
+    from collections import Counter
+
+    duckdb, tokenizers = pytest.importorskip("duckdb"), pytest.importorskip("tokenizers")
+    import numpy as np
+    from test_pairs import components, key, lines_by_hand, shingles
+    from test_quality import by_hand
+
+    from loomspan.llm import kneser_ney
+    from loomspan.llm.wordtable import default_vocabulary
+
+    monkeypatch.setattr(kneser_ney, "MIN_DOCS", 10)
+    rows = [r.asDict() for r in docs.collect()]
+    # quality: basic rules, then bits under the model of the language, within its band
+    kept = []
+    for lang in {r["lang"] for r in rows}:
+        mine = [r for r in rows if r["lang"] == lang and r["text"]]
+        letters = Counter(c for r in mine for c in kneser_ney.folded()[kneser_ney.code_points([r["text"]])].tolist() if c < 1 << 16)
+        table = kneser_ney.classes(tuple(sorted(sorted(letters, key=lambda c: (-letters[c], c))[: kneser_ney.LETTERS])))
+        codes = [kneser_ney.grams([r["text"]], table)[0] for r in mine]
+        if not mine:
+            continue
+        model = kneser_ney.Model(*kneser_ney.fit(*np.unique(np.concatenate(codes), return_counts=True)))
+        bits = [-model.log2(c).mean() for c in codes]
+        good = [(r, b) for r, b in zip(mine, bits) if (n := by_hand(r["text"]))[0] >= 50 and 100 * n[4] <= 50 * n[0]]
+        if len(good) >= 10:
+            b = np.sort([b for _, b in good])
+            mid = b[(len(b) - 1) // 2]
+            spread = kneser_ney.WIDTH * max(kneser_ney.FLOOR, 1.4826 * np.sort(abs(b - mid))[(len(b) - 1) // 2])
+            good = [(r, b) for r, b in good if mid - spread - 1e-9 <= b <= mid + spread + 1e-9]
+        kept += [r for r, _ in good]
+    assert 20 < len(kept) < len(rows)
+    # lines
+    text = lines_by_hand(kept)
+    for r in kept:
+        r["text"] = text[r["doc_id"], r["text"]]
+    # near copies: one row for each id and text, one of them for each class
+    once = list({(r["doc_id"], r["text"]): r for r in kept}.values())
+    sets = [shingles(r["text"]) for r in once]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = components(len(once), links)
+    stay = [min((r for i, r in enumerate(once) if root[i] == k and sets[i]), key=key) for k in {root[i] for i in range(len(once)) if sets[i]}]
+    stay += [r for r, s in zip(kept, map(lambda r: shingles(r["text"]), kept)) if not s]
+    # mix, by its SQL
+    spark.createDataFrame(stay, docs.schema).write.parquet(str(tmp_path / "d"))
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from read_parquet('{tmp_path}/d/*.parquet')")
+    times = Counter()
+    for r in db.sql(golden_mix.ORACLE).df().itertuples():
+        if r.size:
+            times[None if r.doc_id != r.doc_id else int(r.doc_id)] += (2 * r.taken + r.size) // (2 * r.size)
+    # tokens
+    lib = tokenizers.Tokenizer.from_file(default_vocabulary())
+    expected = []
+    for r in stay:
+        ids = lib.encode(r["text"], add_special_tokens=False).ids
+        expected += [(str(r["doc_id"]), len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())] * times[r["doc_id"]]
+    docs.write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    got = [(str(r["doc_id"]), r["n_tokens"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path / "sf")).collect()]
+    assert sorted(got) == sorted(expected) and len(got) > 20

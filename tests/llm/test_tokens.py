@@ -37,9 +37,10 @@ def prose(n: int, seed: int) -> str:
     return " ".join(r.choice(vocabulary) + r.choice(["", "", "", ",", ".\n", "'s", " \t"]) for _ in range(n))
 
 
+@pytest.mark.parametrize("memo", [True, False])
 @pytest.mark.parametrize("bits", [4, 7, 10])
-def test_chunks_agree_with_the_library(lib, bits):
-    encoder = bpe_chunks.ChunkEncoder(default_vocabulary(), bits, limit_bytes=60_000)
+def test_chunks_agree_with_the_library(lib, bits, memo):
+    encoder = bpe_chunks.ChunkEncoder(WordTable(default_vocabulary()), bits, limit_bytes=60_000, memo=memo)
     shared = prose(3000, 9)
     texts = awkward(300, 2) + [" ".join(awkward(30, 3))] * 3 + [prose(400, 4) + " " + shared, shared, "x" * 9000 + " " + prose(90, 5), prose(2000, 6).replace(" ", "")]
     for at in range(0, len(texts), 60):
@@ -50,7 +51,7 @@ def test_chunks_agree_with_the_library(lib, bits):
 
 def test_joins_are_repaired(lib):
     """Chunks end inside words: their own ids on end are not those of the text, and windows grow until they agree."""
-    encoder = bpe_chunks.ChunkEncoder(default_vocabulary(), 8)
+    encoder = bpe_chunks.ChunkEncoder(WordTable(default_vocabulary()), 8)
     text = prose(4000, 11)
     assert encoder.encode([text])[0].tolist() == lib.encode(text, add_special_tokens=False).ids
     raw = text.encode()
@@ -64,7 +65,7 @@ def test_joins_are_repaired(lib):
 
 
 def test_texts_without_agreement_are_encoded_whole(lib):
-    encoder = bpe_chunks.ChunkEncoder(default_vocabulary(), 5)
+    encoder = bpe_chunks.ChunkEncoder(WordTable(default_vocabulary()), 5)
     texts = ["".join(random.Random(7).choice("abcdefgh") for _ in range(5000)), prose(50, 12)]
     assert [x.tolist() for x in encoder.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
     assert encoder.whole >= 1
