@@ -126,8 +126,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     """``docs`` with the text less its copied lines; ``length`` names a column that follows the text's length. With
     ``facts`` also _l_n_lines and _l_n_removed (where ``docs`` has columns of these names, those of ``docs`` are left out)."""
     gone = copies(docs, doc_id, text, min_words).withColumnRenamed("ranges", "_l_gone")
-    # most documents have no copied line; Spark decides by size whether to broadcast those of the others
-    joined = carried(docs, doc_id, text).join(gone, ["_k1", "_k2"], "left")
+    # a merge at every size: documents with copied lines grow with the corpus, and can be broadcast only where it is small
+    joined = carried(docs, doc_id, text).join(gone.hint("merge"), ["_k1", "_k2"], "left")
     body = F.col("_row")[text]
     # what lies before each range and after the last, so a line is looked at once
     stays = "transform(sequence(0, size(_l_gone)), k -> slice(_l_parts, if(k = 0, 0, _l_gone[k - 1].last + 1) + 1, if(k = size(_l_gone), size(_l_parts), _l_gone[k].first) - if(k = 0, 0, _l_gone[k - 1].last + 1)))"
