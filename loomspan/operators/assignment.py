@@ -46,12 +46,38 @@ def assign(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+def groups(near: np.ndarray) -> np.ndarray:
+    """For each row of a matrix of possible pairs the least row that it hangs together with."""
+    n = len(near)
+    label = np.arange(n)
+    while True:
+        column = np.where(near, label[:, None], n).min(0, initial=n)
+        new = np.minimum(label, np.where(near, column[None, :], n).min(1, initial=n))
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
 def match_or_leave(cost: np.ndarray, leave_rows: np.ndarray, leave_cols: np.ndarray, barred: float = 1e5) -> list[tuple[int, int]]:
     """Pairs (row, column) of a full outer one-to-one join: each side may stay alone at its own price; pairs that
-    cost ``barred`` or more are never made."""
+    cost ``barred`` or more are never made. Rows and columns that no chain of possible pairs joins don't bear on each other, so each group
+    that hangs together is solved by itself."""
     n, m = cost.shape
     if not n or not m:
         return []
+    near = cost < barred
+    label, out = groups(near), []
+    for group in np.unique(label[near.any(1)]).tolist():
+        rows = np.flatnonzero(label == group)
+        cols = np.flatnonzero(near[rows].any(0))
+        out += [(int(rows[r]), int(cols[c])) for r, c in _solved(cost[np.ix_(rows, cols)], leave_rows[rows], leave_cols[cols], barred)]
+    return sorted(out)
+
+
+def _solved(cost: np.ndarray, leave_rows: np.ndarray, leave_cols: np.ndarray, barred: float) -> list[tuple[int, int]]:
+    n, m = cost.shape
+    if n == m == 1:
+        return [(0, 0)] if cost[0, 0] <= leave_rows[0] + leave_cols[0] else []
     padded = np.zeros((n + m, m + n))
     padded[:n, :m] = cost
     padded[:n, m:] = 10 * barred

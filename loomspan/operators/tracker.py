@@ -119,12 +119,13 @@ def _pairs(bodies: list[Body], expected: list, found: list, dt: float, camera, t
     allowed = (dist <= gate[:, None]) & ~(sure[:, None] & (residual > s.residual))
     ratio = np.maximum(tall[:, None], other[None]) / np.maximum(np.minimum(tall[:, None], other[None]), 1e-4)
     cost = dist * (1 + s.height_weight * (ratio - 1))
-    mine, theirs = [teams.get(b.kit) for b in bodies], [teams.get(d.kit) for d in found]
-    against = np.array([[a is not None and b is not None and a != b for b in theirs] for a in mine])
+    sides = {k: n for n, k in enumerate(dict.fromkeys(teams.values()))}
+    mine, theirs = (np.array([sides.get(teams.get(x.kit), -1) for x in xs]) for xs in (bodies, found))
+    against = (mine[:, None] >= 0) & (theirs[None] >= 0) & (mine[:, None] != theirs[None])
     cost = np.where(against, cost * s.other_team, cost)
-    read = [b.number for b in bodies]
-    same = np.array([[a is not None and d.num is not None and d.num == a for d in found] for a in read])
-    cost = np.where(same, cost * s.same_number, cost)
+    read = np.array([np.nan if (k := b.number) is None else k for b in bodies], float)
+    shown = np.array([np.nan if d.num is None else d.num for d in found], float)
+    cost = np.where(read[:, None] == shown[None], cost * s.same_number, cost)  # unread numbers equal nothing
     return match_or_leave(np.where(allowed, cost, 1e6), s.leave * gate, s.leave * _gate(other, dt, s, spacing))
 
 

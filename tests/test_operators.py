@@ -33,6 +33,21 @@ def test_leaving_alone_is_cheaper_than_a_bad_pair():
     assert match_or_leave(np.zeros((0, 3)), np.zeros(0), np.zeros(3)) == []
 
 
+def test_groups_are_solved_apart():
+    """The groups together cost what one large assignment costs."""
+    from loomspan.operators.assignment import _solved
+
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        n, m = int(r.integers(1, 12)), int(r.integers(1, 12))
+        cost = np.where(r.random((n, m)) < 0.25, r.random((n, m)), 1e6)
+        rows, cols = r.random(n), r.random(m)
+        price = lambda pairs: sum(cost[p] for p in pairs) + rows.sum() + cols.sum() - sum(rows[i] + cols[j] for i, j in pairs)  # noqa: B023, E731
+        got = match_or_leave(cost, rows, cols)
+        assert len({i for i, _ in got}) == len({j for _, j in got}) == len(got) and all(cost[p] < 1e5 for p in got)
+        assert abs(price(got) - price(_solved(cost, rows, cols, 1e5))) < 1e-9
+
+
 def brute_nms(rows):
     kept = []
     for r in sorted(rows, key=lambda r: (-r[5], r[0])):
