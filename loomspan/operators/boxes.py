@@ -53,12 +53,23 @@ def iou(p: str, q: str) -> str:
 
 
 def suppressed(boxes: DataFrame, keys: list[str], threshold: float = DEDUPE_IOU, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Greedy suppression of overlaps by falling confidence (ties by position): a fold over each frame's boxes,
-    so the shuffle is by frame alone. ``carry``: further columns to keep."""
+    """Greedy suppression of overlaps by falling confidence (ties by position): keys, raw, kept (array of boxes). ``carry``: further
+    columns to keep.
+
+    Overlaps are found by an equi-join on the frame; the fold over a frame, which decides in order, then sees ranks only, of the
+    boxes that overlap a surer one. All steps are dealt by frame, so boxes are shuffled once.
+    """
     fields = ["idx", "x", "y", "w", "h", "conf", *carry]
-    rows = boxes.groupBy(*keys).agg(F.count("*").alias("raw"), F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("order"), *fields))).alias("a"))
-    fold = f"aggregate(slice(a, 2, size(a)), slice(a, 1, 1), (acc, p) -> if(exists(acc, q -> {iou('p', 'q')} > {threshold}), acc, array_append(acc, p)))"
-    return rows.select(*keys, "raw", F.expr(fold).alias("kept"))
+    ranked = boxes.select(*keys, *fields, F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last("conf"), "idx")).alias("_rank"))
+    place = [*keys, "x", "y", "w", "h", "_rank"]
+    p, q = ranked.select(*place).alias("p"), ranked.select(*place).alias("q")
+    same = [F.col(f"p.{k}") == F.col(f"q.{k}") for k in keys]
+    hits = p.join(q, [*same, F.col("q._rank") < F.col("p._rank")]).where(F.expr(f"{iou('p', 'q')} > {threshold}"))
+    hits = hits.groupBy(*[F.col(f"p.{k}").alias(k) for k in keys], F.col("p._rank").alias("_rank")).agg(F.collect_list("q._rank").alias("_hits"))
+    rows = ranked.join(hits, [*keys, "_rank"], "left").groupBy(*keys).agg(F.count("*").alias("raw"), F.array_sort(F.collect_list(F.struct("_rank", "_hits", *fields))).alias("a"))
+    # a box goes if one that it overlaps stays
+    gone = F.expr("aggregate(filter(a, p -> p._hits is not null), cast(array() as array<int>), (acc, p) -> if(size(array_except(p._hits, acc)) > 0, array_append(acc, p._rank), acc))")
+    return rows.withColumn("_gone", gone).select(*keys, "raw", F.expr("filter(a, p -> not array_contains(_gone, p._rank))").alias("kept"))
 
 
 def repeats(ratio: float = DEGENERATE_RATIO, least: int = 4) -> Column:
