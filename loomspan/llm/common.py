@@ -96,6 +96,25 @@ def forget_written(spark: SparkSession, since: int = 0, but: tuple[DataFrame, ..
             _delete(spark, path)
 
 
+_STAGE: list[str] = []
+
+
+def stage_over() -> None:
+    """Delete what the last :func:`stage` wrote on its way."""
+    dropped(*_STAGE)
+    _STAGE.clear()
+
+
+def stage(make) -> DataFrame:
+    """What ``make()`` gives, for a stage whose result is written before the next one begins: what the stage before it
+    wrote on its way is deleted first. Tables of other queries stay."""
+    stage_over()
+    since = mark()
+    out = make()
+    _STAGE.extend(_WRITTEN[since:])
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
