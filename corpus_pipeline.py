@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import bpe_chunks, chosen_path, golden_mix, kneser_ney, line_runs
-from loomspan.llm.common import deleted, forget_written, table, written
+from loomspan.llm import bpe_chunks, chosen_path, common, golden_mix, kneser_ney, line_runs
+from loomspan.llm.common import deleted, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts go (fewer than 50 words); a null language is a language; very long texts are judged whole;
     repeated rows share their verdict; an empty table stays empty; other columns are carried whatever their names.
     """
-    forget_written(spark)
-    return kneser_ney.filtered(docs)
+    return common.stage(lambda: kneser_ney.filtered(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     last, then by key) is the first; rows that agree in id and text get the same text; an empty table stays empty; other columns
     are carried whatever their names.
     """
-    forget_written(spark)
-    return line_runs.dedup(docs, length="n_chars" if "n_chars" in docs.columns else None, facts=False)
+    return common.stage(lambda: line_runs.dedup(docs, length="n_chars" if "n_chars" in docs.columns else None, facts=False))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +37,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null texts and those without words stay; very long texts are compared whole; of rows that agree in id and text one
     stays; an empty table stays empty; other columns are carried whatever their names.
     """
-    forget_written(spark)
-    return chosen_path.deduplicated(docs)
+    return common.stage(lambda: chosen_path.deduplicated(docs))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +47,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     very long texts may be taken in part, which rounds to none or all; an empty table stays empty; other columns are carried
     whatever their names.
     """
-    forget_written(spark)
-    return golden_mix.mixed(docs)
+    return common.stage(lambda: golden_mix.mixed(docs))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +56,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts count as empty, which have no ids; very long texts are encoded whole; repeated rows give repeated rows; an empty
     table stays empty; other columns are left out.
     """
-    forget_written(spark)
+    common.stage_over()
     return bpe_chunks.digests(bpe_chunks.encode_decode(docs))
 
 
@@ -82,8 +78,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         made = written(stage(spark, docs, sf_dir), keep=True)
-        forget_written(spark)
-        if before:
+        common.stage_over()
+        if before is not None:
             deleted(spark, before)
         docs = before = made
     return STAGES[-1][1](spark, docs, sf_dir)
