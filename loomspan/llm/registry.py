@@ -1,4 +1,4 @@
-"""The ten queries op1_* to op10_*, each over its whole table, and their SQL where SQL can express them."""
+"""The queries op1_* to op13_*, each over its whole table, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -71,11 +71,32 @@ def op10_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked_lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm import hard_negatives
+
+    label = F.col("label").cast("long")
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+def op12_impact_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm import impact_index
+
+    return impact_index.ranked(spark, sf_dir)
+
+
+def op13_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm import fm_index
+
+    return fm_index.decontaminated(spark, sf_dir)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict:
-    from loomspan.llm import chosen_path, golden_mix, line_runs, projection_forest
+    from loomspan.llm import chosen_path, fm_index, golden_mix, hard_negatives, impact_index, line_runs, projection_forest
 
-    return {"op2_embedding_forest": projection_forest.ORACLE, "op4_chosen_path_join": chosen_path.ORACLE, "op5_line_runs": line_runs.ORACLE, "op7_golden_mix": golden_mix.ORACLE}
+    more = {"op11_hard_negatives": hard_negatives.ORACLE, "op12_impact_slices": impact_index.ORACLE, "op13_fm_decontamination": fm_index.ORACLE}
+    return more | {"op2_embedding_forest": projection_forest.ORACLE, "op4_chosen_path_join": chosen_path.ORACLE, "op5_line_runs": line_runs.ORACLE, "op7_golden_mix": golden_mix.ORACLE}
