@@ -46,6 +46,7 @@ BATCH = 2048
 RATE = 0.15
 SLICE = 4096
 LANE = 1 << 20  # tokens
+TILE = 64  # rows that are multiplied together when scores are made
 LETTER = 6  # bits of a letter's code
 LETTERS = 1 << LETTER
 
@@ -74,9 +75,10 @@ def initial(hidden: int = HIDDEN, side: int = SIDE, seed: int = 5) -> np.ndarray
 
 
 def exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(x) and its sums by row; rows are shifted by their maximum only where numbers are large."""
+    """exp(x) and its sums by row; rows with large numbers are shifted by their maximum."""
     if x.size and max(float(x.max()), -float(x.min())) > 60:
-        x -= x.max(1, keepdims=True)
+        far = np.abs(x).max(1) > 60
+        x[far] -= x[far].max(1, keepdims=True)
     e = np.exp(x)
     return e, e @ np.ones(x.shape[1], x.dtype)
 
@@ -110,6 +112,37 @@ def forward(net: dict, context: np.ndarray, target: np.ndarray) -> tuple:
     return out, h, first, order, cuts, sorted_h, second, group, member
 
 
+def scores(net: dict, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The log-probabilities that :func:`forward` gives, each of which depends on its token's context alone: rows are filled up to whole
+    tiles, so that the same kernel multiplies every row, however many rows come with it."""
+    n = len(target)
+    whole = -(-n // TILE) * TILE
+    h = np.zeros((whole, net["bias"].shape[0]), np.float32)
+    for k in range(len(context)):
+        h[:n] += np.take(net["tables"][k], context[k], axis=0)
+    h += net["bias"]
+    np.tanh(h, out=h)
+    group, member = target // GROUP, target % GROUP
+    rows = np.arange(n)
+    e, total = exponentials(h @ net["group"] + net["group_bias"])
+    out = np.log(np.maximum(e[rows, group] / total[:n], 1e-30))
+    order = np.argsort(group, kind="stable")
+    counts = np.bincount(group, minlength=GROUP)
+    room = -(-counts // TILE) * TILE
+    at, begin = np.cumsum(room) - room, np.cumsum(counts) - counts
+    place = rows + np.repeat(at - begin, counts)
+    tiles = np.zeros((int(room.sum()), h.shape[1]), np.float32)
+    tiles[place] = h[order]
+    x = np.empty((len(tiles), GROUP), np.float32)
+    for g in np.flatnonzero(counts).tolist():
+        a, b = at[g], at[g] + room[g]
+        np.matmul(tiles[a:b], net["within"][g], out=x[a:b])
+        x[a:b] += net["within_bias"][g]
+    e, total = exponentials(x)
+    out[order] += np.log(np.maximum(e[place, member[order]] / total[place], 1e-30))
+    return out
+
+
 def step(net: dict, grads: dict, sums: np.ndarray, flat: np.ndarray, grad: np.ndarray, context: np.ndarray, target: np.ndarray, rate: float) -> float:
     """One Adagrad step on a batch; returns the mean log-probability before it."""
     out, h, d, order, cuts, sorted_h, e, group, member = forward(net, context, target)
@@ -337,7 +370,7 @@ def coded(docs: DataFrame, frequent: list[tuple[int, int, int]], letters: np.nda
                 total = np.bincount(np.repeat(np.arange(len(lens)), lens), share, len(lens))
                 raw, ends = ids.astype("<u2").tobytes(), np.cumsum(lens).tolist()
                 data = pa.array([raw[2 * a : 2 * b] for a, b in zip([0, *ends[:-1]], ends)], pa.binary())
-                yield pa.record_batch([*batch.columns[:3], pa.array(lens), pa.array(total), data], names=["doc_id", "_k1", "_k2", "n_tokens", "shares", "ids"])
+                yield pa.record_batch([*batch.columns[:3], pa.array(lens), pa.array(total, pa.float64()), data], names=["doc_id", "_k1", "_k2", "n_tokens", "shares", "ids"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).select("doc_id", *row_key(), "text")
     return rows.mapInArrow(run, "doc_id long, _k1 long, _k2 long, n_tokens long, shares double, ids binary")
@@ -420,9 +453,9 @@ def scored(rows: DataFrame, flat: np.ndarray) -> DataFrame:
                 logp = np.zeros(len(ids))
                 for at in range(0, len(ids), 16_384):
                     k = slice(at, at + 16_384)
-                    logp[k] = forward(net, around[:, k], ids[k])[0]
+                    logp[k] = scores(net, around[:, k], ids[k])
                 total = np.bincount(np.repeat(np.arange(len(lens)), lens), logp, len(lens)) + batch.column(2).to_numpy()
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(total)], names=["doc_id", "n_tokens", "log_likelihood"])
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(total, pa.float64())], names=["doc_id", "n_tokens", "log_likelihood"])
 
     out = rows.select("doc_id", "n_tokens", "shares", "ids").mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double")
     return out.withColumn("mean_log_likelihood", F.col("log_likelihood") / F.nullif("n_tokens", F.lit(0)))
