@@ -43,6 +43,8 @@ def stitched(tracks: DataFrame, teams: DataFrame, scope: list[str]) -> DataFrame
 
     def buckets(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["f1", "trk", "f0"], ignore_index=True)
+        if rows["num"].isna().all():
+            return rows.assign(bucket=pd.array([None] * len(rows), "Int32")).drop(columns=["f1", "_s"])
         last, used, out = np.zeros(len(rows)), 0, []
         for f0, f1 in zip(rows["f0"].tolist(), rows["f1"].tolist()):
             room = last[:used] < f0
@@ -51,13 +53,14 @@ def stitched(tracks: DataFrame, teams: DataFrame, scope: list[str]) -> DataFrame
                 k, used = used, used + 1
             last[k] = f1
             out.append(k)
-        return rows.assign(bucket=out)[[*scope, "trk", "kit", "num", "bucket"]]
+        return rows.assign(bucket=out).drop(columns=["f1", "_s"])
 
-    numbered = tracks.where("num is not null").select(*scope, "trk", "kit", "num", "f0", "f1")
-    kept = numbered.select(*scope, "trk", "kit", "num").schema
-    numbered = numbered.groupBy(*scope, "kit", "num").applyInPandas(buckets, StructType(kept.fields).add("bucket", IntegerType()))
-    alone = tracks.where("num is null").withColumn("nth", F.row_number().over(Window.partitionBy(*scope).orderBy("f0", "trk")) - 1)
-    both = numbered.select(*scope, "trk", "kit", "num", "bucket", F.lit(None).cast("int").alias("nth")).unionByName(alone.select(*scope, "trk", "kit", "num", F.lit(None).cast("int").alias("bucket"), "nth"))
+    # tracks without a number go along in groups by hash, so that ``tracks`` is computed once
+    rows = tracks.select(*scope, "trk", "kit", "num", "f0", "f1", F.when(F.col("num").isNull(), F.pmod(F.xxhash64("trk"), F.lit(64))).alias("_s"))
+    out = StructType(rows.drop("f1", "_s").schema.fields).add("bucket", IntegerType())
+    both = rows.groupBy(*scope, "kit", "num", "_s").applyInPandas(buckets, out)
+    nth = F.row_number().over(Window.partitionBy(*scope, F.col("num").isNull()).orderBy("f0", "trk")) - 1
+    both = both.withColumn("nth", F.when(F.col("num").isNull(), nth))
     named = both.join(teams, [*scope, "kit"], "left")
     side = F.coalesce("team", F.lit("?"))
     identity = F.when(F.col("num").isNull(), F.concat(side, F.lit("·"), F.col("trk"))).otherwise(F.concat(side, F.col("num"), F.when(F.col("bucket") > 0, F.concat(F.lit("^"), F.col("bucket"))).otherwise("")))
