@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.operators.grid import within
+
 LOW, HIGH, MAX_ASPECT, REJECT_SHARE = -0.10, 1.50, 3.0, 0.40
 DEDUPE_IOU, DEGENERATE_RATIO = 0.45, 0.40
 
@@ -47,18 +49,41 @@ def ball_in_range(frames: DataFrame, columns: tuple[str, ...] = ("x", "y", "w",
     return out.withColumns({c: F.when(F.col("_ok"), F.col(c)) for c in columns}).drop("_ok")
 
 
-def iou(p: str, q: str) -> str:
-    over = f"greatest(0.0e0, least({p}.x + {p}.w, {q}.x + {q}.w) - greatest({p}.x, {q}.x)) * greatest(0.0e0, least({p}.y + {p}.h, {q}.y + {q}.h) - greatest({p}.y, {q}.y))"
-    return f"if({p}.w * {p}.h + {q}.w * {q}.h - {over} > 0, {over} / ({p}.w * {p}.h + {q}.w * {q}.h - {over}), 0.0e0)"
+def overlap(p: str, q: str) -> Column:
+    """Intersection over union of two boxes whose columns begin with ``p`` and ``q``; 0 where the union has no area."""
+    side = lambda at, long: F.greatest(F.lit(0.0), F.least(F.expr(f"{p}{at} + {p}{long}"), F.expr(f"{q}{at} + {q}{long}")) - F.greatest(f"{p}{at}", f"{q}{at}"))
+    both = side("x", "w") * side("y", "h")
+    union = F.expr(f"{p}w * {p}h + {q}w * {q}h") - both
+    return F.when(union > 0, both / union).otherwise(0.0)
 
 
 def suppressed(boxes: DataFrame, keys: list[str], threshold: float = DEDUPE_IOU, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Greedy suppression of overlaps by falling confidence (ties by position): a fold over each frame's boxes,
-    so the shuffle is by frame alone. ``carry``: further columns to keep."""
+    """Greedy suppression of overlaps by falling confidence (ties by position): keys, raw (boxes of the frame), kept (those left, in
+    that order). ``carry``: further columns to keep.
+
+    Of boxes that are one and the same the first is taken at once, so a frame that repeats one box is small. Pairs that overlap
+    too much have their centres near each other and are found by a grid join; each box is given the list of earlier boxes that it
+    overlaps, and a fold over the frame marks a box as left if none of its list is. The fold looks at those lists alone, not at all
+    pairs.
+    """
     fields = ["idx", "x", "y", "w", "h", "conf", *carry]
-    rows = boxes.groupBy(*keys).agg(F.count("*").alias("raw"), F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("order"), *fields))).alias("a"))
-    fold = f"aggregate(slice(a, 2, size(a)), slice(a, 1, 1), (acc, p) -> if(exists(acc, q -> {iou('p', 'q')} > {threshold}), acc, array_append(acc, p)))"
-    return rows.select(*keys, "raw", F.expr(fold).alias("kept"))
+    order = F.struct((-F.col("conf")).alias("order"), *fields)
+    one = F.when((F.col("w") * F.col("h") > 0) & F.col("x").isNotNull() & F.col("y").isNotNull(), 0).otherwise(F.col("idx"))
+    same = boxes.groupBy(*keys, "x", "y", "w", "h", one.alias("_one")).agg(F.count("*").alias("_n"), F.min(order).alias("_b"))
+    frame = Window.partitionBy(*keys)
+    sizes = {f"_s{c}": F.greatest(F.max(F.col(f"_b.{c}")).over(frame), F.lit(1e-6)) for c in "wh"}  # of cells: a frame's largest box
+    ranked = same.select(*keys, "_n", "_b", F.row_number().over(frame.orderBy("_b")).alias("_r"), *[v.alias(k) for k, v in sizes.items()])
+    a = ranked.select(*keys, *sizes, F.col("_r").alias("_p"), *[F.col(f"_b.{c}").alias(f"p{c}") for c in "xywh"])
+    b = ranked.select(*keys, *sizes, F.col("_r").alias("_q"), *[F.col(f"_b.{c}").alias(f"q{c}") for c in "xywh"])
+    # centres of boxes with an overlap of t lie apart by half a side, and where t is below a half by some more, at most
+    share = 0.5 + max(0.0, 0.5 - threshold) / threshold
+    middle = lambda s: (F.expr(f"{s}x + {s}w / 2"), F.expr(f"{s}y + {s}h / 2"))
+    reach = [share * F.greatest(c, F.lit(0.0)) for c in ("pw", "ph")]
+    met = within(a, b, [*keys, *sizes], middle("p"), reach, middle("q"), [F.col(c) for c in sizes])
+    met = met.where(F.col("_p") < F.col("_q")).where(overlap("p", "q") > threshold).groupBy(*keys, F.col("_q").alias("_r")).agg(F.collect_list("_p").alias("_before"))
+    rows = ranked.join(met, [*keys, "_r"], "left").groupBy(*keys).agg(F.sum("_n").alias("raw"), F.array_sort(F.collect_list(F.struct("_r", "_b", F.coalesce("_before", F.array().cast("array<int>")).alias("_before")))).alias("a"))
+    left = "aggregate(a, cast(array() as array<boolean>), (acc, p) -> array_append(acc, not exists(p._before, k -> element_at(acc, k))))"
+    return rows.withColumn("_left", F.expr(left)).select(*keys, "raw", F.expr("transform(filter(a, p -> element_at(_left, p._r)), p -> p._b)").alias("kept"))
 
 
 def repeats(ratio: float = DEGENERATE_RATIO, least: int = 4) -> Column:

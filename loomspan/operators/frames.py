@@ -5,16 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ASPECT = 16 / 9
-
+from loomspan.operators.grid import nearest_other, within
 
-def nearest_other(points: DataFrame, frame: list[str], idx: str = "idx") -> DataFrame:
-    """Distance from each point to the nearest other one of its frame: an equi-join on the frame, whose
-    minimum is taken in the map-side part of the aggregate."""
-    a = points.select(*frame, idx, F.col("x").alias("_x"), F.col("y").alias("_y"))
-    b = points.select(*frame, F.col(idx).alias("_other"), F.col("x").alias("_x2"), F.col("y").alias("_y2"))
-    dist = F.sqrt((F.col("_x2") - F.col("_x")) * (F.col("_x2") - F.col("_x")) + (F.col("_y2") - F.col("_y")) * (F.col("_y2") - F.col("_y")))
-    return a.join(b, frame).where(F.col(idx) != F.col("_other")).groupBy(*frame, idx).agg(F.min(dist).alias("nearest"))
+ASPECT = 16 / 9
 
 
 def clip_spacing(points: DataFrame, clip: str, frame: list[str], least: int = 40) -> DataFrame:
@@ -73,27 +66,37 @@ def debounced(signals: DataFrame, clip: str, frame: str = "frame", within: float
 def camera_vote(points: DataFrame, clip: str, frame: str = "frame", idx: str = "idx", max_shift: float = 0.386) -> DataFrame:
     """Motion of the whole picture between a frame and the next one: displacements of all pairs within
     ``max_shift`` vote in square bins of a twelfth of it; the medians of the fullest bin (ties to the first pair)
-    and its support. The pairs are of neighbouring frames alone."""
+    and its support. The pairs are of neighbouring frames alone. Votes are counted first; then only the pairs of the fullest bin are made again,
+    through a grid of its place, for their medians."""
     size = max_shift / 12.0
     order = points.select(clip, frame).distinct().withColumn("_next", F.lead(frame).over(Window.partitionBy(clip).orderBy(frame)))
     a = points.join(order, [clip, frame]).where("_next is not null").select(clip, F.col("_next").alias(frame), F.col(idx).alias("_i"), F.col("x").alias("_x"), F.col("y").alias("_y"))
     b = points.select(clip, frame, F.col(idx).alias("_j"), "x", "y")
-    pairs = a.join(b, [clip, frame]).withColumns({"dx": F.col("x") - F.col("_x"), "dy": F.col("y") - F.col("_y")}).where((F.abs("dx") <= max_shift) & (F.abs("dy") <= max_shift))
-    bins = pairs.groupBy(clip, frame, F.rint(F.col("dx") / size).alias("bx"), F.rint(F.col("dy") / size).alias("by")).agg(F.count("*").alias("votes"), F.median("dx").alias("cx"), F.median("dy").alias("cy"), F.min(F.struct("_i", "_j")).alias("_first"))
-    best = bins.withColumn("_r", F.row_number().over(Window.partitionBy(clip, frame).orderBy(F.desc("votes"), "_first"))).where("_r = 1")
+    move = {"dx": F.col("x") - F.col("_x"), "dy": F.col("y") - F.col("_y")}
+    bins = {"bx": F.rint(F.col("dx") / size), "by": F.rint(F.col("dy") / size)}
+    near = (F.abs("dx") <= max_shift) & (F.abs("dy") <= max_shift)
+    votes = a.join(b, [clip, frame]).withColumns(move).where(near).withColumns(bins).groupBy(clip, frame, "bx", "by").agg(F.count("*").alias("votes"), F.min(F.struct("_i", "_j")).alias("_first"))
+    best = votes.groupBy(clip, frame).agg(F.min(F.struct((-F.col("votes")).alias("v"), "_first", "bx", "by")).alias("w")).select(clip, frame, (-F.col("w.v")).alias("votes"), F.col("w.bx").alias("_bx"), F.col("w.by").alias("_by"))
+    moved = a.join(best, [clip, frame])
+    at = (F.col("_x") + F.col("_bx") * size, F.col("_y") + F.col("_by") * size)
+    pairs = within(moved, b, [clip, frame], at, (F.lit(size), F.lit(size)), (F.col("x"), F.col("y")), (size, size))
+    pairs = pairs.withColumns(move).where(near).withColumns(bins).where("bx = _bx and by = _by")
+    middle = pairs.groupBy(clip, frame).agg(F.first("votes").alias("votes"), F.median("dx").alias("cx"), F.median("dy").alias("cy"))
     n = a.groupBy(clip, frame).agg(F.count("*").alias("preds"))
-    return best.join(n, [clip, frame]).select(clip, frame, "cx", "cy", (F.col("votes") / F.col("preds")).alias("support"))
+    return middle.join(n, [clip, frame]).select(clip, frame, "cx", "cy", (F.col("votes") / F.col("preds")).alias("support"))
 
 
 def gated_pairs(tracks: DataFrame, detections: DataFrame, keys: list[str], dt: float, spacing: float | None = None) -> DataFrame:
     """All (track, detection) pairs of a frame within the track's gate, with their cost.
 
     tracks: keys, trk, px, py, th, tkit, tnum, hits; detections: keys, idx, x, y, h, kit, num. Pairs of a track
-    with enough hits whose residual exceeds 1.2 heights are refused.
+    with enough hits whose residual exceeds 1.2 heights are refused. A track meets the cells that its gate touches.
     """
     from loomspan.functions.scalar import gate_width
 
-    p = tracks.join(detections, keys)
+    reach = gate_width(F.col("th"), F.lit(dt), F.lit(spacing) if spacing else None)
+    widest = min(0.88 * dt + 0.01, 1.5 * spacing if spacing else 9e9)
+    p = within(tracks, detections, keys, (F.col("px"), F.col("py")), (reach, reach), (F.col("x"), F.col("y")), (widest, widest))
     p = p.withColumns({"dist": F.sqrt((F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))), "gate": gate_width(F.col("th"), F.lit(dt), F.lit(spacing) if spacing else None)})
     p = p.where("dist <= gate")
     rx = (F.col("x") - F.col("px")) * ASPECT
@@ -204,5 +207,6 @@ def without_counterpart(points: DataFrame, clip: str, frame: str = "frame", idx:
     a = points.join(last, clip).where(F.col(frame) < F.col("_last")).select(clip, (F.col(frame) + 1).alias(frame), F.col(idx).alias("_i"), F.col("x").alias("_x"), F.col("y").alias("_y"))
     b = points.select(clip, frame, "x", "y")
     close = ((F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y"))) <= near * near
-    found = a.join(b, [clip, frame], "left").groupBy(clip, frame, "_i").agg(F.max(F.coalesce(close, F.lit(False))).alias("ok"))
-    return found.groupBy(clip).agg(F.count("*").alias("sightings"), F.count_if(~F.col("ok")).alias("lost"))
+    met = within(a, b, [clip, frame], (F.col("_x"), F.col("_y")), (F.lit(near), F.lit(near)), (F.col("x"), F.col("y")), (2 * near, 2 * near))
+    met = met.where(close).groupBy(clip).agg(F.count_distinct(F.col(frame), F.col("_i")).alias("met"))
+    return a.groupBy(clip).agg(F.count("*").alias("sightings")).join(met, clip, "left").select(clip, "sightings", (F.col("sightings") - F.coalesce("met", F.lit(0))).alias("lost"))

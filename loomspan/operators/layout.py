@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.operators.grid import largest, within
+
 NUDGE, MAX_NUDGE = 0.75, 3.0
 FULL, FADING, FLOOR = 6, 4, 0.38
 CROWD_FLOOR = 0.45
@@ -25,17 +27,30 @@ def rank_fade(players: DataFrame, ball: DataFrame, keys: list[str], full: int =
 
 def moved_labels(labels: DataFrame, keys: list[str], nudge: float = NUDGE, most: float = MAX_NUDGE) -> DataFrame:
     """Labels (keys, idx, cx, top, w, h, priority) moved up step by step until they are free of those placed before
-    them, by falling priority (ties by position): keys, idx, y, unresolved. A fold over a frame; the place of a
-    label is the first of its few possible steps without a hit, else the last with ``unresolved``."""
-    a = labels.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("o"), "idx", "cx", "top", "w", "h"))).alias("a"))
+    them, by falling priority (ties by position): keys, idx, y, unresolved. The place of a label is the first of its few
+    possible steps without a hit, else the last with ``unresolved``.
+
+    Which earlier labels one can ever hit (their columns meet, and so do the stretches in which both can come to lie) is found by a grid
+    join; the fold over a frame's labels then looks at those alone.
+    """
+    ranked = labels.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("priority"), "idx")))
+    far = F.greatest(F.lit(1.0), F.col("h") * nudge) + F.col("h") * most  # highest step, one past the limit
+    a = ranked.select(*keys, "_r", "cx", "top", "w", "h", far.alias("_far"))
+    b = ranked.select(*keys, F.col("_r").alias("_q"), F.col("cx").alias("_bx"), F.col("top").alias("_bt"), F.col("w").alias("_bw"), F.col("h").alias("_bh"), far.alias("_bfar"))
+    wide, tall = largest(labels, "w"), largest(labels, f"h + greatest(1.0D, h * {nudge}D) + h * {most}D")
+    met = within(a, b, keys, (F.col("cx"), F.col("top")), (F.col("w") / 2 + wide / 2, F.greatest(F.col("h") + F.col("_far"), tall)), (F.col("_bx"), F.col("_bt")), (wide, tall))
+    met = met.where("_q < _r and cx + w / 2 > _bx - _bw / 2 and cx - w / 2 < _bx + _bw / 2 and top - _far < _bt + _bh and _bt - _bfar < top + h")
+    met = met.groupBy(*keys, "_r").agg(F.array_sort(F.collect_list(F.struct("_q", (F.col("_bx") - F.col("_bw") / 2).alias("x0"), (F.col("_bx") + F.col("_bw") / 2).alias("x1"), F.col("_bh").alias("h")))).alias("near"))
+    rows = ranked.join(met, [*keys, "_r"], "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_r", "idx", "cx", "top", "w", "h", F.coalesce("near", F.array().cast(met.schema["near"].dataType)).alias("near")))).alias("a"))
     step = f"greatest(1.0D, p.h * {nudge}D)"
     tries = f"transform(sequence(0, int(floor(p.h * {most}D / {step})) + 1), k -> p.top - k * {step})"
-    hit = "exists(acc, q -> not (p.cx + p.w / 2 <= q.x0 or p.cx - p.w / 2 >= q.x1 or y + p.h <= q.y0 or y >= q.y1))"
+    hit = "exists(p.near, q -> not (p.cx + p.w / 2 <= q.x0 or p.cx - p.w / 2 >= q.x1 or y + p.h <= element_at(acc, q._q).y or y >= element_at(acc, q._q).y + q.h))"
     # the last try lies past the limit and is taken whatever it hits
     free = f"array_position(transform({tries}, y -> not {hit}), true)"
-    fold = f"""aggregate(a, cast(array() as array<struct<idx:int,x0:double,x1:double,y0:double,y1:double,u:boolean>>), (acc, p) -> array_append(acc, transform(array(named_struct('t', {tries}, 'at', {free})),
-      z -> transform(array(if(z.at > 0 and z.at < size(z.t), z.t[int(z.at) - 1], element_at(z.t, -1))), y -> named_struct('idx', int(p.idx), 'x0', p.cx - p.w / 2, 'x1', p.cx + p.w / 2, 'y0', y, 'y1', y + p.h, 'u', not (z.at > 0 and z.at < size(z.t))))[0])[0]))"""
-    return a.select(*keys, F.explode(F.expr(fold)).alias("p")).select(*keys, F.col("p.idx").alias("idx"), F.col("p.y0").alias("y"), F.col("p.u").alias("unresolved"))
+    fold = f"""aggregate(a, cast(array() as array<struct<y:double,u:boolean>>), (acc, p) -> array_append(acc, transform(array(named_struct('t', {tries}, 'at', {free})),
+      z -> named_struct('y', if(z.at > 0 and z.at < size(z.t), z.t[int(z.at) - 1], element_at(z.t, -1)), 'u', not (z.at > 0 and z.at < size(z.t))))[0]))"""
+    placed = rows.select(*keys, F.explode(F.arrays_zip(F.expr("transform(a, p -> int(p.idx))").alias("idx"), F.expr(fold).alias("at"))).alias("p"))
+    return placed.select(*keys, F.col("p.idx").alias("idx"), F.col("p.at.y").alias("y"), F.col("p.at.u").alias("unresolved"))
 
 
 def overlap_alpha(labels: DataFrame, keys: list[str], floor: float = CROWD_FLOOR) -> DataFrame:
@@ -44,7 +59,9 @@ def overlap_alpha(labels: DataFrame, keys: list[str], floor: float = CROWD_FLOOR
     b = labels.select(*keys, F.col("idx").alias("_j"), *[F.col(c).alias(f"b_{c}") for c in ("cx", "y", "w", "h")])
     ox = F.expr("least(a_cx + a_w / 2, b_cx + b_w / 2) - greatest(a_cx - a_w / 2, b_cx - b_w / 2)")
     oy = F.expr("least(a_y + a_h, b_y + b_h) - greatest(a_y, b_y)")
-    pairs = a.join(b, keys).where(F.col("idx") != F.col("_j")).withColumns({"ox": ox, "oy": oy}).where("ox > 0 and oy > 0")
+    wide, tall = largest(labels, "w"), largest(labels, "h")
+    near = within(a, b, keys, (F.col("a_cx"), F.col("a_y")), (F.col("a_w") / 2 + wide / 2, F.greatest(F.col("a_h"), tall)), (F.col("b_cx"), F.col("b_y")), (wide, tall))
+    pairs = near.where(F.col("idx") != F.col("_j")).withColumns({"ox": ox, "oy": oy}).where("ox > 0 and oy > 0")
     share = F.col("ox") * F.col("oy") / F.greatest(F.lit(1.0), F.least(F.expr("a_w * a_h"), F.expr("b_w * b_h")))
     low = pairs.groupBy(*keys, "idx").agg(F.min(1.0 - (1.0 - floor) * F.least(F.lit(1.0), share)).alias("alpha"))
     return labels.join(low, [*keys, "idx"], "left").withColumn("alpha", F.coalesce("alpha", F.lit(1.0)))
@@ -54,10 +71,14 @@ def density_alpha(labels: DataFrame, keys: list[str], reach: float = DENSITY_R,
     """Opacity of labels with many neighbours, in frames with more than ``many`` labels."""
     a = labels.select(*keys, "idx", F.col("cx").alias("_x"), F.col("y").alias("_y"), F.col("w").alias("_w"), F.col("h").alias("_h"))
     b = labels.select(*keys, F.col("idx").alias("_j"), "cx", "y")
-    close = (F.abs(F.col("_x") - F.col("cx")) < reach * F.greatest("_w", F.lit(1.0))) & (F.abs(F.col("_y") - F.col("y")) < 2.0 * F.col("_h"))
-    near = a.join(b, keys).groupBy(*keys, "idx").agg(F.count_if(close & (F.col("idx") != F.col("_j"))).alias("near"), F.count("*").alias("n"))
+    reaches = (reach * F.greatest("_w", F.lit(1.0)), 2.0 * F.col("_h"))
+    close = (F.abs(F.col("_x") - F.col("cx")) < reaches[0]) & (F.abs(F.col("_y") - F.col("y")) < reaches[1])
+    size = (largest(labels, f"{reach}D * greatest(w, 1.0D)"), largest(labels, "2.0D * h"))
+    near = within(a, b, keys, (F.col("_x"), F.col("_y")), reaches, (F.col("cx"), F.col("y")), size).where(close & (F.col("idx") != F.col("_j"))).groupBy(*keys, "idx").agg(F.count("*").alias("near"))
+    counts = labels.groupBy(*keys).agg(F.count("*").alias("n"))
+    all_ = labels.select(*keys, "idx").join(counts, keys).join(near, [*keys, "idx"], "left").withColumn("near", F.coalesce("near", F.lit(0)))
     over = F.least(F.lit(1.0), (F.col("near") - many + 1) / float(many))
-    return near.select(*keys, "idx", "near", F.when((F.col("n") > many) & (F.col("near") >= many), 1.0 - (1.0 - floor) * over).otherwise(1.0).alias("alpha"))
+    return all_.select(*keys, "idx", "near", F.when((F.col("n") > many) & (F.col("near") >= many), 1.0 - (1.0 - floor) * over).otherwise(1.0).alias("alpha"))
 
 
 def eased_offsets(offsets: DataFrame, key: list[str], fps: float, seconds: float = EASE_S, frame: str = "frame", value: str = "offset", dead: float = 0.5) -> DataFrame:

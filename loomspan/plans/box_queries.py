@@ -54,10 +54,13 @@ def degenerate_frames(spark, d) -> DataFrame:
 
 def flagship(spark, d) -> DataFrame:
     good = boxes.deduped(boxes.valid(views.det_raw(spark, d), KEYS), KEYS, carry=("kit",))
-    teams = votes.top_values(good.withColumn("pos", F.struct("frame", "idx")), ["clip"], "kit", "pos", 2)
-    counts = good.groupBy("clip", "frame").agg(F.count("*").alias("n"))
-    pair = teams.groupBy("clip").agg(F.max(F.when(F.col("rank") == 1, F.col("kit"))).alias("team_a"), F.max(F.when(F.col("rank") == 2, F.col("kit"))).alias("team_b"))
-    return counts.join(pair, "clip").select("clip", "frame", "n", "team_a", "team_b")
+    # counted once by frame and kit; teams and frames are told from the counts in one pass
+    g = good.groupBy("clip", "frame", "kit").agg(F.count("*").alias("n"), F.min("idx").alias("idx"))
+    kits = Window.partitionBy("clip", "kit")
+    g = g.withColumns({"_n": F.sum("n").over(kits), "_p": F.min(F.struct("frame", "idx")).over(kits)})
+    g = g.withColumn("_r", F.dense_rank().over(Window.partitionBy("clip").orderBy(F.desc("_n"), "_p")))
+    team = {c: F.max(F.when(F.col("_r") == r, F.col("kit"))).over(Window.partitionBy("clip")) for r, c in ((1, "team_a"), (2, "team_b"))}
+    return g.withColumns(team).groupBy("clip", "frame").agg(F.sum("n").alias("n"), F.first("team_a").alias("team_a"), F.first("team_b").alias("team_b"))
 
 
 query("clean_frames", f"""WITH RECURSIVE {CHECKED}, {nms_sql('val')}, b AS (SELECT clip, frame, unnest(kept) AS b FROM dd),
