@@ -24,7 +24,8 @@ target stops at ``cap`` times its source's size, and the excess is shared again
 
 Edge cases: a null or empty text has size 0 and is never taken; very long texts lie in many blocks; rows that agree in id and
 text are ties in the shuffled order and may take different amounts, the same amounts in every run; a null source is a source;
-an empty table gives an empty result; further columns, whatever their names, are left out or carried by ``mixed``.
+an empty table gives an empty result; further columns, whatever their names, are left out or carried by ``mixed``. A row for each source
+goes through the driver (its size and number of rows, from which shares are told), and comes back as a table whose size Spark checks.
 """
 
 from __future__ import annotations
@@ -61,7 +62,8 @@ def shares(sources: list[tuple[str | None, int]], weights: tuple[int, ...] = WEI
         for s, n in full:
             target[s] = cap * n
             left -= cap * n
-        open_ = [x for x in open_ if x not in full]
+        over = set(full)
+        open_ = [x for x in open_ if x not in over]
     return [(s, n, target[s]) for s, n in ordered]
 
 
@@ -74,13 +76,19 @@ def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 
 
 def schedule(plan: list[tuple[str | None, int, float]], spark, block: int, slots: int) -> DataFrame:
-    """(source_no, rank) of every slot."""
+    """(id, bucket, source_no) of every slot. The cumulative shares are a table of ranges; slots and ranges meet by cells of the unit interval, as
+    many as there are sources, so a slot looks at two ranges on average, however many there are."""
     total = sum(t for _, _, t in plan) or 1.0
-    upper, run = [], 0.0
-    for _, _, target in plan:
-        run += target / total
-        upper.append(run)
-    j = spark.range(slots).withColumn("bucket", F.col("id").cast("long").bitwiseAND(F.lit(-SLOTS_A_BUCKET)))
+    rows, run = [], 0.0
+    for i, (_, _, target) in enumerate(plan):
+        low, run = run, run + target / total
+        rows.append((i, low, run if i < len(plan) - 1 else 2.0))
+    cells = max(1, len(rows))
+    ranges = spark.createDataFrame([r for r in rows if r[2] > r[1]], "source_no int, low double, high double")
+    last = F.least(F.floor(F.col("high") * cells), F.lit(cells - 1))
+    ranges = ranges.withColumn("cell", F.explode(F.sequence(F.least(F.floor(F.col("low") * cells), F.lit(cells - 1)), last)))
+    size = SLOTS_A_BUCKET * max(1, len(plan) // 64)
+    j = spark.range(slots).withColumn("bucket", F.expr(f"id div {size}"))
     # the low 53 bits of the product are enough, and exact in a long: j * golden mod 2**52
     step = (GOLDEN >> 12) | 1
     lo, hi = step & ((1 << 26) - 1), step >> 26
@@ -88,10 +96,8 @@ def schedule(plan: list[tuple[str | None, int, float]], spark, block: int, slots
     # (hi 2^26 + lo)(high 2^26 + low) mod 2^52
     cross = (low * F.lit(hi) + high * F.lit(lo)).bitwiseAND(F.lit((1 << 26) - 1))
     point = (F.shiftleft(cross, 26) + low * F.lit(lo)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
-    number = F.lit(len(plan) - 1)
-    for i in range(len(plan) - 2, -1, -1):
-        number = F.when(point < F.lit(upper[i]), F.lit(i)).otherwise(number)
-    return j.select("id", "bucket", number.alias("source_no"))
+    j = j.withColumn("point", point).withColumn("cell", F.floor(F.col("point") * cells))
+    return j.join(ranges, "cell").where("point >= low and point < high").select("id", "bucket", "source_no")
 
 
 def taken_blocks(slots: DataFrame, blocks: DataFrame, cap: float) -> DataFrame:
@@ -105,7 +111,7 @@ def taken_blocks(slots: DataFrame, blocks: DataFrame, cap: float) -> DataFrame:
     per = per.select("source_no", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = Window.partitionBy("source_no", "bucket").orderBy("id")
     ranked = slots.withColumn("r", F.row_number().over(within) - 1).join(per, ["source_no", "bucket"])
-    ranked = ranked.join(F.broadcast(blocks), "source_no").where("(first + r) % per_block = per_block div 2").withColumn("turn", F.expr("(first + r) div per_block"))
+    ranked = ranked.join(blocks, "source_no").where("(first + r) % per_block = per_block div 2").withColumn("turn", F.expr("(first + r) div per_block"))
     return ranked.where(F.col("turn") < cap * F.col("n_blocks")).select(F.col("id").alias("slot"), "source_no", F.expr("turn % n_blocks").alias("block"))
 
 
@@ -132,7 +138,7 @@ def laid_out(rows: DataFrame, weights: tuple[int, ...], cap: float, min_slots: i
     slots = math.ceil(sum(x[2] for x in laid))
     # the first n % n_blocks blocks of a source have one word more than the others
     facts = [(i, s, n, t, x[0], x[1], n // x[0], n % x[0], max(0, (many[s] // ROWS_A_BUCKET).bit_length())) for i, ((s, n, t), x) in enumerate(zip(plan, laid))]
-    by_source = F.broadcast(spark.createDataFrame(facts, "source_no int, _s string, source_size long, target double, n_blocks long, per_block long, _short long, _longer long, _bits int"))
+    by_source = spark.createDataFrame(facts, "source_no int, _s string, source_size long, target double, n_blocks long, per_block long, _short long, _longer long, _bits int")
     placed = rows.join(by_source, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     # the shuffled order is that of _h; its leading bits, more of them for a source with more rows, are the bucket
     bucket = F.when(F.col("_bits") > 0, F.expr("shiftright(cast(conv(substring(_h, 1, 12), 16, 10) as bigint), 48 - greatest(_bits, 1))")).otherwise(F.lit(0).cast("long"))

@@ -180,3 +180,13 @@ def test_pipeline_by_hand(spark, docs, tmp_path, monkeypatch):
     docs.write.parquet(str(tmp_path / "sf" / "documents.parquet"))
     got = [(str(r["doc_id"]), r["n_tokens"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path / "sf")).collect()]
     assert sorted(got) == sorted(expected) and len(got) > 20
+
+
+def test_thousands_of_sources(spark):
+    """Every source of thousands comes near its target; a third of all rows is of one of them."""
+    n = 2000
+    df = spark.range(3 * n).selectExpr("id as doc_id", f"if(id % 3 = 0, 's', concat('s', id % {n})) as source", "repeat('word ', int(1 + id % 40)) as text")
+    got = golden_mix.mix(df).toPandas()
+    by = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), size=("source_size", "first"))
+    assert len(by) > 1000 and ((by["taken"] - by["target"]).abs() <= 1 + 0.02 * by["target"]).all()
+    assert (got["taken"] <= 3 * got["size"]).all() and abs(by["target"].sum() - by["size"].sum()) < 1
