@@ -11,7 +11,8 @@ occur. It reaches ``threshold`` t only
 For a candidate, windows of all lengths within the bounds are counted at all places where they can begin, by differences
 of sums over the places of the template's bigrams; a bigram counts in a window up to as often as the template has it. The
 work is thus linear in the text for a given set of templates, repeated lines included. Long templates are tried in steps of length
-with a margin that covers the steps, and lengths in between only where a step came near. Of overlapping windows the one
+with a margin that covers the steps; from places where a step came near, the stretches between steps are swept that can
+hold a better end than all steps have. Of overlapping windows the one
 with the most bigrams in common is reported (then that of the higher coefficient, the shorter, the first), so a text is
 preferred to a notice within it.
 
@@ -40,6 +41,7 @@ THRESHOLD = 0.85
 WORD = re.compile(r"[^\W_]+")
 LICENCE = str.maketrans({"’": "'"})
 STEPS = 40  # of a long template's length
+SWEEP = 1 << 19  # bigrams that are swept over at once
 
 
 def normal(text: str) -> list[str]:
@@ -100,6 +102,25 @@ def default_templates() -> Templates:
     return Templates(templates())
 
 
+def between(at: np.ndarray, used: np.ndarray, starts: np.ndarray, low: np.ndarray, high: np.ndarray, common: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficient, length) of the best window, the shortest of equals, from each of ``starts`` to any of the bigrams after number ``low`` up to
+    ``high``, given what it has in common up to ``low``. A bigram counts where the window has room for it (``used`` lies before its beginning)."""
+    dice, length = np.zeros(len(starts)), np.zeros(len(starts), np.int64)
+    rows = max(1, SWEEP // max(1, int((high - low).max(initial=1))))
+    for a in range(0, len(starts), rows):
+        i, first, last = starts[a : a + rows], low[a : a + rows] + 1, high[a : a + rows]
+        place = first[:, None] + np.arange(int((last - first).max(initial=0)) + 1)
+        inside = place <= last[:, None]
+        place = np.minimum(place, len(at) - 1)
+        true = at[place] - at[i][:, None] + 1
+        have = common[a : a + rows, None] + np.cumsum(inside & (used[place] < at[i][:, None]), axis=1)
+        score = np.where(inside, 2 * have / (true + n), 0.0)
+        best = np.argmax(score >= score.max(1, keepdims=True) - 1e-12, axis=1)
+        pick = np.arange(len(i)), best
+        dice[a : a + rows], length[a : a + rows] = score[pick], true[pick]
+    return dice, length
+
+
 def windows(at: np.ndarray, ids: np.ndarray, have: np.ndarray, n: int, known: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(coefficient, begin, end) of the best window from every place on where one reaches the threshold, given the
     places ``at`` of a template's bigrams ``ids``, how often it has each (``have``), and its size."""
@@ -114,33 +135,40 @@ def windows(at: np.ndarray, ids: np.ndarray, have: np.ndarray, n: int, known: Te
     used[order[ok]] = at[order[back[ok]]]
     best, length = np.zeros(len(at)), np.zeros(len(at), np.int64)
 
-    def tried(size: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Coefficients and lengths, up to their last bigram of the template, of the windows of ``size`` at ``starts``."""
+    def tried(size: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Coefficients and lengths, up to their last bigram of the template, of the windows of ``size`` at ``starts``; the numbers of these
+        bigrams, and what the windows have in common with the template."""
         low = np.searchsorted(at, np.maximum(used, at - size), "right")  # a bigram counts in windows that begin from here to itself
         sums = np.bincount(low, minlength=len(at) + 1)[: len(at)].cumsum() - np.arange(len(at))
         stop = np.searchsorted(at, at[starts] + size) - 1
         true = at[stop] - at[starts] + 1
-        return 2 * sums[starts] / (true + n), true
+        return 2 * sums[starts] / (true + n), true, stop, sums[starts]
 
     every = np.arange(len(at))
     lengths = known.lengths(n)
     step = max(1, n // STEPS)
     margin = 0.0 if step == 1 else 1.5 * step / n
-    todo: dict[int, list] = defaultdict(list)
-    for size in [*range(lengths.start, lengths.stop, step), lengths.stop - 1]:
-        dice, true = tried(size, every)
+    near = np.zeros(len(at), bool)
+    sizes = [*range(lengths.start, lengths.stop, step), lengths.stop - 1]
+    for size in sizes:
+        dice, true, _, _ = tried(size, every)
         better = (dice > best + 1e-12) | ((dice > best - 1e-12) & (true < length))
         better &= dice >= t - 1e-12
         best[better], length[better] = dice[better], true[better]
-        if step > 1:
-            for more in range(max(lengths.start, size - step + 1), size):
-                todo[more].append(np.flatnonzero(dice >= t - margin))
-    for size, starts in todo.items():
-        starts = np.unique(np.concatenate(starts))
-        if len(starts):
-            dice, true = tried(size, starts)
-            better = ((dice > best[starts] + 1e-12) | ((dice > best[starts] - 1e-12) & (true < length[starts]))) & (dice >= t - 1e-12)
-            best[starts[better]], length[starts[better]] = dice[better], true[better]
+        near |= dice >= t - margin
+    starts = np.flatnonzero(near) if step > 1 else every[:0]
+    if len(starts):
+        _, short, low, least = tried(sizes[0], starts)
+        for size in sizes[1:]:
+            _, true, high, most = tried(size, starts)
+            # what lies between two steps can't be better than all of the longer's bigrams in little more than the shorter's length
+            some = np.flatnonzero((high > low) & (2 * most / (short + 1 + n) >= np.maximum(best[starts], t) - 1e-12))
+            if len(some):
+                at_ = starts[some]
+                dice, true_ = between(at, used, at_, low[some], high[some], least[some], n)
+                better = ((dice > best[at_] + 1e-12) | ((dice > best[at_] - 1e-12) & (true_ < length[at_]))) & (dice >= t - 1e-12)
+                best[at_[better]], length[at_[better]] = dice[better], true_[better]
+            short, low, least = true, high, most
     found = np.flatnonzero(length)
     return best[found], at[found], at[found] + length[found]
 

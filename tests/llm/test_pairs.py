@@ -403,3 +403,54 @@ def test_written_tables_can_be_deleted(spark):
     common.forget_written(spark)
     assert not os.path.exists(path) and kept.count() == 7
     common.deleted(spark, kept)
+
+
+def test_whole_licences_are_scanned_in_linear_time():
+    """A text of many whole licences takes about as many times as long as one of a few; each is found."""
+    import time
+    from pathlib import Path
+
+    known = license_scan.default_templates()
+    text = (Path(license_scan.__file__).parent / "licences" / "GPL-3.txt").read_text()
+    took = []
+    for n in (4, 16):
+        began = time.process_time()
+        found = license_scan.scan("\n".join([text] * n), known)
+        took.append(time.process_time() - began)
+        assert [f[2:] for f in found] == [("GPL-3", 1.0)] * n
+    assert took[1] < 8 * took[0] + 0.5
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ends_between_steps_are_found(monkeypatch, seed):
+    """Long templates, tried in steps, against every window by hand."""
+    r = np.random.default_rng(seed)
+    words = [f"w{k}" for k in range(60)]
+    template = r.choice(words, 150).tolist()
+    known = license_scan.Templates([("own", " ".join(template))])
+    text = r.choice(words, 40).tolist()
+    for _ in range(3):
+        copy = [w for w in template if r.random() > 0.06] + r.choice(words, int(r.integers(0, 8))).tolist()
+        text += copy + r.choice(words, int(r.integers(1, 30))).tolist()
+    n, have = known.rows[0][0], known.rows[0][2]
+    pairs = list(zip(text, text[1:]))
+    at = [k for k, b in enumerate(pairs) if b in have]
+    monkeypatch.setattr(license_scan, "STEPS", 10)
+    ids = np.array([known.ids[pairs[k]] for k in at])
+    dice, begin, end = license_scan.windows(np.array(at), ids, known.of(0)[ids], n, known)
+    got = {int(b): (round(float(d), 9), int(e - b)) for d, b, e in zip(dice, begin, end)}
+    expected = {}
+    for i, b in enumerate(at):
+        seen, best = {}, (0.0, 0)
+        for j in range(i, len(at)):
+            seen[pairs[at[j]]] = seen.get(pairs[at[j]], 0) + 1
+            true = at[j] - b + 1
+            if true > known.lengths(n)[-1]:
+                break
+            common = sum(min(v, have[k]) for k, v in seen.items())
+            d = 2 * common / (true + n)
+            if d >= 0.85 - 1e-12 and d > best[0] + 1e-12:
+                best = (d, true)
+        if best[1]:
+            expected[b] = (round(best[0], 9), best[1])
+    assert got == expected and expected
