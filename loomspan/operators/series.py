@@ -6,7 +6,6 @@ observations of a key, which stays in the engine and is as parallel as there are
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,49 +155,30 @@ def nearest_scale(ball: DataFrame, scale: DataFrame, clip: str, within: int, fra
     return ball.join(best, [clip, frame], "left")
 
 
-def filter_pass(rows: list[tuple], scale: dict, fps: float, step: int) -> list[tuple]:
-    """One pass of the ball's filters over (frame, x, y, conf) rows: round trips, then speed against the last kept."""
-    per = lambda f: (min(1.19 * scale[f], 0.10), min(14.3 * scale[f], 1.2)) if scale.get(f) else (0.10, 1.2)
-    hyp = lambda p, q: ((q[1] - p[1]) ** 2 + (q[2] - p[2]) ** 2) ** 0.5
-    if len(rows) >= 3:
-        kept = rows[:1]
-        for here, after in zip(rows[1:], rows[2:]):
-            last = kept[-1]
-            there, back, across = hyp(last, here), hyp(here, after), hyp(last, after)
-            jump, gate = per(here[0])
-            gate *= 0.5 + here[3]
-            slow = there <= gate * max((here[0] - last[0]) / fps, 1e-3) and back <= gate * max((after[0] - here[0]) / fps, 1e-3)
-            off_x = abs(here[1] - (last[1] + after[1]) / 2) * ASPECT
-            upright = abs(here[2] - (last[2] + after[2]) / 2) >= 2.0 * off_x
-            judged = here[0] - last[0] <= 2 * step + 1
-            if not (judged and there > jump and back > jump and across < there * 0.5 and not (slow and upright)):
-                kept.append(here)
-        rows = [*kept, rows[-1]]
-    out: list[tuple] = []
-    for r in rows:
-        if not out or hyp(out[-1], r) / max((r[0] - out[-1][0]) / fps, 1e-3) <= per(r[0])[1] * (0.5 + r[3]):
-            out.append(r)
-    return out
+def _ball_filters(fps: float, step: int) -> list[str]:
+    """The two filters of a pass as folds over ``a``, a clip's sightings in order; each looks at the last one it kept."""
+    gap = lambda p, q: f"greatest(({q}.f - {p}.f) / {fps!r}D, 1e-3D)"
+    far = lambda p, q: f"sqrt(({q}.x - {p}.x) * ({q}.x - {p}.x) + ({q}.y - {p}.y) * ({q}.y - {p}.y))"
+    scaled = lambda e, rate, most: f"if(coalesce({e}.scale, 0D) <> 0, least({rate}D * {e}.scale, {most}D), {most}D)"
+    gate = lambda e: f"({scaled(e, 14.3, 1.2)} * (0.5D + {e}.conf))"
+    l, b, c = "element_at(k, -1)", "a[i]", "a[i + 1]"
+    slow = f"{far(l, b)} / {gap(l, b)} <= {gate(b)} and {far(b, c)} / {gap(b, c)} <= {gate(b)}"
+    upright = f"abs({b}.y - ({l}.y + {c}.y) / 2) >= 2.0D * abs(({b}.x - ({l}.x + {c}.x) / 2) * {ASPECT!r}D)"
+    jump = scaled(b, 1.19, 0.1)
+    trip = f"{b}.f - {l}.f <= {2 * step + 1} and {far(l, b)} > {jump} and {far(b, c)} > {jump} and {far(l, c)} < {far(l, b)} * 0.5D and not ({slow} and {upright})"
+    trips = f"if(size(a) < 3, a, array_append(aggregate(sequence(1, size(a) - 2), slice(a, 1, 1), (k, i) -> if({trip}, k, array_append(k, {b}))), element_at(a, -1)))"
+    speed = f"aggregate(slice(a, 2, size(a)), slice(a, 1, 1), (k, e) -> if({far(l, 'e')} / {gap(l, 'e')} <= {gate('e')}, array_append(k, e), k))"
+    return [trips, speed]
 
 
 def ball_fixed_point(ball: DataFrame, clip: str, fps: float, step: int, passes: int = 4, frame: str = "frame") -> DataFrame:
-    """Sightings that are left when the filters remove no more, or after ``passes``. Each decision depends on the last
-    survivor, so a clip is one group; clips are independent. ball: clip, frame, x, y, w, h, conf, scale."""
-    columns = [clip, frame, "x", "y", "w", "h", "conf", "scale"]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(frame)
-        scale = {f: s for f, s in zip(rows[frame], rows["scale"]) if s == s and s is not None}
-        left = list(zip(rows[frame], rows["x"], rows["y"], rows["conf"]))
-        for _ in range(passes):
-            n = len(left)
-            left = filter_pass(left, scale, fps, step)
-            if len(left) == n:
-                break
-        return rows[rows[frame].isin({r[0] for r in left})]
-
-    picked = ball.select(*columns)
-    return picked.groupBy(clip).applyInPandas(run, picked.schema)
+    """Sightings that are left when the filters (round trips, then speed against the last kept) remove no more, or after ``passes``; a pass
+    over what the filters leave alone changes nothing, so all passes are made. Folds over a clip's sightings; clips are independent. ball: clip,
+    frame, x, y, w, h, conf, scale."""
+    rest = ("x", "y", "w", "h", "conf", "scale")
+    out = ball.groupBy(clip).agg(F.array_sort(F.collect_list(F.struct(F.col(frame).alias("f"), *rest))).alias("a"))
+    trips, speed = _ball_filters(fps, step)
+    return _rows(out, [clip], f"aggregate(sequence(1, {passes}), a, (a, n) -> transform(array({trips}), a -> {speed})[0])", frame, rest)
 
 
 def bridged(ball: DataFrame, cuts: DataFrame, clip: str, max_gap: int, hold: int, last: int | Column, frame: str = "frame") -> DataFrame:

@@ -72,25 +72,32 @@ def kit_l1(spark, d) -> DataFrame:
 
 CUTS = L1 + """, pf AS (SELECT clip, frame, median(h) AS med_h, count(*) AS n FROM det GROUP BY ALL),
 pb AS (SELECT *, lag(med_h) OVER w AS pm, lag(n) OVER w AS pn FROM pf WINDOW w AS (PARTITION BY clip ORDER BY frame)),
-sg AS (SELECT pb.clip, pb.frame, abs(med_h - pm) / greatest(pm, 1e-4) AS h_ratio, abs(n - pn) AS d_n, greatest(n, pn) / greatest(least(n, pn), 1) AS n_ratio, kit_l1,
+cs AS (SELECT pb.clip, pb.frame, abs(med_h - pm) / greatest(pm, 1e-4) AS h_ratio, abs(n - pn) AS d_n, greatest(n, pn) / greatest(least(n, pn), 1) AS n_ratio, kit_l1,
        CAST(greatest(n, pn) >= 4 AND (abs(med_h - pm) / greatest(pm, 1e-4) > 0.5e0 OR abs(n - pn) >= 5) AS INTEGER) + CAST(greatest(n, pn) / greatest(least(n, pn), 1) >= {ratio} AS INTEGER) + CAST(coalesce(kit_l1, 0) > {kits} AS INTEGER) AS signals
        FROM pb LEFT JOIN l1 USING (clip, frame) WHERE pn IS NOT NULL)"""
 
 
-@query("cut_signals", f"WITH {D}, {CUTS.format(ratio='2.5e0', kits='0.9e0')} SELECT clip, frame, round(h_ratio, 6) AS h_ratio, d_n, round(n_ratio, 6) AS n_ratio, round(kit_l1, 6) AS kit_l1, signals FROM sg")
+@query("cut_signals", f"WITH {D}, {CUTS.format(ratio='2.5e0', kits='0.9e0')} SELECT clip, frame, round(h_ratio, 6) AS h_ratio, d_n, round(n_ratio, 6) AS n_ratio, round(kit_l1, 6) AS kit_l1, signals FROM cs")
 def cut_signals(spark, d) -> DataFrame:
     s = frames.cut_signals(views.det(spark, d), "clip")
     return s.select("clip", "frame", "d_n", "signals", *[F.round(c, 6).alias(c) for c in ("h_ratio", "n_ratio", "kit_l1")])
 
 
-@query("cut_debounce", f"""WITH RECURSIVE {D}, {CUTS.format(ratio='1.5e0', kits='0.7e0')}, fr AS (SELECT clip, frame, n_ratio, row_number() OVER (PARTITION BY clip ORDER BY frame) AS rn FROM sg WHERE signals >= 2),
+DEBOUNCED = """fr AS (SELECT clip, frame, n_ratio, row_number() OVER (PARTITION BY clip ORDER BY frame) AS rn FROM cs WHERE signals >= 2),
 st AS (SELECT clip, rn, [(frame, n_ratio)] AS cuts FROM fr WHERE rn = 1 UNION ALL
   SELECT fr.clip, fr.rn, CASE WHEN fr.frame - list_last(cuts)[1] >= 12 THEN list_append(cuts, (fr.frame, fr.n_ratio)) WHEN fr.n_ratio > list_last(cuts)[2] THEN list_append(cuts[1:-2], (fr.frame, fr.n_ratio)) ELSE cuts END
-  FROM st JOIN fr ON fr.clip = st.clip AND fr.rn = st.rn + 1)
-SELECT clip, c[1] AS frame, round(c[2], 6) AS n_ratio FROM (SELECT clip, unnest(cuts) AS c FROM st QUALIFY row_number() OVER (PARTITION BY clip ORDER BY rn DESC) = 1)""")
-def cut_debounce(spark, d) -> DataFrame:
+  FROM st JOIN fr ON fr.clip = st.clip AND fr.rn = st.rn + 1),
+dc AS (SELECT clip, c[1] AS frame, c[2] AS n_ratio FROM (SELECT clip, unnest(cuts) AS c FROM st QUALIFY row_number() OVER (PARTITION BY clip ORDER BY rn DESC) = 1))"""
+
+
+def found_cuts(spark, d) -> DataFrame:
     s = frames.cut_signals(views.det(spark, d), "clip", ratio=1.5, kits=0.7)
-    return frames.debounced(s, "clip", within=12).withColumn("n_ratio", F.round("n_ratio", 6))
+    return frames.debounced(s, "clip", within=12)
+
+
+@query("cut_debounce", f"WITH RECURSIVE {D}, {CUTS.format(ratio='1.5e0', kits='0.7e0')}, {DEBOUNCED} SELECT clip, frame, round(n_ratio, 6) AS n_ratio FROM dc")
+def cut_debounce(spark, d) -> DataFrame:
+    return found_cuts(spark, d).withColumn("n_ratio", F.round("n_ratio", 6))
 
 
 VOTE = f"""{PTS}, od AS (SELECT clip, frame, lead(frame) OVER (PARTITION BY clip ORDER BY frame) AS nx FROM (SELECT DISTINCT clip, frame FROM pts)),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.operators import series
-from loomspan.plans import views
+from loomspan.plans import frame_queries, views
 from loomspan.plans.catalog import query
 
 T, B = views.TRACKS, views.BALL
@@ -103,14 +103,15 @@ def damped_follow(spark, d) -> DataFrame:
     return rounded(series.damped(g, ["trk", "seg"], 1 / 30, 0.10), "x", "y")
 
 
-CUTS = "cu AS (SELECT DISTINCT clip, frame FROM det WHERE frame % 90 = 45)"
+#: the cuts that the cut detector finds in the supplied events, under thresholds at which they have some
+CUTS = frame_queries.CUTS.format(ratio="1.5e0", kits="0.7e0") + ", " + frame_queries.DEBOUNCED + ", cu AS (SELECT clip, frame FROM dc)"
 
 
 def cuts(spark, d) -> DataFrame:
-    return views.det(spark, d).where("frame % 90 = 45").select("clip", "frame").distinct()
+    return frame_queries.found_cuts(spark, d).select("clip", "frame")
 
 
-@query("fade_profile", f"""WITH {T}, {grid_sql('clip, trk')}, {CUTS}, e AS (SELECT clip, trk, seg, frame, min(frame) OVER w AS f0, max(frame) OVER w AS f1 FROM gr WINDOW w AS (PARTITION BY clip, trk, seg))
+@query("fade_profile", f"""WITH RECURSIVE {T}, {grid_sql('clip, trk')}, {CUTS}, e AS (SELECT clip, trk, seg, frame, min(frame) OVER w AS f0, max(frame) OVER w AS f1 FROM gr WINDOW w AS (PARTITION BY clip, trk, seg))
 SELECT clip, trk, seg, frame, round(least(CASE WHEN EXISTS (SELECT 1 FROM cu WHERE cu.clip = e.clip AND f0 - cu.frame BETWEEN 0 AND 4) THEN 1.0e0 ELSE least(1.0e0, (frame - f0) / 9.0e0) END,
   CASE WHEN EXISTS (SELECT 1 FROM cu WHERE cu.clip = e.clip AND cu.frame - f1 BETWEEN 0 AND 4) THEN 1.0e0 ELSE least(1.0e0, (f1 - frame) / 9.0e0) END), 6) AS fade FROM e""")
 def fade_profile(spark, d) -> DataFrame:
@@ -136,15 +137,33 @@ def scale_asof(spark, d) -> DataFrame:
     return rounded(scaled(spark, d).select("clip", "frame", "scale"), "scale")
 
 
-@query("ball_fixed_point")
+def fixed_point_sql(fps: float, step: int, passes: int = 4) -> str:
+    """The ball's filters as recursions over a clip's sightings, whose state is the last one kept: pb0 is what comes in."""
+    gap = lambda p, q: f"greatest(({q} - {p}) / {fps!r}e0, 1e-3)"
+    far = lambda px, py, qx, qy: f"sqrt(({qx} - {px}) * ({qx} - {px}) + ({qy} - {py}) * ({qy} - {py}))"
+    gate = "(CASE WHEN coalesce(o.scale, 0) <> 0 THEN least(14.3e0 * o.scale, 1.2e0) ELSE 1.2e0 END * (0.5e0 + o.conf))"
+    jump = "CASE WHEN coalesce(o.scale, 0) <> 0 THEN least(1.19e0 * o.scale, 0.1e0) ELSE 0.1e0 END"
+    ab, bc, ac = far("t.kx", "t.ky", "o.x", "o.y"), far("o.x", "o.y", "o.cx", "o.cy"), far("t.kx", "t.ky", "o.cx", "o.cy")
+    slow = f"{ab} / {gap('t.kf', 'o.frame')} <= {gate} AND {bc} / {gap('o.frame', 'o.cf')} <= {gate}"
+    upright = f"abs(o.y - (t.ky + o.cy) / 2) >= 2.0e0 * abs((o.x - (t.kx + o.cx) / 2) * {16 / 9!r}e0)"
+    trips = f"o.n < 3 OR o.rn = o.n OR NOT (o.frame - t.kf <= {2 * step + 1} AND {ab} > {jump} AND {bc} > {jump} AND {ac} < {ab} * 0.5e0 AND NOT ({slow} AND {upright}))"
+    speed = f"{ab} / {gap('t.kf', 'o.frame')} <= {gate}"
+    out = []
+    for k, keep in enumerate([trips, speed] * passes):
+        out += [f"po{k} AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY clip) AS n, lead(frame) OVER w AS cf, lead(x) OVER w AS cx, lead(y) OVER w AS cy FROM pb{k} WINDOW w AS (PARTITION BY clip ORDER BY frame))",
+                f"ps{k} AS (SELECT clip, rn, true AS keep, frame AS kf, x AS kx, y AS ky FROM po{k} WHERE rn = 1 UNION ALL SELECT clip, rn, keep, CASE WHEN keep THEN frame ELSE kf END, CASE WHEN keep THEN x ELSE kx END, CASE WHEN keep THEN y ELSE ky END FROM (SELECT o.clip, o.rn, o.frame, o.x, o.y, t.kf, t.kx, t.ky, {keep} AS keep FROM ps{k} t JOIN po{k} o ON o.clip = t.clip AND o.rn = t.rn + 1))",
+                f"pb{k + 1} AS (SELECT o.clip, o.frame, o.x, o.y, o.w, o.h, o.conf, o.scale FROM po{k} o JOIN ps{k} t ON t.clip = o.clip AND t.rn = o.rn WHERE t.keep)"]
+    return ", ".join(out)
+
+
+@query("ball_fixed_point", f"""WITH RECURSIVE {B}, {SCALE}, pb0 AS (SELECT b.clip, b.frame, any_value(b.x) AS x, any_value(b.y) AS y, any_value(b.w) AS w, any_value(b.h) AS h, any_value(b.conf) AS conf, arg_min(fs.scale, (abs(b.frame - fs.frame), fs.frame)) AS scale
+ FROM ball b LEFT JOIN fs ON fs.clip = b.clip AND abs(b.frame - fs.frame) <= 5 GROUP BY b.clip, b.frame), {fixed_point_sql(2.0, 2)}
+SELECT clip, frame, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h FROM pb8""")
 def ball_fixed_point(spark, d) -> DataFrame:
-    from loomspan.session import ship
-
-    ship(spark)
     return series.ball_fixed_point(scaled(spark, d), "clip", 2.0, 2).select("clip", "frame", *[F.round(c, 6).alias(c) for c in "xywh"])
 
 
-@query("ball_bridge", f"""WITH {B}, {CUTS},
+@query("ball_bridge", f"""WITH RECURSIVE {B}, {CUTS},
 n AS (SELECT *, lead(frame) OVER w AS f2, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(h) OVER w AS h2 FROM ball WINDOW w AS (PARTITION BY clip ORDER BY frame)),
 l AS (SELECT clip, CAST(unnest(range(frame + 1, f2)) AS INTEGER) AS g, * FROM n WHERE f2 - frame <= 4 AND NOT EXISTS (SELECT 1 FROM cu WHERE cu.clip = n.clip AND cu.frame > n.frame AND cu.frame <= f2)),
 e AS (SELECT clip, frame, x, y, h, 0 AS p, frame AS o FROM ball UNION ALL
@@ -161,7 +180,7 @@ def ball_confidence(spark, d) -> DataFrame:
     return rounded(series.confident(views.ball(spark, d), 0.82).select("clip", "frame", "conf", "low_conf"), "conf")
 
 
-@query("crosses_cut", f"WITH {T}, {CUTS}, c AS (SELECT trk, frame, CAST(frame // {views.CLIP_FRAMES} AS INTEGER) AS clip FROM tracks), n AS (SELECT clip, trk, frame, lead(frame) OVER (PARTITION BY clip, trk ORDER BY frame) AS f2 FROM c) SELECT clip, trk, frame, f2, EXISTS (SELECT 1 FROM cu WHERE cu.clip = n.clip AND cu.frame > n.frame AND cu.frame <= f2) AS crossed FROM n WHERE f2 IS NOT NULL")
+@query("crosses_cut", f"WITH RECURSIVE {T}, {CUTS}, c AS (SELECT trk, frame, CAST(frame // {views.CLIP_FRAMES} AS INTEGER) AS clip FROM tracks), n AS (SELECT clip, trk, frame, lead(frame) OVER (PARTITION BY clip, trk ORDER BY frame) AS f2 FROM c) SELECT clip, trk, frame, f2, EXISTS (SELECT 1 FROM cu WHERE cu.clip = n.clip AND cu.frame > n.frame AND cu.frame <= f2) AS crossed FROM n WHERE f2 IS NOT NULL")
 def crosses_cut(spark, d) -> DataFrame:
     return series.crossing(by_clip(spark, d).select("clip", "trk", "frame"), ["trk"], "clip", cuts(spark, d)).select("clip", "trk", "frame", "f2", "crossed")
 

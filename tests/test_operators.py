@@ -291,20 +291,35 @@ def test_last_frame_comes_from_the_data(spark):
     assert sorted(r["frame"] for r in got.collect()) == list(range(790, 797))
 
 
-def test_ball_filters_by_hand():
+def test_ball_filters_by_hand(spark):
     """Frames 2 apart at 2 fps: a second each; scales of 0.05 make a jump 0.0595 and a gate 0.715 a second."""
-    scale = {f: 0.05 for f in range(0, 20)}
     flat = [(f, 0.30 + 0.001 * f, 0.5, 0.9) for f in range(0, 10, 2)]
-    assert series.filter_pass(flat, scale, 2.0, 2) == flat
     decoy = [*flat[:2], (4, 0.95, 0.5, 0.9), *flat[3:]]  # out and back at once
-    assert [r[0] for r in series.filter_pass(decoy, scale, 2.0, 2)] == [0, 2, 6, 8]
     bounce = [*flat[:2], (4, 0.302, 0.62, 0.9), *flat[3:]]  # up and down again, slowly enough
-    assert series.filter_pass(bounce, scale, 2.0, 2) == bounce
     away = [*flat[:3], (6, 0.99, 0.99, 0.2), (8, 0.99, 0.98, 0.2)]  # too fast for how sure they are, and no way back
-    assert [r[0] for r in series.filter_pass(away, scale, 2.0, 2)][:3] == [0, 2, 4]
-    assert 6 not in [r[0] for r in series.filter_pass(away, scale, 2.0, 2)]
-    unknown = series.filter_pass(decoy, {}, 2.0, 2)  # without a scale the fixed limits hold
-    assert [r[0] for r in unknown] == [0, 2, 6, 8]
+    expected = {"flat": [0, 2, 4, 6, 8], "decoy": [0, 2, 6, 8], "bounce": [0, 2, 4, 6, 8], "unknown": [0, 2, 6, 8], "away": [0, 2, 4], "one": [0]}
+    cases = {"flat": flat, "decoy": decoy, "bounce": bounce, "away": away, "unknown": decoy, "one": flat[:1]}
+    rows = [(c, f, x, y, 0.01, 0.01, conf, None if c == "unknown" else 0.05) for c, some in cases.items() for f, x, y, conf in some]
+    df = spark.createDataFrame(rows, "clip string, frame int, x double, y double, w double, h double, conf double, scale double").repartition(3)
+    got = series.ball_fixed_point(df, "clip", 2.0, 2).collect()
+    assert {c: sorted(r["frame"] for r in got if r["clip"] == c) for c in cases} == expected
+
+
+def test_ball_passes_agree_with_the_plain_version(spark):
+    from tests.plain import filter_pass
+
+    r = np.random.default_rng(5)
+    rows = [(k, int(f), *r.random(2).tolist(), 0.01, 0.01, float(r.random()), None if r.random() < 0.2 else float(r.random() * 0.2)) for k in range(12) for f in np.sort(r.choice(200, int(r.integers(1, 90)), replace=False))]
+    rows = [(k, f, 0.5 + (x - 0.5) * (0.05 if f % 5 else 1), 0.5 + (y - 0.5) * 0.1, *rest) for k, f, x, y, *rest in rows]
+    df = spark.createDataFrame(rows, "clip int, frame int, x double, y double, w double, h double, conf double, scale double")
+    got = {(x["clip"], x["frame"]) for x in series.ball_fixed_point(df, "clip", 10.0, 3).collect()}
+    expected = set()
+    for k in range(12):
+        left, scale = [(f, x, y, c) for i, f, x, y, _, _, c, _ in rows if i == k], {f: s for i, f, *_, s in rows if i == k}
+        for _ in range(4):
+            left = filter_pass(left, scale, 10.0, 3)
+        expected |= {(k, x[0]) for x in left}
+    assert got == expected and len(got) < len(rows)
 
 
 def test_ball_centres_and_corrected_rows(spark, tmp_path):

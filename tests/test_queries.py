@@ -75,27 +75,5 @@ def test_tracks_keep_their_rules(spark):
         assert (g["min"].to_numpy()[1:] > g["max"].to_numpy()[:-1]).all()  # of one identity no two at once
 
 
-def test_ball_fixed_point_is_one(spark):
-    """What is left passes the filters again unchanged, and was there before."""
-    from loomspan.operators import series
-    from loomspan.plans import series_queries
-
-    before = series_queries.scaled(spark, SF).toPandas()
-    after = QUERIES["ball_fixed_point"](spark, SF).toPandas()
-    assert 0 < len(after) <= len(before)
-    assert set(zip(after["clip"], after["frame"])) <= set(zip(before["clip"], before["frame"]))
-    for clip, g in before.groupby("clip"):
-        g = g.sort_values("frame")
-        scale = {f: s for f, s in zip(g["frame"], g["scale"]) if s == s and s is not None}
-        left = set(after[after["clip"] == clip]["frame"])
-        rows = [r for r in zip(g["frame"], g["x"], g["y"], g["conf"]) if r[0] in left]
-        again = series.filter_pass(rows, scale, 2.0, 2)
-        assert len(again) <= len(rows)
-        out = list(zip(g["frame"], g["x"], g["y"], g["conf"]))
-        for _ in range(4):
-            out = series.filter_pass(out, scale, 2.0, 2)
-        assert {r[0] for r in out} == left
-
-
 def test_flagship(spark):
     assert registry.flagship(spark, SF).count() > 0
