@@ -83,7 +83,8 @@ def suppressed(boxes: DataFrame, keys: list[str], threshold: float = DEDUPE_IOU,
     met = met.where(F.col("_p") < F.col("_q")).where(overlap("p", "q") > threshold).groupBy(*keys, F.col("_q").alias("_r")).agg(F.collect_list("_p").alias("_before"))
     rows = ranked.join(met, [*keys, "_r"], "left").groupBy(*keys).agg(F.sum("_n").alias("raw"), F.array_sort(F.collect_list(F.struct("_r", "_b", F.coalesce("_before", F.array().cast("array<int>")).alias("_before")))).alias("a"))
     left = "aggregate(a, cast(array() as array<boolean>), (acc, p) -> array_append(acc, not exists(p._before, k -> element_at(acc, k))))"
-    return rows.withColumn("_left", F.expr(left)).select(*keys, "raw", F.expr("transform(filter(a, p -> element_at(_left, p._r)), p -> p._b)").alias("kept"))
+    both = F.arrays_zip(F.col("a"), F.expr(left).alias("left"))  # side by side, as a column that a lambda names is made for every element
+    return rows.select(*keys, "raw", F.transform(F.filter(both, lambda z: z["left"]), lambda z: z["a"]["_b"]).alias("kept"))
 
 
 def repeats(ratio: float = DEGENERATE_RATIO, least: int = 4) -> Column:

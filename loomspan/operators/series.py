@@ -6,9 +6,12 @@ observations of a key, which stays in the engine and is as parallel as there are
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.operators.scan import linear
+
 ASPECT = 16 / 9
 OBS = "array<struct<f:int,x:double,y:double,w:double,h:double>>"
 
@@ -86,23 +89,17 @@ def on_grid(segments: DataFrame, keys: list[str], step: int, total: int | None =
 
 
 def damped(grid: DataFrame, keys: list[str], dt: float, smooth_time: float, frame: str = "frame") -> DataFrame:
-    """x and y eased by a critically damped spring that follows them (a cubic stands for the exponential); a fold
-    over each stretch, its state being position and velocity."""
+    """x and y eased by a critically damped spring that follows them (a cubic stands for the exponential): position and velocity are a
+    linear recurrence, which is worked in blocks, so a stretch of any length is spread over tasks."""
     if smooth_time <= 0:
         return grid
     omega = 2.0 / smooth_time
     x = omega * dt
     ex = 1.0 / (1.0 + x + 0.48 * x * x + 0.235 * x * x * x)
-    rest = [c for c in grid.columns if c not in (*keys, frame, "x", "y")]
-    a = grid.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(frame).alias("f"), "x", "y", *rest))).alias("a"))
-    push = lambda c: f"((s.v{c} + {omega!r}D * (s.p{c} - e.{c})) * {dt!r}D)"
-    fold = f"""aggregate(a, named_struct('px', a[0].x, 'py', a[0].y, 'vx', 0.0D, 'vy', 0.0D, 'out', cast(array() as array<struct<x:double,y:double>>)),
-      (s, e) -> transform(array(named_struct('px', e.x + (s.px - e.x + {push('x')}) * {ex!r}D, 'py', e.y + (s.py - e.y + {push('y')}) * {ex!r}D,
-        'vx', (s.vx - {omega!r}D * {push('x')}) * {ex!r}D, 'vy', (s.vy - {omega!r}D * {push('y')}) * {ex!r}D)),
-        t -> named_struct('px', t.px, 'py', t.py, 'vx', t.vx, 'vy', t.vy, 'out', array_append(s.out, named_struct('x', t.px, 'y', t.py))))[0], s -> s.out)"""
-    out = a.withColumn("m", F.expr(f"if(size(a) < 2, transform(a, e -> named_struct('x', e.x, 'y', e.y)), {fold})"))
-    both = out.select(*keys, F.explode(F.arrays_zip("a", "m")).alias("z"))
-    return both.select(*keys, F.col("z.a.f").alias(frame), F.col("z.m.x").alias("x"), F.col("z.m.y").alias("y"), *[F.col(f"z.a.{c}").alias(c) for c in rest])
+    # p' = e + (p - e + push) * ex, v' = (v - omega * push) * ex with push = (v + omega * (p - e)) * dt
+    move = np.array([[(1 + x) * ex, dt * ex], [-omega * x * ex, (1 - x) * ex]])
+    pull = np.array([1 - (1 + x) * ex, omega * x * ex])
+    return linear(grid, keys, frame, ["x", "y"], move, pull)
 
 
 def faded(grid: DataFrame, keys: list[str], clip: str, cuts: DataFrame, fade: float, step: int, frame: str = "frame") -> DataFrame:

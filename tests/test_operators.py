@@ -297,7 +297,7 @@ def test_ball_filters_by_hand(spark):
     decoy = [*flat[:2], (4, 0.95, 0.5, 0.9), *flat[3:]]  # out and back at once
     bounce = [*flat[:2], (4, 0.302, 0.62, 0.9), *flat[3:]]  # up and down again, slowly enough
     away = [*flat[:3], (6, 0.99, 0.99, 0.2), (8, 0.99, 0.98, 0.2)]  # too fast for how sure they are, and no way back
-    expected = {"flat": [0, 2, 4, 6, 8], "decoy": [0, 2, 6, 8], "bounce": [0, 2, 4, 6, 8], "unknown": [0, 2, 6, 8], "away": [0, 2, 4], "one": [0]}
+    expected = {"flat": [0, 2, 4, 6, 8], "decoy": [0, 2, 6, 8], "bounce": [0, 2, 4, 6, 8], "unknown": [0, 2, 6, 8], "away": [0, 2, 4, 8], "one": [0]}
     cases = {"flat": flat, "decoy": decoy, "bounce": bounce, "away": away, "unknown": decoy, "one": flat[:1]}
     rows = [(c, f, x, y, 0.01, 0.01, conf, None if c == "unknown" else 0.05) for c, some in cases.items() for f, x, y, conf in some]
     df = spark.createDataFrame(rows, "clip string, frame int, x double, y double, w double, h double, conf double, scale double").repartition(3)
