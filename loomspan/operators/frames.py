@@ -6,20 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.operators.grid import nearest_other, within
+from loomspan.operators.reports import ranked_values
+from loomspan.tables import kept
 
 ASPECT = 16 / 9
 
 
 def clip_spacing(points: DataFrame, clip: str, frame: list[str], least: int = 40) -> DataFrame:
-    """The value at a quarter of a clip's sorted nearest distances, or null below ``least`` of them.
-
-    Found by rank over distinct values and their counts: no list of all distances is gathered.
-    """
-    near = nearest_other(points, [clip, *frame]).groupBy(clip, "nearest").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(clip).orderBy("nearest")
-    ranked = near.withColumns({"upto": F.sum("n").over(w), "all": F.sum("n").over(Window.partitionBy(clip))})
-    at = ranked.where((F.col("upto") > F.floor(F.col("all") / 4)) & (F.col("upto") - F.col("n") <= F.floor(F.col("all") / 4)))
-    return at.select(clip, F.col("all").alias("samples"), F.when(F.col("all") >= least, F.col("nearest")).alias("spacing"))
+    """The value at a quarter of a clip's sorted nearest distances, or null below ``least`` of them. The distances are written once, as they
+    are counted and ranked."""
+    at = ranked_values(kept(nearest_other(points, [clip, *frame])), [clip], "nearest", {"quarter": 0.25})
+    return at.select(clip, F.col("n").alias("samples"), F.when(F.col("n") >= least, F.col("quarter")).alias("spacing"))
 
 
 def kit_l1(rows: DataFrame, clip: str, frame: str = "frame", kit: str = "kit") -> DataFrame:

@@ -19,13 +19,36 @@ def arm_report(calls: DataFrame, arm: str = "arm") -> DataFrame:
     )
 
 
-def ranked_values(calls: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Per key the values at places int(n * share) of the sorted values, and the largest: found from counts of distinct
-    values, so nothing the size of the log is gathered."""
-    counts = calls.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    c = counts.withColumns({"upto": F.sum("n").over(Window.partitionBy(*keys).orderBy(value)), "all": F.sum("n").over(Window.partitionBy(*keys))})
-    picks = [F.min(F.when(F.col("upto") > F.floor(F.col("all") * s), F.col(value))).alias(name) for name, s in shares.items()]
-    return c.groupBy(*keys).agg(F.max("all").alias("n"), *picks, F.max(value).alias("max"))
+def ranked_values(calls: DataFrame, keys: list[str], value: str, shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """Per key the number of values, those at places int(n * share) of the sorted values, and the largest.
+
+    Exact, by counts of distinct values. Of a key with more than ``accuracy`` values only a narrow band is put in order: a sketch whose error in rank
+    is known bounds each place from both sides, what lies below the band is counted, and ranks go on within it. So a window
+    holds some thousandths of a key's values.
+    """
+    counts = calls.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    spare = 3.0 / accuracy
+    ends = [x for s in shares.values() for x in (max(0.0, s - spare), min(1.0, s + spare))]
+    sketch = calls.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.min(value).alias("_least"), F.max(value).alias("max"), F.percentile_approx(value, ends, accuracy).alias("_q"))
+    large = F.col("n") > accuracy
+    sketch = sketch.withColumns({f"_{side}{k}": F.when(large, F.col("_q")[2 * k + j]).otherwise(F.col(rest)) for k in range(len(shares)) for j, (side, rest) in enumerate((("low", "_least"), ("high", "max")))})
+    # a key's bounds meet its values by name, nulls included
+    names = {k: f"_key{i}" for i, k in enumerate(keys)}
+    bounds = sketch.select(*[F.col(k).alias(n) for k, n in names.items()], "n", *[f"_{side}{k}" for k in range(len(shares)) for side in ("low", "high")])
+    on = F.lit(True)
+    for k, n in names.items():
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    c = counts.join(bounds, on).drop(*names.values())
+    below = c.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col("_v") < F.col(f"_low{k}"), F.col("_n"))), F.lit(0)).alias(f"_below{k}") for k in range(len(shares))])
+    each = F.array(*[F.when(F.col("_v").between(F.col(f"_low{k}"), F.col(f"_high{k}")), F.lit(k)) for k in range(len(shares))])
+    band = c.select(*keys, "n", "_v", "_n", F.explode(F.array_compact(each)).alias("_k"))
+    band = band.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys, "_k").orderBy("_v")))
+    below = below.select(*[F.col(k).alias(n) for k, n in names.items()], *[f"_below{k}" for k in range(len(shares))])
+    band = band.join(below, on).drop(*names.values())
+    picks = [F.min(F.when((F.col("_k") == k) & (F.col(f"_below{k}") + F.col("_upto") > F.floor(F.col("n") * s)), F.col("_v"))).alias(name) for k, (name, s) in enumerate(shares.items())]
+    found = band.groupBy(*keys).agg(*picks)
+    most = sketch.select(*[F.col(k).alias(n) for k, n in names.items()], "n", "max")
+    return found.join(most, on).select(*keys, "n", *shares, "max")
 
 
 def error_classes(calls: DataFrame, most: int | None = None) -> DataFrame:

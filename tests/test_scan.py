@@ -126,3 +126,21 @@ def test_a_large_frame_is_no_square(spark):
     labels = df.selectExpr("clip", "frame", "idx", "double(x) * 12800 as cx", "double(y) * 7200 as top", "40.0D as w", "14.0D as h", "double(conf) as priority")
     moved = layout.moved_labels(labels, ["clip", "frame"]).count()
     assert 0 < left <= n and near == n and moved == n and time.time() - began < 120
+
+
+def test_order_statistics_are_exact(spark):
+    """Of keys with few and many values, with ties and nulls, through bands that a sketch bounds."""
+    from loomspan.operators import reports
+
+    r = np.random.default_rng(7)
+    data = {"one": [3.0], "few": r.integers(0, 4, 17).tolist(), "many": np.round(r.lognormal(0, 4, 6000), 3).tolist(), "ties": r.integers(0, 3, 3000).tolist(), None: r.normal(0, 1, 500).tolist()}
+    rows = [(k, float(v)) for k, vs in data.items() for v in vs] + [("few", None), ("none", None)]
+    shares = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p90": 0.9, "p999": 0.999}
+    df = spark.createDataFrame(rows, "arm string, v double").repartition(5)
+    for accuracy in (100, 10_000):
+        got = {x["arm"]: x for x in reports.ranked_values(df, ["arm"], "v", shares, accuracy).collect()}
+        assert set(got) == set(data)
+        for k, vs in data.items():
+            vs = sorted(map(float, vs))
+            assert (got[k]["n"], got[k]["max"]) == (len(vs), vs[-1])
+            assert [got[k][s] for s in shares] == [vs[int(len(vs) * q)] for q in shares.values()]
