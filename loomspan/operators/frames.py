@@ -166,14 +166,21 @@ def possession_pick(ball: DataFrame, players: DataFrame, keys: list[str], radius
 
 def possession_hold(picks: DataFrame, clip: str, frame: str, need: int) -> DataFrame:
     """Picks with hysteresis: a challenger (or nobody) takes over after ``need`` picks in a row; a holder who has
-    left the frame is dropped at once. picks: clip, frame, pick, present (array of ids). A fold over a clip."""
-    rows = picks.groupBy(clip).agg(F.array_sort(F.collect_list(F.struct(F.col(frame).alias("f"), F.col("pick").alias("p"), F.col("present").alias("here")))).alias("a"))
-    fold = f"""aggregate(a, named_struct('cur', cast(null as bigint), 'run', cast(null as bigint), 'len', 0, 'out', cast(array() as array<struct<f:int,holder:bigint>>)),
-      (s, e) -> transform(transform(
-        array(named_struct('run', e.p, 'len', if(e.p <=> s.run, s.len + 1, 1), 'cur', if(s.cur is not null and array_contains(e.here, s.cur), s.cur, null))),
-        t -> named_struct('run', t.run, 'len', t.len, 'cur', if((t.cur is null or (not (t.run <=> t.cur) and t.len >= {need})) and (t.run is not null or t.len >= {need}), t.run, t.cur))),
-        t -> named_struct('cur', t.cur, 'run', t.run, 'len', t.len, 'out', array_append(s.out, named_struct('f', e.f, 'holder', t.cur))))[0], s -> s.out)"""
-    return rows.select(clip, F.explode(F.expr(fold)).alias("o")).select(clip, F.col("o.f").alias(frame), F.col("o.holder").alias("holder"))
+    left the frame is dropped at once. picks: clip, frame, pick, present (array of ids).
+
+    Where a run reaches ``need`` the pick holds, whoever held before. So a clip falls into stretches that begin at such rows, and a fold
+    goes over each stretch alone, in which a holder stays while present, and else the next pick takes over."""
+    run = islands(picks, [clip], frame, "pick", "_run")
+    run = run.withColumn("_len", F.row_number().over(Window.partitionBy(clip, "_run").orderBy(frame)))
+    sure = (F.col("_len") >= need).alias("s")
+    run = run.withColumn("_part", F.sum(sure.cast("int")).over(Window.partitionBy(clip).orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = run.groupBy(clip, "_part").agg(F.array_sort(F.collect_list(F.struct(F.col(frame).alias("f"), F.col("pick").alias("p"), sure, F.col("present").alias("here")))).alias("a"))
+    kind = picks.schema["pick"].dataType.simpleString()
+    now = "if(e.s, e.p, if(t.cur is not null and array_contains(e.here, t.cur), t.cur, e.p))"
+    fold = f"""aggregate(a, named_struct('cur', cast(null as {kind}), 'out', cast(array() as array<{kind}>)),
+      (t, e) -> transform(array({now}), c -> named_struct('cur', c, 'out', array_append(t.out, c)))[0], t -> t.out)"""
+    held = rows.select(clip, F.explode(F.arrays_zip(F.expr("transform(a, e -> e.f)").alias("f"), F.expr(fold).alias("holder"))).alias("o"))
+    return held.select(clip, F.col("o.f").alias(frame), F.col("o.holder").alias("holder"))
 
 
 def islands(rows: DataFrame, keys: list[str], order: str, value: str, out: str = "island") -> DataFrame:

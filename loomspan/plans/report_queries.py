@@ -206,9 +206,9 @@ def catalogue_flatten(spark, d) -> DataFrame:
     return flat.select("id", "name", "modalities", "context", "max_output", F.round("in_per_m", 6).alias("in_per_m"), F.round("out_per_m", 6).alias("out_per_m"), "structured", "reasoning", "moderated")
 
 
-@query("set_operations", f"WITH {views.TRACKS}, a AS (SELECT DISTINCT trk FROM tracks WHERE conf >= 0.9e0), b AS (SELECT DISTINCT trk FROM tracks WHERE num IS NOT NULL AND frame % 5 = 0) SELECT 'both' AS part, trk FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'unclaimed', trk FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'all', trk FROM (SELECT * FROM a UNION SELECT * FROM b)")
+@query("set_operations", f"WITH {views.TRACKS}, a AS (SELECT DISTINCT trk FROM tracks WHERE conf >= 0.9e0), b AS (SELECT DISTINCT trk FROM tracks WHERE num IS NOT NULL AND conf >= 0.95e0) SELECT 'both' AS part, trk FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'unclaimed', trk FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'all', trk FROM (SELECT * FROM a UNION SELECT * FROM b)")
 def set_operations(spark, d) -> DataFrame:
     t = views.tracks(spark, d)
-    a, b = t.where("conf >= 0.9").select("trk").distinct(), t.where("num is not null and frame % 5 = 0").select("trk").distinct()
+    a, b = t.where("conf >= 0.9").select("trk").distinct(), t.where("num is not null and conf >= 0.95").select("trk").distinct()
     tag = lambda df, name: df.select(F.lit(name).alias("part"), "trk")
     return tag(a.intersect(b), "both").unionByName(tag(a.exceptAll(b), "unclaimed")).unionByName(tag(a.union(b).distinct(), "all"))
