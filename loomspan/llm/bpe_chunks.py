@@ -1,10 +1,10 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the bytes of a text places chunk ends, so that texts which share a passage share its chunks wherever the
-passage stands. The tokenizers library encodes each chunk as a text of its own, once: a worker keeps the ids of its chunks
+passage stands. A worker encodes a chunk once and keeps the ids of its chunks
 across documents and tasks (in two generations of a bounded size, of which the older one goes when the newer is full, and what
-was used again moves to the newer). Below the chunks a memo of words keeps the library from encoding one word many times, which
-changes no ids.
+was used again moves to the newer). Within a chunk, words are looked up in a table of words; those that are not there yet are encoded by
+the tokenizers library, many at a time, and odd ones with the text around them. The ids are those of the chunk as a text of its own.
 
 A chunk mostly ends inside a word, where its ids are not those of the whole text. At every join some bytes to the left, to
 the right, and both together are encoded anew. The join is repaired if these bytes begin and end with a whole word, and the ids of the
