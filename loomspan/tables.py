@@ -29,6 +29,13 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def folder(spark: SparkSession, what: str) -> str:
+    """The name of a new folder in the shared one, which goes with the tables."""
+    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _KEPT.append(path)
+    return path
+
+
 def forget(spark: SparkSession) -> None:
     """Delete the tables of :func:`kept`, when nothing reads them any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
