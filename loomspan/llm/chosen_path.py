@@ -71,7 +71,10 @@ def missed(runs: int, threshold: float = THRESHOLD, branch: int = BRANCH, depth:
 
 
 def runs_needed(threshold: float = THRESHOLD, recall: float = RECALL, branch: int = BRANCH, depth: int = DEPTH) -> int:
-    """Runs after which a pair of that similarity is a candidate with at least that chance."""
+    """Runs after which a pair of that similarity is a candidate with at least that chance. What the filter of shared tokens misses no
+    number of runs brings back, so a recall beyond that is an error."""
+    if missed(1 << 40, threshold, branch, depth) >= 1 - recall:
+        raise ValueError(f"a recall of {recall} is out of reach: the filter of shared tokens alone misses {missed(1 << 40, threshold, branch, depth):.2e}")
     runs = 1
     while missed(runs, threshold, branch, depth) > 1 - recall:
         runs += 1

@@ -454,3 +454,10 @@ def test_ends_between_steps_are_found(monkeypatch, seed):
         if best[1]:
             expected[b] = (round(best[0], 9), best[1])
     assert got == expected and expected
+
+
+def test_a_recall_out_of_reach_is_an_error():
+    assert chosen_path.runs_needed(recall=0.999) >= chosen_path.runs_needed(recall=0.9) >= 1
+    for recall in (0.9999, 1.0):
+        with pytest.raises(ValueError, match="out of reach"):
+            chosen_path.runs_needed(recall=recall)
