@@ -63,24 +63,30 @@ def debounced(signals: DataFrame, clip: str, frame: str = "frame", within: float
 def camera_vote(points: DataFrame, clip: str, frame: str = "frame", idx: str = "idx", max_shift: float = 0.386) -> DataFrame:
     """Motion of the whole picture between a frame and the next one: displacements of all pairs within
     ``max_shift`` vote in square bins of a twelfth of it; the medians of the fullest bin (ties to the first pair)
-    and its support. The pairs are of neighbouring frames alone. Votes are counted first; then only the pairs of the fullest bin are made again,
+    and its support. ``idx`` is a whole number from 0 to below 2**31.
+
+    Points of one place move alike, so places meet, each with its number of points and its first one. The pairs are of neighbouring
+    frames alone, and are counted in fixed-size rows by bin as they are made, without a sort; then only the pairs of the fullest bin are made again,
     through a grid of its place, for their medians."""
     size = max_shift / 12.0
-    order = points.select(clip, frame).distinct().withColumn("_next", F.lead(frame).over(Window.partitionBy(clip).orderBy(frame)))
-    a = points.join(order, [clip, frame]).where("_next is not null").select(clip, F.col("_next").alias(frame), F.col(idx).alias("_i"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    b = points.select(clip, frame, F.col(idx).alias("_j"), "x", "y")
+    p = dealt(points, [clip, frame]).groupBy(clip, frame, "x", "y").agg(F.count("*").alias("_n"), F.min(F.col(idx).cast("long")).alias("_i"))
+    order = p.select(clip, frame).distinct().withColumn("_next", F.lead(frame).over(Window.partitionBy(clip).orderBy(frame)))
+    a = p.join(order, [clip, frame]).where("_next is not null").select(clip, F.col("_next").alias(frame), "_i", "_n", F.col("x").alias("_x"), F.col("y").alias("_y"))
+    b = p.select(clip, frame, F.col("_i").alias("_j"), F.col("_n").alias("_m"), "x", "y")
     move = {"dx": F.col("x") - F.col("_x"), "dy": F.col("y") - F.col("_y")}
     bins = {"bx": F.rint(F.col("dx") / size), "by": F.rint(F.col("dy") / size)}
     near = (F.abs("dx") <= max_shift) & (F.abs("dy") <= max_shift)
-    votes = a.join(b, [clip, frame]).withColumns(move).where(near).withColumns(bins).groupBy(clip, frame, "bx", "by").agg(F.count("*").alias("votes"), F.min(F.struct("_i", "_j")).alias("_first"))
+    pairs = dealt(a, [clip, frame]).join(dealt(b, [clip, frame]), [clip, frame])
+    # the first pair as one number: a pair of columns has no place in a hash aggregate, and all pairs would be sorted
+    votes = pairs.withColumns(move).where(near).withColumns(bins).groupBy(clip, frame, "bx", "by").agg(F.sum(F.col("_n") * F.col("_m")).alias("votes"), F.min(F.shiftleft("_i", 32) + F.col("_j")).alias("_first"))
     best = votes.groupBy(clip, frame).agg(F.min(F.struct((-F.col("votes")).alias("v"), "_first", "bx", "by")).alias("w")).select(clip, frame, (-F.col("w.v")).alias("votes"), F.col("w.bx").alias("_bx"), F.col("w.by").alias("_by"))
     moved = a.join(best, [clip, frame])
     at = (F.col("_x") + F.col("_bx") * size, F.col("_y") + F.col("_by") * size)
-    pairs = within(moved, b, [clip, frame], at, (F.lit(size), F.lit(size)), (F.col("x"), F.col("y")), (size, size))
-    pairs = pairs.withColumns(move).where(near).withColumns(bins).where("bx = _bx and by = _by")
-    middle = pairs.groupBy(clip, frame).agg(F.first("votes").alias("votes"), F.median("dx").alias("cx"), F.median("dy").alias("cy"))
-    n = a.groupBy(clip, frame).agg(F.count("*").alias("preds"))
-    return middle.join(n, [clip, frame]).select(clip, frame, "cx", "cy", (F.col("votes") / F.col("preds")).alias("support"))
+    full = within(moved, b, [clip, frame], at, (F.lit(size), F.lit(size)), (F.col("x"), F.col("y")), (size, size))
+    full = full.withColumns(move).where(near).withColumns(bins).where("bx = _bx and by = _by").withColumn("_w", F.col("_n") * F.col("_m"))
+    each = [full.groupBy(clip, frame, d).agg(F.sum("_w").alias("_w"), F.max("votes").alias("votes")).groupBy(clip, frame).agg(F.percentile(d, F.lit(0.5), F.col("_w")).alias(c), F.max("votes").alias("votes")) for d, c in (("dx", "cx"), ("dy", "cy"))]
+    n = a.groupBy(clip, frame).agg(F.sum("_n").alias("preds"))
+    return each[0].join(each[1].drop("votes"), [clip, frame]).join(n, [clip, frame]).select(clip, frame, "cx", "cy", (F.col("votes") / F.col("preds")).alias("support"))
 
 
 def gated_pairs(tracks: DataFrame, detections: DataFrame, keys: list[str], dt: float, spacing: float | None = None) -> DataFrame:

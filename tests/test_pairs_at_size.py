@@ -1,10 +1,14 @@
 """Steps that make pairs: what they cost for a pair, and that they still make all of them."""
 
 import math
+import random
+import re
+import statistics
 
 from pyspark.sql import functions as F
 
 from loomspan.functions import scalar
+from loomspan.operators import frames
 from loomspan.plans import frame_queries
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +36,34 @@ def test_association_costs_work_little_for_a_pair(spark):
     assert "round(" not in text
     below = text[text.index("Join Inner") :]
     assert "AS gate" in below and below.count("RepartitionByExpression [frame") == 2
+
+
+def moves_by_hand(rows: list, shift: float = 0.386) -> dict:
+    """Of each frame after the first: the medians of the fullest bin of displacements, and its support."""
+    out, size = {}, shift / 12.0
+    frames = sorted({r[0] for r in rows})
+    for before, now in zip(frames, frames[1:]):
+        bins = {}
+        for _, i, x0, y0 in (r for r in rows if r[0] == before):
+            for _, j, x1, y1 in (r for r in rows if r[0] == now):
+                dx, dy = x1 - x0, y1 - y0
+                if abs(dx) <= shift and abs(dy) <= shift:
+                    bins.setdefault((round(dx / size), round(dy / size)), []).append(((i, j), dx, dy))
+        if bins:
+            best = min(bins.values(), key=lambda m: (-len(m), min(p for p, _, _ in m)))
+            out[now] = (*(statistics.median(m[k] for m in best) for k in (1, 2)), len(best) / sum(r[0] == before for r in rows))
+    return out
+
+
+def test_camera_vote_takes_places_once(spark):
+    """Many points on few places: the same votes, ties and medians as all pairs give, from a hash aggregate over places."""
+    rng = random.Random(3)
+    rows = [(f, i, rng.choice((0.1, 0.13, 0.3, 0.55, 0.9)) + f % 3 / 50, rng.choice((0.2, 0.24, 0.5, 0.8))) for f in (0, 1, 4, 5, 9) for i in range(1, rng.randint(2, 60))]
+    df = spark.createDataFrame([(1, *r) for r in rows], "clip int, frame int, idx int, x double, y double")
+    votes = frames.camera_vote(df, "clip")
+    got, expected = {r["frame"]: (r["cx"], r["cy"], r["support"]) for r in votes.collect()}, moves_by_hand(rows)
+    assert got.keys() == expected.keys() and len(got) == 4
+    for f, v in got.items():
+        assert all(abs(a - b) < 1e-12 for a, b in zip(v, expected[f]))
+    by_bin = re.findall(r"(\w+Aggregate)\(keys?=\[[^]]*\bbx#", votes._jdf.queryExecution().executedPlan().toString())
+    assert by_bin and set(by_bin) == {"HashAggregate"}
