@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+from math import floor
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructType
 
-from loomspan.operators.grid import largest, within
+from loomspan.operators.grid import dealt, largest, within
+from loomspan.session import ship
 
 NUDGE, MAX_NUDGE = 0.75, 3.0
 FULL, FADING, FLOOR = 6, 4, 0.38
@@ -30,27 +36,65 @@ def moved_labels(labels: DataFrame, keys: list[str], nudge: float = NUDGE, most:
     them, by falling priority (ties by position): keys, idx, y, unresolved. The place of a label is the first of its few
     possible steps without a hit, else the last with ``unresolved``.
 
-    Which earlier labels one can ever hit (their columns meet, and so do the stretches in which both can come to lie) is found by a grid
-    join; the fold over a frame's labels then looks at those alone.
+    No pairs are made: a task takes its frames' labels one after the other in their order, and keeps the labels placed so far of one frame, by
+    columns as wide as the widest label and by height. A label without a place hits nothing.
     """
-    ranked = labels.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("priority"), "idx")))
-    far = F.greatest(F.lit(1.0), F.col("h") * nudge) + F.col("h") * most  # highest step, one past the limit
-    a = ranked.select(*keys, "_r", "cx", "top", "w", "h", far.alias("_far"))
-    b = ranked.select(*keys, F.col("_r").alias("_q"), F.col("cx").alias("_bx"), F.col("top").alias("_bt"), F.col("w").alias("_bw"), F.col("h").alias("_bh"), far.alias("_bfar"))
-    wide, tall = largest(labels, "w"), largest(labels, f"h + greatest(1.0D, h * {nudge}D) + h * {most}D")
-    met = within(a, b, keys, (F.col("cx"), F.col("top")), (F.col("w") / 2 + wide / 2, F.greatest(F.col("h") + F.col("_far"), tall)), (F.col("_bx"), F.col("_bt")), (wide, tall))
-    met = met.where("_q < _r and cx + w / 2 > _bx - _bw / 2 and cx - w / 2 < _bx + _bw / 2 and top - _far < _bt + _bh and _bt - _bfar < top + h")
-    met = met.groupBy(*keys, "_r").agg(F.array_sort(F.collect_list(F.struct("_q", (F.col("_bx") - F.col("_bw") / 2).alias("x0"), (F.col("_bx") + F.col("_bw") / 2).alias("x1"), F.col("_bh").alias("h")))).alias("near"))
-    rows = ranked.join(met, [*keys, "_r"], "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_r", "idx", "cx", "top", "w", "h", F.coalesce("near", F.array().cast(met.schema["near"].dataType)).alias("near")))).alias("a"))
-    step = f"greatest(1.0D, p.h * {nudge}D)"
-    tries = f"transform(sequence(0, int(floor(p.h * {most}D / {step})) + 1), k -> p.top - k * {step})"
-    hit = "exists(p.near, q -> not (p.cx + p.w / 2 <= q.x0 or p.cx - p.w / 2 >= q.x1 or y + p.h <= element_at(acc, q._q).y or y >= element_at(acc, q._q).y + q.h))"
-    # the last try lies past the limit and is taken whatever it hits
-    free = f"array_position(transform({tries}, y -> not {hit}), true)"
-    fold = f"""aggregate(a, cast(array() as array<struct<y:double,u:boolean>>), (acc, p) -> array_append(acc, transform(array(named_struct('t', {tries}, 'at', {free})),
-      z -> named_struct('y', if(z.at > 0 and z.at < size(z.t), z.t[int(z.at) - 1], element_at(z.t, -1)), 'u', not (z.at > 0 and z.at < size(z.t))))[0]))"""
-    placed = rows.select(*keys, F.explode(F.arrays_zip(F.expr("transform(a, p -> int(p.idx))").alias("idx"), F.expr(fold).alias("at"))).alias("p"))
-    return placed.select(*keys, F.col("p.idx").alias("idx"), F.col("p.at.y").alias("y"), F.col("p.at.u").alias("unresolved"))
+    ship(labels.sparkSession)
+    wide = largest(labels, "w")
+    rows = dealt(labels.select(*keys, F.col("idx").cast("int").alias("idx"), "priority", *[F.col(c).cast("double").alias(c) for c in ("cx", "top", "w", "h")]), keys)
+    rows = rows.sortWithinPartitions(*keys, F.desc("priority"), "idx").withColumn("_wide", wide.cast("double"))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        now, placed = None, None
+        for batch in batches:
+            at = {n: i for i, n in enumerate(batch.schema.names)}
+            cells = lambda c: batch.column(at[c]).to_pylist()
+            out = []
+            for key, cx, top, w, h, step in zip(zip(*map(cells, keys)), *map(cells, ("cx", "top", "w", "h", "_wide"))):
+                if placed is None or key != now:
+                    now, placed = key, Placed(step)
+                out.append(placed.add(cx, top, w, h, nudge, most))
+            yield pa.record_batch([batch.column(at[c]) for c in (*keys, "idx")] + [pa.array([y for y, _ in out], pa.float64()), pa.array([u for _, u in out], pa.bool_())], names=[*keys, "idx", "y", "unresolved"])
+
+    schema = StructType([rows.schema[k] for k in (*keys, "idx")]).add("y", DoubleType()).add("unresolved", BooleanType())
+    return rows.mapInArrow(run, schema)
+
+
+class Placed:
+    """The labels placed so far in a frame: in columns of width ``wide``, each in order of height."""
+
+    def __init__(self, wide: float):
+        self.wide, self.tallest, self.columns = wide, 0.0, {}
+
+    def hit(self, columns: list, x0: float, x1: float, y: float, h: float) -> bool:
+        low, high = y - self.tallest * 1.0001 - abs(y) * 1e-9, y + h
+        for tops, boxes in columns:
+            for k in range(bisect_left(tops, low), bisect_left(tops, high)):
+                a, b, tall = boxes[k]
+                if x1 > a and x0 < b and y < tops[k] + tall:
+                    return True
+        return False
+
+    def add(self, cx: float | None, top: float | None, w: float | None, h: float | None, nudge: float, most: float) -> tuple[float | None, bool | None]:
+        """The y of the next label, and whether it hits others there."""
+        if h is None:
+            return None, None
+        if cx is None or top is None or w is None:
+            return top, False
+        x0, x1, step = cx - w / 2, cx + w / 2, max(1.0, h * nudge)
+        columns = [self.columns.setdefault(c, ([], [])) for c in range(floor(x0 / self.wide), floor(x1 / self.wide) + 1)]
+        last = floor(h * most / step) + 1
+        # the last try lies past the limit and is taken whatever it hits
+        k = next((k for k in range(last) if not self.hit(columns, x0, x1, top - k * step, h)), last)
+        y = top - k * step
+        for tops, boxes in columns:
+            place = bisect_left(tops, y)
+            tops.insert(place, y)
+            boxes.insert(place, (x0, x1, h))
+        self.tallest = max(self.tallest, h)
+        return y, k == last
 
 
 def overlap_alpha(labels: DataFrame, keys: list[str], floor: float = CROWD_FLOOR) -> DataFrame:

@@ -8,8 +8,8 @@ import statistics
 from pyspark.sql import functions as F
 
 from loomspan.functions import scalar
-from loomspan.operators import frames
-from loomspan.plans import frame_queries
+from loomspan.operators import frames, layout
+from loomspan.plans import frame_queries, layout_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,3 +67,33 @@ def test_camera_vote_takes_places_once(spark):
         assert all(abs(a - b) < 1e-12 for a, b in zip(v, expected[f]))
     by_bin = re.findall(r"(\w+Aggregate)\(keys?=\[[^]]*\bbx#", votes._jdf.queryExecution().executedPlan().toString())
     assert by_bin and set(by_bin) == {"HashAggregate"}
+
+
+def labels_by_hand(rows: list) -> dict:
+    """(clip, frame, idx) to y and unresolved, each label against all placed before it."""
+    boxes, out = {}, {}
+    for clip, frame, idx, cx, top, w, h, _ in sorted(rows, key=lambda r: (r[:2], -r[7], r[2])):
+        mine = boxes.setdefault((clip, frame), [])
+        step = max(1.0, h * layout.NUDGE)
+        last = math.floor(h * layout.MAX_NUDGE / step) + 1
+        for k in range(last + 1):
+            y = top - k * step
+            if k == last or not any(cx + w / 2 > a and cx - w / 2 < b and y + h > t and y < t + g for a, b, t, g in mine):
+                break
+        mine.append((cx - w / 2, cx + w / 2, y, h))
+        out[clip, frame, idx] = y, k == last
+    return out
+
+
+def test_labels_move_without_pairs(spark):
+    """Crowded frames with sizes of all kinds, one label as wide as the frame; nothing is joined, so what is shuffled is the labels."""
+    rng = random.Random(8)
+    rows = [(c, f, i, rng.uniform(0, 400), rng.choice((rng.uniform(0, 300), 50.0)), rng.choice((1.0, 30.0, rng.uniform(5, 80))), rng.choice((0.5, 14.0, rng.uniform(1, 40))), float(rng.randint(0, 9))) for c in (0, 1) for f in (3, 4) for i in range(1, 250)]
+    rows.append((0, 3, 999, 200.0, 100.0, 2000.0, 14.0, 5.0))
+    df = spark.createDataFrame(rows, "clip int, frame int, idx int, cx double, top double, w double, h double, priority double").repartition(5)
+    moved = layout.moved_labels(df, ["clip", "frame"])
+    assert {(r["clip"], r["frame"], r["idx"]): (r["y"], r["unresolved"]) for r in moved.collect()} == labels_by_hand(rows)
+    assert "Join" not in plan(layout_queries.label_collisions(spark, SF))
+    odd = layout.moved_labels(df.selectExpr("clip", "frame", "idx", "if(idx = 1, null, cx) AS cx", "top", "w", "h", "priority"), ["clip", "frame"])
+    assert {(r["y"], r["unresolved"]) for r in odd.where("idx = 1").collect()} == {(r[4], False) for r in rows if r[2] == 1}
+    assert layout.moved_labels(df.where("idx < 0"), ["clip", "frame"]).count() == 0
