@@ -97,3 +97,24 @@ def test_labels_move_without_pairs(spark):
     odd = layout.moved_labels(df.selectExpr("clip", "frame", "idx", "if(idx = 1, null, cx) AS cx", "top", "w", "h", "priority"), ["clip", "frame"])
     assert {(r["y"], r["unresolved"]) for r in odd.where("idx = 1").collect()} == {(r[4], False) for r in rows if r[2] == 1}
     assert layout.moved_labels(df.where("idx < 0"), ["clip", "frame"]).count() == 0
+
+
+def test_gated_pairs_are_those_of_the_rules(spark):
+    """A crowded frame: the pairs of the rules, for tracks old and new, dealt to a fixed number of tasks and without decimals."""
+    rng = random.Random(5)
+    t = [(f, i, rng.random(), rng.random(), rng.choice((0.01, 0.05, 0.09)), rng.choice("ab"), rng.choice((None, 3)), rng.randint(1, 9)) for f in (0, 1) for i in range(400)]
+    d = [(f, i, rng.random(), rng.random(), rng.choice((0.04, 0.09)), rng.choice("ab"), rng.choice((None, 3))) for f in (0, 1) for i in range(400)]
+    tracks = spark.createDataFrame(t, "frame int, trk int, px double, py double, th double, tkit string, tnum int, hits int")
+    seen = spark.createDataFrame(d, "frame int, idx int, x double, y double, h double, kit string, num int")
+    pairs = frames.gated_pairs(tracks, seen, ["frame"], 0.2)
+    expected = set()
+    for f, trk, px, py, th, _, _, hits in t:
+        gate = min(12.0 * max(th, 0.02), 0.88) * 0.2 + 0.01
+        for g, idx, x, y, *_ in d:
+            off = math.hypot((x - px) * 16 / 9, y - py) / max(th, 0.02)
+            if f == g and math.hypot(x - px, y - py) <= gate and not (hits >= 3 and off > 1.2):
+                expected.add((f, trk, idx))
+    got = [(r["frame"], r["trk"], r["idx"]) for r in pairs.select("frame", "trk", "idx").collect()]
+    assert len(got) == len(expected) and set(got) == expected
+    assert "RepartitionByExpression [frame" in plan(pairs)
+    assert "round(" not in plan(frame_queries.gate_pairs(spark, SF))
