@@ -8,7 +8,7 @@ import statistics
 from pyspark.sql import functions as F
 
 from loomspan.functions import scalar
-from loomspan.operators import frames, layout
+from loomspan.operators import frames, intervals, layout
 from loomspan.plans import frame_queries, layout_queries
 
 SF = "/root/testdata/sf0.001"
@@ -118,3 +118,13 @@ def test_gated_pairs_are_those_of_the_rules(spark):
     assert len(got) == len(expected) and set(got) == expected
     assert "RepartitionByExpression [frame" in plan(pairs)
     assert "round(" not in plan(frame_queries.gate_pairs(spark, SF))
+
+
+def test_lifetimes_meet_in_a_fixed_number_of_tasks(spark):
+    """All pairs that share a moment, once; spans are dealt by key and bucket of time to tasks whose number their bytes don't decide."""
+    rng = random.Random(4)
+    spans = [(i, rng.choice("ab"), b, b + rng.choice((0, 3, 70))) for i in range(300) for b in [rng.randint(0, 200)]]
+    pairs = intervals.overlapping(spark.createDataFrame(spans, "trk int, kit string, f0 int, f1 int"), ["kit"], "trk", "f0", "f1", 60)
+    expected = sorted((k, i, j) for i, k, a0, a1 in spans for j, m, b0, b1 in spans if k == m and i < j and a0 <= b1 and b0 <= a1)
+    assert sorted(map(tuple, pairs.collect())) == expected
+    assert plan(pairs).count("RepartitionByExpression [kit") == 2
