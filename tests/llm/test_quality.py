@@ -358,3 +358,11 @@ def test_word_counts_are_exact(spark, docs):
     order = sorted(((masked_lm.word_hash(w.encode()), c) for w, c in words.items()), key=lambda x: (-x[1], x[0]))
     assert [(h, n) for h, _, n in got] == order[:50]
     assert {(k >> 12, k >> 6 & 63, k & 63): int(letters[k]) for k in np.flatnonzero(letters).tolist()} == three
+
+
+def test_every_character_has_its_gram(spark):
+    """Letters beyond those with a class of their own, scripts, signs and code points above 65,535 included."""
+    texts = ["aà" * 40, "的一是不了" * 30, "".join(chr(c) for c in range(0x4E00, 0x4E00 + 300)), "😀 x\n", "", None]
+    df = spark.createDataFrame([(t, "zh" if i % 2 else None) for i, t in enumerate(texts)], "text string, lang string")
+    n = kneser_ney.count_grams(df, kneser_ney.alphabets(df)).selectExpr("sum(n)").first()[0]
+    assert n == sum(len(t or "") for t in texts)
