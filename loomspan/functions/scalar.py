@@ -64,9 +64,10 @@ def rounded(v: Column, places: int) -> Column:
 
 
 def roman(n: Column) -> Column:
-    """Label of a number from 0 on: Roman numerals of n + 1 up to 3999, then small letters of n in bijective base 26."""
-    value, out = n + 1, F.lit("")
-    rest = value
+    """Label of a number from 0 on, up to 64 bits: Roman numerals of n + 1 up to 3999, then small letters of n in bijective base 26, as
+    many as it takes; null has none."""
+    n, out = n.cast("long"), F.lit("")
+    rest = F.least(n, F.lit(3998)) + 1
     for size, letters in SMALL:
         times = F.floor(rest / size).cast("int")
         out = F.concat(out, F.repeat(F.lit(letters), times))
@@ -76,14 +77,14 @@ def roman(n: Column) -> Column:
         left, done = state["left"], state["done"]
         more = left >= 0
         return F.struct(
-            F.when(more, F.floor(left / 26).cast("long") - 1).otherwise(left).alias("left"),
+            F.when(more, F.call_function("div", left, F.lit(26)) - 1).otherwise(left).alias("left"),
             F.when(more, F.concat(F.char(F.pmod(left, F.lit(26)) + 97), done)).otherwise(done).alias("done"),
         )
 
     # letters from the last to the first; a 64-bit number has 14 of them at most
-    start = F.struct((value - 1).cast("long").alias("left"), F.lit("").alias("done"))
+    start = F.struct(n.alias("left"), F.lit("").alias("done"))
     base = F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, one, lambda s: s["done"])
-    return F.when(value <= 3999, out).otherwise(base)
+    return F.when(n < 3999, out).when(n.isNotNull(), base)
 
 
 def word_jaccard(a: Column, b: Column, longer_than: int = 3) -> Column:

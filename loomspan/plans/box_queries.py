@@ -148,7 +148,7 @@ LETTERS = " ".join(f"WHEN l_partkey < {stop} THEN " + " || ".join(DIGIT.format(f
 @query("roman_label", f"SELECT l_partkey AS n, CASE WHEN l_partkey < 3999 THEN {ROMAN} ELSE CASE {LETTERS} END END AS label FROM lineitem GROUP BY l_partkey")
 def roman_label(spark, d) -> DataFrame:
     n = views.table(spark, d, "lineitem").select(F.col("l_partkey").alias("n")).distinct()
-    return n.withColumn("label", scalar.roman(F.col("n").cast("int")))
+    return n.withColumn("label", scalar.roman(F.col("n")))
 
 
 WORDS = "list_distinct(list_filter(string_split_regex(lower({0}), '\\s+'), lambda w: length(w) > 3))"

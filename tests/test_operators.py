@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import scalar
 from loomspan.operators import boxes, frames, layout, reports, series, tracker, votes
 from loomspan.operators.assignment import assign, match_or_leave
+from loomspan.plans import box_queries
 from loomspan.sources import documents
 
 BOX = "clip int, frame int, idx int, x double, y double, w double, h double, conf double, kit string, num int"
@@ -158,6 +159,20 @@ def test_roman(spark, n, label):
     assert spark.range(1).select(scalar.roman(F.lit(n)).alias("r")).first()["r"] == label
 
 
+def test_roman_label_of_any_key(spark, tmp_path):
+    """A key of 64 bits has its label, whose letters don't end where four are used up, and null has none."""
+    keys = [0, 475253, 475254, 12356629, 12356630, 2**31 - 1, 2**31, 2**53 + 1, 25 * 10**17 + 7, 2**63 - 1, None, None]
+    spark.createDataFrame([(k,) for k in keys], "l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = {None: None, 0: "I"}
+    for k in keys[1:-2]:
+        label, m = "", k
+        while m >= 0:
+            label, m = chr(97 + m % 26) + label, m // 26 - 1
+        want[k] = label
+    got = box_queries.roman_label(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {r["n"]: r["label"] for r in got} == want
+
+
 def test_tracker_keeps_two_walkers_apart(spark):
     rows = []
     for f in range(30):
