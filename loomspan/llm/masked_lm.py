@@ -46,7 +46,7 @@ BATCH = 2048
 RATE = 0.15
 SLICE = 4096
 LANE = 1 << 20  # tokens
-TILE = 64  # rows that are multiplied together when scores are made
+PLACES = 23  # bits after the point of a hidden layer when scores are made
 LETTER = 6  # bits of a letter's code
 LETTERS = 1 << LETTER
 
@@ -74,13 +74,12 @@ def initial(hidden: int = HIDDEN, side: int = SIDE, seed: int = 5) -> np.ndarray
     return flat
 
 
-def exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(x) and its sums by row; rows with large numbers are shifted by their maximum."""
+def exponentials(x: np.ndarray) -> np.ndarray:
+    """exp(x); rows with large numbers are shifted by their maximum."""
     if x.size and max(float(x.max()), -float(x.min())) > 60:
         far = np.abs(x).max(1) > 60
         x[far] -= x[far].max(1, keepdims=True)
-    e = np.exp(x)
-    return e, e @ np.ones(x.shape[1], x.dtype)
+    return np.exp(x)
 
 
 def forward(net: dict, context: np.ndarray, target: np.ndarray) -> tuple:
@@ -94,8 +93,8 @@ def forward(net: dict, context: np.ndarray, target: np.ndarray) -> tuple:
     np.tanh(h, out=h)
     group, member = target // GROUP, target % GROUP
     rows = np.arange(len(target))
-    first, total = exponentials(h @ net["group"] + net["group_bias"])
-    first /= total[:, None]
+    first = exponentials(h @ net["group"] + net["group_bias"])
+    first /= (first @ np.ones(GROUP, first.dtype))[:, None]
     order = np.argsort(group, kind="stable")
     cuts = np.searchsorted(group[order], np.arange(GROUP + 1)).tolist()
     sorted_h = h[order]
@@ -105,41 +104,47 @@ def forward(net: dict, context: np.ndarray, target: np.ndarray) -> tuple:
         if b > a:
             np.matmul(sorted_h[a:b], net["within"][g], out=x[a:b])
             x[a:b] += net["within_bias"][g]
-    second, total = exponentials(x)
-    second /= total[:, None]
+    second = exponentials(x)
+    second /= (second @ np.ones(GROUP, second.dtype))[:, None]
     out = np.log(np.maximum(first[rows, group], 1e-30))
     out[order] += np.log(np.maximum(second[rows, member[order]], 1e-30))
     return out, h, first, order, cuts, sorted_h, second, group, member
 
 
+def stepped(w: np.ndarray) -> np.ndarray:
+    """Weights in steps of a power of two, so fine that sums of their products with a hidden layer in steps of 2**-PLACES have 53 bits:
+    doubles add them up without rounding, in any order."""
+    places = 53 - PLACES - int(np.ceil(np.log2(w.shape[-2]))) - int(np.frexp(np.abs(w).max())[1])
+    return np.ldexp(np.rint(np.ldexp(w.astype(np.float64), places)), -places)
+
+
 def scores(net: dict, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """The log-probabilities that :func:`forward` gives, each of which depends on its token's context alone: rows are filled up to whole
-    tiles, so that the same kernel multiplies every row, however many rows come with it."""
+    """The log-probabilities that :func:`forward` gives, each of which depends on its token's context alone. On some processors kernels of
+    matrix products add up in an order that hangs on how many rows come along, so the products here are exact."""
     n = len(target)
-    whole = -(-n // TILE) * TILE
-    h = np.zeros((whole, net["bias"].shape[0]), np.float32)
+    h = np.zeros((n, net["bias"].shape[0]), np.float32)
     for k in range(len(context)):
-        h[:n] += np.take(net["tables"][k], context[k], axis=0)
+        h += np.take(net["tables"][k], context[k], axis=0)
     h += net["bias"]
     np.tanh(h, out=h)
+    h *= np.float32(2.0**PLACES)
+    np.rint(h, out=h)
+    h *= np.float32(2.0**-PLACES)
     group, member = target // GROUP, target % GROUP
     rows = np.arange(n)
-    e, total = exponentials(h @ net["group"] + net["group_bias"])
-    out = np.log(np.maximum(e[rows, group] / total[:n], 1e-30))
+    e = exponentials((h.astype(np.float64) @ stepped(net["group"])).astype(np.float32) + net["group_bias"])
+    out = np.log(np.maximum(e[rows, group] / e.sum(1), 1e-30))
     order = np.argsort(group, kind="stable")
-    counts = np.bincount(group, minlength=GROUP)
-    room = -(-counts // TILE) * TILE
-    at, begin = np.cumsum(room) - room, np.cumsum(counts) - counts
-    place = rows + np.repeat(at - begin, counts)
-    tiles = np.zeros((int(room.sum()), h.shape[1]), np.float32)
-    tiles[place] = h[order]
-    x = np.empty((len(tiles), GROUP), np.float32)
-    for g in np.flatnonzero(counts).tolist():
-        a, b = at[g], at[g] + room[g]
-        np.matmul(tiles[a:b], net["within"][g], out=x[a:b])
-        x[a:b] += net["within_bias"][g]
-    e, total = exponentials(x)
-    out[order] += np.log(np.maximum(e[place, member[order]] / total[place], 1e-30))
+    cuts = np.searchsorted(group[order], np.arange(GROUP + 1)).tolist()
+    sorted_h, within = h[order].astype(np.float64), stepped(net["within"])
+    x = np.empty((n, GROUP), np.float32)
+    for g in range(GROUP):
+        a, b = cuts[g], cuts[g + 1]
+        if b > a:
+            x[a:b] = sorted_h[a:b] @ within[g]
+            x[a:b] += net["within_bias"][g]
+    e = exponentials(x)
+    out[order] += np.log(np.maximum(e[rows, member[order]] / e.sum(1), 1e-30))
     return out
 
 

@@ -1,8 +1,12 @@
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomspan.llm import ftrl, kneser_ney, masked_lm
@@ -340,6 +344,30 @@ def test_scores_do_not_depend_on_partitions(spark, docs, monkeypatch):
         assert np.allclose([x[2] for x in got[0]], [x[2] for x in other], rtol=1e-9, atol=1e-9) and [x[:2] for x in got[0]] == [x[:2] for x in other]
 
 
+KERNELS = """
+import numpy as np
+from loomspan.llm import masked_lm as m
+r = np.random.default_rng(1)
+flat = m.initial() + r.standard_normal(len(m.initial())).astype(np.float32) * np.float32(0.3)
+ids = (r.zipf(1.2, 6000) % m.CLASSES).astype(np.int32)
+around = m.contexts(ids, np.array([len(ids)]))
+def scores(cuts):
+    return np.concatenate([m.scores(m.views(flat), around[:, a:b], ids[a:b]) for a, b in zip(cuts, cuts[1:])])
+whole = scores([0, len(ids)])
+for k in (1, 7, 300):
+    assert (scores([0, *sorted(r.choice(np.arange(1, len(ids)), k, replace=False).tolist()), len(ids)]) == whole).all(), k
+assert abs(whole - m.forward(m.views(flat), around, ids)[0]).max() < 1e-4
+"""
+
+
+@pytest.mark.parametrize("kernel", ["", "Haswell", "Nehalem"])
+def test_scores_do_not_depend_on_the_kernel(kernel):
+    """Kernels of matrix products that other processors have: a token's score is the same whatever tokens come with it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", KERNELS], cwd=root, env=os.environ | {"OPENBLAS_CORETYPE": kernel, "OMP_NUM_THREADS": "1"}, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+
+
 def test_words_of_one_class_are_told_apart(spark):
     """Of two texts that differ in a rare word only, that with the odder spelling scores less."""
     r = np.random.default_rng(3)
