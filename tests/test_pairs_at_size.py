@@ -128,3 +128,29 @@ def test_lifetimes_meet_in_a_fixed_number_of_tasks(spark):
     expected = sorted((k, i, j) for i, k, a0, a1 in spans for j, m, b0, b1 in spans if k == m and i < j and a0 <= b1 and b0 <= a1)
     assert sorted(map(tuple, pairs.collect())) == expected
     assert plan(pairs).count("RepartitionByExpression [kit") == 2
+
+
+def written(df, folder) -> float:
+    """Bytes of a row as Parquet."""
+    df.write.parquet(str(folder))
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet")) / df.sparkSession.read.parquet(str(folder)).count()
+
+
+def crowd(spark):
+    """One frame of 1,500 tracks and as many detections, out of order, on some 300 places, and another of few."""
+    rng = random.Random(6)
+    place = lambda: (rng.randint(0, 14) / 20, rng.randint(0, 19) / 40)
+    many = [1] * 1500 + [2] * 3
+    tracks = [(f, i, *place(), rng.choice((0.05, 0.09)), rng.choice("ab"), rng.choice((None, 3)), rng.randint(1, 9)) for i, f in enumerate(many)]
+    seen = [(f, i, *place(), rng.choice((0.05, 0.09)), rng.choice("ab"), rng.choice((None, 3))) for i, f in enumerate(many)]
+    return (
+        spark.createDataFrame(tracks, "frame int, trk int, px double, py double, th double, tkit string, tnum int, hits int"),
+        spark.createDataFrame(seen, "frame int, idx int, x double, y double, h double, kit string, num int"),
+    )
+
+
+def test_association_costs_are_small_when_written(spark, tmp_path):
+    """All pairs of a frame, each once; pairs that are alike stand together, so a file of them is a fraction of what it is in any other order."""
+    pairs = frames.association_costs(*crowd(spark), ["frame"], 0.2)
+    assert pairs.count() == pairs.select("frame", "trk", "idx").distinct().count() == 1500 * 1500 + 9
+    assert written(pairs.select("trk", "frame", "idx", "dist", "gate", "in_gate", "kit_mul", "num_mul", "h_mul", "cost"), tmp_path / "out") < 1.0
