@@ -154,3 +154,17 @@ def test_association_costs_are_small_when_written(spark, tmp_path):
     pairs = frames.association_costs(*crowd(spark), ["frame"], 0.2)
     assert pairs.count() == pairs.select("frame", "trk", "idx").distinct().count() == 1500 * 1500 + 9
     assert written(pairs.select("trk", "frame", "idx", "dist", "gate", "in_gate", "kit_mul", "num_mul", "h_mul", "cost"), tmp_path / "out") < 1.0
+
+
+def test_lifetimes_are_small_when_written(spark, tmp_path, monkeypatch):
+    """A crowded bucket: all pairs, each once, sides dealt out by parts, names that occur twice or are null; and small as a file, as those alive at once stand together."""
+    rng = random.Random(9)
+    spans = [(rng.randint(0, 9999) if i % 9 else i, b, min(59, b + rng.choice((0, 0, 0, 5, 30)))) for i in range(2500) for b in [rng.randint(0, 59)]]
+    df = spark.createDataFrame([("x", *s) for s in spans] + [("x", None, 3, 5), (None, 1, 3, 5)], "kit string, trk int, f0 int, f1 int")
+    for part in (256, intervals.PART):
+        monkeypatch.setattr(intervals, "PART", part)
+        pairs = intervals.overlapping(df, ["kit"], "trk", "f0", "f1", 60).select("a", "b")
+        got = pairs.groupBy().agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        plain = df.alias("l").join(df.alias("r"), F.expr("l.kit = r.kit and l.trk < r.trk and l.f0 <= r.f1 and r.f0 <= l.f1")).select(F.col("l.trk").alias("a"), F.col("r.trk").alias("b"))
+        assert got == plain.groupBy().agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first() and got["n"] > 500_000
+    assert written(pairs, tmp_path / "out") < 1.0
