@@ -168,3 +168,20 @@ def test_lifetimes_are_small_when_written(spark, tmp_path, monkeypatch):
         plain = df.alias("l").join(df.alias("r"), F.expr("l.kit = r.kit and l.trk < r.trk and l.f0 <= r.f1 and r.f0 <= l.f1")).select(F.col("l.trk").alias("a"), F.col("r.trk").alias("b"))
         assert got == plain.groupBy().agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first() and got["n"] > 500_000
     assert written(pairs, tmp_path / "out") < 1.0
+
+
+def test_gated_pairs_are_small_when_written(spark, tmp_path):
+    """A crowded frame of few places: the pairs of the rules, each once; those of one place stand together, so a file of them is small."""
+    tracks, seen = crowd(spark)
+    pairs = frames.gated_pairs(tracks, seen, ["frame"], 0.2).select("trk", "frame", "idx", "dist", "cost")
+    d = [r for r in seen.collect() if r["frame"] == 1]
+    expected = set()
+    for t in (r for r in tracks.collect() if r["frame"] == 1):
+        gate, tall = min(12.0 * t["th"], 0.88) * 0.2 + 0.01, 1.2 * t["th"]
+        for r in d:
+            dx, dy = r["x"] - t["px"], r["y"] - t["py"]
+            if math.sqrt(dx * dx + dy * dy) <= gate and not (t["hits"] >= 3 and math.hypot(dx * 16 / 9, dy) > tall):
+                expected.add((1, t["trk"], r["idx"]))
+    got = [(r["frame"], r["trk"], r["idx"]) for r in pairs.select("frame", "trk", "idx").collect()]
+    assert len(got) == len(set(got)) and {g for g in got if g[0] == 1} == expected and len(got) > 50_000
+    assert written(pairs, tmp_path / "out") < 3.0
